@@ -200,6 +200,27 @@ SPANS = {
     "ip_address": lambda t: dotted_runs(t),
     "url": lambda t: placed(t, URL),
 }
+_MARKER = "(?i)код|номер|document|doc|id|[№#]"
+_WORD = r"[\p{L}\p{N}\p{M}_]"
+
+
+def document_codes(texts: str) -> str:
+    """Every marker standing as a word (or a sign), and the code right after it."""
+    bounded = (
+        f"(v IN ('№', '#') OR (NOT regexp_matches(substr(text, CAST(s AS INTEGER), CASE WHEN s > 0 THEN 1 ELSE 0 END), '{_WORD}')"
+        f" AND NOT regexp_matches(substr(text, CAST(e AS INTEGER) + 1, 1), '{_WORD}')))"
+    )
+    lead = r"^\s*[:=]?\s*"
+    return rf"""
+    SELECT key, text, e + length(lead) AS s, e + length(lead) + length(code) AS e, code AS v
+    FROM (SELECT *, regexp_extract(substr(text, CAST(e AS INTEGER) + 1), '{lead}', 0) AS lead,
+                 regexp_extract(substr(text, CAST(e AS INTEGER) + 1), '{lead}([\p{{L}}0-9][\p{{L}}0-9_./-]{{5,}})', 1) AS code
+          FROM ({placed(texts, _MARKER)}) WHERE {bounded})
+    WHERE regexp_matches(code, '\p{{L}}') AND regexp_matches(code, '[0-9]')
+      AND (regexp_matches(code, '[\p{{L}}0-9_]$') OR regexp_matches(substr(code, 6), '[\p{{L}}0-9_][./-]|[./-][\p{{L}}0-9_]'))"""
+
+
+SPANS["document_code"] = document_codes
 PRIORITY = {
     "bank_account": 100, "document_code": 96, "inn": 95, "bik": 94, "kpp": 90, "ogrn": 88, "snils": 86,
     "email": 85, "phone": 80, "guid": 80, "ip_address": 75, "url": 75,
@@ -221,7 +242,7 @@ def resolved_ctes(texts: str, *detectors: str) -> str:
 
     Detectors of one priority are ranked longer kind first; spans of one detector never overlap.
     """
-    ranked = sorted(detectors, key=lambda d: (-PRIORITY[d], d != "url", d != "guid"))
+    ranked = sorted(detectors, key=lambda d: (-PRIORITY[d], d not in ("url", "guid")))
     ctes = [f"texts AS MATERIALIZED ({texts})", f"found AS MATERIALIZED ({spans_sql('SELECT * FROM texts', *detectors)})"]
     before = None
     for i, d in enumerate(ranked):
@@ -238,6 +259,32 @@ def resolved_ctes(texts: str, *detectors: str) -> str:
     return ",\n".join(ctes)
 
 
+DETECTORS = tuple(PRIORITY)
+PREFIXES = {
+    "bank_account": "ACCOUNT", "document_code": "CODE", "inn": "INN", "bik": "BIK", "kpp": "KPP", "ogrn": "OGRN",
+    "snils": "SNILS", "email": "EMAIL", "phone": "PHONE", "guid": "GUID", "ip_address": "IP", "url": "URL",
+}
+
+
+def stats_sql() -> str:
+    """``key``, the three counts and the counts per detector as text, from the CTEs of ``resolved_ctes``."""
+    return """
+    SELECT t.key, coalesce(f.n, 0) AS matches_found, coalesce(k.n, 0) AS matches_applied,
+           coalesce(f.n, 0) - coalesce(k.n, 0) AS matches_skipped, coalesce(k.counts, '') AS detector_counts
+    FROM texts t
+    LEFT JOIN (SELECT key, count(*) AS n FROM found GROUP BY key) f ON f.key = t.key
+    LEFT JOIN (SELECT key, CAST(sum(n) AS BIGINT) AS n, string_agg(detector || ':' || n, ',' ORDER BY detector) AS counts
+               FROM (SELECT key, detector, count(*) AS n FROM kept GROUP BY key, detector) GROUP BY key) k ON k.key = t.key"""
+
+
+def counts_text(counts: str = "detector_counts"):
+    """A detector map as sorted text, for comparing."""
+    entries = F.transform(
+        F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))
+    )
+    return F.array_join(entries, ",").alias(counts)
+
+
 # -- keyed digests in SQL ------------------------------------------------------------------------
 
 

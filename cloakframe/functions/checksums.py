@@ -41,33 +41,30 @@ def digits_only(value: Column) -> Column:
     return F.regexp_replace(ascii_digits(value), r"[^0-9]", "")
 
 
-def _digit(value: Column, index: int) -> Column:
-    return F.ascii(F.substring(value, index + 1, 1)) - F.lit(48)
+def _digit(value: Column, place: int) -> Column:
+    return F.substring(value, place, 1).try_cast("int")
 
 
 def _weighted(value: Column, weights: Sequence[int]) -> Column:
-    total = F.lit(0)
-    for index, weight in enumerate(weights):
-        total = total + _digit(value, index) * F.lit(weight)
-    return total
-
-
-def _control(value: Column, weights: Sequence[int]) -> Column:
-    return _weighted(value, weights) % 11 % 10
+    """Sum of the leading digits, each times its weight."""
+    table = F.from_json(F.lit(str(list(weights))), "array<int>")
+    products = F.zip_with(table, F.split(value, ""), lambda w, c: w * c.try_cast("int"))
+    return F.aggregate(F.slice(products, 1, len(weights)), F.lit(0), lambda total, p: total + p)
 
 
 def is_valid_inn(value: Column) -> Column:
     """10 digits with one control digit, or 12 digits with two."""
 
     def check(v: Column) -> Column:
-        ten = _control(v, INN_10_WEIGHTS) == _digit(v, 9)
-        twelve = (_control(v, INN_12_FIRST_WEIGHTS) == _digit(v, 10)) & (
-            _control(v, INN_12_SECOND_WEIGHTS) == _digit(v, 11)
-        )
+        def control(weights: Sequence[int], place: int) -> Column:
+            return _weighted(v, weights) % 11 % 10 == _digit(v, place)
+
         return (
-            F.when(~matches(v, r"\A[0-9]+\z"), F.lit(False))
-            .when(F.length(v) == 10, ten)
-            .when(F.length(v) == 12, twelve)
+            F.when(matches(v, r"\A[0-9]{10}\z"), control(INN_10_WEIGHTS, 10))
+            .when(
+                matches(v, r"\A[0-9]{12}\z"),
+                control(INN_12_FIRST_WEIGHTS, 11) & control(INN_12_SECOND_WEIGHTS, 12),
+            )
             .otherwise(F.lit(False))
         )
 
@@ -77,32 +74,24 @@ def is_valid_inn(value: Column) -> Column:
 def is_valid_ogrn(value: Column) -> Column:
     """13 digits (modulo 11) or 15 digits (modulo 13); the last digit is the control digit."""
 
-    def control(v: Column, size: int, modulus: int) -> Column:
-        head = F.substring(v, 1, size - 1).try_cast("bigint")
-        return head % modulus % 10 == _digit(v, size - 1)
-
     def check(v: Column) -> Column:
-        return (
-            F.when(~matches(v, r"\A[0-9]+\z"), F.lit(False))
-            .when(F.length(v) == 13, control(v, 13, 11))
-            .when(F.length(v) == 15, control(v, 15, 13))
-            .otherwise(F.lit(False))
-        )
+        head = v.substr(F.lit(1), F.length(v) - 1).try_cast("bigint")
+        modulus = F.length(v) - 2
+        return F.when(
+            matches(v, r"\A(?:[0-9]{13}|[0-9]{15})\z"), head % modulus % 10 == F.right(v, F.lit(1)).try_cast("int")
+        ).otherwise(F.lit(False))
 
     return let(ascii_digits(value), check)
 
 
 def is_valid_snils(value: Column) -> Column:
-    """11 digits, separators ignored, not starting with 00; weighted sum modulo 101."""
+    """11 digits, separators ignored, not starting with 00; weighted sum modulo 101, where 100 is 0."""
 
     def check(v: Column) -> Column:
-        rest = _weighted(v, SNILS_WEIGHTS) % 101
-        expected = F.when(rest >= 100, F.lit(0)).otherwise(rest)
-        return (
-            F.when(F.length(v) != 11, F.lit(False))
-            .when(F.startswith(v, F.lit("00")), F.lit(False))
-            .otherwise(expected == _digit(v, 9) * 10 + _digit(v, 10))
-        )
+        expected = _weighted(v, SNILS_WEIGHTS) % 101 % 100
+        return F.when(
+            matches(v, r"\A(?!00)[0-9]{11}\z"), expected == F.right(v, F.lit(2)).try_cast("int")
+        ).otherwise(F.lit(False))
 
     return let(digits_only(value), check)
 

@@ -8,6 +8,7 @@ text of a row is handled inside its row: nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -37,78 +38,108 @@ def span(start: Column, end: Column, detector: Column, priority: Column, ord_: C
     )
 
 
-def _placed(found: Column, text: Column, detector: Detector, ord_: int) -> Column:
+def _values_found(text: Column, detector: Detector, runs: Column, none: Column) -> Column:
+    """The matched strings of one detector, or ``none`` where its cheap condition fails."""
+    possible = text.isNotNull() if detector.may_match is None else detector.may_match(text, runs)
+    return F.when(possible, extract_all(text, detector.pattern)).otherwise(none)
+
+
+def _detector_table(detectors: Sequence[tuple[int, Detector]]) -> Column:
+    """The detectors as one literal array, so that placing is written once for all of them."""
+    rows = [
+        {"name": d.name, "priority": d.priority, "ord": ord_, "pattern": d.pattern, "group": d.group}
+        for ord_, d in detectors
+    ]
+    kind = "array<struct<name:string,priority:int,ord:int,pattern:string,group:int>>"
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
+def _placed(text: Column, detector: Column, found: Column) -> Column:
     """Offsets of the matches ``found``: running length of the gaps and matches before each."""
-    gaps = F.split(text, detector.pattern, -1)
-    if detector.group == 0:
-        pairs = lambda g: F.transform(
-            found, lambda v, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(v).alias("size"), v.alias("value"))
-        )
-    else:
-        parts = extract_all(text, detector.pattern, detector.group)
-        pairs = lambda g: let(
-            parts,
-            lambda p: F.transform(
+    gaps = F.split(text, detector["pattern"], -1)
+    values = F.when(detector["group"] == 0, found).otherwise(
+        F.regexp_extract_all(text, detector["pattern"], detector["group"])
+    )
+    pairs = let(
+        gaps,
+        lambda g: let(
+            values,
+            lambda v: F.transform(
                 found,
-                lambda v, i: F.struct(
-                    F.length(F.get(g, i)).alias("gap"), F.length(v).alias("size"), F.get(p, i).alias("value")
+                lambda match, i: F.struct(
+                    (F.length(F.get(g, i)) + F.length(match)).alias("ahead"), F.get(v, i).alias("value")
                 ),
             ),
-        )
+        ),
+    )
 
     def step(state: Column, match: Column) -> Column:
-        return let(
-            state["at"] + match["gap"] + match["size"],
-            lambda end: F.struct(
-                F.concat(
-                    state["done"],
-                    F.array(
-                        span(
-                            end - F.length(match["value"]),
-                            end,
-                            F.lit(detector.name),
-                            F.lit(detector.priority),
-                            F.lit(ord_),
-                            match["value"],
-                        )
-                    ),
-                ).alias("done"),
-                end.alias("at"),
-            ),
+        end = state["at"] + match["ahead"]
+        placed = span(
+            end - F.length(match["value"]), end, detector["name"], detector["priority"], detector["ord"], match["value"]
         )
+        return F.struct(F.concat(state["done"], F.array(placed)).alias("done"), end.alias("at"))
 
     start = F.struct(no_spans().alias("done"), F.lit(0).alias("at"))
-    return F.aggregate(let(gaps, pairs), start, step, lambda state: state["done"])
+    return F.aggregate(pairs, start, step, lambda state: state["done"])
 
 
-def detect_spans(text: Column, detector: Detector, ord_: int = 0, runs: Column | None = None) -> Column:
-    """All valid spans of one detector, left to right."""
-    if detector.spans is not None:
-        own = F.transform(
-            detector.spans(text),
-            lambda s: span(
-                s["start"], s["end"], F.lit(detector.name), F.lit(detector.priority), F.lit(ord_), s["value"]
-            ),
-        )
-        return F.coalesce(own, no_spans())
+def _own_spans(text: Column, detector: Detector, ord_: int) -> Column:
+    """Spans of a detector that is a function from text to ``array<struct<start,end,value>>``."""
+    own = F.transform(
+        detector.spans(text),
+        lambda s: span(s["start"], s["end"], F.lit(detector.name), F.lit(detector.priority), F.lit(ord_), s["value"]),
+    )
+    return F.coalesce(own, no_spans())
+
+
+def _candidates(text: Column, detectors: Sequence[tuple[int, Detector]]) -> Column:
+    """Spans of all detectors, in their order, before validation."""
+    by_pattern = [(o, d) for o, d in detectors if d.spans is None]
+    lists = [_own_spans(text, d, o) for o, d in detectors if d.spans is not None]
+    if by_pattern:
+        none = F.array().cast("array<string>")
+        nothing = no_spans()
+
+        def place(runs: Column) -> Column:
+            found = F.array(*[_values_found(text, d, runs, none) for _, d in by_pattern])
+            return F.flatten(
+                F.zip_with(
+                    _detector_table(by_pattern),
+                    found,
+                    lambda d, values: F.when(F.size(values) > 0, _placed(text, d, values)).otherwise(nothing),
+                )
+            )
 
-    if detector.may_match is None:
-        possible = text.isNotNull()
-    else:
-        possible = detector.may_match(text, numeric_runs(text) if runs is None else runs)
+        lists.append(let(numeric_runs(text), place))
+    return F.concat(*lists) if len(lists) > 1 else lists[0]
 
-    found = let(
-        extract_all(text, detector.pattern),
-        lambda all_: F.when(F.size(all_) > 0, _placed(all_, text, detector, ord_)).otherwise(no_spans()),
-    )
-    if detector.validator is not None:
-        found = F.filter(found, lambda s: detector.validator(s["value"]))
-    return F.when(possible, found).otherwise(no_spans())
+
+def _is_valid(spans_of: Sequence[Detector], s: Column) -> Column | None:
+    """Checksum condition on a span, by its detector."""
+    checked = [d for d in spans_of if d.validator is not None]
+    if not checked:
+        return None
+    condition = F.when(s["detector"] == checked[0].name, checked[0].validator(s["value"]))
+    for d in checked[1:]:
+        condition = condition.when(s["detector"] == d.name, d.validator(s["value"]))
+    return F.coalesce(condition.otherwise(F.lit(True)), F.lit(False))
+
+
+def detect_spans(text: Column, detector: Detector, ord_: int = 1) -> Column:
+    """All valid spans of one detector, left to right."""
+    found = _candidates(text, [(ord_, detector)])
+    valid = F.filter(found, lambda s: _is_valid([detector], s)) if detector.validator else found
+    return F.when(text.isNotNull(), valid).otherwise(no_spans())
 
 
 def drop_key_positions(text: Column, spans: Column) -> Column:
     """Drop spans that are a key: followed by ``=`` within four characters, blanks between."""
-    return F.filter(spans, lambda s: ~matches(text.substr(s["end"] + 1, F.lit(4)), "^ *="))
+    return F.filter(spans, lambda s: ~_is_key(text, s))
+
+
+def _is_key(text: Column, s: Column) -> Column:
+    return matches(text.substr(s["end"] + 1, F.lit(4)), "^ *=")
 
 
 def collect_spans(
@@ -116,18 +147,19 @@ def collect_spans(
     detectors: Sequence[Detector],
     extra: Column | None = None,
 ) -> Column:
-    """Spans of all detectors in policy order, keys dropped; ``extra`` spans come first."""
-    if not detectors and extra is None:
+    """Valid spans of all detectors in policy order, keys dropped; ``extra`` spans come first."""
+    parts = [] if extra is None else [F.coalesce(extra, no_spans())]
+    if detectors:
+        parts.append(_candidates(text, list(enumerate(detectors, start=1))))
+    if not parts:
         return no_spans()
 
-    def gather(value: Column, runs: Column) -> Column:
-        lists = [detect_spans(value, d, i + 1, runs) for i, d in enumerate(detectors)]
-        if extra is not None:
-            lists.insert(0, F.coalesce(extra, no_spans()))
-        every = F.concat(*lists) if len(lists) > 1 else lists[0]
-        return let(every, lambda e: F.when(F.size(e) > 0, drop_key_positions(value, e)).otherwise(e))
+    def usable(s: Column) -> Column:
+        valid = _is_valid(detectors, s)
+        return ~_is_key(text, s) if valid is None else valid & ~_is_key(text, s)
 
-    found = let(numeric_runs(text), lambda runs: gather(text, runs))
+    every = F.concat(*parts) if len(parts) > 1 else parts[0]
+    found = let(every, lambda e: F.when(F.size(e) > 0, F.filter(e, usable)).otherwise(e))
     return F.when(text.isNotNull(), found).otherwise(no_spans())
 
 

@@ -270,12 +270,11 @@ def _item_leaves(value: Column, kind: T.ArrayType, name: str, exempt: set[str])
         return [] if name.lower() in exempt else [F.transform(value, lambda i: _leaf(F.lit(name), i))]
     probe = _leaves(F.lit(None).cast(inner), inner, name, exempt)
     empty = F.array().cast("array<struct<field:string,text:string>>")
-    return [
-        F.flatten(
-            F.transform(value, lambda i, n=n: F.coalesce(_leaves(i, inner, name, exempt)[n], empty))
-        )
-        for n in range(len(probe))
-    ]
+
+    def nth(n: int) -> Column:
+        return F.flatten(F.transform(value, lambda i: F.coalesce(_leaves(i, inner, name, exempt)[n], empty)))
+
+    return [nth(n) for n in range(len(probe))]
 
 
 def nested_findings(df: DataFrame, policy: Policy, keys: list[str], with_value: bool = False) -> DataFrame:

@@ -104,6 +104,10 @@ def detector_totals(findings: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
+def _spans_of(spans: Column, detector: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["detector"] == detector))
+
+
 def column_profile(df: DataFrame, policy: Policy, columns: Sequence[str] | None = None) -> DataFrame:
     """Sensitivity of each string column: non-empty cells, cells with a hit, spans per detector.
 
@@ -125,7 +129,7 @@ def column_profile(df: DataFrame, policy: Policy, columns: Sequence[str] | None
         sums.append(F.count_if(F.coalesce(F.length(name), F.lit(0)) > 0).alias(f"_c{i}"))
         sums.append(F.count_if(F.size(kept) > 0).alias(f"_h{i}"))
         for j, d in enumerate(detectors):
-            hits = F.size(F.filter(kept, lambda s, d=d: s["detector"] == d))
+            hits = _spans_of(kept, d)
             sums.append(F.coalesce(F.sum(hits), F.lit(0)).cast("bigint").alias(f"_d{i}_{j}"))
     row = staged.agg(*sums)
     lines = F.array(

@@ -1,2 +1,116 @@
-QUERIES = {}
-ORACLES = {}
+"""Reports over masked texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.operators import reports
+from cloakframe.plans.masking import analyze_text, findings
+from cloakframe.plans.policy import Policy
+from queries.sqlkit import DETECTORS, SECRET, counts_text, resolved_ctes, stats_sql, table
+from queries.tables import people
+
+_POLICY = Policy.default(SECRET)
+_NAMES = _POLICY.detector_names()
+
+
+def _stats(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*keys, "text")
+    return analyze_text(docs, _POLICY)
+
+
+def _file_report_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sources play the files; one more could not be read."""
+    failures = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("bad/"), "r_name").alias("source"),
+        F.lit("ValueError: malformed").alias("message"),
+        (F.col("r_regionkey") == 0).alias("timed_out"),
+    )
+    return reports.file_report(_stats(spark, sf_dir, "source"), "source", _NAMES, failures)
+
+
+def _file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _file_report_df(spark, sf_dir).withColumn("detector_counts", counts_text())
+
+
+def _batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = reports.batch_report(_file_report_df(spark, sf_dir), _NAMES)
+    return report.withColumn("detector_totals", counts_text("detector_totals"))
+
+
+def _detector_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return reports.detector_totals(findings(docs, _POLICY), by="lang")
+
+
+def _column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = reports.column_profile(people(spark, sf_dir), _POLICY)
+    return profile.withColumn("detector_counts", counts_text()).withColumn("hit_share", F.round("hit_share", 6))
+
+
+def _page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = reports.column_profile(table(spark, sf_dir, "pages"), _POLICY, ["url", "html"])
+    return profile.select("column_name", "cells", "cells_hit", counts_text())
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = reports.audit_events(_file_report_df(spark, sf_dir), "source")
+    return events.select(
+        "event_type", "source", "matches_found", "matches_applied", "matches_skipped", F.col("metadata.overwrite").alias("overwrite")
+    )
+
+
+_DOCS = "SELECT doc_id AS key, text FROM documents"
+_STATS = f"{resolved_ctes(_DOCS, *DETECTORS)}, stats AS ({stats_sql()})"
+_FILES = f"""{_STATS},
+sums AS (SELECT d.source, CAST(sum(s.matches_found) AS BIGINT) AS matches_found, CAST(sum(s.matches_applied) AS BIGINT) AS matches_applied,
+                CAST(sum(s.matches_skipped) AS BIGINT) AS matches_skipped FROM stats s JOIN documents d ON d.doc_id = s.key GROUP BY d.source),
+counts AS (SELECT source, string_agg(detector || ':' || n, ',' ORDER BY detector) AS detector_counts
+           FROM (SELECT d.source, k.detector, count(*) AS n FROM kept k JOIN documents d ON d.doc_id = k.key GROUP BY d.source, k.detector)
+           GROUP BY source),
+files AS (SELECT s.source, true AS success, 'OK' AS message, s.matches_found, s.matches_applied, s.matches_skipped,
+                 coalesce(c.detector_counts, '') AS detector_counts, false AS timed_out FROM sums s LEFT JOIN counts c ON c.source = s.source
+          UNION ALL SELECT 'bad/' || r_name, false, 'ValueError: malformed', 0, 0, 0, '', r_regionkey = 0 FROM region)"""
+
+QUERIES = {
+    "file_report": _file_report,
+    "batch_report": _batch_report,
+    "detector_totals": _detector_totals,
+    "column_profile": _column_profile,
+    "page_profile": _page_profile,
+    "audit_events": _audit,
+}
+ORACLES = {
+    "file_report": f"WITH {_FILES} SELECT * FROM files",
+    "batch_report": f"""
+WITH {_FILES}
+SELECT count(*) AS total, count(*) FILTER (success) AS success, count(*) FILTER (NOT success) AS failed,
+  CAST(sum(matches_found) AS BIGINT) AS total_matches_found, CAST(sum(matches_applied) AS BIGINT) AS total_matches_applied,
+  CAST(sum(matches_skipped) AS BIGINT) AS total_matches_skipped, count(*) FILTER (timed_out) AS timeout_count,
+  (SELECT string_agg(detector || ':' || n, ',' ORDER BY detector) FROM (SELECT detector, count(*) AS n FROM kept GROUP BY detector)) AS detector_totals
+FROM files""",
+    "detector_totals": f"""
+WITH {resolved_ctes(_DOCS, *DETECTORS)}
+SELECT d.lang, k.detector, count(*) AS n FROM kept k JOIN documents d ON d.doc_id = k.key
+GROUP BY GROUPING SETS ((d.lang, k.detector), (k.detector))""",
+    "column_profile": """
+SELECT p.column_name, count(*) FILTER (p.column_name <> 'token' OR c_custkey % 5 <> 0) AS cells,
+  CASE WHEN p.hits = '' THEN 0 ELSE count(*) END AS cells_hit, CASE WHEN p.hits = '' THEN 0.0 ELSE 1.0 END AS hit_share,
+  replace(p.hits, '#', CAST(count(*) AS VARCHAR)) AS detector_counts
+FROM customer, (VALUES ('contact', 'email:#'), ('comment', 'email:#,ip_address:#'), ('Password', 'email:#'), ('token', ''),
+  ('empty_token', 'email:#'), ('formula', 'ip_address:#')) p(column_name, hits)
+GROUP BY p.column_name, p.hits""",
+    "page_profile": f"""
+WITH {resolved_ctes("SELECT 'html' || page_id AS key, html AS text FROM pages UNION ALL SELECT 'url' || page_id, url FROM pages", *DETECTORS)},
+per AS (SELECT regexp_extract(t.key, '^[a-z]+') AS column_name, length(t.text) AS n, k.detector, t.key
+        FROM texts t LEFT JOIN kept k ON k.key = t.key)
+SELECT column_name, count(DISTINCT key) FILTER (n > 0) AS cells, count(DISTINCT key) FILTER (detector IS NOT NULL) AS cells_hit,
+  coalesce((SELECT string_agg(detector || ':' || c, ',' ORDER BY detector) FROM
+     (SELECT detector, count(*) AS c FROM per q WHERE q.column_name = p.column_name AND detector IS NOT NULL GROUP BY detector)), '') AS detector_counts
+FROM per p GROUP BY column_name""",
+    "audit_events": f"""
+WITH {_FILES}
+SELECT 'file_processing_started' AS event_type, source, 0 AS matches_found, 0 AS matches_applied, 0 AS matches_skipped, 'false' AS overwrite FROM files
+UNION ALL SELECT 'file_processing_finished', source, matches_found, matches_applied, matches_skipped, NULL FROM files WHERE success""",
+}

@@ -1,2 +1,209 @@
-QUERIES = {}
-ORACLES = {}
+"""Mapping of tokens to values, restoring, token cache."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.functions.maskers import hmac_sha256
+from cloakframe.operators import mapping as m
+from cloakframe.operators.fields import mask_table
+from cloakframe.plans.extend import register_detector
+from cloakframe.plans.masking import mask_with_stats
+from cloakframe.plans.policy import Policy, Rule
+from cloakframe.session import shared_folder
+from queries.sqlkit import (
+    ALL_TEXTS_SQL,
+    DETECTORS,
+    K,
+    PASSPHRASE,
+    PREFIXES,
+    SECRET,
+    all_texts,
+    hmac_sql,
+    prefix_case,
+    resolved_ctes,
+    table,
+    token_sql,
+)
+from queries.tables import people
+
+_POLICY = Policy.default(SECRET)
+_PREFIXES = list(PREFIXES.values())
+_CTES = resolved_ctes(ALL_TEXTS_SQL, *DETECTORS)
+_TOKEN = f"({prefix_case('detector', PREFIXES)} || '_' || substr({hmac_sql('v')}, 1, 24))"
+
+
+def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.build_mapping(all_texts(spark, sf_dir), _POLICY)
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two encrypted generations, written and read back; the second knows the pages only."""
+    path = shared_folder(spark, "mapping")
+    m.save_mapping(_build(spark, sf_dir), path, PASSPHRASE, 0)
+    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    m.save_mapping(m.build_mapping(pages, _POLICY), path, PASSPHRASE, 1)
+    return m.load_mapping(spark, path, PASSPHRASE)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping mappings of customers that disagree where both have a token."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("T_"), F.col(K).cast("string")).alias("token"), F.col("c_name").alias("value"), K
+    )
+    stored = rows.where(F.col(K) % 3 != 0).select("token", "value")
+    own = rows.where(F.col(K) % 3 != 1).select("token", F.concat("value", F.lit("!")).alias("value"))
+    return stored, own
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.merge_mapping(*_halves(spark, sf_dir))
+
+
+def _merge_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, own = (
+        df.select(hmac_sha256(F.col("token"), SECRET).alias("digest"), F.col("value").alias("token"))
+        for df in _halves(spark, sf_dir)
+    )
+    return m.merge_token_cache(stored, own)
+
+
+def _demask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask all texts and restore them: the originals come back, every token replaced."""
+    texts = all_texts(spark, sf_dir)
+    masked = mask_with_stats(texts, _POLICY).select("key", "text", "matches_applied")
+    return m.demask(masked, m.build_mapping(texts, _POLICY), _PREFIXES, "key")
+
+
+# A text with tokens that are mapped, not mapped, and mapped under the shorter of two prefixes.
+_NAME_TOKEN = token_sql("c_name", "CODE")
+
+
+def _demask_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    token = m.token_of(hmac_sha256(F.col("c_name"), SECRET), F.lit("CODE"))
+    known = customers.where(F.col(K) % 2 == 0).select(token.alias("token"), F.col("c_name").alias("value"))
+    texts = customers.select(
+        K, F.concat(F.lit("a "), token, F.lit("f, DOCUMENT_"), token, F.lit(" x"), token, token).alias("text")
+    )
+    return m.demask(texts, known, ["CODE", "DOCUMENT_CODE"], K)
+
+
+def _demask_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = people(spark, sf_dir).select(K, "contact", "comment", "formula", "c_acctbal")
+    values = F.explode(F.array("contact", "comment", "formula")).alias("text")
+    known = m.build_mapping(rows.select(values), _POLICY)
+    masked = mask_table(rows, _POLICY, skip_formulas=True)
+    return m.demask_table(masked, known, _PREFIXES, K)
+
+
+def _demask_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.operators.reports import demask_report
+
+    texts = all_texts(spark, sf_dir)
+    masked = mask_with_stats(texts, _POLICY).select("key", "text")
+    known = m.build_mapping(texts, _POLICY)
+    return demask_report(m.demask(masked, known, _PREFIXES, "key"), known)
+
+
+def _demask_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small mapping with keys of any shape; the longer key wins."""
+    known = {"Customer#": "C-", "Customer": "client", "#00000000": "no. ", "(": "["}
+    restored = m.demask_with_keys(F.concat(F.lit("("), F.col("c_name"), F.lit(" Customer")), known)
+    return table(spark, sf_dir, "customer").select(K, restored.alias("r")).select(K, "r.text", "r.replacements")
+
+
+# Token cache: the same value found by two detectors gets the token of the first place it is met at.
+_DIGITS = f"'0' || lpad(cast({K} as string), 8, '0')"
+_CACHE_EXPR = (
+    f"CASE WHEN {K} % 2 = 0 THEN 'БИК ' || {_DIGITS} ELSE 'код 1' || lpad(cast({K} as string), 8, '0') END || "
+    f"' and u' || cast({K} % 50 as string) || '@mail.ru'"
+)
+
+
+def _cache_policy() -> Policy:
+    return Policy.only(SECRET, "bik", "kpp", "email")
+
+
+def _cached_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(K, F.expr(_CACHE_EXPR).alias("text"))
+
+
+def _held_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of an earlier run that knew some of the addresses as logins."""
+    mails = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(
+        F.expr("'u' || cast(n_nationkey as string) || '@mail.ru'").alias("value")
+    )
+    digest = hmac_sha256(F.col("value"), SECRET)
+    return mails.select(digest.alias("digest"), F.concat(F.lit("LOGIN_"), F.substring(digest, 1, 24)).alias("token"))
+
+
+def _mask_with_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.mask_with_cache(_cached_texts(spark, sf_dir), _cache_policy(), K, cache=_held_cache(spark, sf_dir))
+
+
+# The same number is a code in one text and, being an address, an address in the next.
+_SHARED = f"'u' || cast({K} div 2 as string) || '.x9@mail.ru'"
+_TWO_EXPR = f"CASE WHEN {K} % 2 = 0 THEN '<' || {_SHARED} || '>' ELSE 'to ' || {_SHARED} END"
+
+
+def _first_prefix_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values met by two detectors in one run: the prefix seen first is used everywhere."""
+    texts = table(spark, sf_dir, "customer").select(K, F.expr(_TWO_EXPR).alias("text"))
+    policy = register_detector(
+        Policy.only(SECRET, "email"), "bracketed", r"<([^>]+@[^>]+)(?=>)", group=1, priority=99, rule=Rule(prefix="BOX")
+    )
+    return m.mask_with_cache(texts, policy, K)
+
+
+_MAIL = f"'u' || ({K} % 50) || '@mail.ru'"
+
+QUERIES = {
+    "build_mapping": _build,
+    "mapping_store": _store,
+    "merge_mapping": _merge,
+    "merge_token_cache": _merge_cache,
+    "demask": _demask,
+    "demask_partial_mapping": _demask_parts,
+    "demask_table": _demask_table,
+    "demask_report": _demask_report,
+    "demask_with_keys": _demask_keys,
+    "mask_with_cache": _mask_with_cache,
+    "cache_first_prefix_wins": _first_prefix_wins,
+}
+_MAPPING_SQL = f"WITH {_CTES} SELECT DISTINCT {_TOKEN} AS token, v AS value FROM kept"
+_MERGED = f"""
+SELECT CASE WHEN {K} % 3 = 1 THEN c_name ELSE c_name || '!' END AS value, 'T_' || {K} AS token FROM customer"""
+ORACLES = {
+    "build_mapping": _MAPPING_SQL,
+    "mapping_store": _MAPPING_SQL,
+    "merge_mapping": _MERGED,
+    "merge_token_cache": f"SELECT {hmac_sql('token')} AS digest, value AS token FROM ({_MERGED})",
+    "demask": f"""
+WITH {_CTES}
+SELECT t.key, t.text, coalesce(k.n, 0) AS matches_applied, coalesce(k.n, 0) AS replacements
+FROM texts t LEFT JOIN (SELECT key, count(*) AS n FROM kept GROUP BY key) k ON k.key = t.key""",
+    "demask_partial_mapping": f"""
+SELECT {K}, CASE WHEN {K} % 2 = 0 THEN 'a ' || c_name || 'f, DOCUMENT_' || c_name || ' x' || c_name || c_name
+  ELSE 'a ' || t || 'f, DOCUMENT_' || t || ' x' || t || t END AS text, CASE WHEN {K} % 2 = 0 THEN 4 ELSE 0 END AS replacements
+FROM (SELECT {K}, c_name, {_NAME_TOKEN} AS t FROM customer)""",
+    "demask_table": f"""
+SELECT {K}, 'u' || {K} || '@mail.ru' AS contact, 'call u' || {K} || '@mail.ru from 10.0.0.' || ({K} % 256) AS comment,
+  CASE WHEN {K} % 2 = 0 THEN '=' ELSE '' END || 'A1 & 10.0.0.' || ({K} % 256) AS formula, c_acctbal,
+  CASE WHEN {K} % 2 = 0 THEN 3 ELSE 4 END AS replacements FROM customer""",
+    "demask_report": f"""
+WITH {_CTES}
+SELECT (SELECT count(*) FROM kept) AS replacements, (SELECT count(DISTINCT {_TOKEN}) FROM kept) AS mapping_size""",
+    "demask_with_keys": f"""
+SELECT {K}, replace(replace(replace(replace('(' || c_name || ' Customer', 'Customer#', chr(1)), 'Customer', 'client'), chr(1), 'C-'), '(', '[') AS text,
+  3 AS replacements FROM customer""",
+    "mask_with_cache": f"""
+SELECT {K}, CASE WHEN {K} % 2 = 0 THEN 'БИК ' || {token_sql(_DIGITS, 'BIK')}
+    ELSE 'код ' || {token_sql(f"'1' || lpad(cast({K} as string), 8, '0')", 'KPP')} END
+  || ' and ' || CASE WHEN {K} % 50 < (SELECT count(*) FROM nation) AND {K} % 50 % 2 = 0 THEN {token_sql(_MAIL, 'LOGIN')}
+    ELSE {token_sql(_MAIL, 'EMAIL')} END AS text FROM customer""",
+    "cache_first_prefix_wins": f"""
+SELECT {K}, CASE WHEN {K} % 2 = 0 THEN '<' || t || '>' ELSE 'to ' || t END AS text
+FROM (SELECT {K}, {token_sql(f"'u' || ({K} // 2) || '.x9@mail.ru'", 'BOX')} AS t FROM customer)""",
+}

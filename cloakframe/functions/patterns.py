@@ -13,9 +13,12 @@ from cloakframe.functions.checksums import is_valid_inn, is_valid_ipv4, is_valid
 
 # --- fixed values -------------------------------------------------------------------------
 # Priorities and patterns decide which spans are found, so they are constants of the product.
-# ``(?U)`` makes \d, \w, \s and \b Unicode-aware. Where a part can only match in one way it is
-# possessive, and an e-mail starts at the start of its run of local characters (or right after the
-# e-mail before it): both keep the search linear in the length of the text.
+# ``(?U)`` makes \d, \w, \s and \b Unicode-aware.
+#
+# Repeated parts that can match in one way only are possessive, an e-mail starts at the start of its
+# run of local characters (or right after the e-mail before it), and its domain goes up to the last
+# dot that two letters follow. So no pattern backtracks or recurses over a long text: a hostile row
+# costs time linear in its length and cannot overflow an executor's stack.
 
 DETECTOR_PRIORITIES = {
     "bank_account": 100,
@@ -34,7 +37,7 @@ DETECTOR_PRIORITIES = {
 DEFAULT_PRIORITY = 10
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
-_LABEL = r"[a-zA-Z0-9\p{L}](?:[a-zA-Z0-9\p{L}\-]*[a-zA-Z0-9\p{L}])?"
+_LABEL = r"[a-zA-Z0-9\p{L}]++(?:-++[a-zA-Z0-9\p{L}]++)*+"
 _HEX4 = r"[0-9A-Fa-f]{1,4}"
 
 PATTERNS = {
@@ -51,7 +54,9 @@ PATTERNS = {
     "snils": r"(?U)(?<!\d)\d{3}[-\s]?\d{3}[-\s]?\d{3}[-\s]?\d{2}(?!\d)",
     "email": (
         r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]++@"
-        r"(?:[a-zA-Z0-9\p{L}][a-zA-Z0-9\p{L}\-]*\.)+[a-zA-Z\p{L}]{2,}"
+        r"(?:[a-zA-Z0-9\p{L}][a-zA-Z0-9\p{L}\-]*+\."
+        r"(?:(?![a-zA-Z\p{L}]{2})[a-zA-Z0-9\p{L}][a-zA-Z0-9\p{L}\-]*+\.)*+(?=[a-zA-Z\p{L}]{2}))++"
+        r"[a-zA-Z\p{L}]{2,}"
     ),
     "phone": (
         r"(?U)(?<!\d)(?:\+7|8)(?:[\s\-]?\(\d{3}\)[\s\-]?|[\s\-]?\d{3}[\s\-]?)"
@@ -60,8 +65,8 @@ PATTERNS = {
     "guid": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     "ip_address": rf"(?U)(?<![.\d]){_OCTET}(?:\.{_OCTET}){{3}}(?![.\d])",
     "url": (
-        r"(?U)(?:https?|ftps?)://(?:[a-zA-Z0-9._~%+\-]+(?::[a-zA-Z0-9._~%+\-]*)?@)?"
-        rf"(?:(?:\d{{1,3}}\.){{3}}\d{{1,3}}|{_LABEL}(?:\.{_LABEL})+)"
+        r"(?U)(?:https?|ftps?)://(?:[a-zA-Z0-9._~%+\-]++(?::[a-zA-Z0-9._~%+\-]*+)?@)?"
+        rf"(?:(?:\d{{1,3}}\.){{3}}\d{{1,3}}|{_LABEL}(?:\.{_LABEL})++)"
         r"""(?::\d{1,5})?(?:/[^\s<>"')\]]*)?"""
     ),
     "ipv6": (

@@ -67,14 +67,15 @@ def mask_table(
     blank_removed: bool = True,
     skip_formulas: bool = False,
     with_stats: bool = False,
+    keep: Iterable[str] = (),
 ) -> DataFrame:
-    """Mask all string columns of a table, each by its field rule.
+    """Mask all string columns of a table but ``keep``, each by its field rule.
 
     With ``with_stats`` the row's statistics are added; detection runs once per cell and both the
     masked cell and the counts use its result. Removed and replaced cells are not scanned.
     """
     actions = policy.field_actions()
-    strings = set(string_columns(df))
+    strings = set(string_columns(df)) - set(keep)
     detectors = policy.detectors()
     staged = df
     scanned: list[str] = []

@@ -24,7 +24,8 @@ LOG_PREFIX = (
 )
 STACK_TRACE = r'(?U)\A(?:\s+at\s|\s{2,}File\s+"|Caused by:|\.\.\.\s+\d+\s+more|\s+\.\.\.\s)'
 # A quoted literal; '' and \' are escapes. Without a closing quote the last '' closes it.
-SQL_LITERAL = r"'(?:[^'\\]*+(?:\\'[^'\\]*+)*+'')*[^'\\]*+(?:\\'[^'\\]*+)*+'"
+_BODY = r"[^'\\]*+(?:\\'[^'\\]*+)*+"
+SQL_LITERAL = rf"'(?:{_BODY}''(?={_BODY}'))*+{_BODY}'"
 # --- end of fixed values ------------------------------------------------------------------
 
 
@@ -130,15 +131,11 @@ def mask_sql_dump(df: DataFrame, policy: Policy, line: str = "line") -> DataFram
 def mask_csv(
     df: DataFrame, policy: Policy, mask_header: bool = False, with_stats: bool = False, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Mask the cells of a CSV table by column; removed columns keep their place with empty cells."""
-    kept = [c for c in df.columns if c in keep]
-    hidden = {c: f"_keep{i}" for i, c in enumerate(kept)}
-    cells = df.select(*[F.struct(c).alias(hidden[c]) if c in hidden else F.col(c) for c in df.columns])
-    masked = mask_table(cells, policy, with_stats=with_stats)
-    back = {v: k for k, v in hidden.items()}
-    masked = masked.select(
-        *[F.col(f"{c}.{back[c]}").alias(back[c]) if c in back else F.col(c) for c in masked.columns]
-    )
+    """Mask the cells of a CSV table by column; removed columns keep their place with empty cells.
+
+    ``keep`` columns, such as the source file, pass untouched.
+    """
+    masked = mask_table(df, policy, with_stats=with_stats, keep=keep)
     if not mask_header:
         return masked
     names = [c for c in df.columns if c not in keep]

@@ -79,14 +79,13 @@ def read_csv_strings(
         .option("sep", delimiter)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
         .option("inferSchema", False)
     )
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     rows = reader.csv(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("source")) if with_source else rows
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns]
+    return rows.select(*cells, F.col("_metadata.file_path").alias("source")) if with_source else rows.select(*cells)
 
 
 def read_json_docs(
@@ -165,20 +164,18 @@ def decode_content(files: DataFrame, content: str = "content") -> DataFrame:
     return known.select(*others, "encoding", text.alias("text"))
 
 
-def ingest_errors(spark: SparkSession, path: str, kind: str = "json", lines: bool = False) -> DataFrame:
-    """``(source, message)`` of the JSON or XML files that do not parse; the good ones are not listed."""
+def ingest_errors(
+    spark: SparkSession, path: str, kind: str = "json", lines: bool = False, suffix: str | None = None
+) -> DataFrame:
+    """``(source, records, message)`` of the JSON or XML files that do not parse; the good ones are not listed."""
+    if kind not in ("json", "xml"):
+        raise ValueError("kind has to be 'json' or 'xml'")
+    docs = read_text_docs(spark, path, suffix or f".{kind}", whole=not lines)
     if kind == "json":
-        docs = read_text_docs(spark, path, ".json", whole=not lines)
         bad = F.try_parse_json("text").isNull()
-    elif kind == "xml":
-        docs = read_text_docs(spark, path, ".xml")
+    else:
         parsed = F.from_xml("text", "_corrupt_record string", {"mode": "PERMISSIVE"})
         bad = parsed["_corrupt_record"].isNotNull() | parsed.isNull()
-    else:
-        raise ValueError("kind has to be 'json' or 'xml'")
-    return (
-        docs.where(bad & (F.length("text") > 0))
-        .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("source", F.concat(F.lit(f"ValueError: malformed {kind}, records: "), F.col("n")).alias("message"))
-    )
+    failed = docs.where(bad & (F.length("text") > 0)).groupBy("source").agg(F.count(F.lit(1)).alias("records"))
+    what = F.concat(F.lit(f"ValueError: malformed {kind}, records: "), F.col("records").cast("string"))
+    return failed.select("source", "records", what.alias("message"))

@@ -15,8 +15,13 @@ def write_masked(
         raise ValueError(f"unsupported format {fmt!r}; supported: {', '.join(FORMATS)}")
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")
     if fmt == "csv":
-        writer.option("header", True).option("sep", delimiter).option("escape", '"').option(
-            "emptyValue", ""
+        writer.options(
+            header=True,
+            sep=delimiter,
+            escape='"',
+            emptyValue="",
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
         ).csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).json(path)

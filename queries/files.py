@@ -1,2 +1,340 @@
-QUERIES = {}
-ORACLES = {}
+"""Files: formats written from the tables, read back, masked; encodings; streams.
+
+Files go to a new folder below the shared one of the session (see ``shared_folder``).
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.operators import mapping as m
+from cloakframe.operators import reports
+from cloakframe.operators.fields import mask_nested
+from cloakframe.plans.policy import FieldRule, Policy
+from cloakframe.session import shared_folder
+from cloakframe.sources import formats, readers, sinks
+from cloakframe.streaming import streams
+from queries.sqlkit import (
+    DETECTORS,
+    PASSPHRASE,
+    SECRET,
+    K,
+    counts_text,
+    num,
+    resolved_ctes,
+    stats_sql,
+    table,
+    token_sql,
+)
+from queries.tables import POLICY, people
+
+_PLAIN = Policy.default(SECRET)
+
+# -- line formats --------------------------------------------------------------------------------
+
+_MAIL = "'u' || cast(user_id as string) || '@mail.ru'"
+_HOST = "'10.0.' || cast(user_id % 256 as string) || '.1'"
+_STAMP = "'2024-01-' || lpad(cast(1 + event_id % 28 as string), 2, '0')"
+_LINES = {
+    0: f"{_STAMP} || ' 10:23:45,123 INFO auth - login ' || {_MAIL}",
+    1: f"{_STAMP} || 'T10:23:45.123Z [ERROR] ' || {_MAIL} || ': failed from ' || {_HOST}",
+    2: f"'[' || lpad(cast(1 + event_id % 28 as string), 2, '0') || '/Jan/2024:10:23:45 +0000] ' || {_HOST} || ' GET /'",
+    3: f"'{{10:23:45.123-0,PROC,' || cast(event_id as string) || '}}' || {_MAIL}",
+    4: f"'    at com.example.Service(' || {_MAIL} || ')'",
+    5: f"'Caused by: ' || {_MAIL}",
+    6: f"'plain line with ' || {_MAIL} || ' and ' || {_HOST}",
+    7: "'{10:23:45.123-0,PROC,' || cast(event_id as string) || '}'",
+}
+_LINE_EXPR = "CASE event_id % 8 " + " ".join(f"WHEN {k} THEN {e}" for k, e in _LINES.items()) + " END"
+_M, _H = token_sql(_MAIL, "EMAIL"), token_sql(_HOST, "IP")
+_MASKED = {
+    0: _LINES[0].replace(_MAIL, _M),
+    1: _LINES[1].replace(_MAIL, _M).replace(_HOST, _H),
+    2: _LINES[2].replace(_HOST, _H),
+    3: _LINES[3].replace(_MAIL, _M),
+    6: _LINES[6].replace(_MAIL, _M).replace(_HOST, _H),
+}
+_MASKED_LINE = "CASE event_id % 8 " + " ".join(f"WHEN {k} THEN {_MASKED.get(k, e)}" for k, e in _LINES.items()) + " END"
+
+
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.expr(_LINE_EXPR).alias("line"))
+
+
+def _mask_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files, written, read as lines and masked."""
+    path = shared_folder(spark, "log")
+    _log_lines(spark, sf_dir).select("line").write.text(path)
+    lines = readers.read_text_docs(spark, path, suffix=".txt", whole=False).withColumnRenamed("text", "line")
+    masked = formats.mask_log(lines, _PLAIN).withColumn("detector_counts", counts_text())
+    return masked.groupBy("line", "matches_applied", "detector_counts").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _log_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _log_lines(spark, sf_dir)
+    parts = formats.split_log_line(F.col("line"))
+    return lines.select("event_id", formats.log_line_class(F.col("line")).alias("line_class"), parts["message"].alias("message"))
+
+
+# The optional logger part of a prefix swallows a leading word and its colon.
+_SWALLOWED = "'2024-01-15 10:23:45 10.0.0.' || cast(event_id % 256 as string) || ' : from 10.1.1.1'"
+
+
+def _log_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "events").select("event_id", F.expr(_SWALLOWED).alias("line"))
+    loose = formats.mask_log(lines, _PLAIN).select("event_id", F.col("line").alias("by_prefix"))
+    strict = formats.mask_log(lines, _PLAIN, strict=True).select("event_id", F.col("line").alias("whole_line"))
+    return loose.join(strict, "event_id")
+
+
+_ORDER_MAIL = "'u' || cast(o_custkey as string) || '@mail.ru'"
+_SQL_EXPR = (
+    f"'INSERT INTO t VALUES (' || cast(o_orderkey as string) || ', ''' || {_ORDER_MAIL} || ''', ''it''''s 10.0.0.1'', ' || "
+    f"{_ORDER_MAIL} || ', 7707083893, ''''); -- ' || {_ORDER_MAIL} || CASE WHEN o_orderkey % 3 = 0 THEN ' ''open ' || {_ORDER_MAIL} ELSE '' END"
+)
+
+
+def _mask_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL dump, written, read as lines and masked inside its literals."""
+    path = shared_folder(spark, "sql")
+    table(spark, sf_dir, "orders").select(F.expr(_SQL_EXPR).alias("line")).write.text(path)
+    lines = readers.read_sql_dump(spark, path, suffix=".txt")
+    masked = formats.mask_sql_dump(lines.select("line"), _PLAIN)
+    return masked.withColumn("detector_counts", counts_text())
+
+
+# -- whole files, tables, documents ----------------------------------------------------------------
+
+
+def _mask_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of many lines, read whole; one file report over all of them."""
+    path = shared_folder(spark, "docs")
+    table(spark, sf_dir, "customer").select(
+        F.expr(f"'mail u' || cast({K} as string) || '@mail.ru' || chr(10) || 'id' || chr(10) || 'A' || {num(K, 6)}").alias("text"),
+        "c_mktsegment",
+    ).write.partitionBy("c_mktsegment").text(path)
+    docs = readers.read_text_docs(spark, path, whole=True)
+    masked = formats.mask_text_docs(docs, _PLAIN)
+    folder = F.regexp_extract("source", "c_mktsegment=([^/]*)", 1).alias("segment")
+    return reports.file_report(masked.select("*", folder), "segment", _PLAIN.detector_names()).select(
+        "segment", "matches_found", "matches_applied", counts_text()
+    )
+
+
+def _mask_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV written, read as strings, masked, written again and read back."""
+    source, target = shared_folder(spark, "csv"), shared_folder(spark, "csv-masked")
+    rows = people(spark, sf_dir).withColumn("comment", F.concat("comment", F.lit('; "quoted", more\nnext line')))
+    sinks.write_masked(rows, source, "csv", delimiter=";")
+    masked = formats.mask_csv(readers.read_csv_strings(spark, source, delimiter=";"), POLICY)
+    sinks.write_masked(masked, target, "csv", overwrite=True)
+    return readers.read_csv_strings(spark, target).drop("c_acctbal")
+
+
+def _csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header holding an address, masked like a cell."""
+    path = shared_folder(spark, "csv-header")
+    rows = table(spark, sf_dir, "customer").select(K, F.col("c_name").alias("name of u1@mail.ru"))
+    sinks.write_masked(rows, path, "csv")
+    return formats.mask_csv(readers.read_csv_strings(spark, path), _PLAIN, mask_header=True)
+
+
+def _mask_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents written one per line, masked by a given schema."""
+    path = shared_folder(spark, "json")
+    docs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.struct(F.expr(_ORDER_MAIL).alias("email"), F.lit("p").alias("password")).alias("user"),
+        F.expr(f"array({_ORDER_MAIL})").alias("emails"),
+        F.col("o_totalprice").alias("price"),
+    )
+    sinks.write_masked(docs, path, "json")
+    schema = "id bigint, user struct<email:string,password:string>, emails array<string>, price double"
+    masked = mask_nested(readers.read_json_docs(spark, path, schema, lines=True), POLICY)
+    return masked.select("id", F.to_json("user").alias("user_json"), F.to_json("emails").alias("emails_json"), "price")
+
+
+def _mask_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML rows with attributes and text, masked by attribute and element names."""
+    path = shared_folder(spark, "xml")
+    rows = people(spark, sf_dir).select(
+        F.col(K).alias("_id"),
+        F.struct(F.col("contact").alias("_mail"), F.lit("a").alias("_password"), F.col("comment").alias("_VALUE")).alias("note"),
+        F.lit("secret").alias("password"),
+        F.lit("t").alias("token"),
+    )
+    sinks.write_masked(rows, path, "xml", row_tag="person")
+    schema = "_id string, note struct<_VALUE:string,_mail:string,_password:string>, password string, token string"
+    masked = formats.mask_xml(readers.read_xml_rows(spark, path, "person", schema), POLICY)
+    return masked.select(
+        F.col("_id").cast("bigint").alias("id"), F.to_json("note").alias("note_json"), "password", "token"
+    )
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "tree")
+    table(spark, sf_dir, "customer").select("c_mktsegment", "c_name").write.partitionBy("c_mktsegment").option(
+        "header", True
+    ).csv(path)
+    files = readers.scan_directory(spark, path)
+    return files.select(F.regexp_extract("relative_path", "^[^/]*", 0).alias("folder"), "suffix").distinct()
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of which one in ten is cut off; the folders play the files."""
+    path = shared_folder(spark, "broken")
+    text = "'{\"id\":' || cast(o_orderkey as string) || CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE '}' END"
+    lines = table(spark, sf_dir, "orders").select(F.expr(text).alias("value"), "o_orderstatus")
+    lines.write.partitionBy("o_orderstatus").text(path)
+    bad = readers.ingest_errors(spark, path, "json", lines=True, suffix=".txt")
+    return bad.groupBy(F.regexp_extract("source", "o_orderstatus=([^/]*)", 1).alias("status")).agg(
+        F.sum("records").alias("n_bad"), F.min(F.substring_index("message", ",", 1)).alias("message")
+    )
+
+
+def _decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of three encodings, recognised and decoded."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    text = F.expr(f"'Иван Шевцов admin' || cast({K} as string) || '@example.com'")
+    content = (
+        F.when(F.col(K) % 3 == 0, F.encode(text, "UTF-8"))
+        .when(F.col(K) % 3 == 1, F.encode(text, "windows-1251"))
+        .otherwise(F.encode(text, "IBM866"))
+    )
+    return readers.decode_content(table(spark, sf_dir, "customer").select(K, content.alias("content")))
+
+
+# -- reports as files --------------------------------------------------------------------------------
+
+
+def _report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File report and audit trail, written as JSON and read back."""
+    path, trail = shared_folder(spark, "report"), shared_folder(spark, "audit")
+    stats = formats.mask_text_docs(table(spark, sf_dir, "pages").select(F.col("url").alias("source"), F.col("html").alias("text")), _PLAIN)
+    files = reports.file_report(stats, "source", _PLAIN.detector_names())
+    sinks.write_report(files.withColumn("detector_counts", counts_text()), path)
+    written = spark.read.schema("source string, success boolean, matches_found bigint, matches_applied bigint").json(path)
+    sinks.append_audit(reports.audit_events(files, "source"), trail)
+    events = spark.read.schema("source string, event_type string").json(trail).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_events")
+    )
+    return written.join(events, "source").select("source", "success", "matches_found", "matches_applied", "n_events")
+
+
+# -- streams -----------------------------------------------------------------------------------------
+
+_EVENT_TEXT = f"'user ' || {_MAIL} || ' at ' || {_HOST}"
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.select("event_id", F.expr(_EVENT_TEXT).alias("text"))
+
+
+def _mask_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, marks = shared_folder(spark, "stream"), shared_folder(spark, "stream-marks")
+    masked = streams.mask_stream(_stream(spark, sf_dir), Policy.only(SECRET, "email", "ip_address"))
+    streams.write_stream(masked, out, marks).awaitTermination()
+    return spark.read.parquet(out).withColumn("detector_counts", counts_text())
+
+
+def _mapping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, marks = shared_folder(spark, "mapping"), shared_folder(spark, "mapping-marks")
+    policy = Policy.only(SECRET, "email", "ip_address")
+    streams.mapping_stream(_stream(spark, sf_dir), policy, out, PASSPHRASE, marks).awaitTermination()
+    return m.load_mapping(spark, out, PASSPHRASE)
+
+
+def _cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, marks = shared_folder(spark, "cache"), shared_folder(spark, "cache-marks")
+    policy = Policy.only(SECRET, "email", "ip_address")
+    streams.token_cache_stream(_stream(spark, sf_dir), policy, out, "event_id", marks).awaitTermination()
+    return m.load_token_cache(spark, out).select("token")
+
+
+QUERIES = {
+    "mask_log": _mask_log,
+    "log_line_class": _log_class,
+    "mask_log_strict": _log_strict,
+    "mask_sql_dump": _mask_sql,
+    "mask_text_docs": _mask_docs,
+    "mask_csv": _mask_csv,
+    "mask_csv_header": _csv_header,
+    "mask_json_files": _mask_json,
+    "mask_xml": _mask_xml,
+    "scan_directory": _scan,
+    "ingest_errors": _errors,
+    "decode_text_files": _decode,
+    "write_report": _report_files,
+    "mask_stream": _mask_stream,
+    "mapping_stream": _mapping_stream,
+    "token_cache_stream": _cache_stream,
+}
+
+_APPLIED = "CASE event_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 6 THEN 2 ELSE 0 END"
+_COUNTS = (
+    "CASE event_id % 8 WHEN 0 THEN 'email:1' WHEN 1 THEN 'email:1,ip_address:1' WHEN 2 THEN 'ip_address:1' "
+    "WHEN 3 THEN 'email:1' WHEN 6 THEN 'email:1,ip_address:1' ELSE '' END"
+)
+_HEADER_TOKEN = "EMAIL_" + hmac.new(SECRET.encode(), b"u1@mail.ru", hashlib.sha256).hexdigest()[:24]
+_OM = token_sql(_ORDER_MAIL, "EMAIL")
+_PEOPLE_MAIL = token_sql(f"'u' || {K} || '@mail.ru'", "EMAIL")
+_PEOPLE_HOST = token_sql(f"'10.0.0.' || ({K} % 256)", "IP")
+_STREAM_MAIL, _STREAM_HOST = token_sql(_MAIL, "EMAIL"), token_sql(_HOST, "IP")
+ORACLES = {
+    "mask_log": f"""
+SELECT line, matches_applied, detector_counts, count(*) AS n
+FROM (SELECT {_MASKED_LINE} AS line, {_APPLIED} AS matches_applied, {_COUNTS} AS detector_counts FROM events) GROUP BY ALL""",
+    "log_line_class": f"""
+SELECT event_id, CASE event_id % 8 WHEN 4 THEN 'trace' WHEN 5 THEN 'trace' WHEN 6 THEN 'plain' ELSE 'prefixed' END AS line_class,
+  CASE event_id % 8 WHEN 0 THEN 'login ' || {_MAIL} WHEN 1 THEN {_MAIL} || ': failed from ' || {_HOST} WHEN 2 THEN {_HOST} || ' GET /'
+    WHEN 3 THEN {_MAIL} WHEN 6 THEN {_LINES[6]} WHEN 7 THEN '' END AS message FROM events""",
+    "mask_log_strict": f"""
+SELECT event_id, '2024-01-15 10:23:45 10.0.0.' || (event_id % 256) || ' : from ' || {token_sql("'10.1.1.1'", 'IP')} AS by_prefix,
+  '2024-01-15 10:23:45 ' || {token_sql("'10.0.0.' || (event_id % 256)", 'IP')} || ' : from ' || {token_sql("'10.1.1.1'", 'IP')} AS whole_line
+FROM events""",
+    "mask_sql_dump": f"""
+SELECT 'INSERT INTO t VALUES (' || o_orderkey || ', ''' || {_OM} || ''', ''it''''s ' || {token_sql("'10.0.0.1'", 'IP')} || ''', ' || {_ORDER_MAIL}
+  || ', 7707083893, ''''); -- ' || {_ORDER_MAIL} || CASE WHEN o_orderkey % 3 = 0 THEN ' ''open ' || {_ORDER_MAIL} ELSE '' END AS line,
+  2 AS matches_found, 2 AS matches_applied, 0 AS matches_skipped, 'email:1,ip_address:1' AS detector_counts FROM orders""",
+    "mask_text_docs": """
+SELECT c_mktsegment AS segment, 2 * count(*) AS matches_found, 2 * count(*) AS matches_applied,
+  'document_code:' || count(*) || ',email:' || count(*) AS detector_counts FROM customer GROUP BY c_mktsegment""",
+    "mask_csv": f"""
+SELECT CAST({K} AS VARCHAR) AS {K}, {_PEOPLE_MAIL} AS contact,
+  'call ' || {_PEOPLE_MAIL} || ' from ' || {_PEOPLE_HOST} || '; "quoted", more' || chr(10) || 'next line' AS comment, '' AS "Password",
+  '[hidden]' AS token, '' AS empty_token, CASE WHEN {K} % 2 = 0 THEN '=' ELSE '' END || 'A1 & ' || {_PEOPLE_HOST} AS formula FROM customer""",
+    # The number in a customer's name has the shape of a bank code.
+    "mask_csv_header": f"""
+SELECT CAST({K} AS VARCHAR) AS {K}, 'Customer#' || {token_sql('substr(c_name, 10)', 'BIK')} AS "name of {_HEADER_TOKEN}" FROM customer""",
+    "mask_json_files": f"""
+SELECT o_orderkey AS id, '{{"email":"' || {_OM} || '"}}' AS user_json, '["' || {_OM} || '"]' AS emails_json, o_totalprice AS price FROM orders""",
+    "mask_xml": f"""
+SELECT {K} AS id, '{{"_VALUE":"call ' || {_PEOPLE_MAIL} || ' from ' || {_PEOPLE_HOST} || '","_mail":"' || {_PEOPLE_MAIL} || '"}}' AS note_json,
+  '' AS password, '[hidden]' AS token FROM customer""",
+    "scan_directory": "SELECT DISTINCT 'c_mktsegment=' || c_mktsegment AS folder, '.csv' AS suffix FROM customer",
+    "ingest_errors": """
+SELECT o_orderstatus AS status, count(*) AS n_bad, 'ValueError: malformed json' AS message FROM orders WHERE o_orderkey % 10 = 0
+GROUP BY o_orderstatus""",
+    "decode_text_files": f"""
+SELECT {K}, 'Иван Шевцов admin' || {K} || '@example.com' AS text,
+  CASE {K} % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1251' ELSE 'cp866' END AS encoding FROM customer""",
+    "write_report": f"""
+WITH {resolved_ctes("SELECT page_id AS key, html AS text FROM pages", *DETECTORS)}, stats AS ({stats_sql()})
+SELECT p.url AS source, true AS success, CAST(sum(s.matches_found) AS BIGINT) AS matches_found,
+  CAST(sum(s.matches_applied) AS BIGINT) AS matches_applied, 2 AS n_events
+FROM stats s JOIN pages p ON p.page_id = s.key GROUP BY p.url""",
+    "mask_stream": f"""
+SELECT event_id, 'user ' || {_STREAM_MAIL} || ' at ' || {_STREAM_HOST} AS text, 2 AS matches_found, 2 AS matches_applied, 0 AS matches_skipped,
+  'email:1,ip_address:1' AS detector_counts FROM events""",
+    "mapping_stream": f"""
+SELECT DISTINCT {_STREAM_MAIL} AS token, {_MAIL} AS value FROM events
+UNION SELECT DISTINCT {_STREAM_HOST}, {_HOST} FROM events""",
+    "token_cache_stream": f"""
+SELECT DISTINCT {_STREAM_MAIL} AS token FROM events UNION SELECT DISTINCT {_STREAM_HOST} FROM events""",
+}

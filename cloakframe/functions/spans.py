@@ -4,6 +4,9 @@ A span is ``struct<start, end, detector, priority, ord, value>`` with half-open
 offsets; ``ord`` is the place of its detector in the policy. All functions here map Columns to
 Columns, so they work on a table column, a struct field or an array element alike, and the whole
 text of a row is handled inside its row: nothing is shuffled.
+
+Whatever a lambda uses more than once is bound with ``let`` first: a column that is named inside a
+lambda may be inlined there by the optimizer, and would then be computed once per element.
 """
 
 from __future__ import annotations
@@ -21,6 +24,11 @@ SPAN_TYPE = (
     "struct<start:int,end:int,detector:string,priority:int,ord:int,value:string>"
 )
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
+KEY_TAIL = r"\A *="
+
+# Cutting a piece out of a string walks it from its start; beyond this many pieces the text is
+# taken apart into characters once instead.
+MANY_SPANS = 64
 
 
 def no_spans() -> Column:
@@ -55,46 +63,60 @@ def _detector_table(detectors: Sequence[tuple[int, Detector]]) -> Column:
 
 
 def _placed(text: Column, detector: Column, found: Column) -> Column:
-    """Offsets of the matches ``found``: running length of the gaps and matches before each."""
+    """Offsets of the matches ``found``, those in key position dropped.
+
+    The gaps around the matches give the running offsets and the characters after each match, so
+    the text is cut once, however many matches it has.
+    """
     gaps = F.split(text, detector["pattern"], -1)
     values = F.when(detector["group"] == 0, found).otherwise(
         F.regexp_extract_all(text, detector["pattern"], detector["group"])
     )
-    pairs = let(
-        gaps,
-        lambda g: let(
-            values,
-            lambda v: F.transform(
-                found,
-                lambda match, i: F.struct(
-                    (F.length(F.get(g, i)) + F.length(match)).alias("ahead"), F.get(v, i).alias("value")
-                ),
+
+    def match_rows(g: Column, v: Column) -> Column:
+        def after(i: Column) -> Column:
+            # A match has at least one character, so four gaps and matches hold the next four.
+            parts = [part for n in range(1, 5) for part in (F.get(g, i + n), F.get(found, i + n))]
+            return F.concat(*[F.coalesce(part, F.lit("")) for part in parts])
+
+        return F.transform(
+            found,
+            lambda match, i: F.struct(
+                (F.length(F.get(g, i)) + F.length(match)).alias("ahead"),
+                F.get(v, i).alias("value"),
+                matches(F.substring(after(i), 1, 4), KEY_TAIL).alias("is_key"),
             ),
-        ),
-    )
+        )
+
+    rows = let(gaps, lambda g: let(values, lambda v: match_rows(g, v)))
 
     def step(state: Column, match: Column) -> Column:
         end = state["at"] + match["ahead"]
         placed = span(
             end - F.length(match["value"]), end, detector["name"], detector["priority"], detector["ord"], match["value"]
         )
-        return F.struct(F.concat(state["done"], F.array(placed)).alias("done"), end.alias("at"))
+        return F.struct(
+            F.when(match["is_key"], state["done"])
+            .otherwise(F.concat(state["done"], F.array(placed)))
+            .alias("done"),
+            end.alias("at"),
+        )
 
     start = F.struct(no_spans().alias("done"), F.lit(0).alias("at"))
-    return F.aggregate(pairs, start, step, lambda state: state["done"])
+    return F.aggregate(rows, start, step, lambda state: state["done"])
 
 
 def _own_spans(text: Column, detector: Detector, ord_: int) -> Column:
-    """Spans of a detector that is a function from text to ``array<struct<start,end,value>>``."""
+    """Spans of a detector that is a function from text to ``array<struct<start,end,value>>``, keys dropped."""
     own = F.transform(
         detector.spans(text),
         lambda s: span(s["start"], s["end"], F.lit(detector.name), F.lit(detector.priority), F.lit(ord_), s["value"]),
     )
-    return F.coalesce(own, no_spans())
+    return drop_key_positions(text, F.coalesce(own, no_spans()))
 
 
 def _candidates(text: Column, detectors: Sequence[tuple[int, Detector]]) -> Column:
-    """Spans of all detectors, in their order, before validation."""
+    """Spans of all detectors, in their order, keys dropped, before validation."""
     by_pattern = [(o, d) for o, d in detectors if d.spans is None]
     lists = [_own_spans(text, d, o) for o, d in detectors if d.spans is not None]
     if by_pattern:
@@ -135,11 +157,7 @@ def detect_spans(text: Column, detector: Detector, ord_: int = 1) -> Column:
 
 def drop_key_positions(text: Column, spans: Column) -> Column:
     """Drop spans that are a key: followed by ``=`` within four characters, blanks between."""
-    return F.filter(spans, lambda s: ~_is_key(text, s))
-
-
-def _is_key(text: Column, s: Column) -> Column:
-    return matches(text.substr(s["end"] + 1, F.lit(4)), "^ *=")
+    return F.filter(spans, lambda s: ~matches(text.substr(s["end"] + 1, F.lit(4)), KEY_TAIL))
 
 
 def collect_spans(
@@ -148,19 +166,19 @@ def collect_spans(
     extra: Column | None = None,
 ) -> Column:
     """Valid spans of all detectors in policy order, keys dropped; ``extra`` spans come first."""
-    parts = [] if extra is None else [F.coalesce(extra, no_spans())]
-    if detectors:
-        parts.append(_candidates(text, list(enumerate(detectors, start=1))))
-    if not parts:
-        return no_spans()
 
-    def usable(s: Column) -> Column:
-        valid = _is_valid(detectors, s)
-        return ~_is_key(text, s) if valid is None else valid & ~_is_key(text, s)
+    def gather(body: Column) -> Column:
+        parts = [] if extra is None else [drop_key_positions(body, F.coalesce(extra, no_spans()))]
+        if detectors:
+            parts.append(_candidates(body, list(enumerate(detectors, start=1))))
+        if not parts:
+            return no_spans()
+        every = F.concat(*parts) if len(parts) > 1 else parts[0]
+        if any(d.validator is not None for d in detectors):
+            every = F.filter(every, lambda s: _is_valid(detectors, s))
+        return F.when(body.isNotNull(), every).otherwise(no_spans())
 
-    every = F.concat(*parts) if len(parts) > 1 else parts[0]
-    found = let(every, lambda e: F.when(F.size(e) > 0, F.filter(e, usable)).otherwise(e))
-    return F.when(text.isNotNull(), found).otherwise(no_spans())
+    return let(text, gather)
 
 
 def _accept_greedily(spans: Column) -> Column:
@@ -227,46 +245,84 @@ def resolve_overlaps(spans: Column) -> Column:
         flags = F.transform(ordered, lambda s, i: F.when(i > 0, s["start"] < reach(i)).otherwise(F.lit(False)))
         return F.exists(flags, lambda f: f)
 
-    return F.when(F.size(spans) < 2, spans).otherwise(
-        let(
-            F.array_sort(spans),
-            lambda ordered: F.when(touching(ordered), by_group(ordered)).otherwise(ordered),
-        )
+    return let(
+        F.array_sort(spans),
+        lambda ordered: F.when((F.size(ordered) > 1) & touching(ordered), by_group(ordered)).otherwise(ordered),
     )
 
 
 def replace_spans(text: Column, resolved: Column, replacement: Callable[[Column], Column]) -> Column:
     """Rebuild the text with every (non-overlapping, ordered) span replaced."""
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(resolved, i - 1)["end"]).otherwise(F.lit(0))
+    def rebuilt(spans: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
+            return F.concat(cut(before, s["start"]), replacement(s))
+
+        last = F.get(spans, F.size(spans) - 1)["end"]
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(last, F.length(text)))
+
+    def from_characters(spans: Column) -> Column:
         return let(
-            before,
-            lambda b: F.concat(text.substr(b + 1, s["start"] - b), replacement(s)),
+            F.split(text, ""),
+            lambda chars: rebuilt(spans, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")),
         )
 
-    last = F.get(resolved, F.size(resolved) - 1)["end"]
-    rebuilt = F.concat(
-        F.array_join(F.transform(resolved, piece), ""),
-        text.substr(last + 1, F.length(text)),
+    return let(
+        resolved,
+        lambda spans: F.when(F.size(spans) == 0, text)
+        .when(F.size(spans) <= MANY_SPANS, rebuilt(spans, lambda a, b: text.substr(a + 1, b - a)))
+        .otherwise(from_characters(spans)),
     )
-    return F.when(F.size(resolved) > 0, rebuilt).otherwise(text)
 
 
 def count_by_detector(spans: Column) -> Column:
     """Map of detector name to number of spans."""
-    names = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["detector"])))
 
-    def counted(found: Column) -> Column:
-        return F.map_from_arrays(
-            found,
-            F.transform(
+    def counted(names: Column) -> Column:
+        distinct = F.array_sort(F.array_distinct(names))
+        return let(
+            distinct,
+            lambda found: F.map_from_arrays(
                 found,
-                lambda name: F.size(F.filter(spans, lambda s: s["detector"] == name)).cast("bigint"),
+                F.transform(
+                    found, lambda name: F.size(F.filter(names, lambda n: n == name)).cast("bigint")
+                ),
+            ),
+        )
+
+    return let(F.transform(spans, lambda s: s["detector"]), counted)
+
+
+def mark_applied(found: Column, kept: Column) -> Column:
+    """The found spans with a flag ``applied``: is the span one of the kept ones."""
+
+    def marked(lost: Column) -> Column:
+        return F.transform(
+            found,
+            lambda s: F.struct(
+                s["detector"].alias("detector"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["value"].alias("value"),
+                (~F.array_contains(lost, _place(s))).alias("applied"),
             ),
         )
 
-    empty = F.map_from_arrays(
-        F.array().cast("array<string>"), F.array().cast("array<bigint>")
+    return let(_lost_places(found, kept), marked)
+
+
+def lost_spans(found: Column, kept: Column) -> Column:
+    """The found spans that are not kept."""
+    return let(
+        _lost_places(found, kept), lambda lost: F.filter(found, lambda s: F.array_contains(lost, _place(s)))
     )
-    return F.when(F.size(spans) > 0, let(names, counted)).otherwise(empty)
+
+
+def _place(s: Column) -> Column:
+    """What tells the spans of one text apart, as text."""
+    return F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["detector"])
+
+
+def _lost_places(found: Column, kept: Column) -> Column:
+    return F.array_except(F.transform(found, _place), F.transform(kept, _place))

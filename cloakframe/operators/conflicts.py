@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.binding import let
+from cloakframe.functions.spans import lost_spans
 from cloakframe.plans.masking import with_spans
 from cloakframe.plans.policy import Policy
 
@@ -15,17 +17,20 @@ def overlap_conflicts(df: DataFrame, policy: Policy, keys: list[str], text: str
     The applied spans of a text do not overlap each other, so a skipped span meets at most as many
     of them as it has characters; the pairs are formed inside the row of their text.
     """
-    lost = F.filter(F.col("_found"), lambda s: ~F.array_contains(F.col("_kept"), s))
-    staged = with_spans(df, policy, text).withColumn("_lost", lost)
-    pairs = F.flatten(
-        F.transform(
-            F.col("_lost"),
-            lambda s: F.transform(
-                F.filter(F.col("_kept"), lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])),
-                lambda k: F.struct(s.alias("lost"), k.alias("kept")),
-            ),
+    staged = with_spans(df, policy, text).withColumn("_lost", lost_spans(F.col("_found"), F.col("_kept")))
+
+    def met_by(kept: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.col("_lost"),
+                lambda s: F.transform(
+                    F.filter(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])),
+                    lambda k: F.struct(s.alias("lost"), k.alias("kept")),
+                ),
+            )
         )
-    )
+
+    pairs = let(F.col("_kept"), met_by)
     rows = staged.select(*keys, F.explode_outer(pairs).alias("p")).where(F.col("p.lost.detector").isNotNull())
     return rows.select(
         *keys,
@@ -40,8 +45,7 @@ def overlap_conflicts(df: DataFrame, policy: Policy, keys: list[str], text: str
 
 def skipped_findings(df: DataFrame, policy: Policy, keys: list[str], text: str = "text") -> DataFrame:
     """Spans found but not applied."""
-    lost = F.filter(F.col("_found"), lambda s: ~F.array_contains(F.col("_kept"), s))
-    staged = with_spans(df, policy, text).withColumn("_lost", lost)
+    staged = with_spans(df, policy, text).withColumn("_lost", lost_spans(F.col("_found"), F.col("_kept")))
     rows = staged.select(*keys, F.explode_outer("_lost").alias("s")).where(F.col("s.detector").isNotNull())
     return rows.select(
         *keys,

@@ -10,7 +10,13 @@ from pyspark.sql import types as T
 
 from cloakframe.functions.labels import SENSITIVE_FIELDS
 from cloakframe.functions.maskers import REDACTED
-from cloakframe.functions.spans import collect_spans, count_by_detector, replace_spans, resolve_overlaps
+from cloakframe.functions.spans import (
+    collect_spans,
+    count_by_detector,
+    mark_applied,
+    replace_spans,
+    resolve_overlaps,
+)
 from cloakframe.plans.masking import STAT_COLUMNS, explode_spans, mask_text
 from cloakframe.plans.policy import FieldRule, Policy
 
@@ -285,16 +291,7 @@ def nested_findings(df: DataFrame, policy: Policy, keys: list[str], with_value:
     staged = texts.withColumn("_found", collect_spans(F.col("_text"), policy.detectors())).withColumn(
         "_kept", resolve_overlaps(F.col("_found"))
     )
-    marked = F.transform(
-        F.col("_found"),
-        lambda s: F.struct(
-            s["detector"].alias("detector"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["value"].alias("value"),
-            F.array_contains(F.col("_kept"), s).alias("applied"),
-        ),
-    )
+    marked = mark_applied(F.col("_found"), F.col("_kept"))
     return explode_spans(staged.withColumn("_marked", marked), "_marked", [*keys, "field"], with_value)
 
 

@@ -204,7 +204,8 @@ def demask(
         "_known", F.coalesce("_known", F.create_map().cast("map<string,string>"))
     )
     for i, c in enumerate(texts):
-        joined = joined.withColumn(f"_r{i}", _restore(live(c), F.col("_known"), prefixes, length))
+        restored = let(live(c), lambda t: let(F.col("_known"), lambda k: _restore(t, k, prefixes, length)))
+        joined = joined.withColumn(f"_r{i}", restored)
     place = {c: i for i, c in enumerate(texts)}
     out = []
     for c in df.columns:

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.binding import let
-from cloakframe.functions.spans import collect_spans, count_by_detector, replace_spans, resolve_overlaps
+from cloakframe.functions.spans import (
+    collect_spans,
+    count_by_detector,
+    mark_applied,
+    replace_spans,
+    resolve_overlaps,
+)
 from cloakframe.plans.policy import Policy
 
 STAT_COLUMNS = ("matches_found", "matches_applied", "matches_skipped", "detector_counts")
@@ -15,24 +21,14 @@ STAT_COLUMNS = ("matches_found", "matches_applied", "matches_skipped", "detector
 def mask_text(text: Column, policy: Policy) -> Column:
     """Masked text as one Column; usable inside arrays, maps and structs."""
     return let(
-        resolve_overlaps(collect_spans(text, policy.detectors())),
-        lambda spans: replace_spans(text, spans, policy.replacement),
+        text,
+        lambda body: let(
+            resolve_overlaps(collect_spans(body, policy.detectors())),
+            lambda spans: replace_spans(body, spans, policy.replacement),
+        ),
     )
 
 
-def analysis_of(text: Column, policy: Policy) -> Column:
-    """Counts of one text as ``struct<matches_found, matches_applied, matches_skipped, detector_counts>``."""
-
-    def counted(found: Column) -> Column:
-        return let(resolve_overlaps(found), lambda kept: _stats(found, kept))
-
-    return let(collect_spans(text, policy.detectors()), counted)
-
-
-def _stats(found: Column, kept: Column) -> Column:
-    return F.struct(*_stat_columns(found, kept))
-
-
 def _stat_columns(found: Column, kept: Column) -> list[Column]:
     return [
         F.size(found).cast("bigint").alias("matches_found"),
@@ -107,15 +103,6 @@ def findings(
     Original values are left out unless asked for.
     """
     keys = keys if keys is not None else [c for c in df.columns if c not in (text, extra)]
-    marked = F.transform(
-        F.col("_found"),
-        lambda s: F.struct(
-            s["detector"].alias("detector"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["value"].alias("value"),
-            F.array_contains(F.col("_kept"), s).alias("applied"),
-        ),
-    )
+    marked = mark_applied(F.col("_found"), F.col("_kept"))
     staged = with_spans(df, policy, text, extra=extra).withColumn("_marked", marked)
     return explode_spans(staged, "_marked", keys, with_value)

@@ -115,26 +115,22 @@ def _own_spans(text: Column, detector: Detector, ord_: int) -> Column:
     return drop_key_positions(text, F.coalesce(own, no_spans()))
 
 
-def _candidates(text: Column, detectors: Sequence[tuple[int, Detector]]) -> Column:
-    """Spans of all detectors, in their order, keys dropped, before validation."""
-    by_pattern = [(o, d) for o, d in detectors if d.spans is None]
-    lists = [_own_spans(text, d, o) for o, d in detectors if d.spans is not None]
-    if by_pattern:
-        none = F.array().cast("array<string>")
-        nothing = no_spans()
-
-        def place(runs: Column) -> Column:
-            found = F.array(*[_values_found(text, d, runs, none) for _, d in by_pattern])
-            return F.flatten(
-                F.zip_with(
-                    _detector_table(by_pattern),
-                    found,
-                    lambda d, values: F.when(F.size(values) > 0, _placed(text, d, values)).otherwise(nothing),
-                )
+def _pattern_spans(text: Column, detectors: Sequence[tuple[int, Detector]]) -> Column:
+    """Spans of the detectors with a pattern, in their order, keys dropped, before validation."""
+    none = F.array().cast("array<string>")
+    nothing = no_spans()
+
+    def place(runs: Column) -> Column:
+        found = F.array(*[_values_found(text, d, runs, none) for _, d in detectors])
+        return F.flatten(
+            F.zip_with(
+                _detector_table(detectors),
+                found,
+                lambda d, values: F.when(F.size(values) > 0, _placed(text, d, values)).otherwise(nothing),
             )
+        )
 
-        lists.append(let(numeric_runs(text), place))
-    return F.concat(*lists) if len(lists) > 1 else lists[0]
+    return let(numeric_runs(text), place)
 
 
 def _is_valid(spans_of: Sequence[Detector], s: Column) -> Column | None:
@@ -150,7 +146,10 @@ def _is_valid(spans_of: Sequence[Detector], s: Column) -> Column | None:
 
 def detect_spans(text: Column, detector: Detector, ord_: int = 1) -> Column:
     """All valid spans of one detector, left to right."""
-    found = _candidates(text, [(ord_, detector)])
+    if detector.spans is not None:
+        found = _own_spans(text, detector, ord_)
+    else:
+        found = let(text, lambda body: _pattern_spans(body, [(ord_, detector)]))
     valid = F.filter(found, lambda s: _is_valid([detector], s)) if detector.validator else found
     return F.when(text.isNotNull(), valid).otherwise(no_spans())
 
@@ -167,18 +166,19 @@ def collect_spans(
 ) -> Column:
     """Valid spans of all detectors in policy order, keys dropped; ``extra`` spans come first."""
 
-    def gather(body: Column) -> Column:
-        parts = [] if extra is None else [drop_key_positions(body, F.coalesce(extra, no_spans()))]
-        if detectors:
-            parts.append(_candidates(body, list(enumerate(detectors, start=1))))
-        if not parts:
-            return no_spans()
-        every = F.concat(*parts) if len(parts) > 1 else parts[0]
-        if any(d.validator is not None for d in detectors):
-            every = F.filter(every, lambda s: _is_valid(detectors, s))
-        return F.when(body.isNotNull(), every).otherwise(no_spans())
-
-    return let(text, gather)
+    none = no_spans()
+    # A user's function may be a Python one, which no lambda can hold: it gets the text itself.
+    lists = [drop_key_positions(text, F.coalesce(extra, none))] if extra is not None else []
+    lists += [_own_spans(text, d, o) for o, d in enumerate(detectors, start=1) if d.spans is not None]
+    by_pattern = [(o, d) for o, d in enumerate(detectors, start=1) if d.spans is None]
+    if by_pattern:
+        lists.append(let(text, lambda body: _pattern_spans(body, by_pattern)))
+    if not lists:
+        return none
+    every = F.concat(*lists) if len(lists) > 1 else lists[0]
+    if any(d.validator is not None for d in detectors):
+        every = F.filter(every, lambda s: _is_valid(detectors, s))
+    return F.when(text.isNotNull(), every).otherwise(none)
 
 
 def _accept_greedily(spans: Column) -> Column:
@@ -254,26 +254,28 @@ def resolve_overlaps(spans: Column) -> Column:
 def replace_spans(text: Column, resolved: Column, replacement: Callable[[Column], Column]) -> Column:
     """Rebuild the text with every (non-overlapping, ordered) span replaced."""
 
-    def rebuilt(spans: Column, cut: Callable[[Column, Column], Column]) -> Column:
+    def rebuilt(body: Column, spans: Column, cut: Callable[[Column, Column], Column]) -> Column:
         def piece(s: Column, i: Column) -> Column:
             before = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
             return F.concat(cut(before, s["start"]), replacement(s))
 
         last = F.get(spans, F.size(spans) - 1)["end"]
-        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(last, F.length(text)))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(last, F.length(body)))
 
-    def from_characters(spans: Column) -> Column:
+    def from_characters(body: Column, spans: Column) -> Column:
         return let(
-            F.split(text, ""),
-            lambda chars: rebuilt(spans, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")),
+            F.split(body, ""),
+            lambda chars: rebuilt(body, spans, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")),
         )
 
-    return let(
-        resolved,
-        lambda spans: F.when(F.size(spans) == 0, text)
-        .when(F.size(spans) <= MANY_SPANS, rebuilt(spans, lambda a, b: text.substr(a + 1, b - a)))
-        .otherwise(from_characters(spans)),
-    )
+    def masked(body: Column, spans: Column) -> Column:
+        return (
+            F.when(F.size(spans) == 0, body)
+            .when(F.size(spans) <= MANY_SPANS, rebuilt(body, spans, lambda a, b: body.substr(a + 1, b - a)))
+            .otherwise(from_characters(body, spans))
+        )
+
+    return let(resolved, lambda spans: let(text, lambda body: masked(body, spans)))
 
 
 def count_by_detector(spans: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.binding import let
 from cloakframe.functions.spans import (
     collect_spans,
     count_by_detector,
@@ -20,13 +19,8 @@ STAT_COLUMNS = ("matches_found", "matches_applied", "matches_skipped", "detector
 
 def mask_text(text: Column, policy: Policy) -> Column:
     """Masked text as one Column; usable inside arrays, maps and structs."""
-    return let(
-        text,
-        lambda body: let(
-            resolve_overlaps(collect_spans(body, policy.detectors())),
-            lambda spans: replace_spans(body, spans, policy.replacement),
-        ),
-    )
+    spans = resolve_overlaps(collect_spans(text, policy.detectors()))
+    return replace_spans(text, spans, policy.replacement)
 
 
 def _stat_columns(found: Column, kept: Column) -> list[Column]:

@@ -231,7 +231,7 @@ _EVENT_TEXT = f"'user ' || {_MAIL} || ' at ' || {_HOST}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return events.select("event_id", F.expr(_EVENT_TEXT).alias("text"))
 

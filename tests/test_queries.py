@@ -8,7 +8,9 @@ import __spark_entry__ as entry
 import oracle
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# Those of the training-data subpackage have their own tests.
+QUERIES = {name: query for name, query in entry.queries().items() if name not in entry.LLM_QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name not in entry.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -60,6 +60,14 @@ def _packed(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
 
+def carried(df: DataFrame, keep: Iterable[str]) -> tuple[list, str, Callable[[DataFrame], DataFrame]]:
+    """Columns that a row function passes on behind its own: what to select, their types, and their names again."""
+    keep = list(keep)
+    columns = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    types = "".join(f", kept_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    return columns, types, lambda out: out.select([F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+
+
 def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
     """XXH64 (seed 42) of every run of ``k`` words joined by blanks; one for all words if they are fewer."""
     if not words:

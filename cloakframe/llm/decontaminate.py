@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -114,27 +114,10 @@ def _slots(grams: DataFrame) -> np.ndarray:
     return out
 
 
-def contamination(
-    docs: DataFrame,
-    items: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item_key: str = "item_id",
-    item_text: str = "text",
-    window: int = WINDOW,
-    gram: int = GRAM,
-    share: int = SHARE,
+def _judged(
+    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int, gram: int, share: int
 ) -> DataFrame:
-    """One row per document: ``n_words, n_hit, n_items, items_sha256, contaminated``.
-
-    A document word is hit when it lies in an occurrence of ``window`` neighbouring words of an item, or of
-    a whole item that is shorter. Null texts have no words, and items without words have no windows. A
-    repeated document is a row of its own. Items of equal key count once; a null item key marks words but
-    is not among the items. Empty tables and unrelated columns do no harm.
-
-    A document is read once, into rows of its own number, count and grams that pass the filter. Only those
-    grams are shuffled. The filter is a bitmap of fixed size and lets through every gram an item has.
-    """
+    """``contamination`` under the names ``name`` and ``print``, a hash of the text."""
     item_rows = staged(item_grams(items, item_key, item_text, window, gram), "items")
     short = sorted(r[0] for r in item_rows.where(F.col("span") != gram).select("span").distinct().collect())
     # An item that is just one gram long is sought at every place, as other short ones.
@@ -143,15 +126,17 @@ def contamination(
 
     def grams(rows: Iterable[tuple]) -> Iterator[tuple]:
         known = np.unpackbits(slots.value).astype(bool)
-        for name, content in rows:
+        for name, print_, content in rows:
             words = words_of(content)
             kept = _grams(words, {gram: window - gram + 1} | dict.fromkeys(short, 1), known) if words else []
             for span in whole:
                 kept += [g for g in _grams(words, {span: 1}, known)]
-            yield name, len(words), [dict(zip(("hash", "span", "place", "left", "words"), g, strict=True)) for g in kept]
+            yield name, print_, len(words), [dict(zip(("hash", "span", "place", "left", "words"), g, strict=True)) for g in kept]
 
     kind = docs.schema[key].dataType.simpleString()
-    read = map_rows(docs.select(key, text), grams, f"name {kind}, n_words long, grams array<struct<{_typed(_GRAM)}>>")
+    source = docs.select(key, F.xxhash64(text), text)
+    found = f"array<struct<{', '.join(f'{n}: {t}' for n, t in (f.split() for f in _GRAM.split(', ')))}>>"
+    read = map_rows(source, grams, f"name {kind}, print long, n_words long, grams {found}")
     read = staged(read.withColumn("row", F.monotonically_increasing_id()), "grams")
 
     mine = read.select("row", F.explode("grams").alias("g")).select("row", "g.*")
@@ -192,7 +177,8 @@ def contamination(
         .join(covered, "row", "left")
         .join(named, "row", "left")
         .select(
-            F.col("name").alias(key),
+            "name",
+            "print",
             "n_words",
             n_hit.alias("n_hit"),
             F.size(names).cast("long").alias("n_items"),
@@ -202,5 +188,34 @@ def contamination(
     )
 
 
-def _typed(fields: str) -> str:
-    return ", ".join(f"{name}: {kind}" for name, kind in (f.split() for f in fields.split(", ")))
+def contamination(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    gram: int = GRAM,
+    share: int = SHARE,
+) -> DataFrame:
+    """One row per document: ``n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    A document word is hit when it lies in an occurrence of ``window`` neighbouring words of an item, or of
+    a whole item that is shorter. Null texts have no words, and items without words have no windows. A
+    repeated document is a row of its own. Items of equal key count once; a null item key marks words but
+    is not among the items. Empty tables and unrelated columns do no harm.
+
+    A document is read once, into rows of its own number, count and grams that pass the filter. Only those
+    grams are shuffled. The filter is a bitmap of fixed size and lets through every gram an item has.
+    """
+    out = _judged(docs, items, key, text, item_key, item_text, window, gram, share)
+    return out.drop("print").withColumnRenamed("name", key)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are not contaminated, with all their columns. Keys and hashes of the others are joined away."""
+    judged = _judged(docs, items, key, text, "item_id", "text", WINDOW, GRAM, SHARE)
+    out = judged.where("contaminated").select("name", "print").distinct()
+    same = docs[key].eqNullSafe(out["name"]) & (F.xxhash64(docs[text]) == out["print"])
+    return docs.join(out, same, "left_anti")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cloakframe.llm.common import map_rows
+from cloakframe.llm.common import carried, map_rows
 from cloakframe.llm.labelled import held_out, sample
 
 #: Labelled documents of each kind that the trees are fitted to.
@@ -149,22 +149,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
 
 def score(
-    docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = 512
+    docs: DataFrame,
+    trees: Trees,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+    threshold: float = THRESHOLD,
+    block: int = 512,
 ) -> DataFrame:
     """``key, held_out, score, predicted`` of each document, its whole text looked at.
 
     Null texts count as empty ones, whose statistics are zeros. Rows are independent: repeats give repeats,
-    null keys stay, and an empty table gives no rows.
+    null keys stay, and an empty table gives no rows. Columns to ``keep`` follow as kept_0, kept_1 and so on.
     """
 
     def judged(group: list[tuple], values: list[list[float]]) -> Iterator[tuple]:
-        for (name, out), p in zip(group, trees.score(np.array(values)).tolist(), strict=True):
-            yield name, out, p, int(p >= threshold)
+        for (name, out, *more), p in zip(group, trees.score(np.array(values)).tolist(), strict=True):
+            yield name, out, p, int(p >= threshold), *more
 
     def rows(part: Iterable[tuple]) -> Iterator[tuple]:
         group, values = [], []
-        for name, out, content in part:
-            group.append((name, out))
+        for name, out, content, *more in part:
+            group.append((name, out, *more))
             values.append(statistics(content))
             if len(group) == block:
                 yield from judged(group, values)
@@ -172,8 +178,16 @@ def score(
         if group:
             yield from judged(group, values)
 
+    columns, types, _ = carried(docs, keep)
     kind = docs.schema[key].dataType.simpleString()
     out = map_rows(
-        docs.select(key, held_out(key).alias("held_out"), text), rows, f"name {kind}, held_out boolean, score double, predicted int"
+        docs.select(key, held_out(key).alias("held_out"), text, *columns),
+        rows,
+        f"name {kind}, held_out boolean, score double, predicted int{types}",
     )
     return out.withColumnRenamed("name", key)
+
+
+def without_rejected(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are predicted good, with all their columns."""
+    return carried(docs, docs.columns)[2](score(docs, trees, key, text, tuple(docs.columns)).where("predicted = 1"))

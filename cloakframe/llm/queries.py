@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import decontaminate, quality, simhash, streambpe, tokencount, topk, toxicity
+from cloakframe.llm import chat, decontaminate, htmltext, licenses, quality, simhash, streambpe, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +39,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -43,14 +51,21 @@ def op9_stream_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streambpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_perspectives": op1_perspectives,
     "op2_decontaminate": op2_decontaminate,
     "op3_top_k": op3_top_k,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
     "op9_stream_bpe": op9_stream_bpe,
+    "op10_html_text": op10_html_text,
 }
 
 ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,4 +107,24 @@ FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) A
 WHERE n <= 20
 """
 
-ORACLES = {"op2_decontaminate": CONTAMINATION, "op3_top_k": TOP_K}
+PERSPECTIVES = """
+WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, role AS who, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
+s AS (
+  SELECT t.conv_id, perspective, turn, who, r, text, coalesce(who = perspective, false) AS own,
+    CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user' END AS role,
+    CASE WHEN who = perspective OR who = 'system' THEN NULL ELSE who END AS name
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM s),
+g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (
+  SELECT *, row_number() OVER w AS position, CAST(sum(length(segment)) OVER w AS BIGINT) AS stop
+  FROM g
+  WINDOW w AS (PARTITION BY conv_id, perspective
+    ORDER BY turn NULLS FIRST, who NULLS FIRST, text, r ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, position, turn, role, name, segment, stop - length(segment) AS start, stop AS "end",
+  CASE WHEN own THEN stop - length(segment) + length(head) END AS mask_start, CASE WHEN own THEN stop - 1 END AS mask_end
+FROM o
+"""
+
+ORACLES = {"op1_perspectives": PERSPECTIVES, "op2_decontaminate": CONTAMINATION, "op3_top_k": TOP_K}

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cloakframe.llm.common import map_rows
+from cloakframe.llm.common import carried, map_rows
 from cloakframe.llm.labelled import held_out, sample
 
 #: Labelled documents of each kind that the chain is fitted to.
@@ -245,12 +245,14 @@ def _spans(text: str, likely: np.ndarray) -> list[dict]:
     return [{"start": s["start"], "end": s["end"]} for s in out]
 
 
-def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text", tokens: int = 1 << 18) -> DataFrame:
+def score(
+    docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokens: int = 1 << 18
+) -> DataFrame:
     """``key, held_out, score, predicted, spans`` of each document, its whole text looked at.
 
     Null and empty texts have no tokens and score 0. ``spans`` are character offsets of runs of tokens with
     a marginal of at least one half. Rows are independent: repeats give repeats, null keys stay, and an
-    empty table gives no rows. Texts are handled in groups of about ``tokens`` tokens.
+    empty table gives no rows. Columns to ``keep`` follow as kept_0, kept_1 and so on. Texts are handled in groups of about ``tokens`` tokens.
     """
 
     def judged(group: list[tuple], values: list[np.ndarray]) -> Iterator[tuple]:
@@ -259,17 +261,17 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
         starts = np.zeros(int(ends[-1]), bool)
         starts[(ends - sizes)[sizes > 0]] = True
         p = marginals(np.concatenate(values), starts, chain.moves)
-        for (name, out, content), low, high in zip(group, (ends - sizes).tolist(), ends.tolist(), strict=True):
+        for (name, out, content, *more), low, high in zip(group, (ends - sizes).tolist(), ends.tolist(), strict=True):
             top = float(p[low:high].max(initial=0.0))
-            yield name, out, top, int(top >= 0.5), _spans(content, p[low:high] >= 0.5) if top >= 0.5 else []
+            yield name, out, top, int(top >= 0.5), _spans(content, p[low:high] >= 0.5) if top >= 0.5 else [], *more
 
     def rows(part: Iterable[tuple]) -> Iterator[tuple]:
         known = _Emissions(chain)
         group, values, size = [], [], 0
-        for name, out, content in part:
+        for name, out, content, *more in part:
             found = _TOKEN.findall(content or "")
             values.append(np.fromiter(map(known.__getitem__, found), float, len(found)))
-            group.append((name, out, content or ""))
+            group.append((name, out, content or "", *more))
             size += len(found)
             if size >= tokens:
                 yield from judged(group, values)
@@ -277,10 +279,16 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
         if group:
             yield from judged(group, values)
 
+    columns, types, _ = carried(docs, keep)
     kind = docs.schema[key].dataType.simpleString()
     out = map_rows(
-        docs.select(key, held_out(key).alias("held_out"), text),
+        docs.select(key, held_out(key).alias("held_out"), text, *columns),
         rows,
-        f"name {kind}, held_out boolean, score double, predicted int, spans array<struct<start: int, end: int>>",
+        f"name {kind}, held_out boolean, score double, predicted int, spans array<struct<start: int, end: int>>{types}",
     )
     return out.withColumnRenamed("name", key)
+
+
+def without_toxic(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns."""
+    return carried(docs, docs.columns)[2](score(docs, chain, key, text, tuple(docs.columns)).where("predicted = 0"))

@@ -241,7 +241,7 @@ class _Table:
     def lines(self) -> Iterator[str]:
         widths: dict[int, int] = {}
         for row in self.rows:
-            for (column, text), after in zip(row, [*row[1:], None], strict=True):
+            for (column, text), after in zip(row, [*row[1:], None], strict=False):
                 if after is None or after[0] == column + 1:
                     widths[column] = max(widths.get(column, 0), len(text))
         places, at = {}, 0

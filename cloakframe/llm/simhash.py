@@ -177,18 +177,24 @@ def one_of_each_group(
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series([signed(fingerprint(t, words)) for t in texts], dtype="int64")
 
+    # Else the filter would move below the join, to all documents.
+    print_of = print_of.asNondeterministic()
     rows = staged(_grouped(docs, text, key, words, radius), "groups")
     first = rows.groupBy("root").agg(F.min(F.struct("name", "fp")).alias("kept")).select("kept.*")
     copies = rows.groupBy("name").agg((F.count("*") > 1).alias("again")).withColumnRenamed("name", "known")
-    first = first.join(copies, F.col("name").eqNullSafe(F.col("known"))).select(F.struct("name", "fp", "again").alias("kept"))
-    kept = docs.select(F.struct(*docs.columns).alias("row")).join(first, F.col(f"row.{key}").eqNullSafe(F.col("kept.name")))
-    single = kept.where("not kept.again").select("row.*")
+    first = staged(first.join(copies, F.col("name").eqNullSafe(F.col("known"))).drop("known"), "first")
+    single = first.where("not again").select(F.col("name").alias("kept"))
+    kept = docs.join(single, docs[key].eqNullSafe(single["kept"]), "left_semi")
+    several = first.where("again").select(F.struct("name", "fp").alias("kept"))
+    if several.isEmpty():
+        return kept
     content = F.col(f"row.{text}")
-    several = (
-        kept.where("kept.again")
+    again = (
+        docs.select(F.struct(*docs.columns).alias("row"))
+        .join(several, F.col(f"row.{key}").eqNullSafe(F.col("kept.name")))
         .where(print_of(content) == F.col("kept.fp"))
         .groupBy("kept")
         .agg(F.min_by("row", F.coalesce(content, F.lit(""))).alias("row"))
         .select("row.*")
     )
-    return single.unionByName(several)
+    return kept.unionByName(again)

@@ -71,7 +71,7 @@ class StreamCoder:
     path: str
     chunk: int = CHUNK
     piece: int = PIECE
-    memory: int = 1 << 19
+    memory: int = 1 << 18
 
     @cached_property
     def library(self) -> Tokenizer:

@@ -228,7 +228,7 @@ class _Emissions(dict):
         self.chain = chain
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         value = self[token] = self.chain.emission(token)
         return value

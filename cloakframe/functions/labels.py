@@ -39,6 +39,8 @@ SENSITIVE_FIELDS = (
     "url", "domain", "ip", "host",
 )
 SUPPORTED_SUFFIXES = (".txt", ".log", ".docx", ".xlsx", ".sql", ".csv", ".xml", ".json")
+# Of those, the office formats have no reader here.
+READABLE_SUFFIXES = tuple(s for s in SUPPORTED_SUFFIXES if s not in (".docx", ".xlsx"))
 # --- end of fixed values ------------------------------------------------------------------
 
 

@@ -26,10 +26,6 @@ SPAN_TYPE = (
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
 KEY_TAIL = r"\A *="
 
-# Cutting a piece out of a string walks it from its start; beyond this many pieces the text is
-# taken apart into characters once instead.
-MANY_SPANS = 64
-
 
 def no_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
@@ -79,24 +75,34 @@ def _placed(text: Column, detector: Column, found: Column) -> Column:
             parts = [part for n in range(1, 5) for part in (F.get(g, i + n), F.get(found, i + n))]
             return F.concat(*[F.coalesce(part, F.lit("")) for part in parts])
 
-        return F.transform(
-            found,
-            lambda match, i: F.struct(
+        def behind(match: Column, value: Column) -> Column:
+            """Characters of the match after its group, which ends it or else is its first such string."""
+            return F.when(F.endswith(match, value), F.lit(0)).otherwise(
+                F.length(match) - F.position(value, match) - F.length(value) + 1
+            )
+
+        def row(match: Column, i: Column, value: Column) -> Column:
+            rest = behind(match, value)
+            tail = F.concat(match.substr(F.length(match) - rest + 1, rest), after(i))
+            return F.struct(
                 (F.length(F.get(g, i)) + F.length(match)).alias("ahead"),
-                F.get(v, i).alias("value"),
-                matches(F.substring(after(i), 1, 4), KEY_TAIL).alias("is_key"),
-            ),
-        )
+                value.alias("value"),
+                rest.alias("behind"),
+                matches(F.substring(tail, 1, 4), KEY_TAIL).alias("is_key"),
+            )
+
+        return F.transform(found, lambda match, i: row(match, i, F.get(v, i)))
 
     rows = let(gaps, lambda g: let(values, lambda v: match_rows(g, v)))
 
     def step(state: Column, match: Column) -> Column:
         end = state["at"] + match["ahead"]
+        start = end - match["behind"] - F.length(match["value"])
         placed = span(
-            end - F.length(match["value"]), end, detector["name"], detector["priority"], detector["ord"], match["value"]
+            start, end - match["behind"], detector["name"], detector["priority"], detector["ord"], match["value"]
         )
         return F.struct(
-            F.when(match["is_key"], state["done"])
+            F.when(match["is_key"] | (match["value"] == ""), state["done"])
             .otherwise(F.concat(state["done"], F.array(placed)))
             .alias("done"),
             end.alias("at"),
@@ -167,6 +173,7 @@ def collect_spans(
     """Valid spans of all detectors in policy order, keys dropped; ``extra`` spans come first."""
 
     none = no_spans()
+    text = F.make_valid_utf8(text)
     # A user's function may be a Python one, which no lambda can hold: it gets the text itself.
     lists = [drop_key_positions(text, F.coalesce(extra, none))] if extra is not None else []
     lists += [_own_spans(text, d, o) for o, d in enumerate(detectors, start=1) if d.spans is not None]
@@ -252,7 +259,11 @@ def resolve_overlaps(spans: Column) -> Column:
 
 
 def replace_spans(text: Column, resolved: Column, replacement: Callable[[Column], Column]) -> Column:
-    """Rebuild the text with every (non-overlapping, ordered) span replaced."""
+    """Rebuild the text with every (non-overlapping, ordered) span replaced.
+
+    Bytes that are no UTF-8 become U+FFFD, as where the spans were placed. The text is taken apart into
+    characters once: cutting each piece out of the string would walk it from its start.
+    """
 
     def rebuilt(body: Column, spans: Column, cut: Callable[[Column, Column], Column]) -> Column:
         def piece(s: Column, i: Column) -> Column:
@@ -262,20 +273,14 @@ def replace_spans(text: Column, resolved: Column, replacement: Callable[[Column]
         last = F.get(spans, F.size(spans) - 1)["end"]
         return F.concat(F.array_join(F.transform(spans, piece), ""), cut(last, F.length(body)))
 
-    def from_characters(body: Column, spans: Column) -> Column:
-        return let(
+    def masked(body: Column, spans: Column) -> Column:
+        whole = let(
             F.split(body, ""),
             lambda chars: rebuilt(body, spans, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")),
         )
+        return F.when(F.size(spans) == 0, body).otherwise(whole)
 
-    def masked(body: Column, spans: Column) -> Column:
-        return (
-            F.when(F.size(spans) == 0, body)
-            .when(F.size(spans) <= MANY_SPANS, rebuilt(body, spans, lambda a, b: body.substr(a + 1, b - a)))
-            .otherwise(from_characters(body, spans))
-        )
-
-    return let(resolved, lambda spans: let(text, lambda body: masked(body, spans)))
+    return let(resolved, lambda spans: let(F.make_valid_utf8(text), lambda body: masked(body, spans)))
 
 
 def count_by_detector(spans: Column) -> Column:

@@ -39,14 +39,24 @@ def keyed_spans(df: DataFrame, policy: Policy, text: str = "text", keys: Sequenc
     )
 
 
-def build_mapping(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """``(token, value)`` of every keyed span, one row per token."""
-    spans = keyed_spans(df, policy, text)
-    return (
-        spans.select(token_of(F.col("digest"), F.col("prefix")).alias("token"), "value")
-        .groupBy("token")
-        .agg(F.min("value").alias("value"))
-    )
+def build_mapping(
+    df: DataFrame,
+    policy: Policy,
+    text: str = "text",
+    cache: DataFrame | None = None,
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """``(token, value)`` of every keyed span, one row per token.
+
+    With ``cache`` or ``order`` also the tokens that ``mask_with_cache`` writes for the same arguments.
+    """
+    spans = keyed_spans(df, policy, text, keys=list(order))
+    own = spans.select(token_of(F.col("digest"), F.col("prefix")).alias("token"), "value")
+    if cache is not None or order:
+        values = spans.groupBy("digest").agg(F.min("value").alias("value"))
+        entries = cache_entries(spans, order, cache).join(values, "digest")
+        own = own.unionByName(entries.select("token", "value"))
+    return own.groupBy("token").agg(F.min("value").alias("value"))
 
 
 def merge_mapping(stored: DataFrame, own: DataFrame, key: str = "token", value: str = "value") -> DataFrame:
@@ -83,22 +93,41 @@ def decrypt_mapping(stored: DataFrame, passphrase: str) -> DataFrame:
     return stored.select("token", opened.cast("string").alias("value"))
 
 
-_STORE_SCHEMA = "token string, value_enc binary, generation bigint"
+_PART_SCHEMA = "saved_at timestamp, run string, generation bigint"
+_STORE_SCHEMA = f"token string, value_enc binary, {_PART_SCHEMA}"
+_CACHE_SCHEMA = f"digest string, token string, {_PART_SCHEMA}"
+_AGE = ("saved_at", "generation")
 
 
-def save_mapping(mapping: DataFrame, path: str, passphrase: str, generation: int) -> None:
-    """Add one generation to an encrypted store.
+def save_part(rows: DataFrame, path: str, run: str, generation: int) -> None:
+    """Write one part of a store, again in full when it is retried.
 
-    Every run or micro-batch writes its own partition, again in full when it is retried, so nothing
-    is rewritten that another run has stored; the newest generation wins on reading.
+    Runs and their generations have folders of their own, so none rewrites what another has stored.
     """
-    encrypt_mapping(mapping, passphrase).write.mode("overwrite").parquet(f"{path}/generation={generation}")
+    stamped = rows.withColumn("saved_at", F.current_timestamp())
+    stamped.write.mode("overwrite").parquet(f"{path}/run={run}/generation={generation}")
+
+
+def save_mapping(mapping: DataFrame, path: str, passphrase: str, generation: int, run: str = "batch") -> None:
+    """Add one generation of a run to an encrypted store; the part saved last wins on reading."""
+    save_part(encrypt_mapping(mapping, passphrase), path, run, generation)
+
+
+def save_token_cache(entries: DataFrame, path: str, generation: int, run: str = "batch") -> None:
+    """Add one generation of a run to a stored token cache; the part saved first wins on reading."""
+    save_part(entries.select("digest", "token"), path, run, generation)
+
+
+def compact_mapping(spark: SparkSession, path: str, target: str) -> None:
+    """Write the newest value of every token of a store to a new store, values as they are sealed."""
+    stored = spark.read.schema(_STORE_SCHEMA).parquet(path)
+    save_part(stored.groupBy("token").agg(F.max_by("value_enc", F.struct(*_AGE)).alias("value_enc")), target, "compact", 0)
 
 
 def load_mapping(spark: SparkSession, path: str, passphrase: str) -> DataFrame:
     """Current mapping of a store: the newest value of every token."""
     stored = spark.read.schema(_STORE_SCHEMA).parquet(path)
-    newest = stored.groupBy("token").agg(F.max_by("value_enc", "generation").alias("value_enc"))
+    newest = stored.groupBy("token").agg(F.max_by("value_enc", F.struct(*_AGE)).alias("value_enc"))
     return decrypt_mapping(newest, passphrase)
 
 
@@ -183,7 +212,7 @@ def demask(
 
     The tokens of each row are looked up in the mapping by a join; the few that belong to one row
     come back as a map on ``key``, and the text is rebuilt in its row. Rows sharing a key share
-    their map, which changes nothing, since a token means the same everywhere.
+    their map, which changes nothing, since a token means the same everywhere. A null key is a key.
     """
     live = lambda c: F.when(~F.startswith(F.col(c), F.lit("=")), F.col(c)) if skip_formulas else F.col(c)
     found = F.flatten(
@@ -197,10 +226,10 @@ def demask(
     )
     known = (
         wanted.join(mapping.select("token", "value"), "token")
-        .groupBy(key)
+        .groupBy(F.col(key).alias("_of"))
         .agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("_known"))
     )
-    joined = df.join(known, key, "left").withColumn(
+    joined = df.join(known, df[key].eqNullSafe(known["_of"]), "left").drop("_of").withColumn(
         "_known", F.coalesce("_known", F.create_map().cast("map<string,string>"))
     )
     for i, c in enumerate(texts):
@@ -299,16 +328,17 @@ def mask_with_cache(
         spans.select(key, "digest")
         .distinct()
         .join(differing, "digest")
-        .groupBy(key)
+        .groupBy(F.col(key).alias("_of"))
         .agg(F.map_from_entries(F.collect_set(F.struct("digest", "token"))).alias("_tokens"))
     )
-    staged = with_spans(df.join(overrides, key, "left"), policy, text)
+    joined = df.join(overrides, df[key].eqNullSafe(overrides["_of"]), "left").drop("_of")
+    staged = with_spans(joined, policy, text)
     swap = lambda digest, new: F.coalesce(F.try_element_at(F.col("_tokens"), digest), new)
     masked = replace_spans(F.col(text), F.col("_kept"), lambda s: policy.replacement(s, swap))
     return staged.select(*[masked.alias(text) if c == text else F.col(c) for c in df.columns])
 
 
 def load_token_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Token cache kept by a stream: per digest the token of its earliest generation."""
-    stored = spark.read.schema("digest string, token string, generation bigint").parquet(path)
-    return stored.groupBy("digest").agg(F.min_by("token", "generation").alias("token"))
+    """A stored token cache: per digest the token of the part saved first."""
+    stored = spark.read.schema(_CACHE_SCHEMA).parquet(path)
+    return stored.groupBy("digest").agg(F.min_by("token", F.struct(*_AGE)).alias("token"))

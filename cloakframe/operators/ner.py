@@ -7,6 +7,7 @@ optional ``seq`` gives the order in which providers were asked.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from cloakframe.functions.labels import normalize_entity_type, source_priority
 from cloakframe.functions.patterns import DEFAULT_PRIORITY, DETECTOR_PRIORITIES
 from cloakframe.functions.spans import no_spans, span
 
+if TYPE_CHECKING:
+    from cloakframe.plans.policy import Policy
+
 # --- fixed values -------------------------------------------------------------------------
 MAX_ENTITY_LENGTH = 160
 # --- end of fixed values ------------------------------------------------------------------
@@ -189,14 +193,16 @@ def ner_filter_confidence(candidates: DataFrame, min_confidence: float) -> DataF
     return candidates.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
 
 
-def ner_safe_span(text: Column, start: Column, end: Column, value: Column) -> Column:
-    """Is a span safe to mask: short, on one line, no ``=``, and not cut out of a word."""
+def ner_safe_span(
+    text: Column, start: Column, end: Column, value: Column, max_length: int = MAX_ENTITY_LENGTH
+) -> Column:
+    """Is a span safe to mask: at most ``max_length`` characters on one line, no ``=``, and not cut out of a word."""
     word = r"[\p{L}\p{N}_]"
     before = F.when(start > 0, text.substr(start, F.lit(1))).otherwise(F.lit(""))
     after = text.substr(end + 1, F.lit(1))
     safe = (
         (F.length(value) > 0)
-        & (F.length(value) <= MAX_ENTITY_LENGTH)
+        & (F.length(value) <= max_length)
         & ~matches(value, r"[\n\r=]")
         & (start >= 0)
         & (end <= F.length(text))
@@ -246,14 +252,22 @@ def ner_cluster(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def ner_resolve(candidates: DataFrame, key: str = "doc_id", min_confidence: float = 0.0) -> DataFrame:
+def ner_resolve(
+    candidates: DataFrame,
+    key: str = "doc_id",
+    min_confidence: float | None = None,
+    policy: Policy | None = None,
+) -> DataFrame:
     """One entity per group of overlapping candidates.
 
     Equal spans are merged first, so copies of a candidate cost one row. Then the best candidate
     per group and type, with the sources and the highest confidence of its type in the group, and
     the best of those per group: plain aggregates, combined before every shuffle. The order is
     descending priority, confidence and length, then ascending start, then the type seen first.
+    Without ``min_confidence`` the threshold is the policy's.
     """
+    if min_confidence is None:
+        min_confidence = policy.min_confidence if policy else 0.0
     usable = ner_filter_confidence(candidates, min_confidence)
     if "seq" not in usable.columns:
         usable = usable.withColumn("seq", F.lit(0))
@@ -299,19 +313,39 @@ def ner_resolve(candidates: DataFrame, key: str = "doc_id", min_confidence: floa
     )
 
 
+def ner_refused(
+    documents: DataFrame,
+    resolved: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    max_length: int = MAX_ENTITY_LENGTH,
+) -> DataFrame:
+    """The resolved entities that ``ner_spans`` leaves unmasked, as they are not safe to replace."""
+    texts = documents.select(F.col(key).alias("_of"), F.col(text).alias("_text"))
+    joined = resolved.join(texts, resolved[key].eqNullSafe(texts["_of"]))
+    safe = ner_safe_span(F.col("_text"), F.col("start"), F.col("end"), F.col("value"), max_length)
+    return joined.where(~safe).select(*resolved.columns)
+
+
 def ner_spans(
-    documents: DataFrame, resolved: DataFrame, key: str = "doc_id", text: str = "text", name: str = "entities"
+    documents: DataFrame,
+    resolved: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    name: str = "entities",
+    max_length: int = MAX_ENTITY_LENGTH,
 ) -> DataFrame:
     """Documents with their safe entities as a span array, for the ``extra`` of the masking plans.
 
-    Resolved entities of a text do not overlap, so the array is bounded by its text.
+    ``key`` names one text, a null key included. Resolved entities of a text do not overlap, so the array is bounded by its text.
     """
     priority = F.lit(DEFAULT_PRIORITY)
     for detector, value in DETECTOR_PRIORITIES.items():
         priority = F.when(F.col("entity_type") == detector, F.lit(value)).otherwise(priority)
     one = span(F.col("start"), F.col("end"), F.col("entity_type"), priority, F.lit(0), F.col("value"))
-    grouped = resolved.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias(name))
+    grouped = resolved.groupBy(F.col(key).alias("_of")).agg(F.array_sort(F.collect_list(one)).alias(name))
     safe = F.filter(
-        F.col(name), lambda s: ner_safe_span(F.col(text), s["start"], s["end"], s["value"])
+        F.col(name), lambda s: ner_safe_span(F.col(text), s["start"], s["end"], s["value"], max_length)
     )
-    return documents.join(grouped, key, "left").withColumn(name, F.coalesce(safe, no_spans()))
+    joined = documents.join(grouped, documents[key].eqNullSafe(grouped["_of"]), "left").drop("_of")
+    return joined.withColumn(name, F.coalesce(safe, no_spans()))

@@ -17,37 +17,39 @@ def _nonzero_map(names: Sequence[str], counts: Sequence[Column]) -> Column:
     return F.map_filter(pairs, lambda _, n: n > 0)
 
 
-def _count_of(counts: Column, name: str) -> Column:
-    return F.coalesce(F.try_element_at(counts, F.lit(name)), F.lit(0).cast("bigint"))
+def _sums(rows: DataFrame, keys: Sequence[str], totals: dict[str, Column], counts: str, name: str) -> DataFrame:
+    """Sums of ``totals`` by ``keys`` and the map ``name`` of all detectors' counts.
 
+    Each row is taken apart into its totals and its counts, which are summed by detector with partial
+    aggregation; a key then has one row per detector, so the map is small and no detector is lost.
+    """
+    kind = F.lit(None).cast("string")
+    own = F.struct(kind.alias("detector"), F.lit(0).cast("bigint").alias("n"), *[c.cast("bigint").alias(t) for t, c in totals.items()])
+    zeros = [F.lit(0).cast("bigint").alias(t) for t in totals]
+    found = F.coalesce(F.map_entries(counts), F.array().cast("array<struct<key:string,value:bigint>>"))
+    parts = F.transform(found, lambda e: F.struct(e["key"].alias("detector"), e["value"].alias("n"), *zeros))
+    taken = rows.select(*keys, F.explode(F.concat(F.array(own), parts)).alias("p")).select(*keys, "p.*")
+    each = taken.groupBy(*keys, "detector").agg(*[F.sum(c).alias(c) for c in ("n", *totals)])
+    entry = F.when(F.col("detector").isNotNull() & (F.col("n") > 0), F.struct("detector", "n"))
+    return each.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(t), F.lit(0)).cast("bigint").alias(t) for t in totals],
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name),
+    )
 
-def file_report(
-    stats: DataFrame,
-    by: str | list[str],
-    detectors: Sequence[str],
-    failures: DataFrame | None = None,
-) -> DataFrame:
-    """Sum the statistics columns of texts, cells, lines or literals per file.
 
-    The detector names of a policy are few and known, so each is a plain sum: one shuffle with
-    partial aggregation, however many rows a single file has. ``failures`` holds files that could
-    not be read, with the same key columns and a ``message``.
+def file_report(stats: DataFrame, by: str | list[str], failures: DataFrame | None = None) -> DataFrame:
+    """Sum the statistics columns of texts, cells, lines or literals per file, for all detectors seen.
+
+    ``failures`` holds files that could not be read, with the same key columns and a ``message``.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    sums = stats.groupBy(*keys).agg(
-        F.sum("matches_found").alias("matches_found"),
-        F.sum("matches_applied").alias("matches_applied"),
-        F.sum("matches_skipped").alias("matches_skipped"),
-        *[F.sum(_count_of(F.col("detector_counts"), n)).alias(f"_n{i}") for i, n in enumerate(detectors)],
-    )
-    report = sums.select(
+    names = ("matches_found", "matches_applied", "matches_skipped")
+    report = _sums(stats, keys, {n: F.col(n) for n in names}, "detector_counts", "detector_counts").select(
         *keys,
         F.lit(True).alias("success"),
         F.lit("OK").alias("message"),
-        "matches_found",
-        "matches_applied",
-        "matches_skipped",
-        _nonzero_map(detectors, [F.col(f"_n{i}") for i in range(len(detectors))]).alias("detector_counts"),
+        *names,
+        "detector_counts",
         F.lit(False).alias("timed_out"),
     )
     if failures is None:
@@ -67,29 +69,25 @@ def file_report(
     return good.unionByName(failed)
 
 
-def batch_report(files: DataFrame, detectors: Sequence[str]) -> DataFrame:
-    """One row of totals over a file report."""
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    sums = files.agg(
-        F.count(F.lit(1)).alias("total"),
-        total(F.col("success").cast("bigint")).alias("success"),
-        total((~F.col("success")).cast("bigint")).alias("failed"),
-        total("matches_found").alias("total_matches_found"),
-        total("matches_applied").alias("total_matches_applied"),
-        total("matches_skipped").alias("total_matches_skipped"),
-        total(F.col("timed_out").cast("bigint")).alias("timeout_count"),
-        *[total(_count_of(F.col("detector_counts"), n)).alias(f"_n{i}") for i, n in enumerate(detectors)],
-    )
-    return sums.select(
-        "total",
-        "success",
-        "failed",
-        "total_matches_found",
-        "total_matches_applied",
-        "total_matches_skipped",
-        "timeout_count",
-        _nonzero_map(detectors, [F.col(f"_n{i}") for i in range(len(detectors))]).alias("detector_totals"),
-    )
+def batch_report(files: DataFrame) -> DataFrame:
+    """One row of totals over a file report, for all detectors seen."""
+    totals = {
+        "total": F.lit(1),
+        "success": F.col("success").cast("int"),
+        "failed": (~F.col("success")).cast("int"),
+        "total_matches_found": F.col("matches_found"),
+        "total_matches_applied": F.col("matches_applied"),
+        "total_matches_skipped": F.col("matches_skipped"),
+        "timeout_count": F.col("timed_out").cast("int"),
+    }
+    return _sums(files, [], totals, "detector_counts", "detector_totals").select(*totals, "detector_totals")
+
+
+def batch_document(files: DataFrame) -> DataFrame:
+    """The batch report as one JSON document per file row and one of totals: ``kind, document``."""
+    totals = batch_report(files).select(F.lit("statistics").alias("kind"), F.to_json(F.struct("*")).alias("document"))
+    each = files.select(F.lit("file").alias("kind"), F.to_json(F.struct("*")).alias("document"))
+    return totals.unionByName(each)
 
 
 def detector_totals(findings: DataFrame, by: str | None = None) -> DataFrame:

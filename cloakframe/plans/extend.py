@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 
 from cloakframe.functions.patterns import DEFAULT_PRIORITY, Detector
@@ -62,6 +64,14 @@ def _check(extension: Extension) -> None:
         raise ValueError(f"unknown extension capabilities: {', '.join(unknown)}")
 
 
+def _matches_nothing(pattern: str) -> bool:
+    """Does the pattern match the empty string, by Java's rules where a session runs."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return re.search(r"\A(?:\w?[*?])\Z", pattern) is not None
+    return context._jvm.java.util.regex.Pattern.compile(pattern).matcher("").find()
+
+
 def register_detector(
     policy,
     name: str,
@@ -76,7 +86,8 @@ def register_detector(
 ):
     """A policy that also runs a user's detector.
 
-    ``pattern`` is a Java regular expression. ``spans`` takes the text Column and returns
+    ``pattern`` is a Java regular expression that does not match the empty string. A ``group`` is masked alone:
+    it ends its match, or else is the first place in the match where its string stands. ``spans`` takes the text Column and returns
     ``array<struct<start,end,value>>`` instead; a ``pandas_udf`` of that type fits.
     """
     from dataclasses import replace
@@ -85,6 +96,8 @@ def register_detector(
 
     if bool(pattern) == (spans is not None):
         raise ValueError("give either a pattern or a spans function")
+    if pattern and _matches_nothing(pattern):
+        raise ValueError("the pattern matches the empty string")
     detector = Detector(
         name=name,
         pattern=pattern,

@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Key pads and stored keys are long hexadecimal literals; this hides them in plans and event logs.
-_SECRET_LITERALS = r"(?i)(0x|X')?[0-9a-f]{128}'?"
+_SECRET_LITERALS = r"(?i)(0x|X')?[0-9a-f]{64,}'?"
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,16 +33,6 @@ def protect_plans(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.redaction.string.regex", _SECRET_LITERALS)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input at least one partition per core.
-
-    Detection costs far more than moving a row, and a file of one row group is read by one task.
-    An input with as many partitions as cores, as any large one has, is left alone: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -48,20 +49,35 @@ def scan_directory(
     )
 
 
-def read_text_docs(spark: SparkSession, path: str, suffix: str = ".txt", whole: bool = True) -> DataFrame:
-    """``(source, text)``: a row per file, or a row per line for files of any size."""
+def read_text_docs(
+    spark: SparkSession, path: str, suffix: str = ".txt", whole: bool = True, encoding: str = "utf-8"
+) -> DataFrame:
+    """``(source, text)``: a row per file, or a row per line for files of any size.
+
+    With ``encoding="detect"`` each file is decoded as ``decode_text_files`` does, which takes it into one
+    row first; else files are UTF-8, and bytes that are not become U+FFFD.
+    """
+    if encoding == "detect":
+        rows = decode_text_files(spark, path, suffix).select("source", "text")
+        # The last line end ends a line and starts none.
+        lines = F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n")
+        return rows if whole else rows.where("text <> ''").select("source", F.explode(lines).alias("text"))
+    if encoding != "utf-8":
+        raise ValueError("encoding has to be 'utf-8' or 'detect'")
     rows = _tree(spark, suffix).text(path, wholetext=whole, lineSep=None if whole else "\n")
-    return rows.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    return rows.select(
+        F.col("_metadata.file_path").alias("source"), F.make_valid_utf8(F.col("value")).alias("text")
+    )
 
 
-def read_log(spark: SparkSession, path: str, suffix: str = ".log") -> DataFrame:
+def read_log(spark: SparkSession, path: str, suffix: str = ".log", encoding: str = "utf-8") -> DataFrame:
     """``(source, line)`` of log files."""
-    return read_text_docs(spark, path, suffix, whole=False).withColumnRenamed("text", "line")
+    return read_text_docs(spark, path, suffix, whole=False, encoding=encoding).withColumnRenamed("text", "line")
 
 
-def read_sql_dump(spark: SparkSession, path: str, suffix: str = ".sql") -> DataFrame:
+def read_sql_dump(spark: SparkSession, path: str, suffix: str = ".sql", encoding: str = "utf-8") -> DataFrame:
     """``(source, line)`` of SQL dumps."""
-    return read_log(spark, path, suffix)
+    return read_log(spark, path, suffix, encoding)
 
 
 def read_csv_strings(
@@ -71,21 +87,36 @@ def read_csv_strings(
     delimiter: str = ",",
     with_source: bool = False,
     suffix: str = ".csv",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header; every cell is a string and an empty cell is an empty string."""
+    """CSV with a header; every cell is a string and an empty cell is an empty string.
+
+    Files are read by groups of equal header lines and united by name, so a cell never lands under the
+    name of another file's column; a column that a file lacks is empty there. ``columns`` says which are
+    wanted. ``multi_line`` off lets Spark split files whose cells hold no line ends.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = _tree(spark, suffix).text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
     reader = (
-        _tree(spark, suffix)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("sep", delimiter)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("inferSchema", False)
     )
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    rows = reader.csv(path)
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns]
-    return rows.select(*cells, F.col("_metadata.file_path").alias("source")) if with_source else rows.select(*cells)
+    rows = None
+    for group in groups:
+        part = reader.csv([urllib.parse.unquote(f) for f in sorted(group.files)])
+        part = part.withColumn("_file", F.col("_metadata.file_path"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        rows = spark.createDataFrame([], "_file string")
+    names = list(columns) if columns is not None else [c for c in rows.columns if c != "_file"]
+    rows = rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names], "_file")
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names]
+    return rows.select(*cells, F.col("_file").alias("source")) if with_source else rows.select(*cells)
 
 
 def read_json_docs(
@@ -127,15 +158,11 @@ def encoding_of(content: Column) -> Column:
     """Name of the encoding of a file's bytes, by the whole content."""
     return (
         F.when(F.is_valid_utf8(content.cast("string")), F.lit(ENCODINGS[0]))
-        .when(F.locate("98", _spaced_hex(content)) > 0, F.lit(ENCODINGS[3]))
+        .when(F.contains(content, F.unhex(F.lit("98"))), F.lit(ENCODINGS[3]))
         .otherwise(F.lit(ENCODINGS[2]))
     )
 
 
-def _spaced_hex(content: Column) -> Column:
-    return F.regexp_replace(F.hex(content), "(..)", "$1 ")
-
-
 def decode_text_files(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """``(source, encoding, text)`` of text files in UTF-8, windows-1251 or IBM866.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from cloakframe.operators.mapping import build_mapping, cache_entries, keyed_spans, save_mapping
+from cloakframe.operators.mapping import build_mapping, cache_entries, keyed_spans, save_mapping, save_token_cache
 from cloakframe.plans.masking import mask_with_stats
 from cloakframe.plans.policy import Policy
 
@@ -34,6 +34,11 @@ def _per_batch(stream: DataFrame, checkpoint: str, available_now: bool, save: Ca
     return writer.start()
 
 
+def _query_of(batch: DataFrame) -> str:
+    """Identity of the running query, the same after each restart from its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+
+
 def mapping_stream(
     stream: DataFrame,
     policy: Policy,
@@ -45,12 +50,12 @@ def mapping_stream(
 ) -> StreamingQuery:
     """Keep the encrypted mapping of a stream: every micro-batch is one generation of the store.
 
-    A batch that is run again overwrites its own generation, so a failure leaves no doubles, and
-    earlier generations are never rewritten.
+    A batch that is run again overwrites its own generation, so a failure leaves no doubles. The run is
+    named after the query that the checkpoint belongs to, so what others have stored is never rewritten.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        save_mapping(build_mapping(batch, policy, text), path, passphrase, batch_id)
+        save_mapping(build_mapping(batch, policy, text), path, passphrase, batch_id, _query_of(batch))
 
     return _per_batch(stream, checkpoint, available_now, save)
 
@@ -66,11 +71,11 @@ def token_cache_stream(
 ) -> StreamingQuery:
     """Keep the token cache ``(digest, token)`` of a stream, one generation per micro-batch.
 
-    The earliest generation wins on reading: a value keeps the token it was first given.
+    The part saved first wins on reading: a value keeps the token it was first given.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         entries = cache_entries(keyed_spans(batch, policy, text, keys=[key]), [key])
-        entries.select("digest", "token").write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        save_token_cache(entries, path, batch_id, _query_of(batch))
 
     return _per_batch(stream, checkpoint, available_now, save)

@@ -120,7 +120,7 @@ def _mask_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = readers.read_text_docs(spark, path, whole=True)
     masked = formats.mask_text_docs(docs, _PLAIN)
     folder = F.regexp_extract("source", "c_mktsegment=([^/]*)", 1).alias("segment")
-    return reports.file_report(masked.select("*", folder), "segment", _PLAIN.detector_names()).select(
+    return reports.file_report(masked.select("*", folder), "segment").select(
         "segment", "matches_found", "matches_applied", counts_text()
     )
 
@@ -215,7 +215,7 @@ def _report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File report and audit trail, written as JSON and read back."""
     path, trail = shared_folder(spark, "report"), shared_folder(spark, "audit")
     stats = formats.mask_text_docs(table(spark, sf_dir, "pages").select(F.col("url").alias("source"), F.col("html").alias("text")), _PLAIN)
-    files = reports.file_report(stats, "source", _PLAIN.detector_names())
+    files = reports.file_report(stats, "source")
     sinks.write_report(files.withColumn("detector_counts", counts_text()), path)
     written = spark.read.schema("source string, success boolean, matches_found bigint, matches_applied bigint").json(path)
     sinks.append_audit(reports.audit_events(files, "source"), trail)

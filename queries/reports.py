@@ -27,7 +27,7 @@ def _file_report_df(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("ValueError: malformed").alias("message"),
         (F.col("r_regionkey") == 0).alias("timed_out"),
     )
-    return reports.file_report(_stats(spark, sf_dir, "source"), "source", _NAMES, failures)
+    return reports.file_report(_stats(spark, sf_dir, "source"), "source", failures)
 
 
 def _file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = reports.batch_report(_file_report_df(spark, sf_dir), _NAMES)
+    report = reports.batch_report(_file_report_df(spark, sf_dir))
     return report.withColumn("detector_totals", counts_text("detector_totals"))
 
 

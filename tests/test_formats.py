@@ -124,7 +124,7 @@ def test_empty_batch(spark):
     stats = spark.createDataFrame(
         [], "source string, matches_found long, matches_applied long, matches_skipped long, detector_counts map<string,long>"
     )
-    row = batch_report(file_report(stats, "source", ["email"]), ["email"]).first()
+    row = batch_report(file_report(stats, "source")).first()
     assert (row.total, row.failed, row.total_matches_found, row.detector_totals) == (0, 0, 0, {})
 
 

@@ -46,21 +46,21 @@ def perspectives(
         F.coalesce(text, F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("row"),
     )
-    ranged = rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
-    ranged = staged(ranged, "turns")
-    views = (
-        ranged.where(F.col("who") != SYSTEM).select(F.col("conv").alias("of"), F.col("who").alias("perspective")).distinct()
-    )
-    both = ranged.join(views, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
+    # From here on ``place`` is the order of turns, and texts stay behind until offsets are known.
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("row")
+    numbered = ranged.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    numbered = staged(numbered, "turns")
+    slim = numbered.select("conv", "who", "part", "place", F.length("text").cast("long").alias("length"))
+    views = slim.where(F.col("who") != SYSTEM).select(F.col("conv").alias("of"), F.col("who").alias("perspective")).distinct()
+    both = slim.join(views, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
     own = F.coalesce(F.col("who") == F.col("perspective"), F.lit(False))
     system = F.coalesce(F.col("who") == SYSTEM, F.lit(False))
     name = F.when(~own & ~system, F.col("who"))
     role = F.when(own, "assistant").when(system, SYSTEM).otherwise("user")
     head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
-    segment = F.concat(head, F.col("text"), F.lit(END + "\n"))
     both = both.select(
-        "conv", "perspective", "part", "turn", "row", "who", "text", role.alias("role"), name.alias("name"),
-        segment.alias("segment"), F.length(segment).cast("long").alias("size"), F.length(head).alias("head"), own.alias("own"),
+        "conv", "perspective", "part", "place", role.alias("role"), name.alias("name"), head.alias("head"),
+        (F.length(head) + F.col("length") + len(END) + 1).alias("size"),
     )
     keys = ["conv", "perspective", "part"]
     earlier = Window.partitionBy("conv", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,23 +69,25 @@ def perspectives(
         F.col("conv").alias("c"), F.col("perspective").alias("p"), F.col("part").alias("q"),
         _or_zero(F.sum("size").over(earlier)).alias("base"), _or_zero(F.sum("n").over(earlier)).alias("first"),
     )
-    inside = Window.partitionBy(*keys).orderBy("turn", "who", "text", "row")
+    inside = Window.partitionBy(*keys).orderBy("place")
     so_far = _or_zero(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    placed = both.withColumn("so_far", so_far).withColumn("place", F.row_number().over(inside))
+    placed = both.withColumn("so_far", so_far).withColumn("number", F.row_number().over(inside))
     same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("part") == F.col("q"))
     start = F.col("base") + F.col("so_far")
-    return placed.join(before, same).select(
+    offsets = placed.join(before, same).drop("c", "p", "q", "part")
+    mine = F.col("role") == "assistant"
+    return offsets.join(numbered.select("place", "turn", "text"), "place").select(
         F.col("conv").alias("conv_id"),
         "perspective",
-        (F.col("first") + F.col("place")).alias("position"),
+        (F.col("first") + F.col("number")).alias("position"),
         "turn",
         "role",
         "name",
-        "segment",
+        F.concat("head", "text", F.lit(END + "\n")).alias("segment"),
         start.alias("start"),
         (start + F.col("size")).alias("end"),
-        F.when(F.col("own"), start + F.col("head")).alias("mask_start"),
-        F.when(F.col("own"), start + F.col("size") - 1).alias("mask_end"),
+        F.when(mine, start + F.length("head")).alias("mask_start"),
+        F.when(mine, start + F.col("size") - 1).alias("mask_end"),
     )
 
 

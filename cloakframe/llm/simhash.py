@@ -188,10 +188,10 @@ def one_of_each_group(
     several = first.where("again").select(F.struct("name", "fp").alias("kept"))
     if several.isEmpty():
         return kept
-    content = F.col(f"row.{text}")
+    content = F.col(f"row.`{text}`")
     again = (
-        docs.select(F.struct(*docs.columns).alias("row"))
-        .join(several, F.col(f"row.{key}").eqNullSafe(F.col("kept.name")))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        .join(several, F.col(f"row.`{key}`").eqNullSafe(F.col("kept.name")))
         .where(print_of(content) == F.col("kept.fp"))
         .groupBy("kept")
         .agg(F.min_by("row", F.coalesce(content, F.lit(""))).alias("row"))

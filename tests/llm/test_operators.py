@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import zlib
@@ -353,3 +354,70 @@ def test_pipeline(spark):
         ids = kept
     left = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
     assert left == ids
+
+
+def plain_chain(chain, text):
+    """The largest toxic marginal, by one forward and one backward pass."""
+    e = [math.exp(chain.emission(t)) for t in toxicity._TOKEN.findall(text or "")]
+    moves, forward, state = np.exp(chain.moves), [], np.ones(2)
+    for i, x in enumerate(e):
+        state = (state @ moves if i else state) * [1, x]
+        state = state / state.sum()
+        forward.append(state)
+    back, top = np.ones(2), 0.0
+    for x, state in zip(reversed(e), reversed(forward), strict=True):
+        both = state * back
+        top = max(top, both[1] / both.sum())
+        back = moves @ (back * [1, x])
+        back = back / back.sum()
+    return top
+
+
+def plain_trees(trees, text):
+    x, total = quality.statistics(text), trees.base
+    for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + 1 + (x[feature[at]] > threshold[at])
+        total += leaf[at - len(feature)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_pipeline_by_plain_versions(spark):
+    """Each stage again, document by document; only the fitted models are shared."""
+    read = lambda name: spark.read.parquet(f"{SF_DIR}/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    left = lambda: docs.where(F.col("doc_id").isin(list(texts)))
+
+    chain = toxicity.fit(docs, labels)
+    texts = {d: t for d, t in texts.items() if plain_chain(chain, t) < 0.5}
+    trees = quality.fit(left(), labels)
+    texts = {d: t for d, t in texts.items() if plain_trees(trees, t) >= quality.THRESHOLD}
+    ids = sorted(texts)
+    roots = plain_components([plain_fingerprint(texts[d]) for d in ids])
+    texts = {d: texts[d] for i, d in enumerate(ids) if roots[i] == i}
+    items = [(r.item_id, r.text) for r in read("benchmark").select("item_id", "text").collect()]
+    hits = {d: plain_hits(t, items) for d, t in texts.items()}
+    texts = {d: t for d, t in texts.items() if not hits[d][1] or 20 * hits[d][1] < hits[d][0]}
+
+    library, want = Tokenizer.from_file(WORD_FILE), []
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    for d, t in texts.items():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((d, len(ids), digest(np.array(ids, "<u4").tobytes()), digest(decoded.encode())))
+    got = corpus_pipeline.run(spark, SF_DIR).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd):
+    """Nulls, repeats, empty and very long texts, and columns under the names that the stages use themselves."""
+    names = ["print", "kept", "known", "root", "fp", "kept_0", "hash", "content", "a.b", "label"]
+    docs = odd.withColumns({n: F.when(F.col("row") > 3, F.col("row")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0, name
+        after = stage(spark, docs, SF_DIR)
+        assert after.columns == docs.columns and after.exceptAll(docs).count() == 0, name
+    assert corpus_pipeline.encode(spark, docs, SF_DIR).count() == docs.count()
+    assert corpus_pipeline.encode(spark, docs.limit(0), SF_DIR).count() == 0

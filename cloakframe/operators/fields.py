@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakframe.functions.binding import let
 from cloakframe.functions.labels import SENSITIVE_FIELDS
 from cloakframe.functions.maskers import REDACTED
 from cloakframe.functions.spans import (
+    SPANS_TYPE,
     collect_spans,
     count_by_detector,
     mark_applied,
@@ -82,51 +84,61 @@ def mask_table(
     """
     actions = policy.field_actions()
     strings = set(string_columns(df)) - set(keep)
-    detectors = policy.detectors()
-    staged = df
-    scanned: list[str] = []
-    for index, name in enumerate(df.columns):
-        rule = actions.get(name.lower())
-        if name not in strings or (rule is not None and rule.action != "mask"):
-            continue
-        text = _ident(name)
-        if skip_formulas:
-            text = F.when(~F.startswith(text, F.lit("=")), text)
-        scanned.append(name)
-        staged = staged.withColumn(f"_f{index}", collect_spans(text, detectors)).withColumn(
-            f"_k{index}", resolve_overlaps(F.col(f"_f{index}"))
-        )
+    rules = {c: actions.get(c.lower()) for c in df.columns}
+    scanned = [c for c in df.columns if c in strings and (rules[c] is None or rules[c].action == "mask")]
+    staged = _scanned(df, policy, scanned, skip_formulas)
 
     out: list[Column] = []
-    for index, name in enumerate(df.columns):
-        rule = actions.get(name.lower())
+    for name in df.columns:
         if name in scanned:
-            out.append(replace_spans(_ident(name), F.col(f"_k{index}"), policy.replacement).alias(name))
+            out.append(F.get("_masked", F.lit(scanned.index(name))).alias(name))
         elif name not in strings:
             out.append(_ident(name))
-        elif rule.action == "replace":
-            out.append(field_replace(_ident(name), rule).alias(name))
+        elif rules[name].action == "replace":
+            out.append(field_replace(_ident(name), rules[name]).alias(name))
         elif blank_removed:
             out.append(F.lit("").alias(name))
     if with_stats:
-        places = [df.columns.index(n) for n in scanned]
-        out.extend(_summed([F.col(f"_f{i}") for i in places], [F.col(f"_k{i}") for i in places]))
+        out.extend(_summed())
     return staged.select(*out)
 
 
-def _summed(found: list[Column], kept: list[Column]) -> list[Column]:
-    def total(columns: list[Column]) -> Column:
-        value = F.lit(0)
-        for c in columns:
-            value = value + F.size(c)
-        return value.cast("bigint")
+def _scanned(df: DataFrame, policy: Policy, names: list[str], skip_formulas: bool) -> DataFrame:
+    """Columns ``_cells`` (spans found and kept of each cell) and ``_masked`` (the cells masked) as arrays.
+
+    The cells of a row form one array, so detection stands in the plan once, however wide the table is.
+    """
+    detectors = policy.detectors()
+    kind = f"array<struct<found:{SPANS_TYPE},kept:{SPANS_TYPE}>>"
+
+    def scan(text: Column) -> Column:
+        return let(
+            collect_spans(text, detectors),
+            lambda found: F.struct(found.alias("found"), resolve_overlaps(found).alias("kept")),
+        )
+
+    texts = [_ident(n) for n in names]
+    seen = [F.when(~F.startswith(t, F.lit("=")), t) for t in texts] if skip_formulas else texts
+    if any(d.spans is not None for d in detectors):
+        # A user's function may be a Python one, which no lambda can hold.
+        cells = F.array(*map(scan, seen))
+    else:
+        cells = F.transform(F.array(*seen).cast("array<string>"), scan)
+    staged = df.withColumn("_cells", cells.cast(kind))
+    masked = F.zip_with(
+        F.array(*texts).cast("array<string>"), "_cells", lambda t, c: replace_spans(t, c["kept"], policy.replacement)
+    )
+    return staged.withColumn("_masked", masked).withColumn("_kept", F.flatten(F.transform("_cells", lambda c: c["kept"])))
+
 
-    every = F.concat(*kept) if kept else F.array().cast("array<struct<detector:string>>")
+def _summed() -> list[Column]:
+    found = F.aggregate("_cells", F.lit(0), lambda n, c: n + F.size(c["found"])).cast("bigint")
+    kept = F.size("_kept").cast("bigint")
     return [
-        total(found).alias("matches_found"),
-        total(kept).alias("matches_applied"),
-        (total(found) - total(kept)).alias("matches_skipped"),
-        count_by_detector(every).alias("detector_counts"),
+        found.alias("matches_found"),
+        kept.alias("matches_applied"),
+        (found - kept).alias("matches_skipped"),
+        count_by_detector(F.col("_kept")).alias("detector_counts"),
     ]
 
 

@@ -203,33 +203,31 @@ def demask(
     df: DataFrame,
     mapping: DataFrame,
     prefixes: Sequence[str],
-    key: str,
     texts: Sequence[str] = ("text",),
     length: int = TOKEN_HEX_LENGTH,
     skip_formulas: bool = False,
 ) -> DataFrame:
     """Put the original values back and add ``replacements``, the number of tokens replaced.
 
-    The tokens of each row are looked up in the mapping by a join; the few that belong to one row
-    come back as a map on ``key``, and the text is rebuilt in its row. Rows sharing a key share
-    their map, which changes nothing, since a token means the same everywhere. A null key is a key.
+    Rows without tokens take no part in the join. The others are joined by the set of their tokens: the
+    values of a set come back as one map, no larger than the tokens of one row, and the text is rebuilt in
+    its row. ``df`` is read more than once, so mask and write first, then restore.
     """
     live = lambda c: F.when(~F.startswith(F.col(c), F.lit("=")), F.col(c)) if skip_formulas else F.col(c)
     found = F.flatten(
         F.array(*[F.coalesce(tokens_in(live(c), prefixes, length), F.array().cast("array<string>")) for c in texts])
     )
     variants = F.flatten(F.transform(F.array_distinct(found), lambda t: _variants(t, prefixes, length)))
-    wanted = (
-        df.select(key, F.explode_outer(F.array_distinct(variants)).alias("token"))
-        .where(F.col("token").isNotNull())
-        .distinct()
-    )
+    listed = df.withColumn("_tokens", F.array_sort(F.array_distinct(variants)))
+    plain = listed.where(F.size("_tokens") == 0).drop("_tokens").withColumn("replacements", F.lit(0).cast("bigint"))
+    holding = listed.where(F.size("_tokens") > 0).withColumn("_set", F.sha2(F.array_join("_tokens", ","), 256))
+    wanted = holding.select("_set", F.explode_outer("_tokens").alias("token")).distinct()
     known = (
         wanted.join(mapping.select("token", "value"), "token")
-        .groupBy(F.col(key).alias("_of"))
+        .groupBy("_set")
         .agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("_known"))
     )
-    joined = df.join(known, df[key].eqNullSafe(known["_of"]), "left").drop("_of").withColumn(
+    joined = holding.join(known, "_set", "left").withColumn(
         "_known", F.coalesce("_known", F.create_map().cast("map<string,string>"))
     )
     for i, c in enumerate(texts):
@@ -247,7 +245,7 @@ def demask(
     total = F.lit(0).cast("bigint")
     for i in range(len(texts)):
         total = total + F.coalesce(F.col(f"_r{i}.replacements"), F.lit(0))
-    return joined.select(*out, total.alias("replacements"))
+    return joined.select(*out, total.alias("replacements")).unionByName(plain)
 
 
 def demask_table(
@@ -255,7 +253,7 @@ def demask_table(
 ) -> DataFrame:
     """``demask`` over all string columns but the key; formula cells stay."""
     texts = [c for c in string_columns(df) if c != key]
-    return demask(df, mapping, prefixes, key, texts, length, skip_formulas=True)
+    return demask(df, mapping, prefixes, texts, length, skip_formulas=True)
 
 
 def demask_with_keys(text: Column, mapping: Mapping[str, str]) -> Column:

@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 from cloakframe.plans.policy import Policy
 
 
-def _nonzero_map(names: Sequence[str], counts: Sequence[Column]) -> Column:
-    if not names:
-        return F.create_map().cast("map<string,bigint>")
-    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*counts))
-    return F.map_filter(pairs, lambda _, n: n > 0)
-
-
 def _sums(rows: DataFrame, keys: Sequence[str], totals: dict[str, Column], counts: str, name: str) -> DataFrame:
     """Sums of ``totals`` by ``keys`` and the map ``name`` of all detectors' counts.
 
@@ -28,7 +21,8 @@ def _sums(rows: DataFrame, keys: Sequence[str], totals: dict[str, Column], count
     zeros = [F.lit(0).cast("bigint").alias(t) for t in totals]
     found = F.coalesce(F.map_entries(counts), F.array().cast("array<struct<key:string,value:bigint>>"))
     parts = F.transform(found, lambda e: F.struct(e["key"].alias("detector"), e["value"].alias("n"), *zeros))
-    taken = rows.select(*keys, F.explode(F.concat(F.array(own), parts)).alias("p")).select(*keys, "p.*")
+    # Never empty; an inner explode would copy what the counts are made of into a filter on their size.
+    taken = rows.select(*keys, F.explode_outer(F.concat(F.array(own), parts)).alias("p")).select(*keys, "p.*")
     each = taken.groupBy(*keys, "detector").agg(*[F.sum(c).alias(c) for c in ("n", *totals)])
     entry = F.when(F.col("detector").isNotNull() & (F.col("n") > 0), F.struct("detector", "n"))
     return each.groupBy(*keys).agg(
@@ -102,53 +96,36 @@ def detector_totals(findings: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
-def _spans_of(spans: Column, detector: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["detector"] == detector))
-
-
 def column_profile(df: DataFrame, policy: Policy, columns: Sequence[str] | None = None) -> DataFrame:
     """Sensitivity of each string column: non-empty cells, cells with a hit, spans per detector.
 
-    One scan and one aggregation to a single row; the row is then unpivoted, so no cell is copied
-    per column.
+    Cells become rows of column name and text, so detection stands in the plan once; they are summed by
+    column and detector before anything is shuffled. A column without rows has zeros.
     """
     from cloakframe.operators.fields import string_columns
-    from cloakframe.functions.spans import collect_spans, resolve_overlaps
+    from cloakframe.functions.spans import collect_spans, count_by_detector, resolve_overlaps
 
     names = list(columns) if columns is not None else string_columns(df)
-    detectors = [d.name for d in policy.detectors()]
-    staged = df.select(*names)
-    for i, name in enumerate(names):
-        staged = staged.withColumn(f"_k{i}", resolve_overlaps(collect_spans(F.col(name), policy.detectors())))
-
-    sums: list[Column] = []
-    for i, name in enumerate(names):
-        kept = F.col(f"_k{i}")
-        sums.append(F.count_if(F.coalesce(F.length(name), F.lit(0)) > 0).alias(f"_c{i}"))
-        sums.append(F.count_if(F.size(kept) > 0).alias(f"_h{i}"))
-        for j, d in enumerate(detectors):
-            hits = _spans_of(kept, d)
-            sums.append(F.coalesce(F.sum(hits), F.lit(0)).cast("bigint").alias(f"_d{i}_{j}"))
-    row = staged.agg(*sums)
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.col(f"_c{i}").alias("cells"),
-                F.col(f"_h{i}").alias("cells_hit"),
-                _nonzero_map(detectors, [F.col(f"_d{i}_{j}") for j in range(len(detectors))]).alias(
-                    "detector_counts"
-                ),
-            )
-            for i, name in enumerate(names)
-        ]
+    pairs = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("cell")) for n in names])
+    kind = "array<struct<column_name:string,cell:string>>"
+    cells = df.select(F.explode(pairs.cast(kind)).alias("c")).select("c.*")
+    spans = cells.withColumn("_kept", resolve_overlaps(collect_spans(F.col("cell"), policy.detectors())))
+    counted = spans.select(
+        "column_name",
+        (F.coalesce(F.length("cell"), F.lit(0)) > 0).cast("bigint").alias("cells"),
+        (F.size("_kept") > 0).cast("bigint").alias("cells_hit"),
+        count_by_detector(F.col("_kept")).alias("detector_counts"),
     )
-    return row.select(F.explode(lines).alias("p")).select(
-        "p.column_name",
-        "p.cells",
-        "p.cells_hit",
-        F.when(F.col("p.cells") > 0, F.col("p.cells_hit") / F.col("p.cells")).alias("hit_share"),
-        "p.detector_counts",
+    zero = F.lit(0).cast("bigint")
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("column_name"))
+    zeros = listed.select("column_name", zero.alias("cells"), zero.alias("cells_hit"), F.create_map().cast("map<string,bigint>").alias("detector_counts"))
+    totals = {"cells": F.col("cells"), "cells_hit": F.col("cells_hit")}
+    return _sums(counted.unionByName(zeros), ["column_name"], totals, "detector_counts", "detector_counts").select(
+        "column_name",
+        "cells",
+        "cells_hit",
+        F.when(F.col("cells") > 0, F.col("cells_hit") / F.col("cells")).alias("hit_share"),
+        "detector_counts",
     )
 
 

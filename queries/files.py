@@ -135,6 +135,26 @@ def _mask_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv_strings(spark, target).drop("c_acctbal")
 
 
+def _csv_headers_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose columns are in another order, or lack one: cells stay under their own names."""
+    path = shared_folder(spark, "csv-headers")
+    rows = people(spark, sf_dir).select(F.col(K).cast("string").alias("id"), "Password", "comment", K)
+    for rest, columns in enumerate((["id", "Password", "comment"], ["comment", "id", "Password"], ["Password", "id"])):
+        sinks.write_masked(rows.where(F.col(K) % 3 == rest).select(*columns), f"{path}/{rest}", "csv")
+    return formats.mask_csv(readers.read_csv_strings(spark, path, columns=["id", "Password", "comment"]), POLICY)
+
+
+def _log_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files in three encodings, recognised by file, read as lines and masked."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    path = shared_folder(spark, "log-encodings")
+    lines = table(spark, sf_dir, "customer").select(K, F.expr(f"'Иван Шевцов u' || cast({K} as string) || '@mail.ru'").alias("line"))
+    for rest, charset in enumerate(("UTF-8", "windows-1251", "IBM866")):
+        lines.where(F.col(K) % 3 == rest).select("line").write.option("encoding", charset).csv(f"{path}/{rest}")
+    read = readers.read_log(spark, path, suffix=".csv", encoding="detect")
+    return formats.mask_log(read, _PLAIN).select("line", "matches_applied")
+
+
 def _csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header holding an address, masked like a cell."""
     path = shared_folder(spark, "csv-header")
@@ -250,6 +270,16 @@ def _mapping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.load_mapping(spark, out, PASSPHRASE)
 
 
+def _mapping_stream_onto_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream onto a store that holds the customers' addresses already: none of them is lost."""
+    out, marks = shared_folder(spark, "mapping"), shared_folder(spark, "mapping-marks")
+    policy = Policy.only(SECRET, "email", "ip_address")
+    held = table(spark, sf_dir, "customer").select(F.expr("'mail c' || cast(c_custkey as string) || '@mail.ru'").alias("text"))
+    m.save_mapping(m.build_mapping(held, policy), out, PASSPHRASE, 0)
+    streams.mapping_stream(_stream(spark, sf_dir), policy, out, PASSPHRASE, marks).awaitTermination()
+    return m.load_mapping(spark, out, PASSPHRASE)
+
+
 def _cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, marks = shared_folder(spark, "cache"), shared_folder(spark, "cache-marks")
     policy = Policy.only(SECRET, "email", "ip_address")
@@ -265,6 +295,9 @@ QUERIES = {
     "mask_text_docs": _mask_docs,
     "mask_csv": _mask_csv,
     "mask_csv_header": _csv_header,
+    "mask_csv_headers_differ": _csv_headers_differ,
+    "mask_log_encodings": _log_encodings,
+    "mapping_stream_onto_store": _mapping_stream_onto_store,
     "mask_json_files": _mask_json,
     "mask_xml": _mask_xml,
     "scan_directory": _scan,
@@ -335,6 +368,14 @@ SELECT event_id, 'user ' || {_STREAM_MAIL} || ' at ' || {_STREAM_HOST} AS text,
     "mapping_stream": f"""
 SELECT DISTINCT {_STREAM_MAIL} AS token, {_MAIL} AS value FROM events
 UNION SELECT DISTINCT {_STREAM_HOST}, {_HOST} FROM events""",
+    "mapping_stream_onto_store": f"""
+SELECT DISTINCT {_STREAM_MAIL} AS token, {_MAIL} AS value FROM events
+UNION SELECT DISTINCT {_STREAM_HOST}, {_HOST} FROM events
+UNION SELECT {token_sql("'c' || c_custkey || '@mail.ru'", 'EMAIL')}, 'c' || c_custkey || '@mail.ru' FROM customer""",
+    "mask_csv_headers_differ": f"""
+SELECT CAST({K} AS VARCHAR) AS id, '' AS "Password",
+  CASE WHEN {K} % 3 = 2 THEN '' ELSE 'call ' || {_PEOPLE_MAIL} || ' from ' || {_PEOPLE_HOST} END AS comment FROM customer""",
+    "mask_log_encodings": f"SELECT 'Иван Шевцов ' || {_PEOPLE_MAIL} AS line, 1 AS matches_applied FROM customer",
     "token_cache_stream": f"""
 SELECT DISTINCT {_STREAM_MAIL} AS token FROM events UNION SELECT DISTINCT {_STREAM_HOST} FROM events""",
 }

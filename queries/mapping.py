@@ -69,11 +69,39 @@ def _merge_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.merge_token_cache(stored, own)
 
 
-def _demask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mask all texts and restore them: the originals come back, every token replaced."""
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once and read back, as masked data and mappings are before anything is restored."""
+    path = shared_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _masked_and_mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All texts masked, and their mapping, each written once and read back as stored ones are."""
     texts = all_texts(spark, sf_dir)
     masked = mask_with_stats(texts, _POLICY).select("key", "text", "matches_applied")
-    return m.demask(masked, m.build_mapping(texts, _POLICY), _PREFIXES, "key")
+    return _stored(masked), _stored(m.build_mapping(texts, _POLICY))
+
+
+def _demask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask all texts and restore them: the originals come back, every token replaced."""
+    return m.demask(*_masked_and_mapped(spark, sf_dir), _PREFIXES)
+
+
+def _demask_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which a third has no key and the others share one."""
+    key = F.when(F.col(K) % 3 != 0, F.lit("file"))
+    lines = table(spark, sf_dir, "customer").select(K, key.alias("key"), F.expr(f"'mail u' || {K} || '@mail.ru'").alias("text"))
+    masked = mask_with_stats(lines, _POLICY).select(K, "key", "text")
+    return m.demask(_stored(masked), _stored(m.build_mapping(lines, _POLICY)), _PREFIXES)
+
+
+def _demask_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts masked with tokens of an earlier run's cache, restored by the mapping of the same arguments."""
+    texts, policy, held = _cached_texts(spark, sf_dir), _cache_policy(), _held_cache(spark, sf_dir)
+    masked = m.mask_with_cache(texts, policy, K, cache=held)
+    known = m.build_mapping(texts, policy, cache=held, order=[K])
+    return m.demask(_stored(masked), _stored(known), [*policy.hmac_prefixes().values(), "LOGIN"])
 
 
 # A text with tokens that are mapped, not mapped, and mapped under the shorter of two prefixes.
@@ -87,7 +115,7 @@ def _demask_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = customers.select(
         K, F.concat(F.lit("a "), token, F.lit("f, DOCUMENT_"), token, F.lit(" x"), token, token).alias("text")
     )
-    return m.demask(texts, known, ["CODE", "DOCUMENT_CODE"], K)
+    return m.demask(texts, known, ["CODE", "DOCUMENT_CODE"])
 
 
 def _demask_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,16 +123,14 @@ def _demask_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.explode(F.array("contact", "comment", "formula")).alias("text")
     known = m.build_mapping(rows.select(values), _POLICY)
     masked = mask_table(rows, _POLICY, skip_formulas=True)
-    return m.demask_table(masked, known, _PREFIXES, K)
+    return m.demask_table(_stored(masked), _stored(known), _PREFIXES, K)
 
 
 def _demask_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.operators.reports import demask_report
 
-    texts = all_texts(spark, sf_dir)
-    masked = mask_with_stats(texts, _POLICY).select("key", "text")
-    known = m.build_mapping(texts, _POLICY)
-    return demask_report(m.demask(masked, known, _PREFIXES, "key"), known)
+    masked, known = _masked_and_mapped(spark, sf_dir)
+    return demask_report(m.demask(masked, known, _PREFIXES), known)
 
 
 def _demask_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +191,8 @@ QUERIES = {
     "merge_mapping": _merge,
     "merge_token_cache": _merge_cache,
     "demask": _demask,
+    "demask_null_keys": _demask_null_keys,
+    "demask_cached_tokens": _demask_cached,
     "demask_partial_mapping": _demask_parts,
     "demask_table": _demask_table,
     "demask_report": _demask_report,
@@ -184,6 +212,9 @@ ORACLES = {
 WITH {_CTES}
 SELECT t.key, t.text, coalesce(k.n, 0) AS matches_applied, coalesce(k.n, 0) AS replacements
 FROM texts t LEFT JOIN (SELECT key, count(*) AS n FROM kept GROUP BY key) k ON k.key = t.key""",
+    "demask_null_keys": f"""
+SELECT {K}, CASE WHEN {K} % 3 <> 0 THEN 'file' END AS key, 'mail u' || {K} || '@mail.ru' AS text, 1 AS replacements FROM customer""",
+    "demask_cached_tokens": f"SELECT {K}, {_CACHE_EXPR} AS text, 2 AS replacements FROM customer",
     "demask_partial_mapping": f"""
 SELECT {K}, CASE WHEN {K} % 2 = 0 THEN 'a ' || c_name || 'f, DOCUMENT_' || c_name || ' x' || c_name || c_name
   ELSE 'a ' || t || 'f, DOCUMENT_' || t || ' x' || t || t END AS text, CASE WHEN {K} % 2 = 0 THEN 4 ELSE 0 END AS replacements

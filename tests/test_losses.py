@@ -58,7 +58,7 @@ def test_null_keys_are_restored(spark):
     df = spark.createDataFrame([(None, "mail a@b.ru"), (1, "mail c@d.ru")], "id long, text string")
     tokens = mapping.build_mapping(df, POLICY)
     hidden = mask_with_stats(df, POLICY, text="text").select("id", "text")
-    restored = mapping.demask(hidden, tokens, POLICY.hmac_prefixes().values(), "id").collect()
+    restored = mapping.demask(hidden, tokens, POLICY.hmac_prefixes().values()).collect()
     assert {r.text for r in restored} == {"mail a@b.ru", "mail c@d.ru"} and all(r.replacements == 1 for r in restored)
 
 
@@ -69,7 +69,7 @@ def test_cached_tokens_are_restored(spark):
     hidden = mapping.mask_with_cache(df, POLICY, "id", cache=cache)
     assert "EMAIL_aaaa" in hidden.first().text
     tokens = mapping.build_mapping(df, POLICY, cache=cache, order=["id"])
-    assert mapping.demask(hidden, tokens, ["EMAIL"], "id").first().text == "mail a@b.ru"
+    assert mapping.demask(hidden, tokens, ["EMAIL"]).first().text == "mail a@b.ru"
 
 
 def test_streams_rewrite_nothing_stored(spark, tmp_path):

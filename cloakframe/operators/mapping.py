@@ -214,14 +214,14 @@ def demask(
     its row. ``df`` is read more than once, so mask and write first, then restore.
     """
     live = lambda c: F.when(~F.startswith(F.col(c), F.lit("=")), F.col(c)) if skip_formulas else F.col(c)
-    found = F.flatten(
-        F.array(*[F.coalesce(tokens_in(live(c), prefixes, length), F.array().cast("array<string>")) for c in texts])
-    )
-    variants = F.flatten(F.transform(F.array_distinct(found), lambda t: _variants(t, prefixes, length)))
-    listed = df.withColumn("_tokens", F.array_sort(F.array_distinct(variants)))
+    cells = F.array(*[live(c) for c in texts]).cast("array<string>")
+    none = F.array().cast("array<string>")
+    found = F.flatten(F.transform(cells, lambda t: F.coalesce(tokens_in(t, prefixes, length), none)))
+    listed = df.withColumn("_tokens", F.array_distinct(found))
     plain = listed.where(F.size("_tokens") == 0).drop("_tokens").withColumn("replacements", F.lit(0).cast("bigint"))
-    holding = listed.where(F.size("_tokens") > 0).withColumn("_set", F.sha2(F.array_join("_tokens", ","), 256))
-    wanted = holding.select("_set", F.explode_outer("_tokens").alias("token")).distinct()
+    holding = listed.where(F.size("_tokens") > 0).withColumn("_set", F.sha2(F.array_join(F.array_sort("_tokens"), ","), 256))
+    variants = F.flatten(F.transform("_tokens", lambda t: _variants(t, prefixes, length)))
+    wanted = holding.select("_set", F.explode_outer(variants).alias("token")).distinct()
     known = (
         wanted.join(mapping.select("token", "value"), "token")
         .groupBy("_set")
@@ -230,21 +230,17 @@ def demask(
     joined = holding.join(known, "_set", "left").withColumn(
         "_known", F.coalesce("_known", F.create_map().cast("map<string,string>"))
     )
-    for i, c in enumerate(texts):
-        restored = let(live(c), lambda t: let(F.col("_known"), lambda k: _restore(t, k, prefixes, length)))
-        joined = joined.withColumn(f"_r{i}", restored)
+    restored = let(F.col("_known"), lambda k: F.transform(cells, lambda t: _restore(t, k, prefixes, length)))
+    joined = joined.withColumn("_restored", restored)
     place = {c: i for i, c in enumerate(texts)}
     out = []
     for c in df.columns:
         if c not in place:
             out.append(F.col(c))
-        elif skip_formulas:
-            out.append(skip_formula_cells(F.col(c), F.col(f"_r{place[c]}.text")).alias(c))
         else:
-            out.append(F.col(f"_r{place[c]}.text").alias(c))
-    total = F.lit(0).cast("bigint")
-    for i in range(len(texts)):
-        total = total + F.coalesce(F.col(f"_r{i}.replacements"), F.lit(0))
+            text = F.get("_restored", F.lit(place[c]))["text"]
+            out.append((skip_formula_cells(F.col(c), text) if skip_formulas else text).alias(c))
+    total = F.aggregate("_restored", F.lit(0).cast("bigint"), lambda n, r: n + r["replacements"])
     return joined.select(*out, total.alias("replacements")).unionByName(plain)
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.operators import mapping, ner
-from cloakframe.operators.reports import batch_document, batch_report, file_report
+from cloakframe.operators.fields import mask_table
+from cloakframe.operators.reports import batch_document, batch_report, column_profile, file_report
 from cloakframe.plans.extend import register_detector
 from cloakframe.plans.masking import mask_with_stats
 from cloakframe.plans.policy import Policy
@@ -133,3 +134,21 @@ def test_no_shuffle_under_masking(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = mask_with_stats(df, POLICY, text="text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_rows_without_tokens_and_empty_tables_are_kept(spark):
+    df = spark.createDataFrame([(1, None), (1, ""), (2, "plain_text"), (2, "mail a@b.ru, a@b.ru")], "id long, text string")
+    tokens = mapping.build_mapping(df, POLICY)
+    hidden = mask_with_stats(df, POLICY, text="text").select("id", "text")
+    restored = mapping.demask(hidden, tokens, ["EMAIL"])
+    assert {(r.id, r.text, r.replacements) for r in restored.collect()} == {(1, None, 0), (1, "", 0), (2, "plain_text", 0), (2, "mail a@b.ru, a@b.ru", 2)}
+    assert mapping.demask(hidden, tokens.limit(0), ["EMAIL"]).where("text like '%EMAIL_%'").count() == 1
+    assert mapping.demask(hidden.limit(0), tokens, ["EMAIL"]).count() == 0
+
+
+def test_wide_tables_detect_once(spark):
+    """The plan of a masked table does not grow with a copy of the detection for each column."""
+    size = lambda n: len(mask_table(spark.range(1).select(*[F.lit("a@b.ru").alias(f"c{i}") for i in range(n)]), POLICY)._jdf.queryExecution().analyzed().toString())
+    assert size(40) < 3 * size(4)
+    profile = column_profile(spark.createDataFrame([], "a string, b string"), POLICY).collect()
+    assert {(r.column_name, r.cells, r.hit_share) for r in profile} == {("a", 0, None), ("b", 0, None)}

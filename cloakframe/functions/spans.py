@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.functions.binding import extract_all, let, matches
+from cloakframe.functions.binding import extract_all, let, matches, running
 from cloakframe.functions.patterns import Detector, numeric_runs
 
 SPAN_TYPE = (
@@ -95,21 +95,21 @@ def _placed(text: Column, detector: Column, found: Column) -> Column:
 
     rows = let(gaps, lambda g: let(values, lambda v: match_rows(g, v)))
 
-    def step(state: Column, match: Column) -> Column:
-        end = state["at"] + match["ahead"]
-        start = end - match["behind"] - F.length(match["value"])
-        placed = span(
-            start, end - match["behind"], detector["name"], detector["priority"], detector["ord"], match["value"]
-        )
-        return F.struct(
-            F.when(match["is_key"] | (match["value"] == ""), state["done"])
-            .otherwise(F.concat(state["done"], F.array(placed)))
-            .alias("done"),
-            end.alias("at"),
+    def placed(match: Column, end: Column) -> Column:
+        last = end - match["behind"]
+        start = last - F.length(match["value"])
+        return span(start, last, detector["name"], detector["priority"], detector["ord"], match["value"])
+
+    def spans(matched: Column) -> Column:
+        ends = running(F.transform(matched, lambda match: match["ahead"]), lambda a, b: a + b, 0)
+        every = F.zip_with(
+            matched,
+            ends,
+            lambda match, end: F.struct((match["is_key"] | (match["value"] == "")).alias("gone"), placed(match, end).alias("span")),
         )
+        return F.transform(F.filter(every, lambda x: ~x["gone"]), lambda x: x["span"])
 
-    start = F.struct(no_spans().alias("done"), F.lit(0).alias("at"))
-    return F.aggregate(rows, start, step, lambda state: state["done"])
+    return let(rows, spans)
 
 
 def _own_spans(text: Column, detector: Detector, ord_: int) -> Column:
@@ -219,33 +219,22 @@ def resolve_overlaps(spans: Column) -> Column:
     usual text whose spans do not touch.
     """
 
-    def flush(state: Column) -> Column:
-        group = state["group"]
-        return F.concat(
-            state["done"], F.when(F.size(group) > 1, _accept_greedily(group)).otherwise(group)
-        )
-
-    def step(state: Column, item: Column) -> Column:
-        return F.when(
-            item["start"] < state["reach"],
-            F.struct(
-                state["done"].alias("done"),
-                F.concat(state["group"], F.array(item)).alias("group"),
-                F.greatest(state["reach"], item["end"]).alias("reach"),
-            ),
-        ).otherwise(
-            F.struct(
-                flush(state).alias("done"),
-                F.array(item).alias("group"),
-                item["end"].alias("reach"),
-            )
-        )
+    def won(group: Column) -> Column:
+        return F.when(F.size(group) > 1, _accept_greedily(group)).otherwise(group)
 
     def by_group(ordered: Column) -> Column:
-        zero = F.struct(
-            no_spans().alias("done"), no_spans().alias("group"), F.lit(-1).alias("reach")
+        reach = running(F.transform(ordered, lambda s: s["end"]), lambda a, b: F.greatest(a, b), -1)
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        heads = let(
+            reach,
+            lambda r: F.filter(places, lambda i: (i == 0) | (F.get(ordered, i)["start"] >= F.get(r, i - 1))),
         )
-        return F.aggregate(ordered, zero, step, flush)
+
+        def groups(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1), F.size(ordered))
+            return F.transform(at, lambda head, j: won(F.slice(ordered, head + 1, end(j) - head)))
+
+        return F.flatten(let(heads, groups))
 
     def touching(ordered: Column) -> Column:
         reach = lambda i: F.get(ordered, i - 1)["end"]
@@ -302,34 +291,54 @@ def count_by_detector(spans: Column) -> Column:
 
 
 def mark_applied(found: Column, kept: Column) -> Column:
-    """The found spans with a flag ``applied``: is the span one of the kept ones."""
-
-    def marked(lost: Column) -> Column:
-        return F.transform(
-            found,
-            lambda s: F.struct(
-                s["detector"].alias("detector"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["value"].alias("value"),
-                (~F.array_contains(lost, _place(s))).alias("applied"),
+    """The found spans by start, with a flag ``applied``: is the span one of the kept ones."""
+
+    def marked(both: Column) -> Column:
+        rows = F.transform(
+            both,
+            lambda x, i: F.struct(
+                x["detector"].alias("detector"),
+                x["start"].alias("start"),
+                x["end"].alias("end"),
+                x["span"]["value"].alias("value"),
+                _follows_kept(both, x, i).alias("applied"),
+                x["found"].alias("found"),
             ),
         )
+        return F.transform(F.filter(rows, lambda x: x["found"]), lambda x: x.dropFields("found"))
 
-    return let(_lost_places(found, kept), marked)
+    return let(_side_by_side(found, kept), marked)
 
 
 def lost_spans(found: Column, kept: Column) -> Column:
-    """The found spans that are not kept."""
-    return let(
-        _lost_places(found, kept), lambda lost: F.filter(found, lambda s: F.array_contains(lost, _place(s)))
-    )
+    """The found spans that are not kept, by start."""
+
+    def lost(both: Column) -> Column:
+        left = F.filter(both, lambda x, i: x["found"] & ~_follows_kept(both, x, i))
+        return F.transform(left, lambda x: x["span"])
+
+    return let(_side_by_side(found, kept), lost)
+
 
+def _side_by_side(found: Column, kept: Column) -> Column:
+    """Found and kept spans in one sorted array, a kept one right before itself among the found."""
+
+    def rows(spans: Column, is_found: bool) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["detector"].alias("detector"),
+                F.lit(is_found).alias("found"),
+                s.alias("span"),
+            ),
+        )
 
-def _place(s: Column) -> Column:
-    """What tells the spans of one text apart, as text."""
-    return F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["detector"])
+    return F.array_sort(F.concat(rows(kept, False), rows(found, True)))
 
 
-def _lost_places(found: Column, kept: Column) -> Column:
-    return F.array_except(F.transform(found, _place), F.transform(kept, _place))
+def _follows_kept(both: Column, x: Column, i: Column) -> Column:
+    before = F.get(both, i - 1)
+    same = (before["start"] == x["start"]) & (before["end"] == x["end"]) & (before["detector"] == x["detector"])
+    return F.coalesce(same & ~before["found"], F.lit(False))

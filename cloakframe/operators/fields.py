@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json as jsonlib
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -185,9 +187,60 @@ def _mask_value(value: Column, kind: T.DataType, name: str, policy: Policy, mask
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         return _mask_map(value, kind, policy, mask)
+    if isinstance(kind, T.VariantType):
+        return _mask_variant(value, name, policy, mask)
     return value
 
 
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+_JSON_FLAT = rf'\[(?:{_JSON_STRING}|[^\[\]{{}}"])*+\]'
+
+
+def _mask_variant(value: Column, name: str, policy: Policy, mask: Masker) -> Column:
+    """A value of any kind: a string by the rule of its field; arrays and objects as text of JSON.
+
+    In that text the rules of fields apply to strings, and to arrays that hold no array or object: ``remove``
+    empties such an array, ``replace`` leaves the constant in it. A text that masking broke becomes a string.
+    """
+    text = F.variant_get(value, "$", "string")
+    rule = policy.field_actions().get(name.lower())
+    if rule is None or rule.action == "mask":
+        string = mask(text)
+    else:
+        string = F.lit(None).cast("string") if rule.action == "remove" else field_replace(text, rule)
+    whole = F.to_json(F.struct(value.alias("value" if rule is None else name)))
+    nested = let(
+        mask(_ruled_json(whole, policy)), lambda json: F.coalesce(F.try_parse_json(json), F.try_parse_json(F.to_json(F.struct(json.alias("value")))))
+    )
+    own = F.map_values(F.variant_get(nested, "$", "map<string,variant>"))
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind == "STRING", F.variant_get(F.to_variant_object(F.array(string)), "$[0]", "variant"))
+        .when(kind.rlike("^(ARRAY|OBJECT)"), F.get(own, F.lit(0)))
+        .otherwise(value)
+    )
+
+
+def _ruled_json(json: Column, policy: Policy) -> Column:
+    """Compact JSON text with the ``remove`` and ``replace`` rules applied.
+
+    A quote inside a string is escaped, so a quoted name before a colon is a key. NUL, which JSON text cannot
+    hold, marks what goes until its commas are known.
+    """
+    for field, rule in policy.field_actions().items():
+        if rule.action == "mask":
+            continue
+        key = f'(?i)("{re.escape(jsonlib.dumps(field, ensure_ascii=False)[1:-1])}":)'
+        if rule.action == "remove":
+            string, array = "\0", "$1[]"
+        else:
+            constant = jsonlib.dumps(rule.replacement or "", ensure_ascii=False).replace("\\", "\\\\").replace("$", "\\$")
+            string, array = f"$1{constant}", f"$1[{constant}]"
+        json = F.regexp_replace(json, F.lit(key + _JSON_FLAT), F.lit(array))
+        json = F.regexp_replace(json, F.lit(key + _JSON_STRING), F.lit(string))
+    return F.regexp_replace(F.regexp_replace(json, "\0,", ""), ",?\0", "")
+
+
 def _mask_items(value: Column, kind: T.ArrayType, name: str, policy: Policy, mask: Masker) -> Column:
     probe = isinstance(kind.elementType, T.StringType)
     rule = policy.field_actions().get(name.lower())

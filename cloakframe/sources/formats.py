@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,12 +147,37 @@ def mask_csv(
     return masked.withColumnsRenamed(renamed)
 
 
-def mask_json(df: DataFrame, policy: Policy, column: str, schema: str | T.DataType) -> DataFrame:
-    """Mask a column of JSON text with the given schema; numbers, booleans and nulls stay."""
-    parsed = df.withColumn(column, F.from_json(column, schema))
+def json_schema(df: DataFrame, column: str) -> str:
+    """A schema that fits all rows of a column of JSON text, from one pass; unparsable rows are left out."""
+    parsed = F.try_parse_json(column)
+    found = (df.select(F.schema_of_variant_agg(parsed)).first()[0] or "").replace("OBJECT<", "STRUCT<")
+    if not found.startswith(("STRUCT<", "ARRAY<")) or found == "STRUCT<>":
+        return "VARIANT"
+    # A field that is null everywhere.
+    return re.sub(r"(?<=[ <])VOID(?=[,>])", "STRING", found)
+
+
+def json_failures(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose text is no JSON; ``mask_json`` leaves null in their place."""
+    return df.where(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
+
+
+def mask_json(df: DataFrame, policy: Policy, column: str, schema: str | T.DataType | None = None) -> DataFrame:
+    """Mask a column of JSON text; numbers and booleans stay.
+
+    With a schema every field of it is written, nulls too. Without one the schema is taken from all rows, and
+    each row is written with the fields it has: a missing field stays missing, and so does a field that is
+    null. A value whose kind differs from row to row is masked as a text of its own and keeps its kind. A text
+    that is no JSON becomes null (see ``json_failures``).
+    """
+    wanted = json_schema(df, column) if schema is None else schema
+    text = F.col(column)
+    if schema is None:
+        text = F.when(F.try_parse_json(column).isNotNull(), text)
+    parsed = df.withColumn(column, F.from_json(text, wanted))
     others = [c for c in df.columns if c != column]
     masked = mask_nested(parsed, policy, keep=others)
-    back = F.to_json(column, {"ignoreNullFields": "false"})
+    back = F.to_json(column, {"ignoreNullFields": str(schema is None).lower()})
     return masked.select(*[back.alias(c) if c == column else F.col(c) for c in df.columns])
 
 

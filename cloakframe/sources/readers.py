@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import urllib.parse
 from collections.abc import Sequence
 
@@ -50,10 +51,17 @@ def scan_directory(
 
 
 def read_text_docs(
-    spark: SparkSession, path: str, suffix: str = ".txt", whole: bool = True, encoding: str = "utf-8"
+    spark: SparkSession,
+    path: str,
+    suffix: str = ".txt",
+    whole: bool = True,
+    encoding: str = "utf-8",
+    with_place: bool = False,
 ) -> DataFrame:
     """``(source, text)``: a row per file, or a row per line for files of any size.
 
+    ``with_place`` adds ``place``, which orders the lines of a file (see ``sinks.write_lines``).
+
     With ``encoding="detect"`` each file is decoded as ``decode_text_files`` does, which takes it into one
     row first; else files are UTF-8, and bytes that are not become U+FFFD.
     """
@@ -61,18 +69,33 @@ def read_text_docs(
         rows = decode_text_files(spark, path, suffix).select("source", "text")
         # The last line end ends a line and starts none.
         lines = F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n")
-        return rows if whole else rows.where("text <> ''").select("source", F.explode(lines).alias("text"))
+        if whole:
+            return rows.withColumn("place", _place(F.lit(0), F.lit(0))) if with_place else rows
+        rows = rows.where("text <> ''").select("source", F.posexplode(lines).alias("line", "text"))
+        place = [_place(F.lit(0), F.col("line")).alias("place")] if with_place else []
+        return rows.select("source", "text", *place)
     if encoding != "utf-8":
         raise ValueError("encoding has to be 'utf-8' or 'detect'")
     rows = _tree(spark, suffix).text(path, wholetext=whole, lineSep=None if whole else "\n")
+    place = _place(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     return rows.select(
-        F.col("_metadata.file_path").alias("source"), F.make_valid_utf8(F.col("value")).alias("text")
+        F.col("_metadata.file_path").alias("source"),
+        F.make_valid_utf8(F.col("value")).alias("text"),
+        *([place.alias("place")] if with_place else []),
     )
 
 
-def read_log(spark: SparkSession, path: str, suffix: str = ".log", encoding: str = "utf-8") -> DataFrame:
-    """``(source, line)`` of log files."""
-    return read_text_docs(spark, path, suffix, whole=False, encoding=encoding).withColumnRenamed("text", "line")
+def _place(block: Column, line: Column) -> Column:
+    """Where a line stands in its file: the input split, and a number that rises within the split."""
+    return F.struct(block.cast("long").alias("block"), line.cast("long").alias("line"))
+
+
+def read_log(
+    spark: SparkSession, path: str, suffix: str = ".log", encoding: str = "utf-8", with_place: bool = False
+) -> DataFrame:
+    """``(source, line)`` of log files, and ``place`` if asked for."""
+    rows = read_text_docs(spark, path, suffix, whole=False, encoding=encoding, with_place=with_place)
+    return rows.withColumnRenamed("text", "line")
 
 
 def read_sql_dump(spark: SparkSession, path: str, suffix: str = ".sql", encoding: str = "utf-8") -> DataFrame:
@@ -92,23 +115,18 @@ def read_csv_strings(
     """CSV with a header; every cell is a string and an empty cell is an empty string.
 
     Files are read by groups of equal header lines and united by name, so a cell never lands under the
-    name of another file's column; a column that a file lacks is empty there. ``columns`` says which are
-    wanted. ``multi_line`` off lets Spark split files whose cells hold no line ends.
+    name of another file's column; a column that a file lacks is empty there. Cells past the header are
+    columns ``extra_1``, ``extra_2`` and so on, where there are any. ``columns`` says which are wanted, extra ones too.
+    ``multi_line`` off lets Spark split files whose cells hold no line ends.
     """
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    place = _place(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = _tree(spark, suffix).text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
     headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
     groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("inferSchema", False)
-    )
+    options = {"header": True, "sep": delimiter, "multiLine": multi_line, "escape": '"', "inferSchema": False}
     rows = None
     for group in groups:
-        part = reader.csv([urllib.parse.unquote(f) for f in sorted(group.files)])
+        part = _with_extra_cells(spark, options, [urllib.parse.unquote(f) for f in sorted(group.files)])
         part = part.withColumn("_file", F.col("_metadata.file_path"))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     if rows is None:
@@ -119,6 +137,25 @@ def read_csv_strings(
     return rows.select(*cells, F.col("_file").alias("source")) if with_source else rows.select(*cells)
 
 
+def _with_extra_cells(spark: SparkSession, options: dict, files: list[str]) -> DataFrame:
+    """Files of one header, with a column for each place past it that holds a cell in some row."""
+    names = spark.read.options(**options).csv(files).columns
+
+    def read(columns: list[str], **more: str) -> DataFrame:
+        kind = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        return spark.read.options(**options, **more).schema(kind).csv(files)
+
+    ragged = read([*names, "_record"], columnNameOfCorruptRecord="_record")
+    # Delimiters inside quotes count too, so this is no less than the number of cells.
+    most = ragged.where("_record is not null").select(F.max(F.size(F.split("_record", re.escape(options["sep"])))), F.count(F.col(f"`{names[0]}`"))).first()[0]
+    places = [f"extra_{i + 1}" for i in range(max(0, (most or 0) - len(names)))]
+    wide = read([*names, *places])
+    if not places:
+        return wide
+    filled = wide.select([F.count(F.col(f"`{c}`")).alias(c) for c in places]).first()
+    return wide.drop(*[c for c in places if not filled[c]])
+
+
 def read_json_docs(
     spark: SparkSession,
     path: str,

@@ -125,6 +125,15 @@ def _mask_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_MAIL_OF = f"'u' || cast({K} as string) || '@mail.ru'"
+_VARIED = f"""CASE o_orderkey % 5
+  WHEN 0 THEN '{{"id":1,"email":"' || {_ORDER_MAIL} || '","any":5}}'
+  WHEN 1 THEN '{{"tags":["' || {_ORDER_MAIL} || '",null],"any":"to ' || {_ORDER_MAIL} || '"}}'
+  WHEN 2 THEN '{{"user":{{"password":"p","email":"' || {_ORDER_MAIL} || '"}}}}'
+  WHEN 3 THEN '{{"any":{{"password":"p","email":"' || {_ORDER_MAIL} || '","token":"t"}}}}'
+  ELSE '{{bad ' || {_ORDER_MAIL} END"""
+
+
 def _mask_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV written, read as strings, masked, written again and read back."""
     source, target = shared_folder(spark, "csv"), shared_folder(spark, "csv-masked")
@@ -155,6 +164,34 @@ def _log_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.mask_log(read, _PLAIN).select("line", "matches_applied")
 
 
+def _csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines of which one in three has cells past the header: they are kept and masked."""
+    path = shared_folder(spark, "csv-ragged")
+    line = f"cast({K} as string) || ',call ' || {_MAIL_OF} || CASE WHEN {K} % 3 = 0 THEN ',' || {_MAIL_OF} || ',7' ELSE '' END"
+    lines = table(spark, sf_dir, "customer").select(F.expr(line).alias("id,comment"))
+    sinks.write_masked(lines, path, "csv", delimiter="\t")
+    return formats.mask_csv(readers.read_csv_strings(spark, path), POLICY)
+
+
+def _json_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of differing keys and kinds, and some that is none, masked without a schema."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_VARIED).alias("doc"))
+    masked = formats.mask_json(docs, POLICY, "doc")
+    failed = formats.json_failures(docs, "doc").select("o_orderkey", F.lit(True).alias("failed"))
+    return masked.join(failed, "o_orderkey", "left").select("o_orderkey", "doc", F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files masked and written again, each under a label of its own."""
+    path, out = shared_folder(spark, "log-files"), shared_folder(spark, "log-files-masked")
+    lines = _log_lines(spark, sf_dir).select("line", (F.col("event_id") % 3).alias("part"))
+    lines.write.partitionBy("part").text(path)
+    read = readers.read_log(spark, path, suffix=".txt", with_place=True)
+    named = read.withColumn("source", F.concat(F.regexp_extract("source", "part=([^/]*)", 1), F.lit(".log")))
+    sinks.write_lines(formats.mask_log(named, _PLAIN), out)
+    return spark.read.text(out).select("output", F.col("value").alias("line"))
+
+
 def _csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header holding an address, masked like a cell."""
     path = shared_folder(spark, "csv-header")
@@ -297,6 +334,9 @@ QUERIES = {
     "mask_csv_header": _csv_header,
     "mask_csv_headers_differ": _csv_headers_differ,
     "mask_log_encodings": _log_encodings,
+    "mask_log_files": _log_files,
+    "mask_csv_ragged": _csv_ragged,
+    "mask_json_varied": _json_varied,
     "mapping_stream_onto_store": _mapping_stream_onto_store,
     "mask_json_files": _mask_json,
     "mask_xml": _mask_xml,
@@ -375,6 +415,16 @@ UNION SELECT {token_sql("'c' || c_custkey || '@mail.ru'", 'EMAIL')}, 'c' || c_cu
     "mask_csv_headers_differ": f"""
 SELECT CAST({K} AS VARCHAR) AS id, '' AS "Password",
   CASE WHEN {K} % 3 = 2 THEN '' ELSE 'call ' || {_PEOPLE_MAIL} || ' from ' || {_PEOPLE_HOST} END AS comment FROM customer""",
+    "mask_log_files": f"SELECT (event_id % 3) || '.masked.log' AS output, {_MASKED_LINE} AS line FROM events",
+    "mask_csv_ragged": f"""
+SELECT CAST({K} AS VARCHAR) AS id, 'call ' || {_PEOPLE_MAIL} AS comment, CASE WHEN {K} % 3 = 0 THEN {_PEOPLE_MAIL} ELSE '' END AS extra_1,
+  CASE WHEN {K} % 3 = 0 THEN '7' ELSE '' END AS extra_2 FROM customer""",
+    "mask_json_varied": f"""
+SELECT o_orderkey, CASE o_orderkey % 5
+  WHEN 0 THEN '{{"any":5,"email":"' || {_OM} || '","id":1}}'
+  WHEN 1 THEN '{{"any":"to ' || {_OM} || '","tags":["' || {_OM} || '",null]}}'
+  WHEN 2 THEN '{{"user":{{"email":"' || {_OM} || '"}}}}'
+  WHEN 3 THEN '{{"any":{{"email":"' || {_OM} || '","token":"[hidden]"}}}}' END AS doc, o_orderkey % 5 = 4 AS failed FROM orders""",
     "mask_log_encodings": f"SELECT 'Иван Шевцов ' || {_PEOPLE_MAIL} AS line, 1 AS matches_applied FROM customer",
     "token_cache_stream": f"""
 SELECT DISTINCT {_STREAM_MAIL} AS token FROM events UNION SELECT DISTINCT {_STREAM_HOST} FROM events""",

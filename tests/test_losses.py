@@ -8,8 +8,10 @@ from cloakframe.operators.fields import mask_table
 from cloakframe.operators.reports import batch_document, batch_report, column_profile, file_report
 from cloakframe.plans.extend import register_detector
 from cloakframe.plans.masking import mask_with_stats
-from cloakframe.plans.policy import Policy
+from cloakframe.plans.policy import FieldRule, Policy
+from cloakframe.sources.formats import json_failures, mask_csv, mask_json, mask_log
 from cloakframe.sources.readers import read_csv_strings, read_log
+from cloakframe.sources.sinks import write_lines
 from cloakframe.streaming.streams import mapping_stream, token_cache_stream
 
 POLICY = Policy.only("secret", "email")
@@ -152,3 +154,47 @@ def test_wide_tables_detect_once(spark):
     assert size(40) < 3 * size(4)
     profile = column_profile(spark.createDataFrame([], "a string, b string"), POLICY).collect()
     assert {(r.column_name, r.cells, r.hit_share) for r in profile} == {("a", 0, None), ("b", 0, None)}
+
+
+def test_cells_past_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"a,b,c",x@mail.ru,\n2\n3,"q\nw",,y\n')
+    (tmp_path / "b.csv").write_text('id,note\n4,"z,z,z"\n')
+    rows = read_csv_strings(spark, str(tmp_path))
+    assert {tuple(r) for r in rows.collect()} == {
+        ("1", "a,b,c", "x@mail.ru", ""), ("2", "", "", ""), ("3", "q\nw", "", "y"), ("4", "z,z,z", "", "")
+    }
+    assert "@" not in "".join(map(str, mask_csv(rows, POLICY).collect()))
+
+
+def test_json_of_any_shape(spark):
+    rows = ['{"k":1,"m":"a@b.ru"}', '{"m":{"Password":"p","l":[1,"c@d.ru"]}}', '{"m":["e@f.ru",{"password":["q"],"n":2}]}', "{bad g@h.ru", None]
+    rules = {"password": FieldRule(action="remove")}
+    policy = Policy(secret="s", rules=POLICY.rules, field_rules=rules)
+    docs = spark.createDataFrame([(r,) for r in rows], "j string")
+    got = [r.j for r in mask_json(docs, policy, "j").collect()]
+    assert "@" not in str(got) and "Password" not in str(got) and "q" not in got[2]
+    assert got[0].startswith('{"k":1,"m":"EMAIL_') and got[1].startswith('{"m":{"l":[1,"EMAIL_') and got[2].endswith('"password":[]}]}')
+    assert got[3:] == [None, None] and json_failures(docs, "j").count() == 1
+    top = mask_json(spark.createDataFrame([('["a@b.ru"]',), ("5",), ('"c@d.ru"',), ('{"password":"p"}',)], "j string"), policy, "j")
+    assert [r.j[:7] for r in top.collect()] == ['["EMAIL', "5", '"EMAIL_', "{}"]
+    assert mask_json(docs.limit(0), policy, "j").count() == 0
+    for text in ("{}", "[]", "5", '{"a":null}', '{"a":{},"b":[]}'):
+        assert mask_json(spark.createDataFrame([(text,)], "j string"), policy, "j").first().j in (text, "{}")
+
+
+def test_lines_keep_their_file_and_order(spark, tmp_path):
+    for n in "pq":
+        (tmp_path / f"{n}.log").write_text("".join(f"{n} {i} u{i}@mail.ru\n" for i in range(50)))
+    out = tmp_path / "out"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for encoding in ("utf-8", "detect"):
+            lines = read_log(spark, str(tmp_path), encoding=encoding, with_place=True)
+            write_lines(mask_log(lines, POLICY), str(out), overwrite=True)
+            for n in "pq":
+                parts = sorted((out / f"output={n}.masked.log").glob("part-*"))
+                got = [line.split() for part in parts for line in part.read_text().splitlines()]
+                assert [g[:2] for g in got] == [[n, str(i)] for i in range(50)] and "@" not in str(got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -1,13 +1,15 @@
 """Spans, overlap resolution and masked text on small cases and on random texts."""
 
 import random
+import time
 
 import pytest
 import regex
 from pyspark.sql import functions as F
 
+from cloakframe.functions.binding import running
 from cloakframe.functions.patterns import DETECTOR_PRIORITIES, PATTERNS
-from cloakframe.functions.spans import resolve_overlaps, span
+from cloakframe.functions.spans import SPANS_TYPE, lost_spans, resolve_overlaps, span
 from cloakframe.plans.extend import Extension, register_detector, register_masker
 from cloakframe.plans.masking import analyze_text, findings, mask_with_stats
 from cloakframe.plans.policy import Policy, Rule
@@ -229,3 +231,32 @@ def test_extension_checks():
         register_detector(POLICY, "x")
     with pytest.raises(ValueError):
         register_masker(POLICY, "x", F.lower)
+
+
+def test_texts_of_very_many_spans(spark):
+    """Span lists are built without growing them, so the costs of a text stay near its size."""
+    policy = Policy.only("secret", "email")
+
+    def seconds(n):
+        df = spark.range(1).select(F.expr(f"repeat('to ab@mail.ru and ', cast(id as int) + {n})").alias("text"))
+        started = time.perf_counter()
+        assert mask_with_stats(df, policy).first().matches_applied == n
+        return time.perf_counter() - started
+
+    seconds(100)
+    assert seconds(100_000) < 20 * max(seconds(10_000), 1)
+
+
+def test_running_folds_across_blocks(spark):
+    for n in (0, 1, 63, 64, 65, 200):
+        numbers = F.expr(f"transform(sequence(1, {n + 1}), x -> int(x))")
+        row = spark.range(1).select(running(F.slice(numbers, 1, n), lambda a, b: a + b, 0).alias("r")).first()
+        assert row.r == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
+def test_groups_of_touching_spans(spark):
+    spans = [(10 * i + j, 10 * i + j + 5, "d", j, 1, "v") for i in range(100) for j in (0, 3)]
+    df = spark.createDataFrame([(spans,)], f"s {SPANS_TYPE}")
+    kept = df.select(resolve_overlaps(F.col("s")).alias("k"), lost_spans(F.col("s"), resolve_overlaps(F.col("s"))).alias("l")).first()
+    assert [s.start for s in kept.k] == [10 * i + 3 for i in range(100)]
+    assert [s.start for s in kept.l] == [10 * i for i in range(100)]

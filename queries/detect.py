@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.plans.extend import register_detector
-from cloakframe.plans.masking import findings
+from cloakframe.plans.masking import findings, mask_with_stats
 from cloakframe.plans.policy import Policy, Rule
 from queries.sqlkit import ALL_TEXTS_SQL, K, SECRET, SPANS, all_texts, num, spans_sql, table
 
@@ -92,3 +92,17 @@ QUERIES["register_detector"] = _register_detector
 ORACLES["register_detector"] = f"""
 SELECT {K}, CAST(11 AS BIGINT) - 1 AS span_start, CAST(20 AS BIGINT) - 1 AS span_end, substr(c_name, 10, 9) AS value
 FROM customer WHERE regexp_matches(c_name, '^Customer#[0-9]{{9}}')"""
+
+
+def _inner_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group inside its match: the number between brackets and a mark behind them."""
+    policy = register_detector(
+        Policy(SECRET), "customer_no", r"<Customer#(\d{9})> x", group=1, rule=Rule(mode="redact", prefix="CUSTOMER")
+    )
+    texts = table(spark, sf_dir, "customer").select(K, F.concat(F.lit("<"), F.col("c_name"), F.lit("> x")).alias("text"))
+    return mask_with_stats(texts, policy).select(K, "text", "matches_applied")
+
+
+QUERIES["register_detector_inner_group"] = _inner_group
+ORACLES["register_detector_inner_group"] = f"""
+SELECT {K}, '<Customer#CUSTOMER_REDACTED> x' AS text, 1 AS matches_applied FROM customer"""

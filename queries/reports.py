@@ -39,6 +39,18 @@ def _batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("detector_totals", counts_text("detector_totals"))
 
 
+def _batch_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read back from the JSON documents of the batch and of its files."""
+    documents = reports.batch_document(_file_report_df(spark, sf_dir))
+    field = lambda path: F.get_json_object("document", path)
+    return documents.select(
+        "kind",
+        field("$.source").alias("source"),
+        F.coalesce(field("$.total_matches_applied"), field("$.matches_applied")).cast("bigint").alias("matches_applied"),
+        F.coalesce(field("$.detector_totals.email"), field("$.detector_counts.email")).cast("bigint").alias("emails"),
+    )
+
+
 def _detector_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return reports.detector_totals(findings(docs, _POLICY), by="lang")
@@ -76,6 +88,7 @@ files AS (SELECT s.source, true AS success, 'OK' AS message, s.matches_found, s.
 QUERIES = {
     "file_report": _file_report,
     "batch_report": _batch_report,
+    "batch_document": _batch_document,
     "detector_totals": _detector_totals,
     "column_profile": _column_profile,
     "page_profile": _page_profile,
@@ -90,6 +103,10 @@ SELECT count(*) AS total, count(*) FILTER (success) AS success, count(*) FILTER
   CAST(sum(matches_skipped) AS BIGINT) AS total_matches_skipped, count(*) FILTER (timed_out) AS timeout_count,
   (SELECT string_agg(detector || ':' || n, ',' ORDER BY detector) FROM (SELECT detector, count(*) AS n FROM kept GROUP BY detector)) AS detector_totals
 FROM files""",
+    "batch_document": f"""
+WITH {_FILES}, emails AS (SELECT d.source, count(*) AS n FROM kept k JOIN documents d ON d.doc_id = k.key WHERE detector = 'email' GROUP BY d.source)
+SELECT 'file' AS kind, f.source, f.matches_applied, e.n AS emails FROM files f LEFT JOIN emails e ON e.source = f.source
+UNION ALL SELECT 'statistics', NULL, CAST((SELECT sum(matches_applied) FROM files) AS BIGINT), CAST((SELECT sum(n) FROM emails) AS BIGINT)""",
     "detector_totals": f"""
 WITH {resolved_ctes(_DOCS, *DETECTORS)}
 SELECT d.lang, k.detector, count(*) AS n FROM kept k JOIN documents d ON d.doc_id = k.key

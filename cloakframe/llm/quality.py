@@ -8,6 +8,7 @@ documents walks together, one level of all trees at a time.
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from cloakframe.llm.common import carried, map_rows
-from cloakframe.llm.labelled import held_out, sample
+from cloakframe.llm.labelled import held_out, sample, weights
 
 #: Labelled documents of each kind that the trees are fitted to.
 SAMPLE = 6000
@@ -87,12 +88,21 @@ class Trees:
 
 
 def fit_trees(
-    rows: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = 0.15, ridge: float = 1.0
+    rows: np.ndarray,
+    y: np.ndarray,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    bins: int = BINS,
+    rate: float = 0.15,
+    ridge: float = 1.0,
+    weight: np.ndarray | None = None,
 ) -> Trees:
-    """Boosting on the logistic loss. Ties between splits go to the first feature and lowest threshold."""
+    """Boosting on the logistic loss, each row as often as its weight. Ties between splits go to the first feature
+    and lowest threshold."""
     inner = (1 << depth) - 1
     none = np.empty((0, inner))
-    share = (y.sum() + 1) / (len(y) + 2)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = ((weight * y).sum() + 1) / (weight.sum() + 2)
     base = float(np.log(share / (1 - share)))
     if len(set(y.tolist())) < 2:
         return Trees(none.astype(int), none, none, base)
@@ -104,7 +114,7 @@ def fit_trees(
     feature, threshold, leaf = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-total))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         at = np.zeros(len(y), int)
         features, thresholds = np.zeros(inner, int), np.full(inner, np.inf)
         for level in range(depth):
@@ -134,9 +144,10 @@ def fit_trees(
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE) -> Trees:
     """Trees from at most ``bound`` labelled documents of each kind that are not held out.
 
-    The smaller kind counts as often as it does in the sample; scores are probabilities there.
+    Rows are weighted to the mix of all learnable texts, so scores are probabilities on the table whether or
+    not the bound binds.
     """
-    rows = sample(docs, labels, label, bound)
+    rows, counts = sample(docs, labels, label, bound)
 
     def measured(part: Iterable[tuple]) -> Iterator[tuple]:
         for text, value in part:
@@ -145,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     found = sorted(tuple(r) for r in map_rows(rows, measured, "label int, x array<double>").collect())
     width = len(statistics(""))
     x = np.array([v for _, v in found], float).reshape(len(found), width)
-    return fit_trees(x, np.array([value for value, _ in found], float))
+    stands = weights(counts, Counter(value for value, _ in found))
+    weight = np.array([stands[value] for value, _ in found], float)
+    return fit_trees(x, np.array([value for value, _ in found], float), weight=weight)
 
 
 def score(

@@ -201,7 +201,7 @@ def fit_chain(examples: list[tuple[list[str], list[int]]], rounds: int = 80, rid
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> Chain:
     """A chain from at most ``bound`` labelled documents of each kind that are not held out."""
-    rows = sample(docs, labels, label, bound)
+    rows, _ = sample(docs, labels, label, bound)
 
     def words(part: Iterable[tuple]) -> Iterator[tuple]:
         for text, value in part:

@@ -179,6 +179,19 @@ def test_scores_of_odd_texts(spark, odd):
     assert quality.score(odd, quality.fit(odd, labels)).count() == len(ODD_TEXTS) + 1
 
 
+def test_decisions_do_not_hang_on_the_sample_bound(spark):
+    """Texts with "!" are good in half of the cases, and kept, however few of the good texts are sampled."""
+    names = ["".join(p) for p in itertools.product("bcdfghjk", repeat=4)]
+    rows = [(i, names[i] + (" !" if i % 1070 >= 950 else ""), int(i % 1070 < 900 or i % 1070 >= 1010)) for i in range(2140)]
+    rows += [(10_000 + i, rows[1020][1], 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "quality")
+    asked = np.array([quality.statistics("bcdf"), quality.statistics("bcdf !")])
+    whole, cut = (quality.fit(docs, labels, bound=bound).score(asked) for bound in (10_000, 150))
+    assert (whole >= quality.THRESHOLD).all() and (cut >= quality.THRESHOLD).all()
+    assert np.abs(whole - cut).max() < 0.15
+
+
 # -- tokens ----------------------------------------------------------------------------------------
 
 

@@ -220,7 +220,8 @@ def ner_cluster(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     """Number the groups of transitively overlapping candidates: adds ``cluster``, its first start.
 
     A candidate opens a group when it starts at or after the end of all before it. The running end
-    is taken per block of the text; what earlier blocks reach is added from one row per block.
+    is taken per block of the text; what earlier blocks reach is added from one row per block. A null key
+    counts as a key.
     """
     block = F.floor(F.col("start") / BLOCK_CHARS).alias("_block")
     rows = candidates.select("*", block)
@@ -232,10 +233,12 @@ def ner_cluster(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     reach = (
         rows.groupBy(key, "_block")
         .agg(F.max("end").alias("_end"))
-        .select(key, "_block", F.max("_end").over(earlier).alias("_carried"))
+        .select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.max("_end").over(earlier).alias("_carried"))
     )
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at"))
     opened = (
-        rows.join(reach, [key, "_block"])
+        rows.join(reach, same)
+        .drop("_key", "_at")
         .withColumn("_reach", F.greatest(F.max("end").over(before), F.col("_carried")))
         .withColumn(
             "_opening", F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
@@ -245,9 +248,9 @@ def ner_cluster(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     last_opening = (
         opened.groupBy(key, "_block")
         .agg(F.max("_opening").alias("_last"))
-        .select(key, "_block", F.max("_last").over(earlier).alias("_before"))
+        .select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.max("_last").over(earlier).alias("_before"))
     )
-    return opened.join(last_opening, [key, "_block"]).select(
+    return opened.join(last_opening, same).select(
         *[F.col(c) for c in candidates.columns], F.coalesce("_cluster", "_before").alias("cluster")
     )
 

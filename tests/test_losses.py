@@ -114,6 +114,17 @@ def test_entities_of_null_keys_and_refused_ones(spark):
     assert ner.ner_refused(docs, found).first().start == 9
 
 
+def test_null_keys_go_from_candidates_to_the_masked_text(spark):
+    text = "Anna " + "x " * 3000 + "Anna"
+    docs = spark.createDataFrame([(None, text), (1, "Anna")], "doc_id long, text string")
+    rows = [(k, "person", s, s + 4, "Anna", "m", 0.9, 1) for k, s in ((None, 0), (None, len(text) - 4), (1, 0))]
+    kinds = "doc_id long, entity_type string, start int, end int, value string, source string, confidence double, priority int"
+    resolved = ner.ner_resolve(spark.createDataFrame(rows, kinds))
+    assert resolved.count() == 3
+    hidden = mask_with_stats(ner.ner_spans(docs, resolved), Policy.only("secret", ner=True), extra="entities").collect()
+    assert len(hidden) == 2 and not any("Anna" in r.text for r in hidden)
+
+
 def test_policy_threshold_is_used(spark):
     rows = [(1, "person", 0, 4, "Anna", "m", 0.3, 1)]
     kinds = "doc_id long, entity_type string, start int, end int, value string, source string, confidence double, priority int"

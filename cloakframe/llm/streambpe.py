@@ -165,10 +165,13 @@ class StreamCoder:
                 continue
             held = ""
             for chunk, more in self._chunks(part):
-                words = self.words(held + self.library.normalizer.normalize_str(chunk))
-                # The last words of an open part may go on, or become one with what follows.
-                kept = 2 if more else 0
-                held = "".join(words[len(words) - kept :]) if kept else ""
+                known = held + self.library.normalizer.normalize_str(chunk)
+                words = self.words(known)
+                # The last words of an open part may go on, or become one with what follows, unless white space
+                # lies behind them.
+                kept = min(2, len(words)) if more else 0
+                while not known.endswith(held := "".join(words[len(words) - kept :])):
+                    kept -= 1
                 yield words[: len(words) - kept]
 
     def encode(self, text: str) -> Iterator[tuple[int, str]]:

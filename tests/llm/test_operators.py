@@ -223,6 +223,16 @@ def test_stream_coder_as_the_library(chunk, piece):
         assert " ".join(n for _, n in found) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("blank", [" ", "\t\n", "\u3000"])
+def test_long_words_cut_at_white_space_stay_apart(blank):
+    library = Tokenizer.from_file(WORD_FILE)
+    coder = streambpe.StreamCoder(WORD_FILE, chunk=40, piece=64)
+    texts = [blank.join(w * n for w, n in zip(ws, ns)) for ws in ("abc", "é가漢", "1!'") for ns in itertools.product((39, 40, 41, 100), repeat=3)]
+    texts += ["é" * 50 + blank + "é" * 20 + "a" * n for n in (1, 39, 40, 90)]
+    for text in texts:
+        assert [i for i, _ in coder.encode(text)] == library.encode(text, add_special_tokens=False).ids
+
+
 def test_decoding_is_a_round_trip_of_words():
     coder = streambpe.StreamCoder(WORD_FILE)
     text = "hello wörld 漢字 it 's <|endoftext|>"

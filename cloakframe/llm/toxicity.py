@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from cloakframe.llm.common import carried, map_rows
-from cloakframe.llm.labelled import held_out, sample
+from cloakframe.llm.labelled import held_out, sample, weights
 
 #: Labelled documents of each kind that the chain is fitted to.
 SAMPLE = 3000
@@ -102,7 +102,7 @@ def marginals(emissions: np.ndarray, starts: np.ndarray, moves) -> np.ndarray:
 def marking_features(rows: list[tuple[int, list[str]]]) -> set[str]:
     """Features that tell toxic documents, from (label, distinct words) of each.
 
-    A candidate is a twentieth as frequent in clean documents at most. A greedy cover takes the one that
+    A candidate's share of the clean documents is at most a twentieth of its share of the toxic ones. A greedy cover takes the one that
     marks most of the toxic documents not yet marked, the longer one first; every candidate that a
     thirtieth of them have is taken as well. So is each word no clean document has, if it shares its first
     letters with words five times as frequent in toxic documents as in clean ones.
@@ -120,7 +120,7 @@ def marking_features(rows: list[tuple[int, list[str]]]) -> set[str]:
             if f in counts[1]:
                 counts[0][f] += seen[0][word]
     toxic, clean = kinds[1], max(1, kinds[0])
-    candidates = {f for f, n in counts[1].items() if n >= 3 and counts[0][f] * 20 <= n}
+    candidates = {f for f, n in counts[1].items() if n >= 3 and counts[0][f] * 20 * toxic <= n * clean}
     carriers = defaultdict(set)
     for at, (label, words) in enumerate(rows):
         if label:
@@ -145,23 +145,31 @@ def marking_features(rows: list[tuple[int, list[str]]]) -> set[str]:
     return chosen | {w for w in rest if not seen[0][w] and not stems.isdisjoint(features(w))}
 
 
+def _spread(places: list[int]) -> list[int]:
+    """All places if they are few, or some from one end of the text to the other."""
+    return places if len(places) <= _WINDOWS else [places[i * (len(places) - 1) // (_WINDOWS - 1)] for i in range(_WINDOWS)]
+
+
 def windows(text: str, toxic: bool, marks: set[str], near: set[str]) -> Iterator[tuple[list[str], list[int]]]:
     """Token windows with their labels: around marked tokens of toxic texts; of clean ones those that look
-    alike (a feature of ``near``) and others spread over the text."""
+    alike (a feature of ``near``) and others. All are spread over the whole text."""
     tokens = _TOKEN.findall(text)
     marked = [int(toxic and not marks.isdisjoint(features(t))) for t in tokens]
     if toxic:
-        centres = [i for i, m in enumerate(marked) if m][:_WINDOWS]
+        centres = _spread([i for i, m in enumerate(marked) if m])
     else:
-        alike = [i for i, t in enumerate(tokens) if not near.isdisjoint(features(t))][:_WINDOWS]
-        centres = alike + list(range(_REACH, len(tokens), max(1, len(tokens) // _WINDOWS)))[:_WINDOWS]
+        alike = _spread([i for i, t in enumerate(tokens) if not near.isdisjoint(features(t))])
+        centres = alike + _spread(list(range(_REACH, len(tokens), max(1, len(tokens) // _WINDOWS))))
     for at in centres:
         low = max(0, at - _REACH)
         yield tokens[low : at + _REACH + 1], marked[low : at + _REACH + 1]
 
 
-def fit_chain(examples: list[tuple[list[str], list[int]]], rounds: int = 80, ridge: float = 0.02) -> Chain:
-    """Maximum penalised likelihood by Adam; the gradient is observed minus expected counts."""
+def fit_chain(
+    examples: list[tuple[list[str], list[int]]], rounds: int = 80, ridge: float = 0.02, weight: list[float] | None = None
+) -> Chain:
+    """Maximum penalised likelihood by Adam; the gradient is observed minus expected counts, each window as often
+    as its weight."""
     if not any(1 in labels for _, labels in examples):
         return Chain()
     names = {f for tokens, labels in examples for t, y in zip(tokens, labels, strict=True) if y for f in features(t)}
@@ -169,19 +177,20 @@ def fit_chain(examples: list[tuple[list[str], list[int]]], rounds: int = 80, rid
     alike = {t.lower() for tokens, labels in examples for t, y in zip(tokens, labels, strict=True) if not y}
     names = sorted(names | {w for w in alike if not names.isdisjoint(features(w)[1:])})
     index = {f: i for i, f in enumerate(names)}
-    places, ids, starts, observed = [], [], [], []
-    for tokens, labels in examples:
+    places, ids, starts, observed, often = [], [], [], [], []
+    for (tokens, labels), times in zip(examples, weight or [1.0] * len(examples), strict=True):
         for i, (token, label) in enumerate(zip(tokens, labels, strict=True)):
             known = [index[f] for f in features(token) if f in index]
             places += [len(observed)] * len(known)
             ids += known
             starts.append(i == 0)
             observed.append(label)
+            often.append(times)
     places, ids = np.array(places, int), np.array(ids, int)
-    starts, y = np.array(starts, bool), np.array(observed, float)
+    starts, y, often = np.array(starts, bool), np.array(observed, float), np.array(often, float)
     pairs = np.flatnonzero(~starts)
     both = np.zeros((2, 2))
-    np.add.at(both, (y[pairs - 1].astype(int), y[pairs].astype(int)), 1)
+    np.add.at(both, (y[pairs - 1].astype(int), y[pairs].astype(int)), often[pairs])
     # Transitions come from the counts of neighbouring labels; the weights are fitted with them in place.
     moves = np.log((both + 1) / (both + 1).sum(axis=1, keepdims=True))
     moves = moves - moves[:, :1]
@@ -190,7 +199,7 @@ def fit_chain(examples: list[tuple[list[str], list[int]]], rounds: int = 80, rid
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         scores = w[bias] + np.bincount(places, w[ids], len(y))
-        gap = y - marginals(scores, starts, moves)
+        gap = often * (y - marginals(scores, starts, moves))
         grad = np.append(np.bincount(ids, gap[places], len(names)), gap.sum())
         grad[:bias] -= ridge * w[:bias]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -200,22 +209,34 @@ def fit_chain(examples: list[tuple[list[str], list[int]]], rounds: int = 80, rid
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> Chain:
-    """A chain from at most ``bound`` labelled documents of each kind that are not held out."""
-    rows, _ = sample(docs, labels, label, bound)
+    """A chain from at most ``bound`` labelled documents of each kind that are not held out.
+
+    Windows are weighted to the mix of all learnable texts, whether or not the bound binds.
+    """
+    rows, counts = sample(docs, labels, label, bound)
 
     def words(part: Iterable[tuple]) -> Iterator[tuple]:
         for text, value in part:
             yield value, sorted({t.lower() for t in _TOKEN.findall(text)})
 
-    marks = marking_features([tuple(r) for r in map_rows(rows, words, "label int, words array<string>").toLocalIterator()])
+    sampled = Counter()
+
+    def counted() -> Iterator[tuple]:
+        for value, found in map_rows(rows, words, "label int, words array<string>").toLocalIterator():
+            sampled[value] += 1
+            yield value, found
+
+    marks = marking_features(list(counted()))
     near = {m.rstrip("*")[:3] + "*" for m in marks}
 
     def cut(part: Iterable[tuple]) -> Iterator[tuple]:
         for text, value in part:
-            yield from windows(text, bool(value), marks, near)
+            for tokens, marked in windows(text, bool(value), marks, near):
+                yield tokens, marked, value
 
-    found = map_rows(rows, cut, "tokens array<string>, labels array<int>").collect()
-    return fit_chain([tuple(r) for r in sorted(found)])
+    found = sorted(map_rows(rows, cut, "tokens array<string>, labels array<int>, kind int").collect())
+    stands = weights(counts, sampled)
+    return fit_chain([(tokens, marked) for tokens, marked, _ in found], weight=[stands[kind] for _, _, kind in found])
 
 
 # -- scoring -------------------------------------------------------------------------------------

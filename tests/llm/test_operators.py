@@ -192,6 +192,23 @@ def test_decisions_do_not_hang_on_the_sample_bound(spark):
     assert np.abs(whole - cut).max() < 0.15
 
 
+def test_toxic_features_are_told_by_rates():
+    toxic = [(1, ["achlich", f"t{i}"] if i < 16 else [f"t{i}"]) for i in range(40)]
+    clean = [(0, ["achlich"] if i < 2 else [f"c{i}"]) for i in range(320)]
+    assert "achlich" in toxicity.marking_features(toxic + clean)
+    assert "achlich" not in toxicity.marking_features(toxic + clean[:40])
+
+
+def test_windows_reach_the_end_and_weigh_as_copies():
+    text = " ".join(["one"] * 40 + ["two"] + ["plain"] * 40)
+    assert any("two" in tokens for tokens, _ in toxicity.windows(text, True, {"one", "two"}, {"one*", "two*"}))
+    assert any("two" in tokens for tokens, _ in toxicity.windows(text, False, set(), {"one", "two"}))
+    examples = [(["a", "bad", "b"], [0, 1, 0]), (["c", "bad", "d"], [0, 0, 0]), (["e"], [0])]
+    got, want = toxicity.fit_chain(examples, weight=[1.0, 3.0, 2.0]), toxicity.fit_chain([examples[i] for i in (0, 1, 1, 1, 2, 2)])
+    assert got.bias == pytest.approx(want.bias) and got.weights == pytest.approx(want.weights)
+    assert np.allclose(got.moves, want.moves)
+
+
 # -- tokens ----------------------------------------------------------------------------------------
 
 

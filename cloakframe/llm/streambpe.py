@@ -185,6 +185,11 @@ class StreamCoder:
 
     # -- decoding --------------------------------------------------------------------------------
 
+    def named(self, ids: Iterable[int]) -> Iterator[bytes]:
+        """What each id decodes to for a file without decoder: its name. The library joins them by blanks."""
+        for number in ids:
+            yield self.names[number].encode("utf-8", "replace")
+
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of the tokens as it becomes known: bytes go through an incremental UTF-8 decoder, the end
         of a word gives a blank, and broken bytes become U+FFFD."""
@@ -213,8 +218,8 @@ class _Words(dict):
         self.coder = coder
 
     def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        found = list(self.coder.run([word]))
-        value = b"".join(i.to_bytes(4, "little") for i, _ in found), b" ".join(n.encode("utf-8", "replace") for _, n in found)
+        ids = [i for i, _ in self.coder.run([word])]
+        value = b"".join(i.to_bytes(4, "little") for i in ids), b" ".join(self.coder.named(ids))
         if len(word) <= 64:
             if len(self) > self.coder.memory:
                 self.clear()
@@ -236,8 +241,8 @@ def _coder(path: str) -> tuple[StreamCoder, _Words]:
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of each whole text.
 
-    Ids are hashed as little-endian unsigned 32-bit integers. A file without decoder decodes to the names of
-    its tokens joined by blanks, as the library does. Null texts count as empty: no tokens, an empty text.
+    Ids are hashed as little-endian unsigned 32-bit integers, and decoded from: a file without decoder decodes to
+    the names of its ids joined by blanks, as the library does. Null texts count as empty: no tokens, an empty text.
     Rows are independent: repeats give repeats, null keys stay, and an empty table gives no rows.
     """
 
@@ -249,7 +254,8 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             n, ids, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), True
             for piece in coder.pieces(content or ""):
                 if isinstance(piece, str):
-                    found = [(coder.specials[piece].to_bytes(4, "little"), piece.encode())]
+                    number = coder.specials[piece]
+                    found = [(number.to_bytes(4, "little"), *coder.named([number]))]
                 else:
                     found = [known[w] for w in piece]
                 if found:

@@ -256,6 +256,16 @@ def test_decoding_is_a_round_trip_of_words():
     assert "".join(coder.decode(i for i, _ in coder.encode(text))).replace(" <|", "<|").strip() == text.replace(" <|", "<|")
 
 
+def test_digests_decode_the_ids(monkeypatch):
+    """What the encoder calls its tokens does not matter."""
+    coder, library = streambpe.StreamCoder(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    run = coder.run
+    monkeypatch.setattr(coder, "run", lambda parts: ((i, "?") for i, _ in run(parts)))
+    for word in ("hello", "é" * 300, "漢字"):
+        ids = library.encode(word, add_special_tokens=False).ids
+        assert streambpe._Words(coder)[word][1].decode() == library.decode(ids, skip_special_tokens=False)
+
+
 def test_lookahead_of_a_small_merge_list():
     assert streambpe.sufficient_lookahead([]) == 0
     assert streambpe.sufficient_lookahead([("b", "c"), ("a", "b")]) == 2

@@ -39,8 +39,10 @@ def sample(
     counts = {0: 0, 1: 0} | {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("known")
     parts = [texts.where(F.col("label") == value).orderBy(order, "known", "print").limit(bound) for value in (0, 1)]
-    picked = staged(parts[0].unionByName(parts[1]), "picked")
-    rows = docs.select(F.col(key).alias("known"), content.alias("text"), F.sha2(content, 256).alias("print")).join(picked, ["known", "print"])
+    mark = F.xxhash64("print").alias("mark")  # short, so that the picked keys are few bytes to broadcast
+    picked = staged(parts[0].unionByName(parts[1]).select("known", mark, "label"), "picked")
+    rows = docs.select(F.col(key).alias("known"), content.alias("text")).join(picked, "known")
+    rows = rows.select("*", F.sha2("text", 256).alias("print")).where(F.col("mark") == mark)
     return staged(rows.groupBy("print").agg(F.min_by(F.struct("text", "label"), "known").alias("r")).select("r.*"), "sample"), counts
 
 

@@ -293,6 +293,35 @@ def test_license_hits(spark):
     assert got == {(1, "mit-grant", 1), (2, "gpl-3.0", 2), (3, None, 0), (4, None, 0), (None, "gpl-3.0", 1)}
 
 
+@pytest.mark.parametrize("text, license", [
+    ("Released under the MIT License.", "mit"), ("Licensed under the terms of the MIT licence", "mit"), ("distributed under MIT License", "mit"),
+    ("Released under the BSD License.", "bsd"), ("Released under the ISC License", "isc"), ("Released under the Foo License", None),
+    ("we released it under pressure; the new MIT press license", None), ("Released under the MIT-0 License", None),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"), ("Licensed under CC BY 4.0.", "cc-by-4.0"), ("Licensed under CC BY-SA 4.0", "cc-by-sa-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"), ("Licensed under CC BY-NC 3.0", "cc-by-nc-3.0"), ("Licensed under CC BY-NC 1.0", None),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Released under CC0 1.0", "cc0-1.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0"), ("Licensed under the Apache License, Version 1.1", None),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "agpl-3.0"),
+    ("Licensed under the Mozilla Public License, version 2.0", "mpl-2.0"), *((text, name) for name, text in licenses.NOTICES.items()),
+])
+def test_near_misses_of_notices(text, license):
+    """A notice stands for itself only."""
+    for before in ("", "some words before. "):
+        words = licenses.words_of(before + text + " and words behind it")
+        found = []
+        for notice in (licenses.Notice.of(k, v, licenses.COVERAGE) for k, v in licenses.NOTICES.items()):
+            seen = [licenses._SAME.get(w, w) for w in words] if notice.short else words
+            found += [(-m, notice.name) for m, _, _ in notice.hits(seen)]
+        assert (min(found)[1] if found else None) == license
+
+
+def test_near_misses_in_rows(spark):
+    texts = [("Released under the BSD License", "bsd"), ("Licensed under CC BY 4.0", "cc-by-4.0"), ("Released under the Zip License", None)]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in texts)), "doc_id long, text string")
+    assert [r.license for r in collected(licenses.scan_licenses(df))] == [name for _, name in texts]
+
+
 # -- near copies -----------------------------------------------------------------------------------
 
 

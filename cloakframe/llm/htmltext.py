@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,9 +20,15 @@ from cloakframe.llm.common import map_rows
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 _HIDDEN = frozenset(
-    "head title script style template noscript iframe object embed audio video canvas svg math datalist select option "
-    "noembed noframes area map meter progress".split()
+    "head title script style template noscript iframe object embed audio video canvas datalist noembed noframes area meter "
+    "progress rp".split()
 )
+# Within drawings and formulas these are not shown.
+_FOREIGN = {
+    "svg": frozenset("desc defs metadata symbol clippath mask marker pattern".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+_CDATA = "<![CDATA["
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot "
@@ -38,13 +46,16 @@ _IMPLIED = {
     "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset()),
-    "option": (frozenset(["option"]), frozenset(["select"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
+    "select": (frozenset(["select"]), frozenset(["table", "td", "th"])),
+    "rt": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
 }
-_IMPLIED |= {"thead": _IMPLIED["tbody"], "tfoot": _IMPLIED["tbody"], "caption": _IMPLIED["tbody"]}
+_IMPLIED |= {"rp": _IMPLIED["rt"], "thead": _IMPLIED["tbody"], "tfoot": _IMPLIED["tbody"], "caption": _IMPLIED["tbody"]}
 _CLOSES_P = (_BLOCKS - frozenset("li dd dt td th tr tbody thead tfoot caption body html legend summary".split())) | {"p"}
 _SCOPE = frozenset("table td th caption button li dd object template html body".split())
 _HEAD = frozenset("head title meta link base style script noscript template".split())
-#: Elements nested deeper are taken as children of the last one, as browsers do.
+#: Deeper levels of lists and quotes are not indented further, and the cells of deeper tables are lines.
 _DEPTH = 512
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
@@ -76,6 +87,7 @@ def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
 def markup(page: str) -> Iterator[tuple[str, str, str]]:
     """``text``, ``start`` and ``end`` events with name and attributes as they stand in the page."""
     at, last = 0, {q: page.rfind(q) for q in "\"'"}
+    foreign = 0  # open drawings and formulas, where tags can close themselves and marked sections are text
     while at < len(page):
         found = _TAG.search(page, at)
         if not found:
@@ -87,6 +99,12 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find("-->", found.end())
             at = end + 3 if end >= 0 else len(page)
             continue
+        if foreign and other and page.startswith(_CDATA, found.start()):
+            start = found.start() + len(_CDATA)
+            end = page.find("]]>", start)
+            yield "text", html.escape(page[start : end if end >= 0 else len(page)]), ""
+            at = end + 3 if end >= 0 else len(page)
+            continue
         end = page.find(">", found.end()) if other else _tag_end(page, found.end(), last)
         if end < 0:
             return
@@ -95,6 +113,11 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = name.lower()
         yield "end" if closing else "start", name, page[found.end() : end]
+        if not closing and page[end - 1] == "/" and (foreign or name in _FOREIGN):
+            yield "end", name, ""
+            continue
+        if name in _FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + 1
         if name in _RAW and not closing:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             stop = close.start() if close else len(page)
@@ -107,43 +130,45 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
 def elements(page: str) -> Iterator[tuple[str, str, str]]:
     """The events with implied tags in place: every start has its end, in nested order."""
     open_: list[str] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of a name are, so no depth makes this slow
 
     def close_to(depth: int) -> Iterator[tuple[str, str, str]]:
         while len(open_) > depth:
-            yield "end", open_.pop(), ""
+            name = open_.pop()
+            places[name].pop()
+            yield "end", name, ""
 
     def implied(ends: frozenset, barrier: frozenset) -> int:
         """Depth to close to so that no open element of ``ends`` is left above the barrier."""
+        above = max((places[b][-1] for b in barrier if places[b]), default=-1)
         depth = len(open_)
-        for i in range(len(open_) - 1, -1, -1):
-            if open_[i] in barrier:
-                break
-            if open_[i] in ends:
-                depth = i
+        for name in ends:
+            at = places[name]
+            if at and at[-1] > above:
+                depth = min(depth, at[bisect_right(at, above)])
         return depth
 
     for kind, name, rest in markup(page):
         if kind in ("text", "raw"):
             yield kind, name, ""
         elif kind == "start":
-            if name in ("html", "body") and name in open_:
+            if name in ("html", "body") and places[name]:
                 continue
-            if "head" in open_ and name not in _HEAD:
-                yield from close_to(open_.index("head"))
-            if name in _CLOSES_P:
+            if places["head"] and name not in _HEAD:
+                yield from close_to(places["head"][0])
+            if name in _CLOSES_P and places["p"]:
                 yield from close_to(implied(frozenset(["p"]), _SCOPE))
             if name in _IMPLIED:
                 yield from close_to(implied(*_IMPLIED[name]))
             yield "start", name, rest
             if name in _VOID:
                 yield "end", name, ""
-            elif len(open_) >= _DEPTH:
-                yield "end", name, ""
             else:
+                places[name].append(len(open_))
                 open_.append(name)
-        elif name in open_ and name not in ("html", "body"):
-            depth = len(open_) - 1 - open_[::-1].index(name)
-            table = len(open_) - 1 - open_[::-1].index("table") if "table" in open_ else -1
+        elif places[name] and name not in ("html", "body"):
+            depth = places[name][-1]
+            table = places["table"][-1] if places["table"] else -1
             if depth >= table:  # an end tag in a cell does not reach out of its table
                 yield from close_to(depth)
         elif name == "br":
@@ -178,9 +203,9 @@ class _Flow:
             self.words.pop()
 
     def line(self, text: str) -> None:
-        indent = "".join(self.indents)
+        indent = "".join(self.indents[:_DEPTH])
         if self.marker:
-            text, self.marker = indent[: -len(self.marker)] + self.marker + text, ""
+            text, self.marker = indent.removesuffix(" " * len(self.marker)) + self.marker + text, ""
         else:
             text = indent + text
         if self.lines:
@@ -256,6 +281,32 @@ class _Table:
                 yield out
 
 
+@dataclass
+class _Select:
+    """The options of a control that are shown: the chosen one, or all of a list box."""
+
+    box: bool
+    options: list[tuple[str, bool, bool, bool]] = field(default_factory=list)  # text, selected, disabled, shown
+    flow: _Flow | None = None
+    label: str = ""
+    flags: tuple[bool, bool, bool] = (False, False, True)
+
+    def start(self, given: dict[str, str]) -> None:
+        self.flow, self.label = _Flow(), given.get("label", "")
+        self.flags = "selected" in given, "disabled" in given, _shown("option", given)
+
+    def end(self) -> None:
+        if self.flow is not None:
+            self.options.append((self.label or " ".join(self.flow.finish()), *self.flags))
+        self.flow = None
+
+    def text(self) -> str:
+        if self.box:
+            return " ".join(text for text, _, _, shown in self.options if shown)
+        chosen = [o for o in self.options if o[1]][-1:] or [o for o in self.options if not o[2]][:1]
+        return chosen[0][0] if chosen else ""
+
+
 def _number(value: str | None, default: int, most: int = 1000) -> int:
     return min(most, int(value)) if value and value.strip().isdecimal() else default
 
@@ -280,28 +331,48 @@ def visible_text(page: str | None) -> str:
     hidden, kept = 0, [0]  # open elements inside a hidden one; the same for what closed details hold back
     pre = 0
     folded: list[int] = []
+    selects: list[_Select] = []
+    foreign: list[str] = []
     depth = 0
     for kind, name, rest in elements(page or ""):
         flow = flows[-1]
         if kind in ("text", "raw"):
             if hidden or folded:
                 continue
-            if pre:
+            if selects:
+                if selects[-1].flow is not None:
+                    selects[-1].flow.add(html.unescape(name).replace("\xa0", " "))
+            elif pre:
                 flow.raw(html.unescape(name))
             elif flows[1:] or not tables or name.strip():
                 flow.add(html.unescape(name).replace("\xa0", " "))
         elif kind == "start":
             depth += 1
             given = attributes(rest) if rest.strip() else {}
-            if hidden or not _shown(name, given):
+            option = name == "option" and selects  # the control shows a chosen option that its list hides
+            if hidden or not (option or _shown(name, given)) or (foreign and name in _FOREIGN[foreign[-1]]):
                 hidden += 1
                 continue
             if folded and not (name == "summary" and folded[-1] == depth - 1):
                 continue
             if name == "summary" and folded and folded[-1] == depth - 1:
                 kept.append(folded.pop())
+            if name == "select":
+                selects.append(_Select("multiple" in given or _number(given.get("size"), 1) > 1))
+            elif selects:
+                if name == "option":
+                    selects[-1].start(given)
+                continue
+            if name in _FOREIGN:
+                foreign.append(name)
+            elif foreign and name in ("text", "mtr"):
+                flow.end_line()
+            elif foreign and name in ("mtd", "mfrac"):
+                flow.add(" ")
             if name == "br":
                 flow.broken() if not pre else flow.raw("\n")
+            elif name in ("tr", "td", "th") and tables and tables[-1] is None:
+                flow.end_line()
             elif name in ("td", "th") and tables:
                 flows.append(_Flow())
                 cells.append((_number(given.get("colspan"), 1) or 1, _number(given.get("rowspan"), 1) or 1))
@@ -309,7 +380,7 @@ def visible_text(page: str | None) -> str:
                 tables[-1].new_row()
             elif name == "table":
                 flow.apart()
-                tables.append(_Table())
+                tables.append(_Table() if len(tables) < _DEPTH else None)
             elif name in _BLOCKS:
                 flow.apart() if name in _APART and not (name in _LISTS and counters) else flow.end_line()
             if name in _LISTS:
@@ -338,11 +409,33 @@ def visible_text(page: str | None) -> str:
                 continue
             if name == "summary" and len(kept) > 1 and kept[-1] == depth:
                 folded.append(kept.pop())
-            if name in ("td", "th") and tables and cells and len(flows) > 1:
+            if name == "select":
+                shown = selects.pop().text()
+                if selects or not shown:
+                    continue
+                if pre:
+                    flow.raw(shown)
+                else:
+                    flow.add(" " + shown + " ")
+                continue
+            if selects:
+                if name == "option":
+                    selects[-1].end()
+                continue
+            if name in _FOREIGN and foreign:
+                foreign.pop()
+            elif foreign and name in ("text", "mtr"):
+                flow.end_line()
+            elif foreign and name in ("mtd", "mfrac"):
+                flow.add(" ")
+            if name in ("tr", "td", "th") and tables and tables[-1] is None:
+                flow.end_line()
+            elif name in ("td", "th") and tables and cells and len(flows) > 1:
                 text = " ".join(line.strip() for line in flows.pop().finish() if line.strip())
                 tables[-1].cell(text, *cells.pop())
             elif name == "table":
-                for line in tables.pop().lines():
+                table = tables.pop()
+                for line in table.lines() if table else ():
                     flow.line(line)
                 flow.gap = max(flow.gap, 1)
             elif name in _BLOCKS and name != "tr":

@@ -416,6 +416,29 @@ def test_no_word_of_a_page_is_lost(spark):
     assert htmltext.visible_text("<div>" * 5000 + "deep").strip() == "deep"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("a <math><mi>x</mi><mo>+</mo><mn>1</mn></math> b", "a x+1 b"), ("<map name=m>links <area> here</map>", "links here"),
+    ("<math><semantics><mi>x</mi><annotation>tex</annotation></semantics></math>y", "xy"),
+    ("a<svg><title>t</title><desc>d</desc><style>s</style><script>c</script><defs><text>e</text></defs><defs/><path/><text>shown</text></svg>b", "a\nshown\nb"),
+    ("<svg><text><![CDATA[1 < 2]]></text></svg>", "1 < 2"), ("<desc>kept</desc>", "kept"), ("<svg/>a<title/>b</title>c", "ac"),
+    ("pick <select><option>one<option selected>two<option>three</select> now", "pick two now"),
+    ("<select><option disabled>no<option>first<option>last</select>", "first"), ("<select><option hidden selected>choose<option>x</select>", "choose"),
+    ("<select multiple><option>one<option>two</select>", "one two"), ("<datalist><option selected>no</datalist>yes", "yes"),
+    ("<ruby>kan<rp>(</rp><rt>ji</rt><rp>)</rp></ruby>", "kanji"),
+])
+def test_text_that_browsers_show(page, text):
+    assert htmltext.visible_text(page) == text
+
+
+@pytest.mark.parametrize("around", ["<div>", "<b>", "<ul><li>", "<table><tr><td>"])
+def test_nothing_changes_past_the_depth(around):
+    inner = "<script>var no</script><style>no</style><div hidden><div>no</div>no</div>yes<ul><li>one</ul><table><tr><td>a<td>b<tr><td>long<td>c</table>end"
+    lines = [line.strip() for line in htmltext.visible_text(around * 700 + inner).split("\n")]
+    assert "no" not in " ".join(lines).split() and set("yes - one a b long c end".split()) <= set(" ".join(lines).split())
+    if around in ("<div>", "<b>"):
+        assert {"- one", "a     b", "long  c"} <= set(lines)
+
+
 # -- pipeline --------------------------------------------------------------------------------------
 
 

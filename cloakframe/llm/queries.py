@@ -5,7 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import chat, decontaminate, htmltext, licenses, quality, simhash, streambpe, tokencount, topk, toxicity
+from cloakframe.llm import (
+    chat,
+    checks,
+    decontaminate,
+    htmltext,
+    lexical,
+    licenses,
+    merkle,
+    quality,
+    simhash,
+    streambpe,
+    tokencount,
+    topk,
+    toxicity,
+    triejoin,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +70,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_perspectives": op1_perspectives,
     "op2_decontaminate": op2_decontaminate,
@@ -66,6 +93,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_stream_bpe": op9_stream_bpe,
     "op10_html_text": op10_html_text,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_manifest": op13_manifest,
 }
 
 ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,4 +157,11 @@ SELECT conv_id, perspective, position, turn, role, name, segment, stop - length(
 FROM o
 """
 
-ORACLES = {"op1_perspectives": PERSPECTIVES, "op2_decontaminate": CONTAMINATION, "op3_top_k": TOP_K}
+ORACLES = {
+    "op1_perspectives": PERSPECTIVES,
+    "op2_decontaminate": CONTAMINATION,
+    "op3_top_k": TOP_K,
+    "op11_ngram_join": checks.NGRAM_JOIN,
+    "op12_ranked_search": checks.RANKED,
+    "op13_manifest": checks.MANIFEST,
+}

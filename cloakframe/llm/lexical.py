@@ -198,7 +198,7 @@ def _answers(docs: DataFrame, asked: list, key: str, text: str, k: int, block: i
         row.query: [(known[t.encode()], c * weight[t.encode()]) for t, c in zip(row.terms, row.times, strict=True) if t.encode() in weight]
         for row in asked
     }
-    size = max(1, min(block, CELLS // max(map(len, queries.values()))))
+    size = max(1, min(block, CELLS // max([1, *map(len, queries.values())])))
     shared = spark.sparkContext.broadcast(queries)
     kind = read.schema["key"].dataType.simpleString()
 

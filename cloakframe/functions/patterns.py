@@ -92,8 +92,7 @@ def numeric_runs(text: Column) -> Column:
 class Detector:
     """A span detector.
 
-    ``group`` selects the part of a match that is the span; a group other than 0 has to end where
-    the match ends. ``may_match(text, runs)`` is a cheap condition that is true whenever the
+    ``group`` selects the part of a match that is the span, wherever it stands. ``may_match(text, runs)`` is a cheap condition that is true whenever the
     pattern can match; ``validator(value)`` is a checksum. ``spans``, when given, replaces the
     pattern: a function from a text Column to ``array<struct<start,end,value>>``.
     """

@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakframe.functions.binding import extract_all, let, matches, running
+from cloakframe.functions.groups import located
 from cloakframe.functions.patterns import Detector, numeric_runs
 
 SPAN_TYPE = (
@@ -45,16 +46,16 @@ def span(start: Column, end: Column, detector: Column, priority: Column, ord_: C
 def _values_found(text: Column, detector: Detector, runs: Column, none: Column) -> Column:
     """The matched strings of one detector, or ``none`` where its cheap condition fails."""
     possible = text.isNotNull() if detector.may_match is None else detector.may_match(text, runs)
-    return F.when(possible, extract_all(text, detector.pattern)).otherwise(none)
+    return F.when(possible, extract_all(text, located(detector.pattern, detector.group)[0])).otherwise(none)
 
 
 def _detector_table(detectors: Sequence[tuple[int, Detector]]) -> Column:
     """The detectors as one literal array, so that placing is written once for all of them."""
-    rows = [
-        {"name": d.name, "priority": d.priority, "ord": ord_, "pattern": d.pattern, "group": d.group}
-        for ord_, d in detectors
-    ]
-    kind = "array<struct<name:string,priority:int,ord:int,pattern:string,group:int>>"
+    rows = []
+    for ord_, d in detectors:
+        pattern, group, before = located(d.pattern, d.group)
+        rows.append({"name": d.name, "priority": d.priority, "ord": ord_, "pattern": pattern, "group": group, "before": before})
+    kind = "array<struct<name:string,priority:int,ord:int,pattern:string,group:int,before:array<int>>>"
     return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
@@ -62,42 +63,40 @@ def _placed(text: Column, detector: Column, found: Column) -> Column:
     """Offsets of the matches ``found``, those in key position dropped.
 
     The gaps around the matches give the running offsets and the characters after each match, so
-    the text is cut once, however many matches it has.
+    the text is cut once, however many matches it has. A group begins as far into its match as the
+    groups before it are long (see ``functions.groups``).
     """
     gaps = F.split(text, detector["pattern"], -1)
     values = F.when(detector["group"] == 0, found).otherwise(
         F.regexp_extract_all(text, detector["pattern"], detector["group"])
     )
+    befores = F.transform(detector["before"], lambda group: F.regexp_extract_all(text, detector["pattern"], group))
 
-    def match_rows(g: Column, v: Column) -> Column:
+    def match_rows(g: Column, v: Column, b: Column) -> Column:
         def after(i: Column) -> Column:
             # A match has at least one character, so four gaps and matches hold the next four.
             parts = [part for n in range(1, 5) for part in (F.get(g, i + n), F.get(found, i + n))]
             return F.concat(*[F.coalesce(part, F.lit("")) for part in parts])
 
-        def behind(match: Column, value: Column) -> Column:
-            """Characters of the match after its group, which ends it or else is its first such string."""
-            return F.when(F.endswith(match, value), F.lit(0)).otherwise(
-                F.length(match) - F.position(value, match) - F.length(value) + 1
-            )
-
-        def row(match: Column, i: Column, value: Column) -> Column:
-            rest = behind(match, value)
-            tail = F.concat(match.substr(F.length(match) - rest + 1, rest), after(i))
+        def row(match: Column, i: Column, value: Column, before: Column) -> Column:
+            tail = F.concat(match, after(i)).substr(before + F.length(value) + 1, F.lit(4))
             return F.struct(
                 (F.length(F.get(g, i)) + F.length(match)).alias("ahead"),
                 value.alias("value"),
-                rest.alias("behind"),
-                matches(F.substring(tail, 1, 4), KEY_TAIL).alias("is_key"),
+                (F.length(match) - before).alias("behind"),
+                matches(tail, KEY_TAIL).alias("is_key"),
             )
 
-        return F.transform(found, lambda match, i: row(match, i, F.get(v, i)))
+        def before(i: Column) -> Column:
+            return F.aggregate(b, F.lit(0), lambda n, texts: n + F.coalesce(F.length(F.get(texts, i)), F.lit(0)))
+
+        return F.transform(found, lambda match, i: let(before(i), lambda n: row(match, i, F.get(v, i), n)))
 
-    rows = let(gaps, lambda g: let(values, lambda v: match_rows(g, v)))
+    rows = let(gaps, lambda g: let(values, lambda v: let(befores, lambda b: match_rows(g, v, b))))
 
     def placed(match: Column, end: Column) -> Column:
-        last = end - match["behind"]
-        start = last - F.length(match["value"])
+        start = end - match["behind"]
+        last = start + F.length(match["value"])
         return span(start, last, detector["name"], detector["priority"], detector["ord"], match["value"])
 
     def spans(matched: Column) -> Column:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json as jsonlib
-import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.functions.binding import let
+from cloakframe.functions import jsontext
+from cloakframe.functions.binding import let, running
 from cloakframe.functions.labels import SENSITIVE_FIELDS
 from cloakframe.functions.maskers import REDACTED
 from cloakframe.functions.spans import (
@@ -153,18 +152,173 @@ def mask_nested(df: DataFrame, policy: Policy, keep: Iterable[str] = ()) -> Data
     A leaf belongs to the field that holds it; array items belong to the field of the array; map
     keys are field names. ``remove`` deletes string fields and string items and leaves numbers and
     nested values alone; ``replace`` puts the constant. ``keep`` columns pass untouched.
+
+    The leaves of a row are laid out in one table, a list for each leaf of the schema. Detection stands in the
+    plan once and runs over that table; the row is then rebuilt by place.
     """
     kept = set(keep)
-    mask = lambda c: mask_text(c, policy)
-    out = []
-    for f in df.schema.fields:
-        if f.name in kept:
-            out.append(_ident(f.name))
-            continue
-        column = _mask_value(_ident(f.name), f.dataType, f.name, policy, mask)
-        if column is not None:
-            out.append(column.alias(f.name))
-    return df.select(*out)
+    if any(d.spans is not None for d in policy.detectors()):
+        # A user's function may be a Python one, which no lambda can hold: a detection for each leaf.
+        mask = lambda c: mask_text(c, policy)
+        columns = [(f.name, _mask_value(_ident(f.name), f.dataType, f.name, policy, mask)) for f in df.schema.fields if f.name not in kept]
+        whole = dict(columns)
+        return df.select(*[_ident(c) if c in kept else whole[c].alias(c) for c in df.columns if c in kept or whole[c] is not None])
+
+    leaves = _LeafTable(policy)
+    rebuilt = {f.name: leaves.add(f.dataType, f.name, _Place(_ident(f.name))) for f in df.schema.fields if f.name not in kept}
+    if not leaves.texts:
+        out = [_ident(c) if c in kept else rebuilt[c](None, None, _ident(c), F.lit(0)).alias(c) for c in df.columns if c in kept or rebuilt[c]]
+        return df.select(*out)
+    mask = lambda texts: F.transform(texts, lambda t: mask_text(t, policy))
+    staged = df.withColumn("_texts", F.array(*leaves.texts).cast("array<array<string>>"))
+    staged = staged.withColumn("_masked", F.transform("_texts", mask))
+    offsets = F.array(*leaves.offsets).cast("array<array<int>>")
+    names = [c for c in df.columns if c not in kept and rebuilt[c]]
+
+    def row(table: Column) -> Column:
+        # Bound once: a column named inside a lambda may be computed there for every item.
+        columns = [rebuilt[c](table["masked"], table["offsets"], _ident(c), F.lit(0)).alias(c) for c in names]
+        return F.struct(*columns)
+
+    staged = staged.withColumn("_row", let(F.struct(F.col("_masked").alias("masked"), offsets.alias("offsets")), row))
+    return staged.select(*[_ident(c) if c in kept else F.col("_row").getField(c).alias(c) for c in df.columns if c in kept or c in names])
+
+
+class _Place:
+    """All values of a place in the schema: one, or those of all items of the arrays above it, in order."""
+
+    def __init__(self, value: Column, single: bool = True):
+        self.value, self.single = value, single
+
+    def list(self) -> Column:
+        return F.array(self.value) if self.single else self.value
+
+    def map(self, step: Callable[[Column], Column]) -> _Place:
+        return _Place(step(self.value) if self.single else F.transform(self.value, step), self.single)
+
+    def items(self, empty: Column) -> _Place:
+        """The items of the arrays here."""
+        if self.single:
+            return _Place(F.coalesce(self.value, empty), False)
+        return _Place(F.flatten(F.transform(self.value, lambda x: F.coalesce(x, empty))), False)
+
+    def sizes(self) -> Column:
+        return F.transform(self.value, lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)))
+
+
+#: From the masked lists, the offsets, the value of a place and its number there to what stands in its stead.
+Rebuild = Callable[[Column, Column, Column, Column], Column]
+
+
+class _LeafTable:
+    """The texts to mask, as a list of lists, and how to put a value together from the masked ones."""
+
+    def __init__(self, policy: Policy):
+        self.policy, self.actions = policy, policy.field_actions()
+        self.texts: list[Column] = []
+        self.offsets: list[Column] = []
+
+    def _text(self, place: _Place) -> int:
+        self.texts.append(place.list())
+        return len(self.texts) - 1
+
+    def add(self, kind: T.DataType, name: str, place: _Place) -> Rebuild | None:
+        """How to rebuild a value below field ``name``; None deletes the field."""
+        rule = self.actions.get(name.lower())
+        if isinstance(kind, T.StringType):
+            if rule is not None and rule.action == "remove":
+                return None
+            if rule is not None and rule.action == "replace":
+                return lambda m, o, v, at: field_replace(v, rule)
+            slot = self._text(place)
+            return lambda m, o, v, at: F.get(F.get(m, F.lit(slot)), at)
+        if isinstance(kind, T.StructType):
+            return self._struct(kind, place)
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StringType) and rule is not None and rule.action == "remove":
+                # Only strings are deleted; a null item is not one.
+                return lambda m, o, v, at: F.filter(v, lambda item: item.isNull())
+            return self._items(kind, name, place)
+        if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            return self._map(kind, place)
+        if isinstance(kind, T.VariantType):
+            return self._variant(name, rule, place)
+        return lambda m, o, v, at: v
+
+    def _struct(self, kind: T.StructType, place: _Place) -> Rebuild:
+        fields = [(f.name, self.add(f.dataType, f.name, place.map(lambda x, n=f.name: x.getField(n)))) for f in kind.fields]
+        fields = [(n, inner) for n, inner in fields if inner]
+        if not fields:
+            return lambda m, o, v, at: F.when(v.isNotNull(), F.create_map().cast("map<string,string>"))
+        return lambda m, o, v, at: F.when(v.isNotNull(), F.struct(*[i(m, o, v.getField(n), at).alias(n) for n, i in fields]))
+
+    def _start(self, place: _Place) -> Callable[[Column, Column], Column]:
+        """Where the items of an array begin among those of all arrays of its place."""
+        if place.single:
+            return lambda o, at: F.lit(0)
+        number = len(self.offsets)
+        ends = running(place.sizes(), lambda a, b: a + b, 0)
+        self.offsets.append(F.concat(F.array(F.lit(0)), ends))
+        return lambda o, at: F.get(F.get(o, F.lit(number)), at)
+
+    def _items(self, kind: T.ArrayType, name: str, place: _Place) -> Rebuild:
+        empty = F.array().cast(kind)
+        start = self._start(place)
+        inner = self.add(kind.elementType, name, place.items(empty))
+        return lambda m, o, v, at: let(start(o, at), lambda s: F.transform(v, lambda x, i: inner(m, o, x, s + i)))
+
+    def _map(self, kind: T.MapType, place: _Place) -> Rebuild:
+        """Keys are data, so the rule of a value is picked per entry."""
+        leaf = kind.valueType
+        while isinstance(leaf, T.ArrayType):
+            leaf = leaf.elementType
+        by_key = isinstance(leaf, T.StringType)
+        direct = isinstance(kind.valueType, T.StringType)
+        removed = [n for n, r in self.actions.items() if r.action == "remove"] if by_key else []
+        replaced = {n: r for n, r in self.actions.items() if r.action == "replace"} if by_key else {}
+        start = self._start(place)
+        values = place.map(F.map_values).items(F.array().cast(T.ArrayType(kind.valueType)))
+        # Below no field: its rules are those of the keys.
+        inner = self.add(kind.valueType, "", values)
+
+        def entry(m: Column, o: Column, e: Column, at: Column) -> Column:
+            value, low, chosen = e["value"], F.lower(e["key"]), None
+            for n, rule in replaced.items():
+                put = _deep(value, kind.valueType, lambda c, rule=rule: field_replace(c, rule))
+                chosen = F.when(low == n, put) if chosen is None else chosen.when(low == n, put)
+            if removed and not direct:
+                gone = _deep_remove(value, kind.valueType)
+                chosen = F.when(low.isin(removed), gone) if chosen is None else chosen.when(low.isin(removed), gone)
+            masked = inner(m, o, value, at)
+            return F.struct(e["key"].alias("key"), (masked if chosen is None else chosen.otherwise(masked)).alias("value"))
+
+        def rebuild(m: Column, o: Column, v: Column, at: Column) -> Column:
+            entries = let(start(o, at), lambda s: F.transform(F.map_entries(v), lambda e, i: entry(m, o, e, s + i)))
+            if removed and direct:
+                entries = F.filter(entries, lambda e: e["value"].isNull() | ~F.lower(e["key"]).isin(removed))
+            return F.map_from_entries(entries)
+
+        return rebuild
+
+    def _variant(self, name: str, rule: FieldRule | None, place: _Place) -> Rebuild:
+        """A value of any kind, by the strings of its JSON, which the rules of its fields have been applied to."""
+
+        def text(value: Column) -> Column:
+            return jsontext.ruled(F.to_json(F.struct(value.alias("value" if rule is None else name))), self.actions)
+
+        found = place.map(lambda v: F.transform(jsontext.tokens(text(v)), jsontext.body))
+        start = self._start(found)
+        slot = self._text(found.items(F.array().cast("array<string>")))
+
+        def rebuild(m: Column, o: Column, value: Column, at: Column) -> Column:
+            masked = let(
+                start(o, at),
+                lambda s: jsontext.with_strings(text(value), lambda token, i: F.get(F.get(m, F.lit(slot)), s + i)),
+            )
+            own = F.map_values(F.variant_get(F.try_parse_json(masked), "$", "map<string,variant>"))
+            return F.when(F.schema_of_variant(value).rlike("^(STRING|ARRAY|OBJECT)"), F.get(own, F.lit(0))).otherwise(value)
+
+        return rebuild
 
 
 def _mask_value(value: Column, kind: T.DataType, name: str, policy: Policy, mask: Masker) -> Column | None:
@@ -192,10 +346,6 @@ def _mask_value(value: Column, kind: T.DataType, name: str, policy: Policy, mask
     return value
 
 
-_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
-_JSON_FLAT = rf'\[(?:{_JSON_STRING}|[^\[\]{{}}"])*+\]'
-
-
 def _mask_variant(value: Column, name: str, policy: Policy, mask: Masker) -> Column:
     """A value of any kind: a string by the rule of its field; arrays and objects as text of JSON.
 
@@ -210,7 +360,7 @@ def _mask_variant(value: Column, name: str, policy: Policy, mask: Masker) -> Col
         string = F.lit(None).cast("string") if rule.action == "remove" else field_replace(text, rule)
     whole = F.to_json(F.struct(value.alias("value" if rule is None else name)))
     nested = let(
-        mask(_ruled_json(whole, policy)), lambda json: F.coalesce(F.try_parse_json(json), F.try_parse_json(F.to_json(F.struct(json.alias("value")))))
+        mask(jsontext.ruled(whole, policy.field_actions())), lambda json: F.coalesce(F.try_parse_json(json), F.try_parse_json(F.to_json(F.struct(json.alias("value")))))
     )
     own = F.map_values(F.variant_get(nested, "$", "map<string,variant>"))
     kind = F.schema_of_variant(value)
@@ -221,26 +371,6 @@ def _mask_variant(value: Column, name: str, policy: Policy, mask: Masker) -> Col
     )
 
 
-def _ruled_json(json: Column, policy: Policy) -> Column:
-    """Compact JSON text with the ``remove`` and ``replace`` rules applied.
-
-    A quote inside a string is escaped, so a quoted name before a colon is a key. NUL, which JSON text cannot
-    hold, marks what goes until its commas are known.
-    """
-    for field, rule in policy.field_actions().items():
-        if rule.action == "mask":
-            continue
-        key = f'(?i)("{re.escape(jsonlib.dumps(field, ensure_ascii=False)[1:-1])}":)'
-        if rule.action == "remove":
-            string, array = "\0", "$1[]"
-        else:
-            constant = jsonlib.dumps(rule.replacement or "", ensure_ascii=False).replace("\\", "\\\\").replace("$", "\\$")
-            string, array = f"$1{constant}", f"$1[{constant}]"
-        json = F.regexp_replace(json, F.lit(key + _JSON_FLAT), F.lit(array))
-        json = F.regexp_replace(json, F.lit(key + _JSON_STRING), F.lit(string))
-    return F.regexp_replace(F.regexp_replace(json, "\0,", ""), ",?\0", "")
-
-
 def _mask_items(value: Column, kind: T.ArrayType, name: str, policy: Policy, mask: Masker) -> Column:
     probe = isinstance(kind.elementType, T.StringType)
     rule = policy.field_actions().get(name.lower())

@@ -20,6 +20,7 @@ from cloakframe.functions.spans import replace_spans
 from cloakframe.operators.fields import skip_formula_cells, string_columns
 from cloakframe.plans.masking import with_spans
 from cloakframe.plans.policy import Policy, _lookup
+from cloakframe.sources.store import Store
 
 # -- building ----------------------------------------------------------------------------------
 
@@ -93,42 +94,52 @@ def decrypt_mapping(stored: DataFrame, passphrase: str) -> DataFrame:
     return stored.select("token", opened.cast("string").alias("value"))
 
 
-_PART_SCHEMA = "saved_at timestamp, run string, generation bigint"
-_STORE_SCHEMA = f"token string, value_enc binary, {_PART_SCHEMA}"
-_CACHE_SCHEMA = f"digest string, token string, {_PART_SCHEMA}"
-_AGE = ("saved_at", "generation")
+def _mapping_store(spark: SparkSession, path: str) -> Store:
+    newest = lambda rows: rows.groupBy("token").agg(F.max_by("value_enc", "seq").alias("value_enc"))
+    return Store(spark, path, "token string, value_enc binary", newest)
 
 
-def save_part(rows: DataFrame, path: str, run: str, generation: int) -> None:
-    """Write one part of a store, again in full when it is retried.
+def _cache_store(spark: SparkSession, path: str) -> Store:
+    first = lambda rows: rows.groupBy("digest").agg(F.min_by("token", "seq").alias("token"))
+    return Store(spark, path, "digest string, token string", first)
 
-    Runs and their generations have folders of their own, so none rewrites what another has stored.
+
+def save_mapping(
+    mapping: DataFrame, path: str, passphrase: str, generation: int, run: str = "batch", replace: bool = True
+) -> bool:
+    """Add one generation of a run to an encrypted store; the generation saved last wins on reading.
+
+    A generation saved again replaces itself, or with ``replace`` off changes nothing (see ``sources.store``).
     """
-    stamped = rows.withColumn("saved_at", F.current_timestamp())
-    stamped.write.mode("overwrite").parquet(f"{path}/run={run}/generation={generation}")
+    store = _mapping_store(mapping.sparkSession, path)
+    return store.commit(encrypt_mapping(mapping, passphrase), run, generation, replace)
 
 
-def save_mapping(mapping: DataFrame, path: str, passphrase: str, generation: int, run: str = "batch") -> None:
-    """Add one generation of a run to an encrypted store; the part saved last wins on reading."""
-    save_part(encrypt_mapping(mapping, passphrase), path, run, generation)
+def save_token_cache(entries: DataFrame, path: str, generation: int, run: str = "batch", replace: bool = True) -> bool:
+    """Add one generation of a run to a stored token cache; the generation saved first wins on reading."""
+    return _cache_store(entries.sparkSession, path).commit(entries.select("digest", "token"), run, generation, replace)
 
 
-def save_token_cache(entries: DataFrame, path: str, generation: int, run: str = "batch") -> None:
-    """Add one generation of a run to a stored token cache; the part saved first wins on reading."""
-    save_part(entries.select("digest", "token"), path, run, generation)
+def compact_mapping(spark: SparkSession, path: str, target: str | None = None) -> None:
+    """Fold a store into one part with the newest value of every token, in place or to a new store.
+
+    Values stay as they are sealed.
+    """
+    store = _mapping_store(spark, path)
+    if target is None:
+        store.compact()
+    else:
+        _mapping_store(spark, target).commit(store.current(), "compact", 0)
 
 
-def compact_mapping(spark: SparkSession, path: str, target: str) -> None:
-    """Write the newest value of every token of a store to a new store, values as they are sealed."""
-    stored = spark.read.schema(_STORE_SCHEMA).parquet(path)
-    save_part(stored.groupBy("token").agg(F.max_by("value_enc", F.struct(*_AGE)).alias("value_enc")), target, "compact", 0)
+def compact_token_cache(spark: SparkSession, path: str) -> None:
+    """Fold a stored token cache into one part with the first token of every digest, in place."""
+    _cache_store(spark, path).compact()
 
 
 def load_mapping(spark: SparkSession, path: str, passphrase: str) -> DataFrame:
-    """Current mapping of a store: the newest value of every token."""
-    stored = spark.read.schema(_STORE_SCHEMA).parquet(path)
-    newest = stored.groupBy("token").agg(F.max_by("value_enc", F.struct(*_AGE)).alias("value_enc"))
-    return decrypt_mapping(newest, passphrase)
+    """Current mapping of a store: the newest value of every token. A store nobody has written to is empty."""
+    return decrypt_mapping(_mapping_store(spark, path).current(), passphrase)
 
 
 # -- restoring ---------------------------------------------------------------------------------
@@ -333,6 +344,5 @@ def mask_with_cache(
 
 
 def load_token_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A stored token cache: per digest the token of the part saved first."""
-    stored = spark.read.schema(_CACHE_SCHEMA).parquet(path)
-    return stored.groupBy("digest").agg(F.min_by("token", F.struct(*_AGE)).alias("token"))
+    """A stored token cache: per digest the token saved first. A store nobody has written to is empty."""
+    return _cache_store(spark, path).current()

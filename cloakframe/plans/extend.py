@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark import SparkContext
 from pyspark.sql import Column
 
+from cloakframe.functions.groups import located
 from cloakframe.functions.patterns import DEFAULT_PRIORITY, Detector
 
 CAPABILITIES = frozenset({"detector", "masker", "field_rules"})
@@ -86,9 +87,9 @@ def register_detector(
 ):
     """A policy that also runs a user's detector.
 
-    ``pattern`` is a Java regular expression that does not match the empty string. A ``group`` is masked alone:
-    it ends its match, or else is the first place in the match where its string stands. ``spans`` takes the text Column and returns
-    ``array<struct<start,end,value>>`` instead; a ``pandas_udf`` of that type fits.
+    ``pattern`` is a Java regular expression that does not match the empty string. A ``group`` is masked alone, in
+    its own place, the last one if it is repeated; in a look-behind it has none. ``spans`` takes the text Column and
+    returns ``array<struct<start,end,value>>`` instead; a ``pandas_udf`` of that type fits.
     """
     from dataclasses import replace
 
@@ -98,6 +99,7 @@ def register_detector(
         raise ValueError("give either a pattern or a spans function")
     if pattern and _matches_nothing(pattern):
         raise ValueError("the pattern matches the empty string")
+    located(pattern, group)  # refuses a group that has no place
     detector = Detector(
         name=name,
         pattern=pattern,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakframe.functions import jsontext
 from cloakframe.functions.binding import extract_all, let, matches
 from cloakframe.functions.spans import collect_spans, count_by_detector, replace_spans, resolve_overlaps
 from cloakframe.operators.fields import field_replace, mask_nested, mask_table
@@ -165,11 +166,16 @@ def json_failures(df: DataFrame, column: str) -> DataFrame:
 def mask_json(df: DataFrame, policy: Policy, column: str, schema: str | T.DataType | None = None) -> DataFrame:
     """Mask a column of JSON text; numbers and booleans stay.
 
-    With a schema every field of it is written, nulls too. Without one the schema is taken from all rows, and
-    each row is written with the fields it has: a missing field stays missing, and so does a field that is
-    null. A value whose kind differs from row to row is masked as a text of its own and keeps its kind. A text
-    that is no JSON becomes null (see ``json_failures``).
+    With a schema every field of it is written, nulls too. Without one each row is masked in its own text, in one
+    pass and whatever its shape: all its strings are one list, detection runs over that list, and the text is put
+    together again, with missing fields missing and null ones null. There ``remove`` and ``replace`` reach strings
+    and the items of arrays, also of arrays in arrays up to ``jsontext.ARRAY_LEVELS``, but not of arrays that hold
+    objects besides. A text that is no JSON becomes null (see ``json_failures``).
     """
+    if schema is None and not any(d.spans is not None for d in policy.detectors()):
+        text = jsontext.ruled(F.to_json(F.try_parse_json(column)), policy.field_actions())
+        masked = let(text, lambda t: jsontext.with_strings(t, lambda token, _: mask_text(jsontext.body(token), policy)))
+        return df.withColumn(column, masked)
     wanted = json_schema(df, column) if schema is None else schema
     text = F.col(column)
     if schema is None:

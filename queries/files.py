@@ -288,8 +288,7 @@ _EVENT_TEXT = f"'user ' || {_MAIL} || ' at ' || {_HOST}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = streams.read_stream(spark, f"{sf_dir}/events.parquet")
     return events.select("event_id", F.expr(_EVENT_TEXT).alias("text"))
 
 

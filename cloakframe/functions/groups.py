@@ -109,6 +109,19 @@ def _uncaptured(node: _Node) -> _Node:
     return replace(node, head=head, number=0, choices=tuple(tuple(map(_uncaptured, row)) for row in node.choices))
 
 
+def _always(node: _Node, number: int) -> bool:
+    """Does the group take part whenever the piece matches once."""
+    if node.number == number:
+        return True
+    inner = [n for row in node.choices for n in row if _holds(n, number)]
+    return len(node.choices) == 1 and all(n.repeat[:1] in ("", "+") and _always(n, number) for n in inner)
+
+
+def _refers(node: _Node) -> bool:
+    own = _REFERENCE.fullmatch(node.text) or node.text.startswith("\\k<")
+    return bool(own) or any(_refers(n) for row in node.choices for n in row)
+
+
 def _marked(pieces: tuple[_Node, ...]) -> list[_Node]:
     """The pieces in capturing groups; flags stay outside, as a group would end what they hold for."""
     out, run = [], []
@@ -123,7 +136,7 @@ def _marked(pieces: tuple[_Node, ...]) -> list[_Node]:
     return out
 
 
-def _unrolled(node: _Node) -> tuple[list[_Node], str]:
+def _unrolled(node: _Node, number: int) -> tuple[list[_Node], str]:
     """What stands for a repeated piece so that its last repetition stands alone, and what repeats all of it."""
     found = _REPEAT.fullmatch(node.repeat)
     kind = node.repeat[0]
@@ -134,6 +147,8 @@ def _unrolled(node: _Node) -> tuple[list[_Node], str]:
     how = node.repeat[-1] if len(node.repeat) > 1 and node.repeat[-1] in "+?" else ""
     if high is not None and high <= 1:
         return [replace(node, repeat="")], node.repeat
+    if not _always(node, number) or _refers(node):
+        raise ValueError("a group that not every repetition around it has, or that is referred to there, has no place of its own")
     before = replace(_uncaptured(node), repeat=f"{{{max(low - 1, 0)},{'' if high is None else high - 1}}}{'?' if how == '?' else ''}")
     rows = [*_marked((before,)), replace(node, repeat="")]
     if how == "+":
@@ -151,7 +166,7 @@ def _rewritten(choices: tuple[tuple[_Node, ...], ...], number: int) -> tuple[tup
         node = row[place]
         if node.head.startswith(("(?<=", "(?<!", "(?!")):
             raise ValueError("a group inside a look-behind or a negative look-ahead has no place in the match")
-        pieces, repeat = _unrolled(node) if node.repeat else ([node], "")
+        pieces, repeat = _unrolled(node, number) if node.repeat else ([node], "")
 
         def inside(piece: _Node) -> _Node:
             if piece.number == number or not _holds(piece, number):
@@ -204,8 +219,6 @@ def located(pattern: str, group: int) -> tuple[str, int, tuple[int, ...]]:
         found = _REFERENCE.fullmatch(node.text)
         if not found:
             return node
-        if int(found[1]) not in numbers:
-            raise ValueError("the pattern refers to a group that is repeated around the wanted one")
         # A class of the digits that follow keeps them apart from the new number.
         return replace(node, text=f"(?:\\{numbers[int(found[1])]})")
 

@@ -184,6 +184,10 @@ def mask_nested(df: DataFrame, policy: Policy, keep: Iterable[str] = ()) -> Data
     return staged.select(*[_ident(c) if c in kept else F.col("_row").getField(c).alias(c) for c in df.columns if c in kept or c in names])
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda value: value.getField(name)
+
+
 class _Place:
     """All values of a place in the schema: one, or those of all items of the arrays above it, in order."""
 
@@ -246,7 +250,7 @@ class _LeafTable:
         return lambda m, o, v, at: v
 
     def _struct(self, kind: T.StructType, place: _Place) -> Rebuild:
-        fields = [(f.name, self.add(f.dataType, f.name, place.map(lambda x, n=f.name: x.getField(n)))) for f in kind.fields]
+        fields = [(f.name, self.add(f.dataType, f.name, place.map(_field(f.name)))) for f in kind.fields]
         fields = [(n, inner) for n, inner in fields if inner]
         if not fields:
             return lambda m, o, v, at: F.when(v.isNotNull(), F.create_map().cast("map<string,string>"))

@@ -321,26 +321,33 @@ def mask_with_cache(
 ) -> DataFrame:
     """Mask with a token cache: one token per value, whatever detector found it.
 
-    Only digests whose cached token differs from a token the policy would give need a lookup, so
-    those alone are joined back; every other span is masked in its row.
+    Only digests whose cached token differs from a token the policy would give need a lookup. Rows are joined
+    to those by the set of their own digests, so what comes back is no larger than one row, however many rows
+    share the ``key``; ``key`` and ``order`` only say which token is the first.
     """
     order = list(order or [key])
     spans = keyed_spans(df, policy, text, keys=list(dict.fromkeys([key, *order])))
     entries = cache_entries(spans, order, cache)
     own = lambda p: token_of(F.col("digest"), p)
     differing = entries.where(F.exists("prefixes", lambda p: own(p) != F.col("token"))).select("digest", "token")
+
+    prefixes = list(policy.hmac_prefixes())
+    keyed = F.filter(F.col("_kept"), lambda s: s["detector"].isin(prefixes))
+    digests = F.array_distinct(F.transform(keyed, lambda s: hmac_sha256(s["value"], policy.secret)))
+    # Rows without digests are spread out: no set is theirs.
+    apart = F.concat(F.lit("-"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("string"))
+    name = F.when(F.size("_digests") > 0, F.sha2(F.array_join(F.array_sort("_digests"), ""), 256)).otherwise(apart)
+    staged = with_spans(df, policy, text).withColumn("_digests", digests).withColumn("_set", name)
+    wanted = staged.select("_set", F.explode_outer("_digests").alias("digest")).where(F.col("digest").isNotNull()).distinct()
     overrides = (
-        spans.select(key, "digest")
-        .distinct()
-        .join(differing, "digest")
-        .groupBy(F.col(key).alias("_of"))
+        wanted.join(differing, "digest")
+        .groupBy("_set")
         .agg(F.map_from_entries(F.collect_set(F.struct("digest", "token"))).alias("_tokens"))
     )
-    joined = df.join(overrides, df[key].eqNullSafe(overrides["_of"]), "left").drop("_of")
-    staged = with_spans(joined, policy, text)
+    joined = staged.join(overrides, "_set", "left")
     swap = lambda digest, new: F.coalesce(F.try_element_at(F.col("_tokens"), digest), new)
     masked = replace_spans(F.col(text), F.col("_kept"), lambda s: policy.replacement(s, swap))
-    return staged.select(*[masked.alias(text) if c == text else F.col(c) for c in df.columns])
+    return joined.select(*[masked.alias(text) if c == text else F.col(c) for c in df.columns])
 
 
 def load_token_cache(spark: SparkSession, path: str) -> DataFrame:

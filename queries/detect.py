@@ -106,3 +106,18 @@ def _inner_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["register_detector_inner_group"] = _inner_group
 ORACLES["register_detector_inner_group"] = f"""
 SELECT {K}, '<Customer#CUSTOMER_REDACTED> x' AS text, 1 AS matches_applied FROM customer"""
+
+
+def _repeated_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group whose string stands before it in the match as well: only the group is masked."""
+    policy = register_detector(
+        Policy(SECRET), "second_number", r"(\d+)-(\d+)x", group=2, rule=Rule(mode="redact", prefix="TAG")
+    )
+    number = f"cast({K} as string)"
+    texts = table(spark, sf_dir, "customer").select(K, F.expr(f"{number} || '2-2x and ' || {number} || '-' || {number} || 'x'").alias("text"))
+    return mask_with_stats(texts, policy).select(K, "text", "matches_applied")
+
+
+QUERIES["register_detector_repeated_group"] = _repeated_group
+ORACLES["register_detector_repeated_group"] = f"""
+SELECT {K}, {K} || '2-TAG_REDACTEDx and ' || {K} || '-TAG_REDACTEDx' AS text, 2 AS matches_applied FROM customer"""

@@ -16,6 +16,7 @@ from cloakframe.operators import reports
 from cloakframe.operators.fields import mask_nested
 from cloakframe.plans.policy import FieldRule, Policy
 from cloakframe.session import shared_folder
+from cloakframe.sources import blocks as blocks_of
 from cloakframe.sources import formats, readers, sinks
 from cloakframe.streaming import streams
 from queries.sqlkit import (
@@ -125,6 +126,11 @@ def _mask_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NULLS = f"""CASE o_orderkey % 3
+  WHEN 0 THEN '{{"a":null,"b":{{"c":null,"email":"' || {_ORDER_MAIL} || '"}},"n":[1,null,2.5]}}'
+  WHEN 1 THEN '{{"a":[["' || {_ORDER_MAIL} || '",null],[]],"password":["p",7,null,["q"]],"q":"\\\\"' || {_ORDER_MAIL} || '\\\\""}}'
+  ELSE '["' || {_ORDER_MAIL} || '",null,{{"password":"p","token":"t","x":true}}]' END"""
+_LONG_LINE = f"'user ' || {_MAIL} || ' at ' || {_HOST} || ' ' || repeat('*', cast(event_id % 700 as int)) || {_MAIL}"
 _MAIL_OF = f"'u' || cast({K} as string) || '@mail.ru'"
 _VARIED = f"""CASE o_orderkey % 5
   WHEN 0 THEN '{{"id":1,"email":"' || {_ORDER_MAIL} || '","any":5}}'
@@ -181,6 +187,34 @@ def _json_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.join(failed, "o_orderkey", "left").select("o_orderkey", "doc", F.coalesce("failed", F.lit(False)).alias("failed"))
 
 
+def _json_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of any shape without a schema: nulls, arrays in arrays, escapes and mixed kinds are kept as they are."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_NULLS).alias("doc"))
+    return formats.mask_json(docs, POLICY, "doc")
+
+
+def _text_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long text files in blocks of a few thousand characters, each masked by itself: the lines come out whole."""
+    path = shared_folder(spark, "long-texts")
+    table(spark, sf_dir, "events").select(F.expr(_LONG_LINE).alias("value")).write.text(path)
+    blocks = blocks_of.read_text_blocks(spark, path, block_chars=4000, halo_chars=500)
+    masked = blocks_of.mask_text_blocks(blocks, _PLAIN)
+    lines = masked.select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _text_splits_unbroken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one endless line, whose blocks are cut at blanks or, in long words, anywhere: statistics of a whole file."""
+    path = shared_folder(spark, "unbroken")
+    words = table(spark, sf_dir, "events").select(F.expr(f"{_EVENT_TEXT} || ' ' || repeat('x', 3000)").alias("value"))
+    words.write.option("lineSep", " ").text(path)
+    blocks = blocks_of.read_text_blocks(spark, path, block_chars=2000, halo_chars=200, separator=" ")
+    masked = blocks_of.mask_text_blocks(blocks, _PLAIN)
+    return masked.agg(
+        F.sum("matches_found").alias("matches_found"), F.sum("matches_applied").alias("matches_applied"), F.sum(F.length("text")).alias("n_chars")
+    )
+
+
 def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log files masked and written again, each under a label of its own."""
     path, out = shared_folder(spark, "log-files"), shared_folder(spark, "log-files-masked")
@@ -336,6 +370,9 @@ QUERIES = {
     "mask_log_files": _log_files,
     "mask_csv_ragged": _csv_ragged,
     "mask_json_varied": _json_varied,
+    "mask_json_nulls": _json_nulls,
+    "mask_text_splits": _text_splits,
+    "mask_text_splits_unbroken": _text_splits_unbroken,
     "mapping_stream_onto_store": _mapping_stream_onto_store,
     "mask_json_files": _mask_json,
     "mask_xml": _mask_xml,
@@ -424,6 +461,18 @@ SELECT o_orderkey, CASE o_orderkey % 5
   WHEN 1 THEN '{{"any":"to ' || {_OM} || '","tags":["' || {_OM} || '",null]}}'
   WHEN 2 THEN '{{"user":{{"email":"' || {_OM} || '"}}}}'
   WHEN 3 THEN '{{"any":{{"email":"' || {_OM} || '","token":"[hidden]"}}}}' END AS doc, o_orderkey % 5 = 4 AS failed FROM orders""",
+    "mask_json_nulls": f"""
+SELECT o_orderkey, CASE o_orderkey % 3
+  WHEN 0 THEN '{{"a":null,"b":{{"c":null,"email":"' || {_OM} || '"}},"n":[1,null,2.5]}}'
+  WHEN 1 THEN '{{"a":[["' || {_OM} || '",null],[]],"password":[7,null,[]],"q":"\\"' || {_OM} || '\\""}}'
+  ELSE '["' || {_OM} || '",null,{{"token":"[hidden]","x":true}}]' END AS doc FROM orders""",
+    "mask_text_splits": f"""
+SELECT line, count(*) AS n FROM (
+  SELECT 'user ' || {_STREAM_MAIL} || ' at ' || {_STREAM_HOST} || ' ' || repeat('*', CAST(event_id % 700 AS INT)) || {_STREAM_MAIL} AS line
+  FROM events) GROUP BY line""",
+    "mask_text_splits_unbroken": f"""
+SELECT 2 * count(*) AS matches_found, 2 * count(*) AS matches_applied,
+  sum(length('user ' || {_STREAM_MAIL} || ' at ' || {_STREAM_HOST} || ' ') + 3001) AS n_chars FROM events""",
     "mask_log_encodings": f"SELECT 'Иван Шевцов ' || {_PEOPLE_MAIL} AS line, 1 AS matches_applied FROM customer",
     "token_cache_stream": f"""
 SELECT DISTINCT {_STREAM_MAIL} AS token FROM events UNION SELECT DISTINCT {_STREAM_HOST} FROM events""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.maskers import hmac_sha256
 from cloakframe.operators import mapping as m
+from cloakframe.operators import restore
 from cloakframe.operators.fields import mask_table
 from cloakframe.plans.extend import register_detector
 from cloakframe.plans.masking import mask_with_stats
@@ -140,6 +141,17 @@ def _demask_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(K, restored.alias("r")).select(K, "r.text", "r.replacements")
 
 
+def _demask_any_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of keys of any shape: names, single characters, keys that begin or end like others."""
+    customers = table(spark, sf_dir, "customer")
+    named = customers.select(F.col("c_name").alias("token"), F.concat(F.lit("no. "), F.col(K).cast("string")).alias("value"))
+    starts = customers.select(F.expr("substr(c_name, 1, 14)").alias("token"), F.lit("some").alias("value"))
+    few = spark.createDataFrame([("(", "["), ("Customer", "client"), ("é\U0001f600", "smile"), ("r and ", "E&")], "token string, value string")
+    other = F.concat(F.lit("Customer#99999"), F.lpad(F.col(K).cast("string"), 9, "0"))
+    text = F.concat(F.lit("("), F.col("c_name"), F.lit(" é\U0001f600 Customer and "), other, F.lit("("))
+    return restore.demask_any_keys(customers.select(K, text.alias("text")), named.unionByName(starts).unionByName(few))
+
+
 # Token cache: the same value found by two detectors gets the token of the first place it is met at.
 _DIGITS = f"'0' || lpad(cast({K} as string), 8, '0')"
 _CACHE_EXPR = (
@@ -183,6 +195,28 @@ def _first_prefix_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.mask_with_cache(texts, policy, K)
 
 
+def _cache_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a few shared keys, each with many digests to look up."""
+    rows = table(spark, sf_dir, "customer").select(K, "c_mktsegment", F.expr(_CACHE_EXPR).alias("text"))
+    return m.mask_with_cache(rows, _cache_policy(), "c_mktsegment", order=[K], cache=_held_cache(spark, sf_dir))
+
+
+def _folded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of many generations, of which some are saved again, others folded: the newest values."""
+    path = shared_folder(spark, "mapping")
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("T_"), (F.col(K) % 500).cast("string")).alias("token"), F.col("c_name").alias("value"), (F.col(K) % 5).alias("g")
+    )
+    part = lambda g: rows.where(F.col("g") == g).groupBy("token").agg(F.min("value").alias("value"))
+    for generation in range(5):
+        m.save_mapping(part(generation), path, PASSPHRASE, generation)
+        if generation == 2:
+            m.compact_mapping(spark, path)
+    m.save_mapping(part(0).withColumn("value", F.lit("late")), path, PASSPHRASE, 0)  # folded by now: stays
+    m.save_mapping(part(4), path, PASSPHRASE, 4)
+    return m.load_mapping(spark, path, PASSPHRASE)
+
+
 _MAIL = f"'u' || ({K} % 50) || '@mail.ru'"
 
 QUERIES = {
@@ -197,6 +231,9 @@ QUERIES = {
     "demask_table": _demask_table,
     "demask_report": _demask_report,
     "demask_with_keys": _demask_keys,
+    "demask_any_keys": _demask_any_keys,
+    "mask_with_cache_by_segment": _cache_by_segment,
+    "mapping_store_folded": _folded_store,
     "mask_with_cache": _mask_with_cache,
     "cache_first_prefix_wins": _first_prefix_wins,
 }
@@ -234,6 +271,15 @@ SELECT {K}, CASE WHEN {K} % 2 = 0 THEN 'БИК ' || {token_sql(_DIGITS, 'BIK')}
     ELSE 'код ' || {token_sql(f"'1' || lpad(cast({K} as string), 8, '0')", 'KPP')} END
   || ' and ' || CASE WHEN {K} % 50 < (SELECT count(*) FROM nation) AND {K} % 50 % 2 = 0 THEN {token_sql(_MAIL, 'LOGIN')}
     ELSE {token_sql(_MAIL, 'EMAIL')} END AS text FROM customer""",
+    "mask_with_cache_by_segment": f"""
+SELECT {K}, c_mktsegment, CASE WHEN {K} % 2 = 0 THEN 'БИК ' || {token_sql(_DIGITS, 'BIK')}
+    ELSE 'код ' || {token_sql(f"'1' || lpad(cast({K} as string), 8, '0')", 'KPP')} END
+  || ' and ' || CASE WHEN {K} % 50 < (SELECT count(*) FROM nation) AND {K} % 50 % 2 = 0 THEN {token_sql(_MAIL, 'LOGIN')}
+    ELSE {token_sql(_MAIL, 'EMAIL')} END AS text FROM customer""",
+    "demask_any_keys": f"""
+SELECT {K}, '[no. ' || {K} || ' smile client and client#99999' || lpad({K}::VARCHAR, 9, '0') || '[' AS text, 6 AS replacements FROM customer""",
+    "mapping_store_folded": f"""
+SELECT 'T_' || ({K} % 500) AS token, min(c_name) AS value FROM customer GROUP BY {K} % 500""",
     "cache_first_prefix_wins": f"""
 SELECT {K}, CASE WHEN {K} % 2 = 0 THEN '<' || t || '>' ELSE 'to ' || t END AS text
 FROM (SELECT {K}, {token_sql(f"'u' || ({K} // 2) || '.x9@mail.ru'", 'BOX')} AS t FROM customer)""",

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,31 @@ def test_trie_finds_what_brute_force_finds():
         assert roots(len(sets), same + every) == roots(len(sets), same + found)
 
 
+def test_names_of_one_set_alone_are_dropped():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        names = np.sort(rng.integers(0, 25, rng.integers(0, 40)))
+        cuts = np.sort(rng.integers(0, names.size + 1, rng.integers(0, 6)))
+        parts = np.split(np.arange(names.size), cuts)
+        batches = [pa.RecordBatch.from_arrays([pa.array(names[p], pa.int64()), pa.array(p, pa.int64())], names=["name", "id"]) for p in parts]
+        got = [i for batch in triejoin._alone(iter(batches)) for i in batch.column(1).to_pylist()]
+        assert got == [i for i, n in enumerate(names) if np.count_nonzero(names == n) > 1]
+
+
+def test_outlines_leave_linked_sets_together():
+    rng = np.random.default_rng(4)
+    for size in (3, 8, 30, 200):
+        for _ in range(40):
+            sets = some_sets(rng, 3, size + 1, 12, 0.3)
+            at = triejoin.level(max(s.size for s in sets))
+            sizes, own = np.array([s.size for s in sets]), np.arange(len(sets))
+            lines = np.frombuffer(b"".join(triejoin.outline(s, at) for s in sets), np.uint8).reshape(len(sets), -1)
+            group = {i: g for g, members in enumerate(triejoin.neighbourhoods(own, sizes, lines)) for i in members}
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    assert not similar(a, b) or group[i] == group[j]
+
+
 def plain_groups(rows):
     sets = [triejoin.gram_set(t) for _, t in rows]
     links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a.size and b.size and similar(a, b)]
@@ -115,7 +141,7 @@ def near_copies(rnd, groups, copies, words, changes):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("limits", [None, (8, 1 << 22), (2, 64)])
+@pytest.mark.parametrize("limits", [None, (2, 64)])
 def test_groups_by_brute_force(spark, monkeypatch, limits):
     """Also with tries so small that names are dealt in chunks and named anew."""
     rnd = random.Random(4)

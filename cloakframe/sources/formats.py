@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.functions import jsontext
-from cloakframe.functions.binding import extract_all, let, matches
+from cloakframe.functions import jsontext, xmltext
+from cloakframe.functions.binding import extract_all, let, matches, running
 from cloakframe.functions.spans import collect_spans, count_by_detector, replace_spans, resolve_overlaps
 from cloakframe.operators.fields import field_replace, mask_nested, mask_table
 from cloakframe.plans.masking import mask_text, mask_with_stats
@@ -225,6 +225,83 @@ def _xml_value(
     return value
 
 
+def mask_xml_text(df: DataFrame, policy: Policy, column: str = "text") -> DataFrame:
+    """Mask XML documents, one text each, node by node, and add their statistics; all else of the text stays.
+
+    Texts are masked under the name of the element they stand in, attributes under their own, comments and
+    instructions under none. ``replace`` puts the constant. ``remove`` deletes attributes and empties the text
+    that begins an element; a text behind an inner element stays, and a blank one is always left alone. Namespace
+    declarations, the document type and the XML declaration are not looked at. CDATA becomes character data.
+    """
+    actions = policy.field_actions()
+    removed = [n for n, r in actions.items() if r.action == "remove"]
+    replaced = {n: r.replacement or "" for n, r in actions.items() if r.action == "replace"}
+    detectors = policy.detectors()
+    if any(d.spans is not None for d in detectors):
+        raise ValueError("XML texts are masked by detectors with a pattern only")
+    nothing = F.lit(None).cast("string")
+
+    def looked_at(value: Column) -> Column:
+        """The text that detectors see, or null."""
+        low = F.lower(value["name"])
+        skipped = low.isin(removed + list(replaced)) if removed or replaced else F.lit(False)
+        return F.when(value["is_there"] & ~skipped, value["text"])
+
+    def scanned(value: Column) -> Column:
+        return let(
+            collect_spans(value, detectors),
+            lambda found: F.struct(found.alias("found"), resolve_overlaps(found).alias("kept")),
+        )
+
+    nodes = df.withColumn("_nodes", xmltext.nodes(xmltext.without_cdata(F.make_valid_utf8(F.col(column)))))
+    nodes = nodes.withColumn("_values", F.transform("_nodes", xmltext.values))
+    seen = F.transform(F.flatten("_values"), looked_at)
+    scan = nodes.withColumn("_seen", seen).withColumn("_spans", F.transform("_seen", scanned))
+    scan = scan.withColumn("_kept", F.flatten(F.transform("_spans", lambda x: x["kept"])))
+
+    def outcome(value: Column, text: Column, spans: Column) -> Column:
+        """What a value becomes: null if it stays, NUL if its attribute goes."""
+        masked = F.when(text.isNotNull() & (F.size(spans) > 0), replace_spans(text, spans, policy.replacement))
+        low, chosen = F.lower(value["name"]), None
+        for name, constant in replaced.items():
+            put = F.when(value["is_there"], F.lit(constant))
+            chosen = F.when(low == name, put) if chosen is None else chosen.when(low == name, put)
+        if removed:
+            gone = F.when(value["is_there"] & ~value["is_tail"], F.lit("\0"))
+            chosen = F.when(low.isin(removed), gone) if chosen is None else chosen.when(low.isin(removed), gone)
+        return masked if chosen is None else chosen.otherwise(masked)
+
+    ends = running(F.transform("_values", lambda v: F.size(v)), lambda a, b: a + b, 0)
+
+    def joined(x: Column) -> Column:
+        new = F.zip_with(
+            F.zip_with(F.flatten(x["values"]), x["seen"], lambda v, t: F.struct(v.alias("v"), t.alias("t"))),
+            x["spans"],
+            lambda vt, s: outcome(vt["v"], vt["t"], s["kept"]),
+        )
+        return let(new, lambda found: F.array_join(F.transform(x["nodes"], lambda node, i: rebuilt(x, found, node, i)), ""))
+
+    def rebuilt(x: Column, found: Column, node: Column, i: Column) -> Column:
+        start = F.get(x["ends"], i) - F.size(F.get(x["values"], i))
+
+        def value(place: Column) -> Column:
+            return let(F.get(found, start + place), lambda n: F.when((place == 0) & (n == "\0"), F.lit("")).otherwise(n))
+
+        return xmltext.rebuilt(node, value)
+
+    parts = [F.col(f"_{n}").alias(n) for n in ("nodes", "values", "seen", "spans")]
+    text = F.when(F.col(column).isNotNull(), let(F.struct(*parts, ends.alias("ends")), joined)).otherwise(nothing)
+    found = F.aggregate("_spans", F.lit(0), lambda n, x: n + F.size(x["found"])).cast("bigint")
+    kept = F.size("_kept").cast("bigint")
+    return scan.select(
+        *[text.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns],
+        F.greatest(F.coalesce(found, F.lit(0)), F.lit(0)).cast("bigint").alias("matches_found"),
+        F.greatest(F.coalesce(kept, F.lit(0)), F.lit(0)).cast("bigint").alias("matches_applied"),
+        F.greatest(F.coalesce(found - kept, F.lit(0)), F.lit(0)).cast("bigint").alias("matches_skipped"),
+        F.coalesce(count_by_detector(F.col("_kept")), F.create_map().cast("map<string,bigint>")).alias("detector_counts"),
+    )
+
+
 def mask_text_docs(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """Mask whole texts (or lines) and add their statistics."""
     return mask_with_stats(df, policy, text)

@@ -132,6 +132,9 @@ _NULLS = f"""CASE o_orderkey % 3
   ELSE '["' || {_ORDER_MAIL} || '",null,{{"password":"p","token":"t","x":true}}]' END"""
 _LONG_LINE = f"'user ' || {_MAIL} || ' at ' || {_HOST} || ' ' || repeat('*', cast(event_id % 700 as int)) || {_MAIL}"
 _MAIL_OF = f"'u' || cast({K} as string) || '@mail.ru'"
+_XML_EXPR = f"""'<?xml version="1.0"?><p:person xmlns:p="http://10.0.0.1" mail="' || {_MAIL_OF} || '" password="x"> <note>to '
+  || {_MAIL_OF} || '<b>bold</b>, &lt;' || {_MAIL_OF} || '&gt; </note>' || chr(10) || '<password>secret<i/>more ' || {_MAIL_OF}
+  || '</password> <!-- ' || {_MAIL_OF} || ' --> <token>t</token><![CDATA[<a> ' || {_MAIL_OF} || ']]></p:person>'"""
 _VARIED = f"""CASE o_orderkey % 5
   WHEN 0 THEN '{{"id":1,"email":"' || {_ORDER_MAIL} || '","any":5}}'
   WHEN 1 THEN '{{"tags":["' || {_ORDER_MAIL} || '",null],"any":"to ' || {_ORDER_MAIL} || '"}}'
@@ -266,6 +269,12 @@ def _mask_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _xml_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML documents as trees: attributes, texts, tails behind inner elements, comments, in their order."""
+    docs = people(spark, sf_dir).select(K, F.expr(_XML_EXPR).alias("doc"))
+    return formats.mask_xml_text(docs, POLICY, "doc").withColumn("detector_counts", counts_text())
+
+
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "tree")
     table(spark, sf_dir, "customer").select("c_mktsegment", "c_name").write.partitionBy("c_mktsegment").option(
@@ -376,6 +385,7 @@ QUERIES = {
     "mapping_stream_onto_store": _mapping_stream_onto_store,
     "mask_json_files": _mask_json,
     "mask_xml": _mask_xml,
+    "mask_xml_tree": _xml_tree,
     "scan_directory": _scan,
     "ingest_errors": _errors,
     "decode_text_files": _decode,
@@ -426,6 +436,11 @@ SELECT o_orderkey AS id, '{{"email":"' || {_OM} || '"}}' AS user_json, '["' || {
     "mask_xml": f"""
 SELECT {K} AS id, '{{"_VALUE":"call ' || {_PEOPLE_MAIL} || ' from ' || {_PEOPLE_HOST} || '","_mail":"' || {_PEOPLE_MAIL} || '"}}' AS note_json,
   '' AS password, '[hidden]' AS token FROM customer""",
+    "mask_xml_tree": f"""
+SELECT {K}, '<?xml version="1.0"?><p:person xmlns:p="http://10.0.0.1" mail="' || {_PEOPLE_MAIL} || '"> <note>to '
+  || {_PEOPLE_MAIL} || '<b>bold</b>, &lt;' || {_PEOPLE_MAIL} || '&gt; </note>' || chr(10) || '<password><i/>more ' || {_MAIL_OF}
+  || '</password> <!-- ' || {_PEOPLE_MAIL} || ' --> <token>[hidden]</token>&lt;a&gt; ' || {_PEOPLE_MAIL} || '</p:person>' AS doc,
+  5 AS matches_found, 5 AS matches_applied, 0 AS matches_skipped, 'email:5' AS detector_counts FROM customer""",
     "scan_directory": "SELECT DISTINCT 'c_mktsegment=' || c_mktsegment AS folder, '.csv' AS suffix FROM customer",
     "ingest_errors": """
 SELECT o_orderstatus AS status, count(*) AS n_bad, 'ValueError: malformed json' AS message FROM orders WHERE o_orderkey % 10 = 0

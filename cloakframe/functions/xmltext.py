@@ -132,6 +132,19 @@ def nodes(text: Column) -> Column:
     return let(extract_all(text, _MARKUP), listed)
 
 
+def is_well_formed(found: Column) -> Column:
+    """Do the nodes of a text nest: one element around all others, each closed by its own name, and no stray ``<``."""
+
+    def wrong(node: Column) -> Column:
+        closing = _local(F.regexp_extract(node["tag"], r"\A</([^\s>]+)", 1))
+        outside = (node["level"] == 0) & (F.trim(F.regexp_replace(node["text"], r"\s+", " ")) != "")
+        return F.contains(node["text"], F.lit("<")) | outside | (node["level"] < 0) | F.coalesce((node["kind"] == "end") & (closing != node["name"]), F.lit(False))
+
+    roots = F.filter(found, lambda n: (n["level"] == 0) & n["kind"].isin("start", "empty"))
+    last = F.element_at(found, -1)
+    return (F.size(roots) == 1) & (last["level"] == 0) & ~F.exists(found, wrong)
+
+
 def _value(name: Column, text: Column, is_tail: Column, is_there: Column) -> Column:
     return F.struct(name.alias("name"), text.alias("text"), is_tail.alias("is_tail"), is_there.alias("is_there"))
 

@@ -63,6 +63,27 @@ def file_report(stats: DataFrame, by: str | list[str], failures: DataFrame | Non
     return good.unionByName(failed)
 
 
+def run_report(rows: DataFrame, by: str | list[str], what: str = "document") -> DataFrame:
+    """The file report of rows that also tell by ``failed`` what could not be read: one pass over what was masked.
+
+    A file with a failed row is a failed file without matches; its message counts the rows.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    names = ("matches_found", "matches_applied", "matches_skipped")
+    totals = {n: F.col(n) for n in names} | {"_failed": F.col("failed").cast("int")}
+    sums = _sums(rows, keys, totals, "detector_counts", "detector_counts")
+    good = F.col("_failed") == 0
+    message = F.concat(F.lit(f"ValueError: malformed {what}, records: "), F.col("_failed").cast("string"))
+    return sums.select(
+        *keys,
+        good.alias("success"),
+        F.when(good, F.lit("OK")).otherwise(message).alias("message"),
+        *[F.when(good, F.col(n)).otherwise(F.lit(0).cast("bigint")).alias(n) for n in names],
+        F.when(good, F.col("detector_counts")).otherwise(F.create_map().cast("map<string,bigint>")).alias("detector_counts"),
+        F.lit(False).alias("timed_out"),
+    )
+
+
 def batch_report(files: DataFrame) -> DataFrame:
     """One row of totals over a file report, for all detectors seen."""
     totals = {

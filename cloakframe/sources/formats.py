@@ -163,19 +163,23 @@ def json_failures(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
 
 
-def mask_json(df: DataFrame, policy: Policy, column: str, schema: str | T.DataType | None = None) -> DataFrame:
+def mask_json(
+    df: DataFrame, policy: Policy, column: str, schema: str | T.DataType | None = None, with_stats: bool = False
+) -> DataFrame:
     """Mask a column of JSON text; numbers and booleans stay.
 
     With a schema every field of it is written, nulls too. Without one each row is masked in its own text, in one
     pass and whatever its shape: all its strings are one list, detection runs over that list, and the text is put
     together again, with missing fields missing and null ones null. There ``remove`` and ``replace`` reach strings
     and the items of arrays, also of arrays in arrays up to ``jsontext.ARRAY_LEVELS``, but not of arrays that hold
-    objects besides. A text that is no JSON becomes null (see ``json_failures``).
+    objects besides. A text that is no JSON becomes null (see ``json_failures``). ``with_stats``, without a schema,
+    adds the row's statistics and ``failed``, which tells a text that is no JSON (see ``reports.run_report``).
     """
-    if schema is None and not any(d.spans is not None for d in policy.detectors()):
-        text = jsontext.ruled(F.to_json(F.try_parse_json(column)), policy.field_actions())
-        masked = let(text, lambda t: jsontext.with_strings(t, lambda token, _: mask_text(jsontext.body(token), policy)))
-        return df.withColumn(column, masked)
+    own = schema is None and not any(d.spans is not None for d in policy.detectors())
+    if with_stats and not own:
+        raise ValueError("statistics are kept for texts masked without a schema, by detectors with a pattern")
+    if own:
+        return _mask_json_text(df, policy, column, with_stats)
     wanted = json_schema(df, column) if schema is None else schema
     text = F.col(column)
     if schema is None:
@@ -187,6 +191,44 @@ def mask_json(df: DataFrame, policy: Policy, column: str, schema: str | T.DataTy
     return masked.select(*[back.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
+def _scanned_texts(df: DataFrame, policy: Policy, texts: str) -> DataFrame:
+    """``_spans``, the spans found and kept of each of a list of texts, and ``_kept``, all that are kept."""
+    detectors = policy.detectors()
+
+    def scanned(text: Column) -> Column:
+        return let(
+            collect_spans(text, detectors),
+            lambda found: F.struct(found.alias("found"), resolve_overlaps(found).alias("kept")),
+        )
+
+    scan = df.withColumn("_spans", F.transform(texts, scanned))
+    return scan.withColumn("_kept", F.flatten(F.transform("_spans", lambda x: x["kept"])))
+
+
+def _list_stats() -> list[Column]:
+    """The statistics columns of ``_scanned_texts``; of a null list they are zero."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    found = F.aggregate("_spans", F.lit(0), lambda n, x: n + F.size(x["found"]))
+    kept = F.when(F.col("_kept").isNotNull(), F.size("_kept"))
+    return [
+        zero(found).alias("matches_found"),
+        zero(kept).alias("matches_applied"),
+        zero(found - kept).alias("matches_skipped"),
+        F.coalesce(count_by_detector(F.col("_kept")), F.create_map().cast("map<string,bigint>")).alias("detector_counts"),
+    ]
+
+
+def _mask_json_text(df: DataFrame, policy: Policy, column: str, with_stats: bool) -> DataFrame:
+    text = jsontext.ruled(F.to_json(F.try_parse_json(column)), policy.field_actions())
+    staged = df.withColumn("_json", text).withColumn("_strings", F.transform(jsontext.tokens(F.col("_json")), jsontext.body))
+    scan = _scanned_texts(staged, policy, "_strings")
+    new = F.zip_with("_strings", "_spans", lambda t, s: F.when(F.size(s["kept"]) > 0, replace_spans(t, s["kept"], policy.replacement)))
+    masked = let(new, lambda found: jsontext.with_strings(F.col("_json"), lambda token, i: F.get(found, i)))
+    columns = [masked.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
+    failed = (F.col(column).isNotNull() & F.col("_json").isNull()).alias("failed")
+    return scan.select(*columns, *([*_list_stats(), failed] if with_stats else []))
+
+
 def mask_xml(df: DataFrame, policy: Policy, value_tag: str = "_VALUE", attribute_prefix: str = "_") -> DataFrame:
     """Mask rows read from XML: attributes by their name, text by the name of its element.
 
@@ -228,6 +270,8 @@ def _xml_value(
 def mask_xml_text(df: DataFrame, policy: Policy, column: str = "text") -> DataFrame:
     """Mask XML documents, one text each, node by node, and add their statistics; all else of the text stays.
 
+    ``failed`` tells a text whose elements do not nest (see ``reports.run_report``); it is masked all the same.
+
     Texts are masked under the name of the element they stand in, attributes under their own, comments and
     instructions under none. ``replace`` puts the constant. ``remove`` deletes attributes and empties the text
     that begins an element; a text behind an inner element stays, and a blank one is always left alone. Namespace
@@ -236,8 +280,7 @@ def mask_xml_text(df: DataFrame, policy: Policy, column: str = "text") -> DataFr
     actions = policy.field_actions()
     removed = [n for n, r in actions.items() if r.action == "remove"]
     replaced = {n: r.replacement or "" for n, r in actions.items() if r.action == "replace"}
-    detectors = policy.detectors()
-    if any(d.spans is not None for d in detectors):
+    if any(d.spans is not None for d in policy.detectors()):
         raise ValueError("XML texts are masked by detectors with a pattern only")
     nothing = F.lit(None).cast("string")
 
@@ -247,17 +290,10 @@ def mask_xml_text(df: DataFrame, policy: Policy, column: str = "text") -> DataFr
         skipped = low.isin(removed + list(replaced)) if removed or replaced else F.lit(False)
         return F.when(value["is_there"] & ~skipped, value["text"])
 
-    def scanned(value: Column) -> Column:
-        return let(
-            collect_spans(value, detectors),
-            lambda found: F.struct(found.alias("found"), resolve_overlaps(found).alias("kept")),
-        )
-
     nodes = df.withColumn("_nodes", xmltext.nodes(xmltext.without_cdata(F.make_valid_utf8(F.col(column)))))
     nodes = nodes.withColumn("_values", F.transform("_nodes", xmltext.values))
     seen = F.transform(F.flatten("_values"), looked_at)
-    scan = nodes.withColumn("_seen", seen).withColumn("_spans", F.transform("_seen", scanned))
-    scan = scan.withColumn("_kept", F.flatten(F.transform("_spans", lambda x: x["kept"])))
+    scan = _scanned_texts(nodes.withColumn("_seen", seen), policy, "_seen")
 
     def outcome(value: Column, text: Column, spans: Column) -> Column:
         """What a value becomes: null if it stays, NUL if its attribute goes."""
@@ -291,15 +327,9 @@ def mask_xml_text(df: DataFrame, policy: Policy, column: str = "text") -> DataFr
 
     parts = [F.col(f"_{n}").alias(n) for n in ("nodes", "values", "seen", "spans")]
     text = F.when(F.col(column).isNotNull(), let(F.struct(*parts, ends.alias("ends")), joined)).otherwise(nothing)
-    found = F.aggregate("_spans", F.lit(0), lambda n, x: n + F.size(x["found"])).cast("bigint")
-    kept = F.size("_kept").cast("bigint")
-    return scan.select(
-        *[text.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns],
-        F.greatest(F.coalesce(found, F.lit(0)), F.lit(0)).cast("bigint").alias("matches_found"),
-        F.greatest(F.coalesce(kept, F.lit(0)), F.lit(0)).cast("bigint").alias("matches_applied"),
-        F.greatest(F.coalesce(found - kept, F.lit(0)), F.lit(0)).cast("bigint").alias("matches_skipped"),
-        F.coalesce(count_by_detector(F.col("_kept")), F.create_map().cast("map<string,bigint>")).alias("detector_counts"),
-    )
+    columns = [text.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
+    failed = (F.col(column).isNotNull() & ~xmltext.is_well_formed(F.col("_nodes"))).alias("failed")
+    return scan.select(*columns, *_list_stats(), failed)
 
 
 def mask_text_docs(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:

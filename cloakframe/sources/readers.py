@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import csv
 import re
-import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -62,18 +62,20 @@ def read_text_docs(
 
     ``with_place`` adds ``place``, which orders the lines of a file (see ``sinks.write_lines``).
 
-    With ``encoding="detect"`` each file is decoded as ``decode_text_files`` does, which takes it into one
-    row first; else files are UTF-8, and bytes that are not become U+FFFD.
+    With ``encoding="detect"`` each file is decoded by its own encoding (see ``file_encodings``); whole files are
+    taken into one row for it, lines are not. Else files are UTF-8, and bytes that are not become U+FFFD.
     """
-    if encoding == "detect":
+    if encoding == "detect" and whole:
         rows = decode_text_files(spark, path, suffix).select("source", "text")
-        # The last line end ends a line and starts none.
-        lines = F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n")
-        if whole:
-            return rows.withColumn("place", _place(F.lit(0), F.lit(0))) if with_place else rows
-        rows = rows.where("text <> ''").select("source", F.posexplode(lines).alias("line", "text"))
-        place = [_place(F.lit(0), F.col("line")).alias("place")] if with_place else []
-        return rows.select("source", "text", *place)
+        return rows.withColumn("place", _place(F.lit(0), F.lit(0))) if with_place else rows
+    if encoding == "detect":
+        place = _place(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        lines = _tree(spark, suffix).text(path, lineSep="\n").select(
+            F.col("_metadata.file_path").alias("source"), F.col("value").cast("binary").alias("value"), place.alias("place")
+        )
+        text = F.regexp_replace(decoded(F.col("value"), F.col("encoding")), r"\r\z", "")
+        rows = lines.join(file_encodings(spark, path, suffix), "source")
+        return rows.select("source", text.alias("text"), *(["place"] if with_place else []))
     if encoding != "utf-8":
         raise ValueError("encoding has to be 'utf-8' or 'detect'")
     rows = _tree(spark, suffix).text(path, wholetext=whole, lineSep=None if whole else "\n")
@@ -111,23 +113,38 @@ def read_csv_strings(
     with_source: bool = False,
     suffix: str = ".csv",
     multi_line: bool = True,
+    encoding: str = "detect",
 ) -> DataFrame:
     """CSV with a header; every cell is a string and an empty cell is an empty string.
 
-    Files are read by groups of equal header lines and united by name, so a cell never lands under the
+    Files are read by groups of equal header line and encoding and united by name, so a cell never lands under the
     name of another file's column; a column that a file lacks is empty there. Cells past the header are
     columns ``extra_1``, ``extra_2`` and so on, where there are any. ``columns`` says which are wanted, extra ones too.
-    ``multi_line`` off lets Spark split files whose cells hold no line ends.
+    ``multi_line`` off lets Spark split files whose cells hold no line ends. ``encoding`` is one of ``ENCODINGS``, or
+    each file's own.
+
+    The driver knows the header lines and encodings there are, not the files: a group's rows are picked by a join.
     """
+    if encoding not in (*ENCODINGS, "detect"):
+        raise ValueError(f"unknown encoding {encoding!r}")
     place = _place(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = _tree(spark, suffix).text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
-    headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
+    bytes_ = F.col("value").cast("binary")
+    files = lines.groupBy("file").agg(
+        F.min_by(bytes_, "place").alias("first"),
+        F.min(F.is_valid_utf8("value")).alias("valid"),
+        F.max(F.contains(bytes_, F.unhex(F.lit("98")))).alias("has_98"),
+    )
+    known = _encoding(F.col("valid"), F.col("has_98")) if encoding == "detect" else F.lit(encoding)
+    files = files.select("file", known.alias("encoding"), decoded(F.col("first"), known).alias("header"))
+    groups = files.select("header", "encoding").distinct().orderBy("header", "encoding").collect()
     options = {"header": True, "sep": delimiter, "multiLine": multi_line, "escape": '"', "inferSchema": False}
+    options |= {"recursiveFileLookup": True, "pathGlobFilter": _any_case(suffix)}
     rows = None
     for group in groups:
-        part = _with_extra_cells(spark, options, [urllib.parse.unquote(f) for f in sorted(group.files)])
-        part = part.withColumn("_file", F.col("_metadata.file_path"))
+        own = files.where((F.col("header") == group.header) & (F.col("encoding") == group.encoding)).select(F.col("file").alias("_file"))
+        charset = {"encoding": _CHARSETS[group.encoding]}
+        part = _with_extra_cells(spark, options | charset, path, group.header, own if len(groups) > 1 else None)
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     if rows is None:
         rows = spark.createDataFrame([], "_file string")
@@ -137,13 +154,28 @@ def read_csv_strings(
     return rows.select(*cells, F.col("_file").alias("source")) if with_source else rows.select(*cells)
 
 
-def _with_extra_cells(spark: SparkSession, options: dict, files: list[str]) -> DataFrame:
-    """Files of one header, with a column for each place past it that holds a cell in some row."""
-    names = spark.read.options(**options).csv(files).columns
+_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "windows-1251", "cp866": "IBM866"}
+
+
+def _header_names(header: str, delimiter: str) -> list[str]:
+    """The column names of a header line, as Spark's reader gives them: numbered where a cell is empty or not the only one."""
+    cells = next(csv.reader([header.lstrip("\ufeff").rstrip("\r")], delimiter=delimiter), [])
+    low = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if low.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def _with_extra_cells(spark: SparkSession, options: dict, path: str, header: str, files: DataFrame | None) -> DataFrame:
+    """The rows of the ``files`` of one header with their ``_file``, and a column for each place past the header that holds a cell."""
+    names = _header_names(header, options["sep"])
 
     def read(columns: list[str], **more: str) -> DataFrame:
         kind = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        return spark.read.options(**options, **more).schema(kind).csv(files)
+        rows = spark.read.options(**options, **more).schema(kind).csv(path)
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
+        return rows if files is None else rows.join(files, "_file", "left_semi").select(*columns_of(columns), "_file")
+
+    def columns_of(columns: list[str]) -> list[Column]:
+        return [F.col(f"`{c}`") for c in columns]
 
     ragged = read([*names, "_record"], columnNameOfCorruptRecord="_record")
     # Delimiters inside quotes count too, so this is no less than the number of cells.
@@ -193,20 +225,44 @@ def read_xml_rows(
 
 def encoding_of(content: Column) -> Column:
     """Name of the encoding of a file's bytes, by the whole content."""
+    return _encoding(F.is_valid_utf8(content.cast("string")), F.contains(content, F.unhex(F.lit("98"))))
+
+
+def _encoding(is_utf8: Column, has_98: Column) -> Column:
+    return F.when(is_utf8, F.lit(ENCODINGS[0])).when(has_98, F.lit(ENCODINGS[3])).otherwise(F.lit(ENCODINGS[2]))
+
+
+def decoded(content: Column, encoding: Column) -> Column:
+    """The text of bytes in one of the encodings; bytes that are no UTF-8 become U+FFFD.
+
+    The single-byte ones are outside Spark's list of charsets. Latin-1, which is in it, keeps each byte as a
+    character, and those are exchanged.
+    """
+    upper = bytes(range(0x80, 0x100))
+
+    def single(name: str) -> Column:
+        return F.translate(F.decode(content, "ISO-8859-1"), upper.decode("latin-1"), upper.decode(name, "replace"))
+
     return (
-        F.when(F.is_valid_utf8(content.cast("string")), F.lit(ENCODINGS[0]))
-        .when(F.contains(content, F.unhex(F.lit("98"))), F.lit(ENCODINGS[3]))
-        .otherwise(F.lit(ENCODINGS[2]))
+        F.when(encoding == ENCODINGS[2], single(ENCODINGS[2]))
+        .when(encoding == ENCODINGS[3], single(ENCODINGS[3]))
+        .otherwise(F.make_valid_utf8(content.cast("string")))
     )
 
 
+def file_encodings(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
+    """``(source, encoding)`` of text files, by their lines: a file of any size is looked at by many tasks."""
+    lines = _tree(spark, suffix).text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("source"), "value")
+    has_98 = F.contains(F.col("value").cast("binary"), F.unhex(F.lit("98")))
+    files = lines.groupBy("source").agg(F.min(F.is_valid_utf8("value")).alias("valid"), F.max(has_98).alias("has_98"))
+    return files.select("source", _encoding(F.col("valid"), F.col("has_98")).alias("encoding"))
+
+
 def decode_text_files(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """``(source, encoding, text)`` of text files in UTF-8, windows-1251 or IBM866.
+    """``(source, encoding, text)`` of text files in UTF-8, windows-1251 or IBM866, each taken into one row.
 
     A UTF-8 byte-order mark stays in the text.
     """
-    # The single-byte charsets below are outside Spark's short list of portable ones.
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -220,12 +276,7 @@ def decode_content(files: DataFrame, content: str = "content") -> DataFrame:
     """Replace a binary column by ``encoding`` and ``text``."""
     others = [c for c in files.columns if c != content]
     known = files.withColumn("encoding", encoding_of(F.col(content)))
-    text = (
-        F.when(F.col("encoding") == ENCODINGS[0], F.decode(content, "UTF-8"))
-        .when(F.col("encoding") == ENCODINGS[2], F.decode(content, "windows-1251"))
-        .otherwise(F.decode(content, "IBM866"))
-    )
-    return known.select(*others, "encoding", text.alias("text"))
+    return known.select(*others, "encoding", decoded(F.col(content), F.col("encoding")).alias("text"))
 
 
 def ingest_errors(

@@ -173,6 +173,31 @@ def _log_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.mask_log(read, _PLAIN).select("line", "matches_applied")
 
 
+def _csv_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files in three encodings with a Cyrillic header, in one folder: each is read in its own."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # to write them
+    path = shared_folder(spark, "csv-encodings")
+    rows = table(spark, sf_dir, "customer").select(F.col(K).cast("string").alias("id"), F.expr(f"'Иван Шевцов, ' || {_MAIL_OF}").alias("имя"), K)
+    for rest, charset in enumerate(("UTF-8", "windows-1251", "IBM866")):
+        part = rows.where(F.col(K) % 3 == rest).drop(K)
+        part.write.options(header=True, encoding=charset, escape='"').csv(f"{path}/{rest}")
+    return formats.mask_csv(readers.read_csv_strings(spark, path), POLICY)
+
+
+def _read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON and XML documents, some cut off, masked and reported in one pass: failing files are rows of the report."""
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_orderkey") % 10 == 0).alias("cut"), F.expr(_ORDER_MAIL).alias("mail"))
+    cut = lambda text: F.when(F.col("cut") & (F.col("o_orderstatus") == "F"), F.left(text, F.length(text) - 2)).otherwise(text)
+    json = orders.select(F.concat(F.lit("json "), "o_orderstatus").alias("source"), cut(F.concat(F.lit('{"a":"'), "mail", F.lit('"}'))).alias("text"))
+    xml = orders.select(F.concat(F.lit("xml "), "o_orderstatus").alias("source"), cut(F.concat(F.lit("<a>"), "mail", F.lit("</a>"))).alias("text"))
+    reports_ = [
+        reports.run_report(formats.mask_json(json, _PLAIN, "text", with_stats=True), "source", "json"),
+        reports.run_report(formats.mask_xml_text(xml, _PLAIN), "source", "xml"),
+    ]
+    both = reports_[0].unionByName(reports_[1])
+    return both.select("source", "success", "message", "matches_applied", counts_text())
+
+
 def _csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV lines of which one in three has cells past the header: they are kept and masked."""
     path = shared_folder(spark, "csv-ragged")
@@ -272,7 +297,7 @@ def _mask_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _xml_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XML documents as trees: attributes, texts, tails behind inner elements, comments, in their order."""
     docs = people(spark, sf_dir).select(K, F.expr(_XML_EXPR).alias("doc"))
-    return formats.mask_xml_text(docs, POLICY, "doc").withColumn("detector_counts", counts_text())
+    return formats.mask_xml_text(docs, POLICY, "doc").withColumn("detector_counts", counts_text()).drop("failed")
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,6 +403,8 @@ QUERIES = {
     "mask_log_encodings": _log_encodings,
     "mask_log_files": _log_files,
     "mask_csv_ragged": _csv_ragged,
+    "mask_csv_encodings": _csv_encodings,
+    "read_failures": _read_failures,
     "mask_json_varied": _json_varied,
     "mask_json_nulls": _json_nulls,
     "mask_text_splits": _text_splits,
@@ -467,6 +494,14 @@ UNION SELECT {token_sql("'c' || c_custkey || '@mail.ru'", 'EMAIL')}, 'c' || c_cu
 SELECT CAST({K} AS VARCHAR) AS id, '' AS "Password",
   CASE WHEN {K} % 3 = 2 THEN '' ELSE 'call ' || {_PEOPLE_MAIL} || ' from ' || {_PEOPLE_HOST} END AS comment FROM customer""",
     "mask_log_files": f"SELECT (event_id % 3) || '.masked.log' AS output, {_MASKED_LINE} AS line FROM events",
+    "mask_csv_encodings": f"""
+SELECT CAST({K} AS VARCHAR) AS id, 'Иван Шевцов, ' || {_PEOPLE_MAIL} AS "имя" FROM customer""",
+    "read_failures": """
+SELECT kind || o_orderstatus AS source, n_bad = 0 AS success,
+  CASE WHEN n_bad = 0 THEN 'OK' ELSE 'ValueError: malformed ' || trim(kind) || ', records: ' || n_bad END AS message,
+  CASE WHEN n_bad = 0 THEN n ELSE 0 END AS matches_applied, CASE WHEN n_bad = 0 THEN 'email:' || n ELSE '' END AS detector_counts
+FROM (SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_orderkey % 10 = 0 AND o_orderstatus = 'F') AS n_bad FROM orders GROUP BY o_orderstatus),
+  (VALUES ('json '), ('xml ')) k(kind)""",
     "mask_csv_ragged": f"""
 SELECT CAST({K} AS VARCHAR) AS id, 'call ' || {_PEOPLE_MAIL} AS comment, CASE WHEN {K} % 3 = 0 THEN {_PEOPLE_MAIL} ELSE '' END AS extra_1,
   CASE WHEN {K} % 3 = 0 THEN '7' ELSE '' END AS extra_2 FROM customer""",

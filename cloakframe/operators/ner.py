@@ -12,7 +12,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.functions.binding import let, matches
+from cloakframe.functions.binding import extract_all, let, matches, running
 from cloakframe.functions.labels import normalize_entity_type, source_priority
 from cloakframe.functions.patterns import DEFAULT_PRIORITY, DETECTOR_PRIORITIES
 from cloakframe.functions.spans import no_spans, span
@@ -77,35 +77,68 @@ def ner_annotate(
     )
 
 
-def _first_json_array(answer: Column) -> Column:
-    """The first stretch ``[...]`` of an answer that parses as a JSON array, as a variant.
+#: An escape inside a string, a quote, a bracket, or anything else.
+_LEXEME = r'\\[\\"]|["\[\]]|[^\\"\[\]]++|\\'
+
 
-    From every opening bracket, left to right, the closing brackets are tried from the last one.
+def _bracketed(answer: Column) -> Column:
+    """``array<struct<start, stop>>``: each opening bracket with the closing one that ends its array, by start.
+
+    Seen from an opening, what an odd number of quotes stands before is inside a string. So brackets fall into two
+    kinds, by the quotes before them, and nest within their kind: depths are running sums, and an opening and its
+    closing are next to each other when brackets are sorted by depth and place.
     """
 
-    def places(char: str) -> Column:
-        return F.filter(
-            F.transform(F.split(answer, ""), lambda c, i: F.when(c == char, i)), lambda i: i.isNotNull()
+    def listed(lexemes: Column) -> Column:
+        def count(of: Callable[[Column, Column], Column]) -> Column:
+            return running(F.transform(lexemes, of), lambda a, b: a + b, 0)
+
+        ends = count(lambda x, _: F.length(x))
+        quotes = count(lambda x, _: (x == '"').cast("int"))
+        return let(F.struct(ends.alias("ends"), quotes.alias("quotes")), lambda c: paired(lexemes, c["ends"], c["quotes"]))
+
+    def paired(lexemes: Column, ends: Column, quotes: Column) -> Column:
+        def depth(kind: int) -> Column:
+            step = lambda x, i: F.when(F.get(quotes, i) % 2 == kind, (x == "[").cast("int") - (x == "]").cast("int")).otherwise(F.lit(0))
+            return running(F.transform(lexemes, step), lambda a, b: a + b, 0)
+
+        def bracket(x: Column, i: Column, depths: Column) -> Column:
+            kind = F.get(quotes, i) % 2
+            own = F.get(F.when(kind == 0, depths["even"]).otherwise(depths["odd"]), i)
+            opens = x == "["
+            return F.when(
+                opens | (x == "]"),
+                F.struct(kind.alias("kind"), (own - opens.cast("int")).alias("depth"), (F.get(ends, i) - 1).alias("at"), opens.alias("opens")),
+            )
+
+        def pairs(ordered: Column) -> Column:
+            def pair(x: Column, i: Column) -> Column:
+                other = F.get(ordered, i + 1)
+                mine = x["opens"] & ~other["opens"] & (x["kind"] == other["kind"]) & (x["depth"] == other["depth"])
+                return F.when(mine, F.struct(x["at"].alias("start"), other["at"].alias("stop")))
+
+            return F.array_sort(F.filter(F.transform(ordered, pair), lambda p: p.isNotNull()))
+
+        return let(
+            F.struct(depth(0).alias("even"), depth(1).alias("odd")),
+            lambda d: let(F.array_sort(F.filter(F.transform(lexemes, lambda x, i: bracket(x, i, d)), lambda x: x.isNotNull())), pairs),
         )
 
-    none = F.lit(None).cast("string")
+    return let(extract_all(answer, _LEXEME), listed)
 
-    def parses(piece: Column) -> Column:
-        return F.startswith(F.schema_of_variant(F.try_parse_json(piece)), F.lit("ARRAY"))
 
-    def from_opening(done: Column, opening: Column, closings: Column) -> Column:
-        def try_one(found: Column, closing: Column) -> Column:
-            piece = answer.substr(opening + 1, closing - opening + 1)
-            usable = found.isNull() & (closing > opening)
-            return F.when(usable & F.coalesce(parses(piece), F.lit(False)), piece).otherwise(found)
+def _first_json_array(answer: Column) -> Column:
+    """The first stretch ``[...]`` of an answer that parses as a JSON array, as a variant.
+
+    An array that begins at a bracket can only end at the one it is paired with, so each opening is tried once.
+    """
 
-        return F.when(done.isNotNull(), done).otherwise(F.aggregate(closings, none, try_one))
+    def tried(done: Column, pair: Column) -> Column:
+        piece = answer.substr(pair["start"] + 1, pair["stop"] - pair["start"] + 1)
+        is_array = F.startswith(F.schema_of_variant(F.try_parse_json(piece)), F.lit("ARRAY"))
+        return F.when(done.isNotNull(), done).otherwise(F.when(is_array, piece))
 
-    text = let(
-        F.reverse(places("]")),
-        lambda closings: F.aggregate(places("["), none, lambda done, o: from_opening(done, o, closings)),
-    )
-    return F.try_parse_json(text)
+    return F.try_parse_json(F.aggregate(_bracketed(answer), F.lit(None).cast("string"), tried))
 
 
 def ner_parse_json(

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.operators import reports
+from cloakframe.plans import run
 from cloakframe.plans.masking import analyze_text, findings
 from cloakframe.plans.policy import Policy
+from cloakframe.session import shared_folder
 from queries.sqlkit import DETECTORS, SECRET, counts_text, resolved_ctes, stats_sql, table
 from queries.tables import people
 
@@ -51,6 +53,16 @@ def _batch_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mask_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents masked and written; the totals are those observed on the way."""
+    path = shared_folder(spark, "masked")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    totals = run.mask_and_report(docs, _POLICY, lambda rows: rows.write.parquet(path))
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written"))
+    frame = run.totals_frame(spark, totals).withColumn("detector_totals", counts_text("detector_totals"))
+    return frame.join(written, F.col("texts") == F.col("written"))
+
+
 def _detector_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return reports.detector_totals(findings(docs, _POLICY), by="lang")
@@ -86,6 +98,7 @@ files AS (SELECT s.source, true AS success, 'OK' AS message, s.matches_found, s.
           UNION ALL SELECT 'bad/' || r_name, false, 'ValueError: malformed', 0, 0, 0, '', r_regionkey = 0 FROM region)"""
 
 QUERIES = {
+    "mask_and_report": _mask_and_report,
     "file_report": _file_report,
     "batch_report": _batch_report,
     "batch_document": _batch_document,
@@ -107,6 +120,12 @@ FROM files""",
 WITH {_FILES}, emails AS (SELECT d.source, count(*) AS n FROM kept k JOIN documents d ON d.doc_id = k.key WHERE detector = 'email' GROUP BY d.source)
 SELECT 'file' AS kind, f.source, f.matches_applied, e.n AS emails FROM files f LEFT JOIN emails e ON e.source = f.source
 UNION ALL SELECT 'statistics', NULL, CAST((SELECT sum(matches_applied) FROM files) AS BIGINT), CAST((SELECT sum(n) FROM emails) AS BIGINT)""",
+    "mask_and_report": f"""
+WITH {resolved_ctes(_DOCS, *DETECTORS)}, stats AS ({stats_sql()}), n AS (SELECT count(*) AS n FROM documents)
+SELECT (SELECT n FROM n) AS texts, (SELECT n FROM n) AS written, CAST(sum(matches_found) AS BIGINT) AS matches_found,
+  CAST(sum(matches_applied) AS BIGINT) AS matches_applied, CAST(sum(matches_skipped) AS BIGINT) AS matches_skipped,
+  (SELECT string_agg(detector || ':' || n, ',' ORDER BY detector) FROM (SELECT detector, count(*) AS n FROM kept GROUP BY detector)) AS detector_totals
+FROM stats""",
     "detector_totals": f"""
 WITH {resolved_ctes(_DOCS, *DETECTORS)}
 SELECT d.lang, k.detector, count(*) AS n FROM kept k JOIN documents d ON d.doc_id = k.key

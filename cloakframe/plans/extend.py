@@ -11,6 +11,7 @@ from pyspark.sql import Column
 
 from cloakframe.functions.groups import located
 from cloakframe.functions.patterns import DEFAULT_PRIORITY, Detector
+from cloakframe.functions.stalls import may_stall
 
 CAPABILITIES = frozenset({"detector", "masker", "field_rules"})
 
@@ -73,6 +74,16 @@ def _matches_nothing(pattern: str) -> bool:
     return context._jvm.java.util.regex.Pattern.compile(pattern).matcher("").find()
 
 
+def _members(atom: str, flags: str, alphabet: str) -> str:
+    """The characters that an atom of a pattern matches, by Java's rules where a session runs."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        known = re.compile(f"{flags.replace('(?U)', '')}(?:{atom.replace(chr(92) + 'Q', chr(92)).replace(chr(92) + 'E', '')})")
+        return "".join(c for c in alphabet if known.fullmatch(c))
+    rest = context._jvm.java.util.regex.Pattern.compile(f"{flags}(?:{atom})").matcher(alphabet).replaceAll("")
+    return "".join(c for c in alphabet if c not in set(rest))
+
+
 def register_detector(
     policy,
     name: str,
@@ -88,7 +99,8 @@ def register_detector(
     """A policy that also runs a user's detector.
 
     ``pattern`` is a Java regular expression that does not match the empty string. A ``group`` is masked alone, in
-    its own place, the last one if it is repeated; in a look-behind it has none. ``spans`` takes the text Column and
+    its own place, the last one if it is repeated; in a look-behind it has none. A pattern that may stall on a hostile
+    text, such as ``(a+)+b``, is refused (see ``functions.stalls``). ``spans`` takes the text Column and
     returns ``array<struct<start,end,value>>`` instead; a ``pandas_udf`` of that type fits.
     """
     from dataclasses import replace
@@ -100,6 +112,8 @@ def register_detector(
     if pattern and _matches_nothing(pattern):
         raise ValueError("the pattern matches the empty string")
     located(pattern, group)  # refuses a group that has no place
+    if pattern and may_stall(pattern, _members):
+        raise ValueError("the pattern can read some text in two ways around a loop, which may take exponential time; make the inner part possessive")
     detector = Detector(
         name=name,
         pattern=pattern,

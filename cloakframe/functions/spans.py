@@ -187,8 +187,9 @@ def collect_spans(
     return F.when(text.isNotNull(), every).otherwise(none)
 
 
-def _accept_greedily(spans: Column) -> Column:
-    ranked = F.array_sort(
+def _ranked(spans: Column) -> Column:
+    """The spans with their rank, best first: by priority, length, start, detector order."""
+    return F.array_sort(
         F.transform(
             spans,
             lambda s: F.struct(
@@ -201,12 +202,75 @@ def _accept_greedily(spans: Column) -> Column:
         )
     )
 
+
+def _accept_greedily(spans: Column) -> Column:
     def step(accepted: Column, item: Column) -> Column:
         new = item["span"]
         taken = F.exists(accepted, lambda a: (a["start"] < new["end"]) & (new["start"] < a["end"]))
         return F.when(taken, accepted).otherwise(F.concat(accepted, F.array(new)))
 
-    return F.array_sort(F.aggregate(ranked, no_spans(), step))
+    return F.array_sort(F.aggregate(_ranked(spans), no_spans(), step))
+
+
+#: Spans of an overlap group that are tried one by one; more are taken class by class.
+_CHAIN = 128
+_SWEEP = 64
+
+
+def _accept_by_class(spans: Column) -> Column:
+    """``_accept_greedily`` for long chains: n spans of c classes of equal priority and length cost c * n log n.
+
+    Within a class the order is that of starts. What is free beside the spans taken before is told by the ends
+    before and the starts behind a place in their common order; what is then taken is found in one sweep.
+    """
+
+    def classes(ranked: Column) -> Column:
+        key = lambda i: F.struct(F.get(ranked, i)["rank"], F.get(ranked, i)["size"])
+        places = F.sequence(F.lit(0), F.size(ranked) - 1)
+        heads = F.filter(places, lambda i: (i == 0) | (key(i) != key(i - 1)))
+        end = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(ranked))
+        return let(heads, lambda at: F.transform(at, lambda head, j: F.slice(ranked, head + 1, end(at, j) - head)))
+
+    def free(taken: Column, own: Column) -> Column:
+        """The spans of a class that overlap none taken, by start."""
+        mark = lambda old: lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), F.lit(old).alias("old"), s.alias("span"))
+        far = 2**31 - 1
+
+        def checked(both: Column) -> Column:
+            ends = running(F.transform(both, lambda x: F.when(x["old"], x["span"]["end"]).otherwise(F.lit(-1))), lambda a, b: F.greatest(a, b), -1)
+            back = F.reverse(F.transform(both, lambda x: F.when(x["old"], x["start"]).otherwise(F.lit(far))))
+            starts = F.reverse(running(back, lambda a, b: F.least(a, b), far))
+
+            def fits(limits: Column) -> Column:
+                def fit(x: Column, i: Column) -> Column:
+                    return ~x["old"] & (F.get(limits["ends"], i) <= x["start"]) & (F.get(limits["starts"], i) >= x["span"]["end"])
+
+                return F.transform(F.filter(both, fit), lambda x: x["span"])
+
+            return let(F.struct(ends.alias("ends"), starts.alias("starts")), fits)
+
+        return let(F.array_sort(F.concat(F.transform(taken, mark(True)), F.transform(own, lambda x: mark(False)(x["span"])))), checked)
+
+    def swept(own: Column) -> Column:
+        """Of spans of equal length by start, each that begins behind the one taken before; lists stay short."""
+        state = lambda end, spans_: F.struct(end.alias("end"), spans_.alias("spans"))
+
+        def one(at: Column, s: Column) -> Column:
+            return F.when(s["start"] >= at["end"], state(s["end"], F.concat(at["spans"], F.array(s)))).otherwise(at)
+
+        def block(at: Column, number: Column) -> Column:
+            part = F.slice(own, number * _SWEEP + 1, F.lit(_SWEEP))
+            done = F.aggregate(part, state(at["end"], no_spans()), one)
+            return let(done, lambda d: state(d["end"], F.concat(at["spans"], F.array(d["spans"]))))
+
+        blocks = F.sequence(F.lit(0), F.floor(F.size(own) / _SWEEP).cast("int"))
+        lists = F.aggregate(blocks, state(F.lit(-1), F.array().cast(f"array<{SPANS_TYPE}>")), block)
+        return F.flatten(lists["spans"])
+
+    def step(taken: Column, own: Column) -> Column:
+        return F.concat(taken, let(free(taken, own), swept))
+
+    return F.array_sort(F.aggregate(let(_ranked(spans), classes), no_spans(), step))
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -219,7 +283,8 @@ def resolve_overlaps(spans: Column) -> Column:
     """
 
     def won(group: Column) -> Column:
-        return F.when(F.size(group) > 1, _accept_greedily(group)).otherwise(group)
+        few = F.when(F.size(group) > 1, _accept_greedily(group)).otherwise(group)
+        return F.when(F.size(group) > _CHAIN, _accept_by_class(group)).otherwise(few)
 
     def by_group(ordered: Column) -> Column:
         reach = running(F.transform(ordered, lambda s: s["end"]), lambda a, b: F.greatest(a, b), -1)

@@ -198,7 +198,8 @@ def audit_events(
         "e.matches_found",
         "e.matches_applied",
         "e.matches_skipped",
-        F.lit(0).cast("bigint").alias("duration_ms"),
+        # Tasks share files, so only a caller can know how long one took.
+        (F.col("duration_ms") if "duration_ms" in files.columns else F.lit(None)).cast("bigint").alias("duration_ms"),
         "e.metadata",
     )
 

@@ -7,6 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from cloakframe.functions import spans as span_functions
 from cloakframe.functions.binding import running
 from cloakframe.functions.patterns import DETECTOR_PRIORITIES, PATTERNS
 from cloakframe.functions.spans import SPANS_TYPE, lost_spans, resolve_overlaps, span
@@ -108,8 +109,11 @@ def test_span_without_rule_stays_but_counts(spark):
     assert row.text == "see DOC-1 now" and row.matches_applied == 1 and row.detector_counts == {"document": 1}
 
 
-def test_resolution_is_greedy_by_rank(spark):
-    """Random spans against a direct statement of the rule."""
+@pytest.mark.parametrize("chain, sweep", [(128, 64), (2, 64), (1, 2)])
+def test_resolution_is_greedy_by_rank(spark, monkeypatch, chain, sweep):
+    """Random spans against a direct statement of the rule, also where chains are resolved class by class."""
+    monkeypatch.setattr(span_functions, "_CHAIN", chain)
+    monkeypatch.setattr(span_functions, "_SWEEP", sweep)
     rng = random.Random(7)
     cases = []
     for i in range(300):
@@ -129,6 +133,22 @@ def test_resolution_is_greedy_by_rank(spark):
         assert got[i] == sorted(kept)
 
 
+def test_a_long_chain_of_touching_spans(spark):
+    """Every span overlaps its neighbours, of two kinds and three lengths: no list grows with the chain at each step."""
+    kind = "struct<start:int,end:int,detector:string,priority:int,ord:int,value:string>"
+    chain = F.expr(f"transform(sequence(0, 39999), i -> cast(struct(i * 4, i * 4 + 5 + i % 3, 'd', if(i % 7 = 0, 80, 75), 1, 'v') as {kind}))")
+    started = time.perf_counter()
+    kept = spark.range(1).select(resolve_overlaps(chain).alias("kept")).first().kept
+    assert time.perf_counter() - started < 60
+    spans = [(i * 4, i * 4 + 5 + i % 3, 80 if i % 7 == 0 else 75) for i in range(40_000)]
+    want, taken = [], set()
+    for start, end, _ in sorted(spans, key=lambda s: (-s[2], s[0] - s[1], s[0])):
+        if taken.isdisjoint(range(start, end)):
+            taken.update(range(start, end))
+            want.append((start, end))
+    assert [(s.start, s.end) for s in kept] == sorted(want)
+
+
 LABEL = r"[a-zA-Z0-9\p{L}](?:[a-zA-Z0-9\p{L}\-]*[a-zA-Z0-9\p{L}])?"
 BACKTRACKING = {
     "email": r"[a-zA-Z0-9._%+\-]+@(?:[a-zA-Z0-9\p{L}][a-zA-Z0-9\p{L}\-]*\.)+[a-zA-Z\p{L}]{2,}",

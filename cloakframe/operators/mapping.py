@@ -2,7 +2,8 @@
 
 All of it is keyed by token or digest. Aggregations are partial before the shuffle, so a token that
 makes up a large share of all spans costs one row per task; lookups join a side of distinct rows per
-key, which AQE splits where one token is hot.
+key, which AQE splits where one token is hot. Joins of what is made from spans are merge joins: such a
+side's size is guessed from that of its compressed file, and a broadcast goes through the driver.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def build_mapping(
     own = spans.select(token_of(F.col("digest"), F.col("prefix")).alias("token"), "value")
     if cache is not None or order:
         values = spans.groupBy("digest").agg(F.min("value").alias("value"))
-        entries = cache_entries(spans, order, cache).join(values, "digest")
+        entries = cache_entries(spans, order, cache).join(values.hint("merge"), "digest")
         own = own.unionByName(entries.select("token", "value"))
     return own.groupBy("token").agg(F.min("value").alias("value"))
 
@@ -234,7 +235,7 @@ def demask(
     variants = F.flatten(F.transform("_tokens", lambda t: _variants(t, prefixes, length)))
     wanted = holding.select("_set", F.explode_outer(variants).alias("token")).distinct()
     known = (
-        wanted.join(mapping.select("token", "value"), "token")
+        wanted.hint("merge").join(mapping.select("token", "value"), "token")
         .groupBy("_set")
         .agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("_known"))
     )
@@ -340,7 +341,7 @@ def mask_with_cache(
     staged = with_spans(df, policy, text).withColumn("_digests", digests).withColumn("_set", name)
     wanted = staged.select("_set", F.explode_outer("_digests").alias("digest")).where(F.col("digest").isNotNull()).distinct()
     overrides = (
-        wanted.join(differing, "digest")
+        wanted.hint("merge").join(differing, "digest")
         .groupBy("_set")
         .agg(F.map_from_entries(F.collect_set(F.struct("digest", "token"))).alias("_tokens"))
     )

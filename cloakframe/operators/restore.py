@@ -140,8 +140,9 @@ def demask_any_keys(df: DataFrame, mapping: DataFrame, text: str = "text") -> Da
     print_ = F.sha2(text, 256)
     texts = df.where(F.col(text).isNotNull()).select(print_.alias("print"), F.col(text).alias("text"))
     places = map_tuples(texts, found, "print string, place int, token string", 4096).distinct()
+    # Both sides grow with the rows; their sizes are guessed from those of compressed files, far too small for a broadcast.
     hits = (
-        places.join(keys, "token")
+        places.hint("merge").join(keys, "token")
         .groupBy("print")
         .agg(F.collect_list(F.struct("place", "token", "value")).alias("hits"))
     )
@@ -152,7 +153,7 @@ def demask_any_keys(df: DataFrame, mapping: DataFrame, text: str = "text") -> Da
             yield print_, [{"start": start, "end": end, "value": value} for start, end, value in spans]
 
     put_in = map_tuples(hits, chosen, "_print string, _hits array<struct<start: int, end: int, value: string>>", 256)
-    joined = df.join(put_in, print_ == F.col("_print"), "left")
+    joined = df.join(put_in.hint("merge"), print_ == F.col("_print"), "left")
     spans = F.coalesce("_hits", F.array().cast("array<struct<start: int, end: int, value: string>>"))
     whole = F.when(F.col("_hits").isNull(), F.col(text)).otherwise(replace_spans(F.col(text), spans, lambda s: s["value"]))
     columns = [whole.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from string import ascii_letters, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ DETECTOR_PRIORITIES = {
 DEFAULT_PRIORITY = 10
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
+# Listed one by one, as Java looks single characters up in a table and tries ranges one after the other.
+_LOCAL = f"{ascii_letters}{digits}._%+\\-"
 _LABEL = r"[a-zA-Z0-9\p{L}]++(?:-++[a-zA-Z0-9\p{L}]++)*+"
 _HEX4 = r"[0-9A-Fa-f]{1,4}"
 
@@ -53,7 +56,7 @@ PATTERNS = {
     "ogrn": r"(?U)(?<!\d)(?:\d{13}|\d{15})(?!\d)",
     "snils": r"(?U)(?<!\d)\d{3}[-\s]?\d{3}[-\s]?\d{3}[-\s]?\d{2}(?!\d)",
     "email": (
-        r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]++@"
+        rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@"
         r"(?:[a-zA-Z0-9\p{L}][a-zA-Z0-9\p{L}\-]*+\."
         r"(?:(?![a-zA-Z\p{L}]{2})[a-zA-Z0-9\p{L}][a-zA-Z0-9\p{L}\-]*+\.)*+(?=[a-zA-Z\p{L}]{2}))++"
         r"[a-zA-Z\p{L}]{2,}"

@@ -43,10 +43,22 @@ def span(start: Column, end: Column, detector: Column, priority: Column, ord_: C
     )
 
 
-def _values_found(text: Column, detector: Detector, runs: Column, none: Column) -> Column:
-    """The matched strings of one detector, or ``none`` where its cheap condition fails."""
+#: Put around matches to cut a text at them; a text that holds it is cut by two scans.
+_MARK = "\uffff"
+
+
+def _pieces(text: Column, detector: Detector, runs: Column, unmarked: Column, none: Column) -> Column:
+    """The text cut at the matches of one detector: gap, match, gap and so on; ``none`` where its cheap condition fails.
+
+    One scan marks the matches, and cutting at the marks needs no pattern.
+    """
     possible = text.isNotNull() if detector.may_match is None else detector.may_match(text, runs)
-    return F.when(possible, extract_all(text, located(detector.pattern, detector.group)[0])).otherwise(none)
+    pattern = located(detector.pattern, detector.group)[0]
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    pairs = F.zip_with(F.split(text, pattern, -1), extract_all(text, pattern), lambda gap, match: F.array(gap, match))
+    # Behind the last gap there is no match, where the pair has a null.
+    scanned = let(F.flatten(pairs), lambda both: F.slice(both, F.lit(1), F.size(both) - 1))
+    return F.when(possible, F.when(unmarked, marked).otherwise(scanned)).otherwise(none)
 
 
 def _detector_table(detectors: Sequence[tuple[int, Detector]]) -> Column:
@@ -59,14 +71,18 @@ def _detector_table(detectors: Sequence[tuple[int, Detector]]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
-def _placed(text: Column, detector: Column, found: Column) -> Column:
-    """Offsets of the matches ``found``, those in key position dropped.
+def _placed(text: Column, detector: Column, pieces: Column) -> Column:
+    """Offsets of the matches among ``pieces`` (see ``_pieces``), those in key position dropped.
 
     The gaps around the matches give the running offsets and the characters after each match, so
     the text is cut once, however many matches it has. A group begins as far into its match as the
     groups before it are long (see ``functions.groups``).
     """
-    gaps = F.split(text, detector["pattern"], -1)
+    gaps = F.filter(pieces, lambda _, i: i % 2 == 0)
+    return let(F.filter(pieces, lambda _, i: i % 2 == 1), lambda found: _matches_placed(text, detector, gaps, found))
+
+
+def _matches_placed(text: Column, detector: Column, gaps: Column, found: Column) -> Column:
     values = F.when(detector["group"] == 0, found).otherwise(
         F.regexp_extract_all(text, detector["pattern"], detector["group"])
     )
@@ -126,12 +142,13 @@ def _pattern_spans(text: Column, detectors: Sequence[tuple[int, Detector]]) -> C
     nothing = no_spans()
 
     def place(runs: Column) -> Column:
-        found = F.array(*[_values_found(text, d, runs, none) for _, d in detectors])
+        unmarked = ~F.contains(text, F.lit(_MARK))
+        cut = F.array(*[_pieces(text, d, runs, unmarked, none) for _, d in detectors])
         return F.flatten(
             F.zip_with(
                 _detector_table(detectors),
-                found,
-                lambda d, values: F.when(F.size(values) > 0, _placed(text, d, values)).otherwise(nothing),
+                cut,
+                lambda d, pieces: F.when(F.size(pieces) > 1, _placed(text, d, pieces)).otherwise(nothing),
             )
         )
 

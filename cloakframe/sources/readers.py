@@ -17,6 +17,10 @@ from cloakframe.functions.labels import SUPPORTED_SUFFIXES, file_suffix
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1251", "cp866")
 # --- end of fixed values ------------------------------------------------------------------
 
+#: Tasks that ``dealt`` makes for each core, and the cores it counts at least, as executors may still be starting.
+_TASKS_PER_CORE = 4
+_FEWEST_CORES = 8
+
 
 def _any_case(suffix: str) -> str:
     """File-name pattern for a suffix in any mix of cases."""
@@ -27,6 +31,16 @@ def _tree(spark: SparkSession, suffix: str) -> DataFrameReader:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case(suffix))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a file source dealt over all cores, where it has fewer files than there are cores.
+
+    A row group is read by one task, so a file of few of them would leave what is done with its rows to as few
+    tasks, however many rows they hold. Files that are at least as many as the cores are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(_TASKS_PER_CORE * max(cores, _FEWEST_CORES))
+
+
 def scan_directory(
     spark: SparkSession, path: str, suffixes: Sequence[str] = SUPPORTED_SUFFIXES
 ) -> DataFrame:

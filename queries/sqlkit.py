@@ -11,12 +11,14 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe.sources.readers import dealt
+
 SECRET = "a secret for the registered queries"
 PASSPHRASE = "a passphrase for the registered queries"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # -- derived texts -----------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.functions.binding import extract_all, let, matches, running
+from cloakframe.functions.binding import let, matches, running
 from cloakframe.functions.groups import located
 from cloakframe.functions.patterns import Detector, numeric_runs
 
@@ -43,22 +43,25 @@ def span(start: Column, end: Column, detector: Column, priority: Column, ord_: C
     )
 
 
-#: Put around matches to cut a text at them; a text that holds it is cut by two scans.
+#: Put around matches to cut a text at them; in a text that holds it, a digest of the text goes with it.
 _MARK = "\uffff"
 
 
-def _pieces(text: Column, detector: Detector, runs: Column, unmarked: Column, none: Column) -> Column:
+def _scanned(text: Column) -> Column:
+    """What all detectors need of a text: its numeric runs, and a mark that it does not hold."""
+    mark = F.when(F.contains(text, F.lit(_MARK)), F.concat(F.lit(_MARK), F.sha2(text, 256))).otherwise(F.lit(_MARK))
+    return F.struct(numeric_runs(text).alias("runs"), mark.alias("mark"))
+
+
+def _pieces(text: Column, detector: Detector, scanned: Column, none: Column) -> Column:
     """The text cut at the matches of one detector: gap, match, gap and so on; ``none`` where its cheap condition fails.
 
     One scan marks the matches, and cutting at the marks needs no pattern.
     """
-    possible = text.isNotNull() if detector.may_match is None else detector.may_match(text, runs)
-    pattern = located(detector.pattern, detector.group)[0]
-    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    pairs = F.zip_with(F.split(text, pattern, -1), extract_all(text, pattern), lambda gap, match: F.array(gap, match))
-    # Behind the last gap there is no match, where the pair has a null.
-    scanned = let(F.flatten(pairs), lambda both: F.slice(both, F.lit(1), F.size(both) - 1))
-    return F.when(possible, F.when(unmarked, marked).otherwise(scanned)).otherwise(none)
+    possible = text.isNotNull() if detector.may_match is None else detector.may_match(text, scanned["runs"])
+    mark, pattern = scanned["mark"], located(detector.pattern, detector.group)[0]
+    marked = F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark))
+    return F.when(possible, F.split(marked, mark, -1)).otherwise(none)
 
 
 def _detector_table(detectors: Sequence[tuple[int, Detector]]) -> Column:
@@ -78,37 +81,33 @@ def _placed(text: Column, detector: Column, pieces: Column) -> Column:
     the text is cut once, however many matches it has. A group begins as far into its match as the
     groups before it are long (see ``functions.groups``).
     """
-    gaps = F.filter(pieces, lambda _, i: i % 2 == 0)
-    return let(F.filter(pieces, lambda _, i: i % 2 == 1), lambda found: _matches_placed(text, detector, gaps, found))
-
-
-def _matches_placed(text: Column, detector: Column, gaps: Column, found: Column) -> Column:
-    values = F.when(detector["group"] == 0, found).otherwise(
-        F.regexp_extract_all(text, detector["pattern"], detector["group"])
-    )
+    at = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
+    groups = F.when(detector["group"] > 0, F.regexp_extract_all(text, detector["pattern"], detector["group"]))
     befores = F.transform(detector["before"], lambda group: F.regexp_extract_all(text, detector["pattern"], group))
 
-    def match_rows(g: Column, v: Column, b: Column) -> Column:
-        def after(i: Column) -> Column:
-            # A match has at least one character, so four gaps and matches hold the next four.
-            parts = [part for n in range(1, 5) for part in (F.get(g, i + n), F.get(found, i + n))]
-            return F.concat(*[F.coalesce(part, F.lit("")) for part in parts])
+    def match_rows(parts: Column) -> Column:
+        def before(i: Column) -> Column:
+            return F.aggregate(parts["befores"], F.lit(0), lambda n, texts: n + F.coalesce(F.length(F.get(texts, i)), F.lit(0)))
 
-        def row(match: Column, i: Column, value: Column, before: Column) -> Column:
-            tail = F.concat(match, after(i)).substr(before + F.length(value) + 1, F.lit(4))
+        def row(j: Column, value: Column, before: Column) -> Column:
+            match = F.get(pieces, j)
+            # A match has at least one character, so four gaps and matches hold the next four.
+            after = [F.coalesce(F.get(pieces, j + n), F.lit("")) for n in range(1, 9)]
+            tail = F.concat(match, *after).substr(before + F.length(value) + 1, F.lit(4))
             return F.struct(
-                (F.length(F.get(g, i)) + F.length(match)).alias("ahead"),
+                (F.length(F.get(pieces, j - 1)) + F.length(match)).alias("ahead"),
                 value.alias("value"),
                 (F.length(match) - before).alias("behind"),
                 matches(tail, KEY_TAIL).alias("is_key"),
             )
 
-        def before(i: Column) -> Column:
-            return F.aggregate(b, F.lit(0), lambda n, texts: n + F.coalesce(F.length(F.get(texts, i)), F.lit(0)))
+        def one(j: Column, i: Column) -> Column:
+            value = F.when(detector["group"] > 0, F.get(parts["groups"], i)).otherwise(F.get(pieces, j))
+            return let(before(i), lambda n: row(j, value, n))
 
-        return F.transform(found, lambda match, i: let(before(i), lambda n: row(match, i, F.get(v, i), n)))
+        return F.transform(at, one)
 
-    rows = let(gaps, lambda g: let(values, lambda v: let(befores, lambda b: match_rows(g, v, b))))
+    rows = let(F.struct(groups.alias("groups"), befores.alias("befores")), match_rows)
 
     def placed(match: Column, end: Column) -> Column:
         start = end - match["behind"]
@@ -141,9 +140,8 @@ def _pattern_spans(text: Column, detectors: Sequence[tuple[int, Detector]]) -> C
     none = F.array().cast("array<string>")
     nothing = no_spans()
 
-    def place(runs: Column) -> Column:
-        unmarked = ~F.contains(text, F.lit(_MARK))
-        cut = F.array(*[_pieces(text, d, runs, unmarked, none) for _, d in detectors])
+    def place(scanned: Column) -> Column:
+        cut = F.array(*[_pieces(text, d, scanned, none) for _, d in detectors])
         return F.flatten(
             F.zip_with(
                 _detector_table(detectors),
@@ -152,7 +150,7 @@ def _pattern_spans(text: Column, detectors: Sequence[tuple[int, Detector]]) -> C
             )
         )
 
-    return let(numeric_runs(text), place)
+    return let(_scanned(text), place)
 
 
 def _is_valid(spans_of: Sequence[Detector], s: Column) -> Column | None:

@@ -27,8 +27,9 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-#: Numbers of a block in ``running``.
+#: Numbers of a block in ``running``, and how many numbers are simply folded anew for each place.
 _BLOCK = 64
+_FEW = 8
 
 
 def running(numbers: Column, step: Callable[[Column, Column], Column], zero: int) -> Column:
@@ -56,4 +57,7 @@ def running(numbers: Column, step: Callable[[Column, Column], Column], zero: int
 
         return let(before, lambda starts: F.transform(items, lambda _, i: at(starts, i)))
 
-    return let(numbers, scanned)
+    def folded_anew(items: Column) -> Column:
+        return F.transform(items, lambda _, i: fold(F.slice(items, F.lit(1), i + 1)))
+
+    return let(numbers, lambda items: F.when(F.size(items) <= _FEW, folded_anew(items)).otherwise(scanned(items)))

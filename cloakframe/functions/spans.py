@@ -5,6 +5,8 @@ offsets; ``ord`` is the place of its detector in the policy. All functions here
 Columns, so they work on a table column, a struct field or an array element alike, and the whole
 text of a row is handled inside its row: nothing is shuffled.
 
+Arrays without nulls are sorted by ``sort_array``, which compares natively where ``array_sort`` evaluates a lambda.
+
 Whatever a lambda uses more than once is bound with ``let`` first: a column that is named inside a
 lambda may be inlined there by the optimizer, and would then be computed once per element.
 """
@@ -204,7 +206,7 @@ def collect_spans(
 
 def _ranked(spans: Column) -> Column:
     """The spans with their rank, best first: by priority, length, start, detector order."""
-    return F.array_sort(
+    return F.sort_array(
         F.transform(
             spans,
             lambda s: F.struct(
@@ -224,7 +226,7 @@ def _accept_greedily(spans: Column) -> Column:
         taken = F.exists(accepted, lambda a: (a["start"] < new["end"]) & (new["start"] < a["end"]))
         return F.when(taken, accepted).otherwise(F.concat(accepted, F.array(new)))
 
-    return F.array_sort(F.aggregate(_ranked(spans), no_spans(), step))
+    return F.sort_array(F.aggregate(_ranked(spans), no_spans(), step))
 
 
 #: Spans of an overlap group that are tried one by one; more are taken class by class.
@@ -264,7 +266,7 @@ def _accept_by_class(spans: Column) -> Column:
 
             return let(F.struct(ends.alias("ends"), starts.alias("starts")), fits)
 
-        return let(F.array_sort(F.concat(F.transform(taken, mark(True)), F.transform(own, lambda x: mark(False)(x["span"])))), checked)
+        return let(F.sort_array(F.concat(F.transform(taken, mark(True)), F.transform(own, lambda x: mark(False)(x["span"])))), checked)
 
     def swept(own: Column) -> Column:
         """Of spans of equal length by start, each that begins behind the one taken before; lists stay short."""
@@ -285,7 +287,7 @@ def _accept_by_class(spans: Column) -> Column:
     def step(taken: Column, own: Column) -> Column:
         return F.concat(taken, let(free(taken, own), swept))
 
-    return F.array_sort(F.aggregate(let(_ranked(spans), classes), no_spans(), step))
+    return F.sort_array(F.aggregate(let(_ranked(spans), classes), no_spans(), step))
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -321,16 +323,21 @@ def resolve_overlaps(spans: Column) -> Column:
         return F.exists(flags, lambda f: f)
 
     return let(
-        F.array_sort(spans),
+        F.sort_array(spans),
         lambda ordered: F.when((F.size(ordered) > 1) & touching(ordered), by_group(ordered)).otherwise(ordered),
     )
 
 
+#: Spans of a text that are cut out of its string; with more, the text is taken apart into characters first.
+_CUTS = 32
+
+
 def replace_spans(text: Column, resolved: Column, replacement: Callable[[Column], Column]) -> Column:
     """Rebuild the text with every (non-overlapping, ordered) span replaced.
 
-    Bytes that are no UTF-8 become U+FFFD, as where the spans were placed. The text is taken apart into
-    characters once: cutting each piece out of the string would walk it from its start.
+    Bytes that are no UTF-8 become U+FFFD, as where the spans were placed. A text of many spans is taken apart
+    into characters once, as cutting each piece out of the string walks it from its start; for a few spans the
+    walks are far cheaper than the characters.
     """
 
     def rebuilt(body: Column, spans: Column, cut: Callable[[Column, Column], Column]) -> Column:
@@ -342,9 +349,13 @@ def replace_spans(text: Column, resolved: Column, replacement: Callable[[Column]
         return F.concat(F.array_join(F.transform(spans, piece), ""), cut(last, F.length(body)))
 
     def masked(body: Column, spans: Column) -> Column:
+        def cut(chars: Column, start: Column, end: Column) -> Column:
+            joined = F.array_join(F.slice(chars, start + 1, end - start), "")
+            return F.when(chars.isNull(), body.substr(start + 1, end - start)).otherwise(joined)
+
         whole = let(
-            F.split(body, ""),
-            lambda chars: rebuilt(body, spans, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")),
+            F.when(F.size(spans) > _CUTS, F.split(body, "")),
+            lambda chars: rebuilt(body, spans, lambda a, b: cut(chars, a, b)),
         )
         return F.when(F.size(spans) == 0, body).otherwise(whole)
 
@@ -355,7 +366,7 @@ def count_by_detector(spans: Column) -> Column:
     """Map of detector name to number of spans."""
 
     def counted(names: Column) -> Column:
-        distinct = F.array_sort(F.array_distinct(names))
+        distinct = F.sort_array(F.array_distinct(names))
         return let(
             distinct,
             lambda found: F.map_from_arrays(
@@ -414,7 +425,7 @@ def _side_by_side(found: Column, kept: Column) -> Column:
             ),
         )
 
-    return F.array_sort(F.concat(rows(kept, False), rows(found, True)))
+    return F.sort_array(F.concat(rows(kept, False), rows(found, True)))
 
 
 def _follows_kept(both: Column, x: Column, i: Column) -> Column:

@@ -6,6 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.functions.spans import replace_spans
 from cloakframe.operators import mapping as m
 from cloakframe.operators.restore import demask_any_keys
 from cloakframe.plans.masking import findings, mask_with_stats
@@ -66,6 +67,19 @@ def test_spans_are_not_broadcast(customers):
     assert "Inner, Build" not in _plan(m.demask(masked, known, list(policy.hmac_prefixes().values())))
 
 
+def test_texts_of_few_spans_are_cut_as_strings(spark):
+    """Up to a number of spans no list of all characters is made; with more the result is the same."""
+    texts = ["\U0001f600 a@b.ru " * n + "\U0001f600" for n in (0, 1, 2, 31, 32, 33, 70)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    spans = F.transform(
+        F.sequence(F.lit(1), F.size(F.split("text", "@")) - 1), lambda i: F.struct(((i - 1) * 9 + 2).alias("start"), ((i - 1) * 9 + 8).alias("end"))
+    )
+    spans = F.when(F.size(F.split("text", "@")) > 1, spans).otherwise(F.slice(spans, 1, 0))
+    masked = rows.select("text", replace_spans(F.col("text"), spans, lambda s: F.lit("\u00d7")).alias("masked"))
+    assert "substr" in _plan(masked.select("masked"))
+    assert all(r.masked == r.text.replace("a@b.ru", "\u00d7") for r in masked.collect())
+
+
 def test_text_that_holds_the_mark(spark):
     rows = spark.createDataFrame(
         [("￿a@b.ru￿￿ 10.0.0.1 \U0001f600 c@d.ru = e@f.ru",), ("a@b.ru 10.0.0.1",), ("￿",), ("",), (None,)], "text string"

@@ -231,7 +231,7 @@ def demask(
     found = F.flatten(F.transform(cells, lambda t: F.coalesce(tokens_in(t, prefixes, length), none)))
     listed = df.withColumn("_tokens", F.array_distinct(found))
     plain = listed.where(F.size("_tokens") == 0).drop("_tokens").withColumn("replacements", F.lit(0).cast("bigint"))
-    holding = listed.where(F.size("_tokens") > 0).withColumn("_set", F.sha2(F.array_join(F.array_sort("_tokens"), ","), 256))
+    holding = listed.where(F.size("_tokens") > 0).withColumn("_set", F.sha2(F.array_join(F.sort_array("_tokens"), ","), 256))
     variants = F.flatten(F.transform("_tokens", lambda t: _variants(t, prefixes, length)))
     wanted = holding.select("_set", F.explode_outer(variants).alias("token")).distinct()
     known = (
@@ -337,7 +337,9 @@ def mask_with_cache(
     digests = F.array_distinct(F.transform(keyed, lambda s: hmac_sha256(s["value"], policy.secret)))
     # Rows without digests are spread out: no set is theirs.
     apart = F.concat(F.lit("-"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("string"))
-    name = F.when(F.size("_digests") > 0, F.sha2(F.array_join(F.array_sort("_digests"), ""), 256)).otherwise(apart)
+    name = F.when(F.size("_digests") > 0, F.sha2(F.array_join(F.sort_array("_digests"), ""), 256)).otherwise(apart)
+    # Never null, and known not to be: else the join has a filter for nulls, which goes down to the scan and finds all spans there.
+    name = F.coalesce(name, F.lit("-"))
     staged = with_spans(df, policy, text).withColumn("_digests", digests).withColumn("_set", name)
     wanted = staged.select("_set", F.explode_outer("_digests").alias("digest")).where(F.col("digest").isNotNull()).distinct()
     overrides = (

@@ -67,6 +67,20 @@ def test_spans_are_not_broadcast(customers):
     assert "Inner, Build" not in _plan(m.demask(masked, known, list(policy.hmac_prefixes().values())))
 
 
+def test_spans_are_found_after_dealing(customers):
+    """No filter for nulls holds the whole detection and goes below the dealing, where one task would do it."""
+    plan = _plan(m.mask_with_cache(dealt(customers), Policy.only(SECRET, "bik", "email"), "id"))
+    below = [part[: part.index("FileScan")] for part in plan.split("RoundRobinPartitioning")[1:]]
+    assert below and not any("makeValid" in part for part in below)
+
+
+def test_texts_without_spans_are_masked_with_a_cache(spark):
+    rows = spark.createDataFrame([(1, "none"), (2, None), (3, ""), (None, "a@b.ru"), (None, "a@b.ru")], "id long, text string")
+    masked = m.mask_with_cache(dealt(rows), Policy.only(SECRET, "bik", "email"), "id").collect()
+    assert sorted(r.text or "" for r in masked)[:3] == ["", "", sorted(r.text for r in masked if r.id is None)[0]]
+    assert [r.text for r in masked if r.id == 1] == ["none"] and len(masked) == 5
+
+
 def test_texts_of_few_spans_are_cut_as_strings(spark):
     """Up to a number of spans no list of all characters is made; with more the result is the same."""
     texts = ["\U0001f600 a@b.ru " * n + "\U0001f600" for n in (0, 1, 2, 31, 32, 33, 70)]

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cloakframe.llm.common import carried, map_rows
+from cloakframe.llm.common import carried, kept_beside, map_rows
 from cloakframe.llm.labelled import held_out, sample, weights
 
 #: Labelled documents of each kind that the trees are fitted to.
@@ -183,7 +183,8 @@ def score(
     def rows(part: Iterable[tuple]) -> Iterator[tuple]:
         group, values = [], []
         for name, out, content, *more in part:
-            group.append((name, out, *more))
+            given = (name, content, *more)
+            group.append((name, out, *(given[i] for i in places)))
             values.append(statistics(content))
             if len(group) == block:
                 yield from judged(group, values)
@@ -191,7 +192,8 @@ def score(
         if group:
             yield from judged(group, values)
 
-    columns, types, _ = carried(docs, keep)
+    others, places = kept_beside(keep, (key, text))
+    columns, types = carried(docs, others)[0], carried(docs, keep)[1]
     kind = docs.schema[key].dataType.simpleString()
     out = map_rows(
         docs.select(key, held_out(key).alias("held_out"), text, *columns),

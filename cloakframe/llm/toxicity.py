@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cloakframe.llm.common import carried, map_rows
+from cloakframe.llm.common import carried, kept_beside, map_rows
 from cloakframe.llm.labelled import held_out, sample, weights
 
 #: Labelled documents of each kind that the chain is fitted to.
@@ -292,7 +292,8 @@ def score(
         for name, out, content, *more in part:
             found = _TOKEN.findall(content or "")
             values.append(np.fromiter(map(known.__getitem__, found), float, len(found)))
-            group.append((name, out, content or "", *more))
+            given = (name, content, *more)
+            group.append((name, out, content or "", *(given[i] for i in places)))
             size += len(found)
             if size >= tokens:
                 yield from judged(group, values)
@@ -300,7 +301,8 @@ def score(
         if group:
             yield from judged(group, values)
 
-    columns, types, _ = carried(docs, keep)
+    others, places = kept_beside(keep, (key, text))
+    columns, types = carried(docs, others)[0], carried(docs, keep)[1]
     kind = docs.schema[key].dataType.simpleString()
     out = map_rows(
         docs.select(key, held_out(key).alias("held_out"), text, *columns),

@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -173,6 +174,10 @@ def test_scores_of_odd_texts(spark, odd):
     assert toxicity.without_toxic(odd, chain).columns == odd.columns
     trees = quality.fit_trees(np.array([[0.0], [1.0]] * 20 * 27).reshape(40, 27), np.array([0.0, 1.0] * 20))
     assert all(0 <= r.score <= 1 for r in quality.score(odd, trees).collect())
+    for kept in (toxicity.without_toxic(odd, chain), quality.without_rejected(odd, trees)):
+        # The text crosses to Python once, whether or not it is passed on.
+        assert not re.search(r"text#\d+ AS kept_", kept._jdf.queryExecution().optimizedPlan().toString())
+        assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in odd.collect()}
     empty = odd.limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cloakframe.llm.common import carried, kept_beside, map_rows
+from cloakframe.llm.common import BATCH_BYTES, carried, kept_beside, map_rows
 from cloakframe.llm.labelled import held_out, sample, weights
 
 #: Labelled documents of each kind that the trees are fitted to.
@@ -181,14 +181,15 @@ def score(
             yield name, out, p, int(p >= threshold), *more
 
     def rows(part: Iterable[tuple]) -> Iterator[tuple]:
-        group, values = [], []
+        group, values, length = [], [], 0
         for name, out, content, *more in part:
             given = (name, content, *more)
             group.append((name, out, *(given[i] for i in places)))
             values.append(statistics(content))
-            if len(group) == block:
+            length += len(content or "")
+            if len(group) == block or length >= BATCH_BYTES:
                 yield from judged(group, values)
-                group, values = [], []
+                group, values, length = [], [], 0
         if group:
             yield from judged(group, values)
 

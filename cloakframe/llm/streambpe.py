@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -77,14 +78,19 @@ class StreamCoder:
     def library(self) -> Tokenizer:
         return Tokenizer.from_file(self.path)
 
-    @cached_property
-    def settings(self) -> dict:
+    def _file(self) -> dict:
         with open(self.path, encoding="utf-8") as file:
             return json.load(file)
 
+    @cached_property
+    def settings(self) -> dict:
+        """The file without vocabulary and merges, which the library holds."""
+        file = self._file()
+        return file | {"model": {k: v for k, v in file["model"].items() if k not in ("vocab", "merges")}}
+
     @cached_property
     def lookahead(self) -> int:
-        merges = self.settings["model"]["merges"]
+        merges = self._file()["model"]["merges"]
         return sufficient_lookahead([tuple(m.split(" ") if isinstance(m, str) else m) for m in merges])
 
     @cached_property
@@ -95,6 +101,10 @@ class StreamCoder:
     def names(self) -> dict[int, str]:
         return {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
 
+    @cached_property
+    def spelled(self) -> dict[int, bytes]:
+        return {i: t.encode("utf-8", "replace") for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+
     @cached_property
     def specials(self) -> dict[str, int]:
         return {t["content"]: t["id"] for t in self.settings["added_tokens"]}
@@ -185,10 +195,9 @@ class StreamCoder:
 
     # -- decoding --------------------------------------------------------------------------------
 
-    def named(self, ids: Iterable[int]) -> Iterator[bytes]:
-        """What each id decodes to for a file without decoder: its name. The library joins them by blanks."""
-        for number in ids:
-            yield self.names[number].encode("utf-8", "replace")
+    def joined(self, ids: bytes) -> bytes:
+        """What little-endian ids decode to for a file without decoder: their names, joined by blanks as by the library."""
+        return b" ".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of the tokens as it becomes known: bytes go through an incremental UTF-8 decoder, the end
@@ -211,15 +220,14 @@ class StreamCoder:
         yield state.decode(b"", True)
 
 
-class _Words(dict):
-    """Ids and names of whole words met so far, as bytes; forgotten when they are too many."""
+class _Ids(dict):
+    """Ids of whole words met so far, as bytes; forgotten when they are too many."""
 
     def __init__(self, coder: StreamCoder):
         self.coder = coder
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        ids = [i for i, _ in self.coder.run([word])]
-        value = b"".join(i.to_bytes(4, "little") for i in ids), b" ".join(self.coder.named(ids))
+    def __missing__(self, word: str) -> bytes:
+        value = b"".join(i.to_bytes(4, "little") for i, _ in self.coder.run([word]))
         if len(word) <= 64:
             if len(self) > self.coder.memory:
                 self.clear()
@@ -227,6 +235,21 @@ class _Words(dict):
         return value
 
 
+class _Words:
+    """Ids and names of whole words, as bytes. A word is remembered with its ids alone, which name its names."""
+
+    def __init__(self, coder: StreamCoder):
+        self.coder, self.ids = coder, _Ids(coder)
+
+    def __getitem__(self, word: str) -> tuple[bytes, bytes]:
+        return self.of([word])
+
+    def of(self, words: Iterable[str]) -> tuple[bytes, bytes]:
+        """Of words in a row."""
+        ids = b"".join(map(self.ids.__getitem__, words))
+        return ids, self.coder.joined(ids)
+
+
 _CODERS: dict[str, tuple[StreamCoder, _Words]] = {}
 
 
@@ -254,15 +277,14 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             n, ids, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), True
             for piece in coder.pieces(content or ""):
                 if isinstance(piece, str):
-                    number = coder.specials[piece]
-                    found = [(number.to_bytes(4, "little"), *coder.named([number]))]
+                    numbers = coder.specials[piece].to_bytes(4, "little")
+                    found = numbers, coder.joined(numbers)
                 else:
-                    found = [known[w] for w in piece]
-                if found:
-                    numbers = b"".join([i for i, _ in found])
-                    n += len(numbers) // 4
-                    ids.update(numbers)
-                    decoded.update((b"" if first else b" ") + b" ".join([t for _, t in found]))
+                    found = known.of(piece)
+                if found[0]:
+                    n += len(found[0]) // 4
+                    ids.update(found[0])
+                    decoded.update((b"" if first else b" ") + found[1])
                     first = False
             yield name, n, ids.hexdigest(), decoded.hexdigest()
 

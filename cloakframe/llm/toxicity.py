@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cloakframe.llm.common import carried, kept_beside, map_rows
+from cloakframe.llm.common import BATCH_BYTES, carried, kept_beside, map_rows
 from cloakframe.llm.labelled import held_out, sample, weights
 
 #: Labelled documents of each kind that the chain is fitted to.
@@ -273,7 +273,8 @@ def score(
 
     Null and empty texts have no tokens and score 0. ``spans`` are character offsets of runs of tokens with
     a marginal of at least one half. Rows are independent: repeats give repeats, null keys stay, and an
-    empty table gives no rows. Columns to ``keep`` follow as kept_0, kept_1 and so on. Texts are handled in groups of about ``tokens`` tokens.
+    empty table gives no rows. Columns to ``keep`` follow as kept_0, kept_1 and so on. Texts are handled in groups of
+    about ``tokens`` tokens, or of ``BATCH_BYTES`` characters where tokens are few.
     """
 
     def judged(group: list[tuple], values: list[np.ndarray]) -> Iterator[tuple]:
@@ -288,16 +289,17 @@ def score(
 
     def rows(part: Iterable[tuple]) -> Iterator[tuple]:
         known = _Emissions(chain)
-        group, values, size = [], [], 0
+        group, values, size, length = [], [], 0, 0
         for name, out, content, *more in part:
             found = _TOKEN.findall(content or "")
             values.append(np.fromiter(map(known.__getitem__, found), float, len(found)))
             given = (name, content, *more)
             group.append((name, out, content or "", *(given[i] for i in places)))
             size += len(found)
-            if size >= tokens:
+            length += len(content or "")
+            if size >= tokens or length >= BATCH_BYTES:
                 yield from judged(group, values)
-                group, values, size = [], [], 0
+                group, values, size, length = [], [], 0, 0
         if group:
             yield from judged(group, values)
 

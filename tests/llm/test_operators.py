@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -271,6 +272,16 @@ def test_digests_decode_the_ids(monkeypatch):
         assert streambpe._Words(coder)[word][1].decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_a_word_is_remembered_with_its_ids_alone():
+    coder, library = streambpe.StreamCoder(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    known = streambpe._Words(coder)
+    for words in (["hello", "é" * 300, "hello"], [], ["漢字"]):
+        ids = [i for w in words for i in library.encode(w, add_special_tokens=False).ids]
+        assert known.of(words) == (np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False).encode())
+    assert set(known.ids) == {"hello", "漢字"} and {type(v) for v in known.ids.values()} == {bytes}
+    assert not {"vocab", "merges"} & set(coder.settings["model"])
+
+
 def test_lookahead_of_a_small_merge_list():
     assert streambpe.sufficient_lookahead([]) == 0
     assert streambpe.sufficient_lookahead([("b", "c"), ("a", "b")]) == 2
@@ -447,6 +458,42 @@ def test_nothing_changes_past_the_depth(around):
 # -- pipeline --------------------------------------------------------------------------------------
 
 
+def test_batches_end_at_a_size(spark):
+    """Long texts are not taken to Python by the ten thousand, unless the session says so."""
+    name, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        lengths = common.map_rows(texts, lambda rows: ((len(t),) for (t,) in rows), "n long")
+        assert lengths.agg(F.sum("n")).first()[0] == 20_000_000
+        found = texts.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 2000 and max(r.size for r in found) < 2 * common.BATCH_BYTES
+        spark.conf.set(name, "1000000000")
+        common.map_rows(texts, lambda rows: rows, "text string")
+        assert spark.conf.get(name) == "1000000000"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_results_leave_by_size(spark):
+    """Also those with null texts."""
+
+    class Frame:
+        sparkSession = spark  # noqa: N815
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter([pa.RecordBatch.from_pydict({"n": list(range(500)), "text": [None, *["x" * 100_000] * 499]})])))
+
+    out = common.map_rows(Frame(), lambda rows: rows, "n long, text string")
+    assert [n for b in out for n in b["n"].to_pylist()] == list(range(500))
+    assert max(b.nbytes for b in out) < 2 * common.BATCH_BYTES
+
+
 def test_pipeline(spark):
     folder = SF_DIR
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -7,6 +7,9 @@ from functools import cache
 import regex
 from tokenizers import Regex, pre_tokenizers
 
+#: Characters that the library is asked about at a time: it holds more than 100 bytes for each.
+_ASKED = 1 << 12
+
 
 def byte_symbols() -> dict[int, str]:
     """The usual printable stand-in for each byte: itself if printable Latin-1, else the next from U+0100 on."""
@@ -21,14 +24,15 @@ def strange_characters() -> dict[int, str]:
 
     The library itself is asked: its tables are those of another Unicode version.
     """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     out: dict[int, str] = {}
     for kind, inside in ((r"\p{L}", "x"), (r"\p{N}", "1"), (r"\s", " ")):
-        mine = set("".join(regex.findall(kind + "+", every)))
         splitter = pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True)
-        theirs = set("".join(part for part, _ in splitter.pre_tokenize_str(every)))
-        out |= {ord(c): "\u2603" for c in mine - theirs if ord(c) not in out}
-        out |= {ord(c): inside for c in theirs - mine}
+        for start in range(0, 0x110000, _ASKED):
+            some = "".join(chr(c) for c in range(start, start + _ASKED) if not 0xD800 <= c < 0xE000)
+            mine = set("".join(regex.findall(kind + "+", some)))
+            theirs = set("".join(part for part, _ in splitter.pre_tokenize_str(some)))
+            out |= {ord(c): "\u2603" for c in mine - theirs if ord(c) not in out}
+            out |= {ord(c): inside for c in theirs - mine}
     return out
 
 

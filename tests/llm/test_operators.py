@@ -6,6 +6,8 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -282,6 +284,14 @@ def test_a_word_is_remembered_with_its_ids_alone():
     assert not {"vocab", "merges"} & set(coder.settings["model"])
 
 
+def test_characters_are_asked_for_in_blocks():
+    """A worker that meets a text beyond ASCII does not take hundreds of MB for it."""
+    most = "int(next(x.split()[1] for x in open('/proc/self/status') if x.startswith('VmHWM')))"
+    code = f"from cloakframe.llm.pretokens import strange_characters; a = {most}; strange_characters(); print({most} - a)"
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, check=True).stdout) < 100_000
+
+
 def test_lookahead_of_a_small_merge_list():
     assert streambpe.sufficient_lookahead([]) == 0
     assert streambpe.sufficient_lookahead([("b", "c"), ("a", "b")]) == 2

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.llm import lexical, merkle, triejoin
+from cloakframe.llm import common, lexical, merkle, triejoin
 
 ODD = [
     (0, None), (1, ""), (2, " \n\t"), (None, "a"), (4, "a b c"), (5, "A b\u00a0c d e"), (6, "a b c d"), (6, "a b c d"), (7, "x" * 300_000),
@@ -154,6 +154,63 @@ def test_groups_by_brute_force(spark, monkeypatch, limits):
     assert by_text(triejoin.jaccard_groups(df).collect()) == by_text(plain_groups(rows))
 
 
+@pytest.mark.parametrize("most, turns", [(triejoin.ONE_TURN, 1), (-1, 2)])
+def test_few_outlines_take_one_turn(spark, monkeypatch, most, turns):
+    rnd = random.Random(7)
+    rows = near_copies(rnd, 3, 12, 60, 5) + [(1000 + i, t) for i, t in near_copies(rnd, 20, 2, 9, 2)]
+    passes = []
+    joined = triejoin._joined
+    monkeypatch.setattr(triejoin, "ONE_TURN", most)
+    monkeypatch.setattr(triejoin, "_joined", lambda *a: passes.append(a) or joined(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_text(triejoin.jaccard_groups(df).collect()) == by_text(plain_groups(rows))
+    assert len(passes) == turns
+
+
+def test_large_names_wait_for_the_next_turn(spark, monkeypatch):
+    """Names of too many sets are looked at again together with the next turn's names, not before them."""
+    rnd = random.Random(8)
+    line = [f"line{i}" for i in range(70)]
+    texts = [line + [f"w{rnd.randrange(10**6)}" for _ in range(17)] for _ in range(80)]
+    for _ in range(60):
+        texts.append(list(texts[0]))
+        texts[-1][rnd.randrange(87)] = f"v{rnd.randrange(10**6)}"
+    rows = list(enumerate(map(" ".join, texts)))
+    passes = []
+    joined = triejoin._joined
+    monkeypatch.setattr(triejoin, "TRIE_SETS", 30)
+    monkeypatch.setattr(triejoin, "ONE_TURN", -1)
+    monkeypatch.setattr(triejoin, "_joined", lambda *a: passes.append(a[1].count()) or joined(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_text(triejoin.jaccard_groups(df).collect()) == by_text(plain_groups(rows))
+    assert len(passes) == 5
+
+
+@pytest.mark.parametrize("links", ["hubs", "stars", "mixed", "paths", "none"])
+def test_components_end_at_stars(spark, monkeypatch, links):
+    """A round that leaves only stars is the last one: none is run to see that nothing changes any more."""
+    rnd = random.Random(9)
+    pairs = {
+        "hubs": [(i, 50 * (i // 50) + 49) for i in range(200) if i % 50 != 49],
+        "stars": [(50 * (i // 50) - 1000, i) for i in range(200) if i % 50],
+        "mixed": [(rnd.randrange(300), rnd.randrange(300)) for _ in range(250)],
+        "paths": [(i, i + 1) for i in range(100) if i % 25],
+        "none": [(5, 5)],
+    }[links]
+    written = []
+    staged = common.staged
+    monkeypatch.setattr(common, "staged", lambda *a: written.append(a[1]) or staged(*a))
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    nodes = sorted({n for p in pairs if p[0] != p[1] for n in p})
+    root = roots(len(nodes), [(nodes.index(u), nodes.index(v)) for u, v in pairs if u != v])
+    least = {}
+    for n, r in zip(nodes, root, strict=True):
+        least.setdefault(r, n)
+    assert got == {n: least[r] for n, r in zip(nodes, root, strict=True)}
+    if links in ("hubs", "stars"):
+        assert len(written) == 2
+
+
 def test_groups_of_odd_input(spark, odd):
     assert by_text(triejoin.jaccard_groups(odd).collect()) == by_text(plain_groups(ODD))
     assert triejoin.jaccard_groups(odd.limit(0)).count() == 0

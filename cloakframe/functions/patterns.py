@@ -97,7 +97,8 @@ class Detector:
 
     ``group`` selects the part of a match that is the span, wherever it stands. ``may_match(text, runs)`` is a cheap condition that is true whenever the
     pattern can match; ``validator(value)`` is a checksum. ``spans``, when given, replaces the
-    pattern: a function from a text Column to ``array<struct<start,end,value>>``.
+    pattern: a function from a text Column to ``array<struct<start,end,value>>``. ``scan`` finds the same
+    matches, as ``match``, in one go from the match before: what stands between them is ``gap``.
     """
 
     name: str
@@ -107,6 +108,7 @@ class Detector:
     validator: Callable[[Column], Column] | None = None
     may_match: Callable[[Column, Column], Column] | None = None
     spans: Callable[[Column], Column] | None = None
+    scan: str = ""
 
 
 def _in_runs(pattern: str) -> Callable[[Column, Column], Column]:
@@ -125,12 +127,15 @@ def _has_digit_and_match(pattern: str) -> Callable[[Column, Column], Column]:
     return lambda text, runs: matches(text, r"\p{Nd}") & matches(text, pattern)
 
 
+# A marker begins with one of the first; beyond ASCII any character is looked at.
+_CODE_STARTS = r"dDiI#\x{80}-\x{10FFFF}"
+_CODE = (
+    r"(?U:(?:[кК][оО][дД]|[нН][оО][мМ][еЕ][рР]|[dD][oO][cC](?:[uU][mM][eE][nN][tT])?|[iI][dD]|[№#])"
+    r"[\s:=]*+(?=[\p{L}\d_./-]*\d))"
+)
 _MAY_MATCH = {
     "bank_account": _in_runs(r"(?U)\d{20}"),
-    "document_code": _has_digit_and_match(
-        r"(?U)(?:[кК][оО][дД]|[нН][оО][мМ][еЕ][рР]|[dD][oO][cC](?:[uU][mM][eE][nN][tT])?|[iI][dD]|[№#])"
-        r"[\s:=]*+(?=[\p{L}\d_./-]*\d)"
-    ),
+    "document_code": _has_digit_and_match(rf"\A(?:[^{_CODE_STARTS}]+|(?!{_CODE})(?s:.))*+{_CODE}"),
     "inn": _in_runs(r"(?U)\d{10}"),
     "bik": _in_runs(r"0[0-9]{8}"),
     "kpp": _in_runs(r"(?U)\d{4}[0-9A-Z]{2}\d{3}"),
@@ -150,6 +155,21 @@ _VALIDATORS = {
     "ip_address": is_valid_ipv4,
 }
 
+
+def _skipping(gap: str, pattern: str) -> str:
+    """A pattern that goes on from the match before: ``gap`` takes places where no match begins, many at a time."""
+    return rf"\G(?<gap>(?:{gap})*+)(?<match>{pattern})"
+
+
+# No match of these begins within a run of digits, or at anything else but these characters.
+_AT_DIGITS = ("bank_account", "inn", "bik", "kpp", "ogrn", "snils", "ip_address")
+_AT = {"phone": "+8", "url": "hf", "document_code": _CODE_STARTS}
+_SCANS = {name: _skipping(rf"(?U:\D+)|(?!{PATTERNS[name]})(?U:\d++)", PATTERNS[name]) for name in _AT_DIGITS}
+_SCANS |= {name: _skipping(rf"[^{first}]+|(?!{PATTERNS[name]})(?s:.)", PATTERNS[name]) for name, first in _AT.items()}
+# Runs of what a local part may hold are gone through as wholes.
+_DOMAIN = PATTERNS["email"].partition("++@")[2]
+_SCANS["email"] = _skipping(rf"[{_LOCAL}]++(?!@{_DOMAIN})|[^{_LOCAL}]+", rf"[{_LOCAL}]++@{_DOMAIN}")
+
 BUILTIN_DETECTORS = {
     name: Detector(
         name=name,
@@ -158,6 +178,7 @@ BUILTIN_DETECTORS = {
         priority=DETECTOR_PRIORITIES.get(name, DEFAULT_PRIORITY),
         validator=_VALIDATORS.get(name),
         may_match=_MAY_MATCH[name],
+        scan=_SCANS.get(name, ""),
     )
     for name, pattern in PATTERNS.items()
 }

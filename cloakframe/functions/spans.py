@@ -61,8 +61,12 @@ def _pieces(text: Column, detector: Detector, scanned: Column, none: Column) ->
     One scan marks the matches, and cutting at the marks needs no pattern.
     """
     possible = text.isNotNull() if detector.may_match is None else detector.may_match(text, scanned["runs"])
-    mark, pattern = scanned["mark"], located(detector.pattern, detector.group)[0]
-    marked = F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark))
+    mark = scanned["mark"]
+    if detector.scan:
+        marked = F.regexp_replace(text, F.lit(detector.scan), F.concat(F.lit("${gap}"), mark, F.lit("${match}"), mark))
+    else:
+        pattern = located(detector.pattern, detector.group)[0]
+        marked = F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark))
     return F.when(possible, F.split(marked, mark, -1)).otherwise(none)
 
 

@@ -25,27 +25,38 @@ from cloakframe.sources.readers import _tree
 BLOCK_CHARS = 1 << 20
 HALO_CHARS = 4096
 
+#: Characters of blocks that leave for the JVM together, and of records that are put together before they are cut.
+BATCH_CHARS = 1 << 20
+
 _SCHEMA = pa.schema(
     [
         ("source", pa.string()), ("split", pa.int64()), ("size", pa.int64()), ("seq", pa.int64()), ("last", pa.bool_()),
-        ("before", pa.string()), ("text", pa.string()), ("after", pa.string()), ("n_bytes", pa.int64()),
+        ("before", pa.string()), ("text", pa.string()), ("after", pa.string()), ("alone", pa.bool_()), ("n_bytes", pa.int64()),
     ]
 )
+_ENDS = pa.schema([("source", pa.string()), ("split", pa.int64()), ("head", pa.string()), ("tail", pa.string()), ("n_bytes", pa.int64())])
+
+
+def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], separator: str, block: int, halo: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of the records ``source, split, size, value, n_bytes``, which come range by range in their order.
+    """Blocks of the records ``source, split, size, alone, value, n_bytes``, which come range by range in their order.
 
-    A block leaves once ``halo`` characters behind it are known, so a task holds two blocks, or one record.
+    ``n_bytes`` of a range's last block are those of the range. A block leaves once ``halo`` characters behind it
+    are known, so a task holds two blocks and a batch of them, or one record.
     """
     where, pieces, length, n_bytes, seq, before = None, [], 0, 0, 0, ""
+    enough, width = max(2 * block + halo, BATCH_CHARS), len(separator.encode())
 
-    def row(text: str, after: str, last: bool) -> pa.RecordBatch:
-        values = (*where, seq, last, before, text, after, n_bytes)
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _SCHEMA, strict=True)], schema=_SCHEMA)
+    def row(text: str, after: str, last: bool) -> tuple:
+        source, split, size, alone = where
+        return source, split, size, seq, last, before, text, after, alone, n_bytes
 
-    def ready() -> Iterator[pa.RecordBatch]:
-        nonlocal pieces, length, n_bytes, seq, before
+    def ready() -> Iterator[tuple]:
+        nonlocal pieces, length, seq, before
         whole, at = "".join(pieces), 0
         while len(whole) - at > block + halo:
             # Whole records where there are any, else a cut anywhere.
@@ -53,25 +64,64 @@ def _blocks(batches: Iterator[pa.RecordBatch], separator: str, block: int, halo:
             cut = found + len(separator) if found >= 0 else at + block
             yield row(whole[at:cut], whole[cut : cut + halo], False)
             before = whole[max(at, cut - halo) : cut]
-            at, n_bytes, seq = cut, 0, seq + 1
+            at, seq = cut, seq + 1
         pieces, length = [whole[at:]], len(whole) - at
 
-    def finish() -> Iterator[pa.RecordBatch]:
+    def finish() -> Iterator[tuple]:
         if where is not None:
             yield from ready()
             yield row(pieces[0], "", True)
 
+    def cut() -> Iterator[tuple]:
+        nonlocal where, pieces, length, n_bytes, seq, before
+        for batch in batches:
+            for *at, value, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != where:
+                    yield from finish()
+                    where, pieces, length, n_bytes, seq, before = at, [], 0, 0, 0, ""
+                pieces.append(value + separator)
+                length += len(value) + len(separator)
+                n_bytes += size + width
+                if length >= enough:
+                    yield from ready()
+        yield from finish()
+
+    rows, chars = [], 0
+    for made in cut():
+        rows.append(made)
+        chars += len(made[5]) + len(made[6]) + len(made[7])
+        if chars >= BATCH_CHARS:
+            yield _packed(rows, _SCHEMA)
+            rows, chars = [], 0
+    if rows:
+        yield _packed(rows, _SCHEMA)
+
+
+def _ends(batches: Iterator[pa.RecordBatch], separator: str, halo: int) -> Iterator[pa.RecordBatch]:
+    """``source, split, head, tail, n_bytes`` of each range of the records ``source, split, first, final, n_bytes``.
+
+    ``first`` and ``final`` are a record's own ends of up to ``halo`` characters; ``final`` is null where that is all of it.
+    """
+    where, head, tail, held, n_bytes, width = None, "", [], 0, 0, len(separator.encode())
+
+    def ends() -> Iterator[pa.RecordBatch]:
+        if where is not None:
+            yield _packed([(*where, head[:halo], "".join(tail)[-halo:], n_bytes)], _ENDS)
+
     for batch in batches:
-        for *at, value, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *at, first, final, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at != where:
-                yield from finish()
-                where, pieces, length, n_bytes, seq, before = at, [], 0, 0, 0, ""
-            pieces.append(value + separator)
-            length += len(value) + len(separator)
-            n_bytes += size + len(separator.encode())
-            if length >= 2 * block + halo:
-                yield from ready()
-    yield from finish()
+                yield from ends()
+                where, head, tail, held, n_bytes = at, "", [], 0, 0
+            if len(head) < halo:
+                head += first + separator
+            piece = (first if final is None else final) + separator
+            if final is not None or held > 64 * halo:
+                tail, held = ["".join(tail)[-halo:]] if final is None else [], 0
+            tail.append(piece)
+            held += len(piece)
+            n_bytes += size + width
+    yield from ends()
 
 
 def read_text_blocks(
@@ -91,31 +141,33 @@ def read_text_blocks(
     """
     if not separator or halo_chars < 1 or block_chars <= 2 * halo_chars:
         raise ValueError("blocks need a separator and have to be longer than two halos")
+    at = F.col("_metadata.file_block_start")
     lines = _tree(spark, suffix).text(path, lineSep=separator).select(
         F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("split"),
+        at.alias("split"),
         F.col("_metadata.file_size").alias("size"),
+        ((at == 0) & (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size"))).alias("alone"),
         F.make_valid_utf8("value").alias("value"),
         F.octet_length("value").cast("long").alias("n_bytes"),
     )
     read = lines.mapInArrow(
         lambda batches: _blocks(batches, separator, block_chars, halo_chars),
-        "source string, split long, size long, seq long, last boolean, before string, text string, after string, n_bytes long",
+        "source string, split long, size long, seq long, last boolean, before string, text string, after string, alone boolean, n_bytes long",
     )
-    return _with_borders(read, separator, halo_chars)
+    first, final = F.left("value", F.lit(halo_chars)), F.when(F.length("value") > halo_chars, F.right("value", F.lit(halo_chars)))
+    ranges = lines.where("NOT alone").select("source", "split", first.alias("first"), final.alias("final"), "n_bytes").mapInArrow(
+        lambda batches: _ends(batches, separator, halo_chars), "source string, split long, head string, tail string, n_bytes long"
+    )
+    return _with_borders(read, ranges, separator)
 
 
-def _with_borders(blocks: DataFrame, separator: str, halo: int) -> DataFrame:
+def _with_borders(blocks: DataFrame, ranges: DataFrame, separator: str) -> DataFrame:
     """Blocks with what lies beyond their range, and without a last separator that the file does not have.
 
-    One row per range goes through the window, which has as many rows as a file has ranges.
+    One row per range of the files of several ranges goes through the window and to the blocks, which stay where they
+    are: two halos for what Spark puts into a range, 128 MB by its settings. A file of one range needs none.
     """
     first, last = F.col("seq") == 0, F.col("last")
-    ranges = blocks.groupBy("source", "split").agg(
-        F.max(F.when(first, F.left("text", F.lit(halo)))).alias("head"),
-        F.max(F.when(last, F.right(F.concat("before", "text"), F.lit(halo)))).alias("tail"),
-        F.sum("n_bytes").alias("n_bytes"),
-    )
     by_place = Window.partitionBy("source").orderBy("split")
     beside = ranges.select(
         "source",
@@ -125,9 +177,10 @@ def _with_borders(blocks: DataFrame, separator: str, halo: int) -> DataFrame:
         F.sum("n_bytes").over(Window.partitionBy("source")).alias("total"),
     )
     # The reader does not tell whether the last record has a separator behind it, and drops a byte-order mark of three.
-    extra, width = F.col("total") - F.col("size"), len(separator.encode())
+    total = F.when(F.col("alone"), F.col("n_bytes")).otherwise(F.col("total"))
+    extra, width = total - F.col("size"), len(separator.encode())
     added = last & F.col("ahead").isNull() & ((extra == width) | ((extra == width - 3) & F.lit(width != 3)))
-    return blocks.join(beside, ["source", "split"]).select(
+    return blocks.join(F.broadcast(beside), ["source", "split"], "left").select(
         "source",
         F.struct(F.col("split").alias("block"), F.col("seq").alias("line")).alias("place"),
         F.when(first, F.coalesce("behind", F.lit(""))).otherwise(F.col("before")).alias("before"),

@@ -249,43 +249,60 @@ def ner_safe_span(
 # -- clusters and winners ------------------------------------------------------------------------
 
 
-def ner_cluster(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Number the groups of transitively overlapping candidates: adds ``cluster``, its first start.
+#: A key that equals itself when it is null, and the block of a candidate: what rows are dealt by, once.
+_PLACE = ["_key", "_block"]
 
-    A candidate opens a group when it starts at or after the end of all before it. The running end
-    is taken per block of the text; what earlier blocks reach is added from one row per block. A null key
-    counts as a key.
-    """
+
+def _placed(candidates: DataFrame, key: str) -> DataFrame:
     block = F.floor(F.col("start") / BLOCK_CHARS).alias("_block")
-    rows = candidates.select("*", block)
-    inner = Window.partitionBy(key, "_block").orderBy("start", "end")
+    return candidates.select(F.struct(F.col(key).alias("key")).alias("_key"), block, *[c for c in candidates.columns if c != key])
+
+
+def _clustered(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows with ``cluster``, and ``_whole``: no group of their block goes beyond it.
+
+    ``rows`` are dealt by ``_PLACE`` and stay there. ``ends`` are candidates ``_key, _block, start, end`` of the
+    same places. What is joined are rows of blocks that an earlier block reaches into.
+    """
+    inner = Window.partitionBy(*_PLACE).orderBy("start", "end")
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
-    reach = (
-        rows.groupBy(key, "_block")
-        .agg(F.max("end").alias("_end"))
-        .select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.max("_end").over(earlier).alias("_carried"))
-    )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at"))
-    opened = (
-        rows.join(reach, same)
-        .drop("_key", "_at")
-        .withColumn("_reach", F.greatest(F.max("end").over(before), F.col("_carried")))
-        .withColumn(
-            "_opening", F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
+    furthest = ends.groupBy(*_PLACE).agg(F.max("end").alias("_end")).withColumn("_carried", F.max("_end").over(earlier))
+    reach = furthest.where(F.col("_carried") > F.col("_block") * BLOCK_CHARS).select(*_PLACE, "_carried")
+
+    def opened(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("_reach", F.max("end").over(before))
+            .join(reach, _PLACE, "left")
+            .withColumn("_reach", F.greatest("_reach", "_carried"))
+            .withColumn("_opening", F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start")))
         )
+
+    last = opened(ends.repartition(*_PLACE)).groupBy(*_PLACE).agg(F.max("_opening").alias("_last"))
+    last = last.withColumn("_before", F.max("_last").over(earlier)).where("_before IS NOT NULL").select(*_PLACE, "_before")
+    within = F.max("end").over(Window.partitionBy(*_PLACE)) <= (F.col("_block") + 1) * BLOCK_CHARS
+    return (
+        opened(rows)
+        .withColumn("_whole", within & F.col("_carried").isNull())
         .withColumn("_cluster", F.max("_opening").over(upto))
+        .join(last, _PLACE, "left")
+        .withColumn("cluster", F.coalesce("_cluster", "_before"))
+        .drop("_reach", "_carried", "_opening", "_cluster", "_before")
     )
-    last_opening = (
-        opened.groupBy(key, "_block")
-        .agg(F.max("_opening").alias("_last"))
-        .select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.max("_last").over(earlier).alias("_before"))
-    )
-    return opened.join(last_opening, same).select(
-        *[F.col(c) for c in candidates.columns], F.coalesce("_cluster", "_before").alias("cluster")
-    )
+
+
+def ner_cluster(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Number the groups of transitively overlapping candidates: adds ``cluster``, its first start.
+
+    A candidate opens a group when it starts at or after the end of all before it. The running end
+    is taken per block of the text; what earlier blocks reach is added from one row per block. A null key
+    counts as a key. Candidates are shuffled once, by key and block.
+    """
+    placed = _placed(candidates, key)
+    grouped = _clustered(placed.repartition(*_PLACE), placed.select(*_PLACE, "start", "end"))
+    return grouped.select(*[F.col("_key.key").alias(c) if c == key else F.col(c) for c in candidates.columns], "cluster")
 
 
 def ner_resolve(
@@ -296,9 +313,10 @@ def ner_resolve(
 ) -> DataFrame:
     """One entity per group of overlapping candidates.
 
-    Equal spans are merged first, so copies of a candidate cost one row. Then the best candidate
-    per group and type, with the sources and the highest confidence of its type in the group, and
-    the best of those per group: plain aggregates, combined before every shuffle. The order is
+    Candidates are shuffled once, by key and block of the text, and equal spans are merged there. Then the best
+    candidate per group and type, with the sources and the highest confidence of its type in the group, and
+    the best of those per group: where they are, and only for blocks whose groups cross a border by
+    aggregates that shuffle. The order is
     descending priority, confidence and length, then ascending start, then the type seen first.
     Without ``min_confidence`` the threshold is the policy's.
     """
@@ -309,37 +327,35 @@ def ner_resolve(
         usable = usable.withColumn("seq", F.lit(0))
     usable = usable.withColumn("_conf", F.coalesce("confidence", F.lit(0.0)))
 
-    merged = usable.groupBy(key, "entity_type", "start", "end").agg(
+    placed = _placed(usable, key)
+    merged = placed.repartition(*_PLACE).groupBy(*_PLACE, "entity_type", "start", "end").agg(
         F.min_by("value", F.struct(-F.col("priority"), -F.col("_conf"), F.col("seq"))).alias("value"),
         F.max(F.struct("priority", "_conf")).alias("_best"),
         F.max("confidence").alias("confidence"),
         F.collect_set("source").alias("sources"),
         F.min("seq").alias("seq"),
     )
+    grouped = _clustered(merged, placed.select(*_PLACE, "start", "end"))
     rank = F.struct(
         (-F.col("_best.priority")).alias("p"),
         (-F.col("_best._conf")).alias("c"),
         (F.col("start") - F.col("end")).alias("l"),
         F.col("start").alias("s"),
     )
-    by_type = (
-        ner_cluster(merged, key)
-        .groupBy(key, "cluster", "entity_type")
-        .agg(
+
+    def winners(rows: DataFrame, by: list[str]) -> DataFrame:
+        by_type = rows.groupBy(*by, "cluster", "entity_type").agg(
             F.min(F.struct(rank.alias("rank"), "start", "end", "value")).alias("best"),
             F.min(F.struct("start", "end", "seq")).alias("seen"),
             F.max("confidence").alias("confidence"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
         )
-    )
-    winner = by_type.groupBy(key, "cluster").agg(
-        F.min_by(
-            F.struct("entity_type", "best", "sources", "confidence"),
-            F.struct("best.rank", "seen", "entity_type"),
-        ).alias("w")
-    )
+        won = F.min_by(F.struct("entity_type", "best", "sources", "confidence"), F.struct("best.rank", "seen", "entity_type"))
+        return by_type.groupBy(*by, "cluster").agg(won.alias("w")).select("_key", "w")
+
+    winner = winners(grouped.where("_whole"), _PLACE).unionByName(winners(grouped.where("NOT _whole"), ["_key"]))
     return winner.select(
-        key,
+        F.col("_key.key").alias(key),
         F.col("w.entity_type").alias("entity_type"),
         F.col("w.best.start").alias("start"),
         F.col("w.best.end").alias("end"),

@@ -35,10 +35,18 @@ def dealt(df: DataFrame) -> DataFrame:
     """The rows of a file source dealt over all cores, where it has fewer files than there are cores.
 
     A row group is read by one task, so a file of few of them would leave what is done with its rows to as few
-    tasks, however many rows they hold. Files that are at least as many as the cores are left where they are.
+    tasks, however many rows they hold. Files that are at least as many as the cores are left where they are, and so
+    are fewer files that fall into as many splits with rows of their own: what is dealt goes to disk.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(_TASKS_PER_CORE * max(cores, _FEWEST_CORES))
+    if len(df.inputFiles()) >= cores or (df.rdd.getNumPartitions() >= cores and _splits_with_rows(df) >= cores):
+        return df
+    return df.repartition(_TASKS_PER_CORE * max(cores, _FEWEST_CORES))
+
+
+def _splits_with_rows(df: DataFrame) -> int:
+    """The input splits that rows come from; no column is read for it."""
+    return df.select(F.input_file_name(), F.input_file_block_start()).distinct().count()
 
 
 def scan_directory(

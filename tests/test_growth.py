@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.patterns import BUILTIN_DETECTORS
 from cloakframe.functions.spans import collect_spans
+from cloakframe.operators import ner
 from cloakframe.plans.policy import Policy
 from cloakframe.sources import blocks
+from cloakframe.sources.readers import dealt
 
 
 def _plan(df) -> str:
@@ -91,3 +93,56 @@ def test_scans_of_long_texts(spark):
     rows = spark.createDataFrame([(text,)], "t string")
     found = rows.select(F.explode(collect_spans(F.col("t"), Policy.default("s").detectors())).alias("s")).select("s.*").collect()
     assert {r.value for r in found} >= {"a@mail.ru", "10.0.0.1", "AB1234"}
+
+
+_CANDIDATES = (
+    "doc_id int, entity_type string, start int, end int, value string, source string, confidence double, priority int, seq int"
+)
+
+
+def _candidates(spark, seed: int):
+    """Two texts and a null key, long spans, and rows that come twice."""
+    rnd, rows = random.Random(seed), []
+    for _ in range(250):
+        start = rnd.randint(0, 900)
+        end = start + rnd.choice([1, 2, 3, 5, 40])
+        conf = rnd.choice([None, 0.4, 0.9])
+        rows.append((rnd.choice([1, 2, None]), rnd.choice("ab"), start, end, f"{start}-{end}", rnd.choice("xyz"), conf, rnd.choice([1, 2]), 0))
+    return spark.createDataFrame(rows + rows[:60], _CANDIDATES)
+
+
+def test_candidates_are_shuffled_once(spark):
+    """By key and block; after that only what crosses a border of blocks."""
+    plan = _plan(ner.ner_resolve(_candidates(spark, 1)))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("doc_id" in line for line in exchanges)
+    assert sum("cluster#" in line for line in exchanges) == 2  # by type and by group, of groups that cross a border
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("block", [3, 16, 100])
+def test_groups_across_blocks(spark, monkeypatch, block, seed):
+    rows = _candidates(spark, seed)
+
+    def found():
+        best = ner.ner_resolve(rows, min_confidence=0.3).collect()
+        return sorted(map(str, best)), sorted(map(str, ner.ner_cluster(rows).collect()))
+
+    whole = found()
+    assert len(whole[1]) == 310
+    monkeypatch.setattr(ner, "BLOCK_CHARS", block)
+    assert found() == whole
+
+
+def test_a_file_of_many_row_groups_is_not_dealt(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(40_000).selectExpr("id", "uuid() AS u").coalesce(1).write.option("parquet.block.size", 20_000).parquet(path)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = dealt(spark.read.parquet(path))
+        assert "RoundRobin" not in _plan(rows) and rows.count() == 40_000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

@@ -1,0 +1,53 @@
+"""Words hashed together are the words hashed one by one."""
+
+import random
+
+import numpy as np
+import pytest
+
+from cloakframe.llm import triejoin
+
+
+def plain(text, words):
+    """The n-grams of a text, and the order of the first words that repeat, with no hash at all."""
+    found = text.encode("utf-8", "replace").lower().split()
+    return {tuple(found[i : i + words]) for i in range(len(found) - words + 1)} if len(found) >= words else {tuple(found)} - {()}
+
+
+@pytest.mark.parametrize("part", [65, 200, 1 << 18])
+def test_words(monkeypatch, part):
+    """Equal numbers for equal words only, wherever parts end; also long words, blanks of all kinds and bytes beyond ASCII."""
+    monkeypatch.setattr(triejoin, "_PART", part)
+    rnd = random.Random(part)
+    pieces = [*"abAB", "é", "É", " ", " ", "\x1c", "x" * 64, "x" * 65, "X" * 65, "y" * 200, " ", "  ", "\t", "\n", "\v", "\f", "\r", "\ud800"]
+    seen, words = {}, 0
+    for _ in range(400):
+        data = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 60))).encode("utf-8", "replace")
+        found = data.lower().split()
+        hashes = triejoin.word_hashes(data).tolist()
+        assert len(hashes) == len(found)
+        words += len(found)
+        for word, number in zip(found, hashes):
+            assert seen.setdefault(word, number) == number
+    assert words > 1000 and len(set(seen.values())) == len(seen)
+
+
+def test_grams(monkeypatch):
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = " ".join(rnd.choice(["a", "B", "b", "cc", "dd"]) for _ in range(rnd.randint(0, 30)))
+        for words in (1, 3, 4):
+            grams = triejoin.gram_set(text, words)
+            assert grams.size == len(plain(text, words)) and (np.diff(grams.astype(object)) > 0).all()
+    assert triejoin.gram_set(None).size == 0 and triejoin.gram_set(" \n").size == 0
+    assert (triejoin.gram_set("A b C d e") == triejoin.gram_set("\ta B c  D E ")).all()
+
+
+def test_words_are_not_hashed_one_by_one(monkeypatch):
+    """Only long words, and texts of fewer words than an n-gram has, are given to the library."""
+    calls = []
+    monkeypatch.setattr(triejoin, "xxh64_intdigest", lambda data, seed=0: calls.append(data) or 1)
+    triejoin.gram_set("one two three four " * 100)
+    assert not calls
+    triejoin.gram_set("one two three four " + "L" * 65)
+    assert calls == [b"l" * 65]
